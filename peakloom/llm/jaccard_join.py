@@ -142,8 +142,9 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     classes = scratch.save(
         rows.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     )
-    # Signatures of representatives only: copies add no candidates.
-    reps = rows.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
+    # Signatures of representatives only: copies add no candidates. The joins with texts and
+    # signature lists are merge joins at every size, so their cost is the same share of the input.
+    reps = rows.join(classes.select("print", F.col("rep").alias("doc_id")).hint("merge"), ["print", "doc_id"], "left_semi")
     signed = reps.select("doc_id", F.explode("sigs").alias("sig")).repartition("sig")
     hubs = signed.groupBy("sig").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top").select("sig", "u")
     stars = signed.join(hubs, "sig").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
@@ -179,7 +180,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
                 ["doc_id", "cluster", "bucket", "salt", "set"],
             )
 
-    texts = docs.join(blocked, "doc_id").select("doc_id", "cluster", "bucket", "salt", "text")
+    texts = docs.join(blocked.hint("merge"), "doc_id").select("doc_id", "cluster", "bucket", "salt", "text")
     held = texts.mapInArrow(members, "doc_id long, cluster long, bucket int, salt int, set binary")
 
     def product(table: pa.Table) -> pa.Table:
