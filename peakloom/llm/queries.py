@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cover_tree import op4_cover_tree
+from .decontaminate import op10_decontaminate
 from .jaccard_join import op7_jaccard_join
+from .packing import op2_packing
+from .pii import op3_pii
+from .quality import op5_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_packing,
+        op3_pii,
+        op4_cover_tree,
+        op5_quality,
         op7_jaccard_join,
+        op10_decontaminate,
     )
 }
 ORACLE: dict[str, str] = {}
