@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, tune
 
-#: Words kept in a worker's cache before it is emptied.
-CACHE = 400_000
+#: Words, and parts of words, in each of the two generations of a worker's caches.
+WORDS, PARTS = 500_000, 300_000
 
 
 def default_vocabulary() -> str:
@@ -25,33 +26,62 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Recent(dict):
+    """Cache of ``make(key)`` in two generations: what is used again outlives what is not."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        value = self[key] = self.make(key) if value is None else value
+        return value
+
+
 class CachedTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of
-    its words in order; words repeat, so their ids are cached. A text with one of the special
-    tokens' strings, or with a control that Python alone counts as white space, is encoded whole.
+    The vocabulary drops white space and never merges across it, nor across its own pattern of
+    letters, single digits and signs, so a text's ids are those of these parts in order. Words
+    repeat, and words share parts, so the ids of both are cached. Words with characters beyond
+    Latin letters go through the tokenizer itself, and so does a whole text with one of the
+    special tokens' strings or a control that Python alone counts as white space.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.words = _Recent(self._word, WORDS)
+        self.parts = _Recent(self._part, PARTS)
+        # Byte-level alphabet: printable bytes stand for themselves, others for later letters.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if max(word) > "\u024f":
+            return self._whole(word)
+        return b"".join(map(self.parts.__getitem__, self.split(word.lower())))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = list({w for s in split for w in s} - self.words.keys())
-        self.words.update(zip(new, self._whole(new)))
-        get = self.words.__getitem__
-        return [self._whole([t])[0] if o else b"".join(map(get, s)) for t, s, o in zip(texts, split, odd)]
+    def encode(self, text: str) -> bytes:
+        if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
@@ -64,10 +94,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Da
             held[vocabulary] = CachedTokenizer(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, x in zip(ids, held[vocabulary].encode(texts)):
-                x += end
+            encode = held[vocabulary].encode
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                x = encode(text or "") + end
                 n = len(x) // 4
                 out += [(doc, s, min(size, n - s), zlib.crc32(x[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
             cols = list(zip(*out)) or [()] * 5
