@@ -230,5 +230,6 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.array(*map(F.lit, KINDS))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     plain = F.filter("spans", lambda s: s["plain"])
-    count = [F.size(F.filter(plain, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.size(F.filter(plain, lambda s: s["kind"] == i))
+    count = [of_kind(i).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(joined(plain).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
