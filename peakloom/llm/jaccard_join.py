@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,54 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratch: Scratch, *, percent: int, block: int) -> DataFrame:
+    """Links (u, v) that connect what reaches Jaccard ``percent`` / 100 inside each cluster.
+
+    ``sized`` has id, cluster and n (size of the set), and bucket where n is no exact size. ``attach`` gets (id, cluster, bucket,
+    salt) and adds ``set``, the sorted hashes as bytes. Clusters are cut into blocks by size
+    bucket and salt, each of about ``block`` elements; each pair of blocks whose sizes allow a
+    link is one sparse product in one task, which returns a spanning forest of its links.
+    """
+    if "bucket" not in sized.columns:
+        sized = sized.withColumn("bucket", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
+    sized = scratch.save(sized)
+    weight = sized.groupBy("cluster", "bucket").agg(F.ceil(F.sum("n") / block).cast("int").alias("salts"))
+    blocked = sized.join(weight, ["cluster", "bucket"]).select(
+        "id", "cluster", "bucket", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int").alias("salt")
+    )
+    a, b = weight.alias("a"), weight.alias("b")
+    pairs = (
+        a.join(b, F.expr("a.cluster = b.cluster AND b.bucket BETWEEN a.bucket AND a.bucket + 2"))
+        .select(F.col("a.cluster").alias("cluster"), F.col("a.bucket").alias("b1"), F.col("b.bucket").alias("b2"),
+                F.explode(F.sequence(F.lit(0), F.col("a.salts") - 1)).alias("s1"), F.col("b.salts").alias("t"))
+        .select("cluster", "b1", "b2", "s1", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("s2"))
+        .where("b1 < b2 OR s1 <= s2")
+    )
+    sides = pairs.select("cluster", F.col("b1").alias("bucket"), F.col("s1").alias("salt"), F.lit(0).alias("side"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair")).union(
+        pairs.where("b1 < b2 OR s1 < s2").select("cluster", F.col("b2").alias("bucket"), F.col("s2").alias("salt"), F.lit(1).alias("side"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair"))
+    )
+
+    def product(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids = table.column("id").to_numpy()
+        data = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        i = np.flatnonzero(side == 0)
+        j = np.flatnonzero(side == 1) if side.any() else i
+        if not len(i) or not len(j):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        sizes = np.array([len(x) for x in data])
+        both = _overlaps([data[x] for x in i], [data[x] for x in j]).astype(np.int64)
+        x, y = np.nonzero(both * (100 + percent) >= percent * (sizes[i][:, None] + sizes[j][None, :]))
+        links = np.stack([i[x], j[y]], 1)
+        found = _forest(links[ids[links[:, 0]] != ids[links[:, 1]]], len(ids))
+        return pa.table({"u": pa.array(ids[[f[0] for f in found]] if found else [], pa.int64()), "v": pa.array(ids[[f[1] for f in found]] if found else [], pa.int64())})
+
+    links = attach(blocked).join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "id", "set")
+    out = scratch.save(links.groupBy("pair").applyInArrow(product, "u long, v long"))
+    scratch.drop(sized)
+    return out
+
+
 def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, block: int = 100_000) -> DataFrame:
     """Link documents whose shingle sets reach Jaccard ``percent`` / 100, exactly.
 
@@ -150,57 +198,23 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     stars = signed.join(hubs, "sig").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
     clusters = scratch.save(connected_components(stars, scratch))
 
-    # Blocks: size buckets narrow enough that a partner lies in the same or the next one.
-    sized = clusters.join(classes.select(F.col("rep").alias("u"), "n"), "u").select(
-        F.col("u").alias("doc_id"), F.col("component_id").alias("cluster"), "n",
-        F.floor(F.log("n") / math.log(100 / percent)).cast("int").alias("bucket"),
-    )
-    sized = scratch.save(sized)
-    weight = sized.groupBy("cluster", "bucket").agg(F.ceil(F.sum("n") / block).cast("int").alias("salts"))
-    blocked = sized.join(weight, ["cluster", "bucket"]).select(
-        "doc_id", "cluster", "bucket", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt")
-    )
-    a, b = weight.alias("a"), weight.alias("b")
-    pairs = (
-        a.join(b, F.expr("a.cluster = b.cluster AND b.bucket BETWEEN a.bucket AND a.bucket + 2"))
-        .select(F.col("a.cluster").alias("cluster"), F.col("a.bucket").alias("b1"), F.col("b.bucket").alias("b2"),
-                F.explode(F.sequence(F.lit(0), F.col("a.salts") - 1)).alias("s1"), F.col("b.salts").alias("t"))
-        .select("cluster", "b1", "b2", "s1", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("s2"))
-        .where("b1 < b2 OR s1 <= s2")
-    )
-    sides = pairs.select("cluster", F.col("b1").alias("bucket"), F.col("s1").alias("salt"), F.lit(0).alias("side"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair")).union(
-        pairs.where("b1 < b2 OR s1 < s2").select("cluster", F.col("b2").alias("bucket"), F.col("s2").alias("salt"), F.lit(1).alias("side"), F.struct("cluster", "b1", "s1", "b2", "s2").alias("pair"))
-    )
+    sized = clusters.join(classes.select(F.col("rep").alias("u"), "n"), "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = list(shingle_sets(batch, shingle, "doc_id", "cluster", "bucket", "salt"))
+            out = list(shingle_sets(batch, shingle, "id", "cluster", "bucket", "salt"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))] + [pa.array([r[4].tobytes() for r in out], pa.binary())],
-                ["doc_id", "cluster", "bucket", "salt", "set"],
+                ["id", "cluster", "bucket", "salt", "set"],
             )
 
-    texts = docs.join(blocked.hint("merge"), "doc_id").select("doc_id", "cluster", "bucket", "salt", "text")
-    held = texts.mapInArrow(members, "doc_id long, cluster long, bucket int, salt int, set binary")
-
-    def product(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("doc_id").to_numpy()
-        data = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        i = np.flatnonzero(side == 0)
-        j = np.flatnonzero(side == 1) if side.any() else i
-        if not len(i) or not len(j):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        sizes = np.array([len(x) for x in data])
-        both = _overlaps([data[x] for x in i], [data[x] for x in j]).astype(np.int64)
-        x, y = np.nonzero(both * (100 + percent) >= percent * (sizes[i][:, None] + sizes[j][None, :]))
-        links = np.stack([i[x], j[y]], 1)
-        found = _forest(links[ids[links[:, 0]] != ids[links[:, 1]]], len(ids))
-        return pa.table({"u": pa.array(ids[[f[0] for f in found]] if found else [], pa.int64()), "v": pa.array(ids[[f[1] for f in found]] if found else [], pa.int64())})
+    def attach(blocked: DataFrame) -> DataFrame:
+        named = docs.withColumnRenamed("doc_id", "id").join(blocked.hint("merge"), "id")
+        return named.select("id", "cluster", "bucket", "salt", "text").mapInArrow(members, "id long, cluster long, bucket int, salt int, set binary")
 
-    links = held.join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "doc_id", "set").groupBy("pair").applyInArrow(product, "u long, v long")
+    links = set_links(sized, attach, scratch, percent=percent, block=block)
     found = scratch.save(connected_components(links, scratch))
-    scratch.drop(clusters, sized)
+    scratch.drop(clusters, links)
     named = classes.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

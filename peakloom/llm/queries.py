@@ -6,22 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP6_SQL, op6_chat
 from .cover_tree import op4_cover_tree
 from .decontaminate import op10_decontaminate
+from .html_text import op1_html_text
 from .jaccard_join import op7_jaccard_join
 from .packing import op2_packing
 from .pii import op3_pii
 from .quality import op5_quality
+from .secrets import op9_secrets
+from .substring_dedup import op8_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op2_packing,
         op3_pii,
         op4_cover_tree,
         op5_quality,
+        op6_chat,
         op7_jaccard_join,
+        op8_substring_dedup,
+        op9_secrets,
         op10_decontaminate,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat": OP6_SQL}
