@@ -52,13 +52,10 @@ class SeedIndex:
         self.item = np.array([r[1] for r in rows], np.int64)[order]
         self.place = np.array([r[2] for r in rows], np.int64)[order]
         self.gram = gram
+        self.keep = np.ones(len(self.seeds), bool)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def only(self, keep: np.ndarray) -> None:
-        """From now on find these seeds alone."""
-        self.keep = keep
-
     def hits(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which a seed begins within one text, and the seeds' numbers."""
         if len(h) < self.gram or not len(self.seeds):
@@ -85,6 +82,23 @@ class SeedIndex:
                 ok[seed[own[df[own] <= spread * np.quantile(df[own], 0.25) + floor]]] = True
         return ok
 
+    def aligned(self, h: np.ndarray, of: np.ndarray, min_score: float, min_words: int) -> list[tuple]:
+        """(text, item_id, score, start_word, end_word) of items that rare seeds lead to and that align."""
+        at, k = self.hits(h, of)
+        at, k = at[self.keep[k]], k[self.keep[k]]
+        near: dict[tuple[int, int], list[int]] = {}
+        for p, seed in zip(at.tolist(), k.tolist()):
+            for x in range(self.first[seed], self.first[seed + 1]):
+                near.setdefault((int(of[p]), int(self.item[x])), []).append(p - int(self.place[x]))
+        out = []
+        for (doc, item), begins in near.items():
+            words = self.words[item]
+            lo, hi = np.searchsorted(of, [doc, doc + 1])
+            score, start, end = _best(words, h[lo:hi], sorted(b - lo for b in begins))
+            if score >= MATCH * max(min_score * len(words), min(min_words, len(words))):
+                out.append((doc, self.ids[item], score / (MATCH * len(words)), start, end))
+        return out
+
 
 def _chunks(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
     for rows in by_bytes(texts_of(batch, *keys, lower=True)):
@@ -110,23 +124,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_sc
     null doc_id or item_id is kept as such in the pairs. Repeated rows give one pair. Extra
     columns are ignored.
     """
-    spark = tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    found = None
+    for index in _indexes(docs, benchmark, gram, item_bytes, spread, floor):
+        pairs = _pairs(docs, index, min_score, min_words)
+        found = pairs if found is None else found.union(pairs)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("m"))
+    return best.select("doc_id", "item_id", "m.score", "m.start_word", "m.end_word")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: float = 0.5, min_words: int = 8,
+          spread: int = 2, floor: int = 10, item_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows that ``contaminated`` finds; the filter runs where the text is."""
+    whole = docs
+    for index in _indexes(docs, benchmark, gram, item_bytes, spread, floor):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good, at = np.ones(batch.num_rows, bool), 0
+                for rows, h, of in _chunks(batch):
+                    good[[at + m[0] for m in sent.value.aligned(h, of, min_score, min_words)]] = False
+                    at += len(rows)
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, whole.schema)
+    return docs
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, gram: int, item_bytes: int, spread: int, floor: int) -> Iterator[SeedIndex]:
+    """An index per block of items, with its rare seeds marked."""
+    tune(docs.sparkSession)
     benchmark = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(size * 1.5 / item_bytes) or 1
-    found = None
     for b in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = SeedIndex([tuple(r) for r in part.distinct().collect()], gram)
-        pairs = _align(spark, docs, index, min_score, min_words, spread, floor)
-        found = pairs if found is None else found.union(pairs)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("m"))
-    return best.select("doc_id", "item_id", "m.score", "m.start_word", "m.end_word")
+        index.keep = index.rare(_document_counts(docs, index), spread, floor)
+        yield index
 
 
-def _align(spark: SparkSession, docs: DataFrame, index: SeedIndex, min_score: float, min_words: int, spread: int, floor: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast(index)
+def _document_counts(docs: DataFrame, index: SeedIndex) -> np.ndarray:
+    """In how many documents each seed of the block occurs."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value.seeds), np.int64)
@@ -142,26 +183,19 @@ def _align(spark: SparkSession, docs: DataFrame, index: SeedIndex, min_score: fl
     summed = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     for seed, n in summed.collect():  # at most one row per seed of the bounded block
         counts[seed] = n
-    rare = index.rare(counts, spread, floor)
-    chosen = spark.sparkContext.broadcast(rare)
+    return counts
+
+
+def _pairs(docs: DataFrame, index: SeedIndex, min_score: float, min_words: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, keep = sent.value, chosen.value
         for batch in batches:
-            out = []
-            for rows, h, of in _chunks(batch, "doc_id"):
-                at, k = ix.hits(h, of)
-                at, k = at[keep[k]], k[keep[k]]
-                near: dict[tuple[int, int], list[int]] = {}
-                for p, seed in zip(at.tolist(), k.tolist()):
-                    for x in range(ix.first[seed], ix.first[seed + 1]):
-                        near.setdefault((int(of[p]), int(ix.item[x])), []).append(p - int(ix.place[x]))
-                for (doc, item), begins in near.items():
-                    words = ix.words[item]
-                    lo, hi = np.searchsorted(of, [doc, doc + 1])
-                    best = _best(words, h[lo:hi], sorted(b - lo for b in begins))
-                    if best[0] >= max(min_score * MATCH * len(words), MATCH * min(min_words, len(words))):
-                        out.append((rows[doc][0], ix.ids[item], best[0] / (MATCH * len(words)), best[1], best[2]))
+            out = [
+                (rows[m[0]][0], *m[1:])
+                for rows, h, of in _chunks(batch, "doc_id")
+                for m in sent.value.aligned(h, of, min_score, min_words)
+            ]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, by_bytes, grams, hash_words, mix, texts_of, tune
@@ -221,6 +221,18 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     )
 
 
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one document of each linked group, the one with the smallest doc_id.
+
+    Of rows that share this doc_id one stays. Rows with a null doc_id all stay.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    first = jaccard_classes(named, **settings).where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    kept = named.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard of 0.9 or more, over all documents."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

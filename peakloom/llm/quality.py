@@ -203,6 +203,21 @@ def score(docs: DataFrame, model: Forest, *, threshold: float = 0.3) -> DataFram
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: Forest, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to have label 1, all columns as they are."""
+    spark = tune(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [np.zeros(0)]
+            for rows in by_bytes(texts_of(batch)):
+                good.append(sent.value.score(statistics([r[-1] for r in rows])) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good).astype(bool)))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents with a model of labels.quality."""
     tune(spark)
