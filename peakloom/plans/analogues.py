@@ -7,6 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.functions import scalars as S
+from peakloom.operators import aggregates as A
+from peakloom.operators import calibrate as C
+from peakloom.operators import candidates as K
+from peakloom.operators import competition as X
+from peakloom.operators import fdr as E
+from peakloom.operators import joins as J
+from peakloom.operators import library as L
+from peakloom.operators import quantify as Q
+from peakloom.operators import ranking as R
+from peakloom.operators import signal as G
+from peakloom.operators.grouping import infer_groups
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,7 +36,431 @@ def query(sql: str | None = None):
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the shared tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scored rows: value is the score, errors are decoys."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", F.col("value").alias("proba"), (F.col("event_type") == "error").cast("int").alias("decoy"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue summary by flag and status."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    """Best scored row per user and type, q-values, and the rows that pass."""
+    best = R.keep_best(scored_events(spark, sf_dir), ["user_id", "event_type"], ["proba", "event_id"])
+    return R.q_values(best, "proba", "decoy", ["event_id"]).where("qval <= 0.5")
+
+
+# --- ordered operators ----------------------------------------------------------------------
+
+
+@query("""
+with s as (select event_id, value as proba, case when event_type='error' then 1 else 0 end as decoy from events),
+c as (select *, sum(decoy) over w as dc, sum(1-decoy) over w as tc, row_number() over w as rn from s
+      window w as (order by proba, decoy, event_id rows between unbounded preceding and current row))
+select event_id, decoy, round(min(case when tc=0 then 1e18 else cast(dc as double)/tc end)
+  over (order by rn rows between current row and unbounded following),6) as qval from c""")
+def q_values(spark, sf_dir):
+    """Target-decoy q-values of all events."""
+    out = R.q_values(scored_events(spark, sf_dir), "proba", "decoy", ["event_id"])
+    return out.select("event_id", "decoy", F.round("qval", 6).alias("qval"))
+
+
+@query("""
+with s as (select event_id, value as proba, case when event_type='error' then 1 else 0 end as decoy from events),
+c as (select *, sum(decoy) over w as dc, sum(1-decoy) over w as tc, row_number() over w as rn from s
+      window w as (order by proba, decoy, event_id rows between unbounded preceding and current row))
+select event_id, round(min(0.25*dc/(tc+1e-6)) over (order by rn rows between current row and unbounded following),6) as qval from c""")
+def q_values_scaled(spark, sf_dir):
+    """Q-values with a damped denominator and a target-decoy ratio."""
+    out = R.q_values(scored_events(spark, sf_dir), "proba", "decoy", ["event_id"], scale=0.25, epsilon=1e-6)
+    return out.select("event_id", F.round("qval", 6).alias("qval"))
+
+
+@query("""select user_id, event_type, event_id, value as proba from
+(select *, row_number() over (partition by user_id, event_type order by value, event_id) rn from events) where rn = 1""")
+def keep_best(spark, sf_dir):
+    """Best event per user and type."""
+    return R.keep_best(scored_events(spark, sf_dir), ["user_id", "event_type"], ["proba", "event_id"]).select("user_id", "event_type", "event_id", "proba")
+
+
+@query("""with r as (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) rn from lineitem)
+select l_orderkey, l_linenumber, l_extendedprice from r where rn <= 2 or l_discount > 0.05""")
+def quality_filter(spark, sf_dir):
+    """Two dearest lines per order, or well discounted ones."""
+    t = table(spark, sf_dir, "lineitem")
+    out = R.rank_or_quality(t, ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 2, F.col("l_discount") > 0.05)
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("""select l_orderkey, l_linenumber, dense_rank() over (order by l_orderkey, l_returnflag, l_linenumber) - 1 as group_id from lineitem""")
+def score_groups(spark, sf_dir):
+    """Dense numbers of (order, flag, line)."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber")
+    return R.dense_groups(t, ["l_orderkey", "l_returnflag", "l_linenumber"]).select("l_orderkey", "l_linenumber", "group_id")
+
+
+@query("""select l_partkey, l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_partkey order by l_extendedprice, l_orderkey, l_linenumber) rn from lineitem) where rn <= 3""")
+def transfer_top_n(spark, sf_dir):
+    """Three cheapest lines per part."""
+    out = R.keep_best(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_extendedprice", "l_orderkey", "l_linenumber"], 3)
+    return out.select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("""with f as (select min(struct_pack(v := value, e := event_id)) k from events where value >= 90)
+select event_id, value from events, f where k is null or struct_pack(v := value, e := event_id) < k""")
+def prefix_below(spark, sf_dir):
+    """Rows before the first that reaches a limit."""
+    return R.prefix_below(table(spark, sf_dir, "events").select("event_id", "value"), "value", 90.0, ["value", "event_id"])
+
+
+@query("""select event_id, value from events where event_type <> 'error' order by value desc, event_id limit 500""")
+def fragment_calib_topk(spark, sf_dir):
+    """The 500 highest of the filtered rows (a top-k report)."""
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").orderBy(F.desc("value"), "event_id").limit(500).select("event_id", "value")
+
+
+# --- joins and sets -------------------------------------------------------------------------
+
+
+@query("""with spec as (select l_partkey k, median(l_quantity) v from lineitem where l_returnflag='R' and l_discount>0.09 group by 1),
+fb as (select p_brand b, median(l_quantity) v from lineitem join part on l_partkey=p_partkey group by 1)
+select p_partkey, round(coalesce(spec.v,fb.v),6) v from part left join spec on p_partkey=spec.k left join fb on p_brand=fb.b""")
+def fallback_lookup(spark, sf_dir):
+    """Median quantity of the part, else of its brand."""
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    own = lines.where("l_returnflag = 'R' AND l_discount > 0.09").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.median("l_quantity").alias("v"))
+    brand = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.median("l_quantity").alias("v"))
+    out = J.lookup_with_fallback(part.select("p_partkey", "p_brand"), own, brand, key="p_partkey", fallback_key="p_brand", value="v", out="found")
+    return out.select("p_partkey", F.round("found", 6).alias("v"))
+
+
+@query("""select l_orderkey, l_linenumber from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice < 50000)""")
+def fdr_semi_filter(spark, sf_dir):
+    """Lines of cheap orders."""
+    keys = table(spark, sf_dir, "orders").where("o_totalprice < 50000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return J.only_keys(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), keys, ["l_orderkey"])
+
+
+@query("""select c_custkey from customer except select o_custkey from orders where o_totalprice > 300000""")
+def missing_channels(spark, sf_dir):
+    """Customers without a large order."""
+    some = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(some.distinct())
+
+
+@query("""select l_orderkey, l_linenumber, o_orderstatus, o_totalprice from lineitem left join orders on l_orderkey = o_orderkey""")
+def merge_missing(spark, sf_dir):
+    """Missing columns of an order joined to its lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    return J.merge_missing_columns(lines, orders, ["l_linenumber", "o_orderstatus", "o_totalprice"], ["l_orderkey"])
+
+
+@query("""with w as (select r_regionkey wi, r_regionkey*20.0 lo, r_regionkey*20.0+20.0 hi from region)
+select event_id, coalesce(min(wi),0) window_idx from events left join w on value>=lo and value<hi group by 1""")
+def window_idx(spark, sf_dir):
+    """First interval that holds a value."""
+    return J.window_index(table(spark, sf_dir, "events"), "value", [(20.0 * i, 20.0 * i + 20.0) for i in range(5)]).select("event_id", "window_idx")
+
+
+@query("""select a.l_orderkey k, a.l_suppkey s, a.l_linenumber i, b.l_linenumber j from lineitem a join lineitem b on a.l_suppkey=b.l_suppkey
+  and a.l_orderkey=b.l_orderkey and a.l_linenumber<b.l_linenumber and abs(a.l_quantity-b.l_quantity)<3""")
+def competition_pairs(spark, sf_dir):
+    """Lines of one order and supplier with close quantities."""
+    out = J.close_pairs(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], "l_quantity", "l_linenumber", 3.0)
+    return out.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s"), F.col("l_linenumber_1").alias("i"), F.col("l_linenumber_2").alias("j"))
+
+
+@query("""select a.event_id a_id, b.event_id b_id from events a join events b on a.user_id = b.user_id and a.event_id < b.event_id
+  and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000""")
+def rt_band_pairs(spark, sf_dir):
+    """Events of one user within ten minutes."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
+    pairs = J.band_join(e.withColumnsRenamed({"event_id": "a_id", "t": "ta"}), e.withColumnsRenamed({"event_id": "b_id", "t": "tb"}), "ta", "tb", width=600_000_000, on=["user_id"])
+    return pairs.where("a_id < b_id").select("a_id", "b_id")
+
+
+@query("""select e.event_id, o.o_orderkey from events e join orders o on abs(e.value - o.o_totalprice / 1000) <= o.o_totalprice / 1000 * 20 * 1e-6""")
+def mz_band_join(spark, sf_dir):
+    """Values within 20 ppm of a scaled price."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("mz"))
+    return J.band_join(table(spark, sf_dir, "events").select("event_id", "value").where("value > 0"), o, "value", "mz", ppm=20).select("event_id", "o_orderkey")
+
+
+@query("""with p as (select p_partkey, p_size * 1.0 lo, p_size + 1.5 hi from part), s as (select s_suppkey, s_acctbal / 200 a, s_acctbal / 200 + 0.25 b from supplier)
+select p_partkey, s_suppkey from p join s on lo <= b and a <= hi""")
+def interval_overlap(spark, sf_dir):
+    """Overlapping size and balance intervals."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1.0).alias("lo"), (F.col("p_size") + 1.5).alias("hi"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 200).alias("a"), (F.col("s_acctbal") / 200 + 0.25).alias("b"))
+    return J.interval_overlap_join(p, s, ("lo", "hi"), ("a", "b"), 2.0).select("p_partkey", "s_suppkey")
+
+
+@query("""with b as (select o_custkey,o_orderkey,o_totalprice,row_number() over (partition by o_custkey order by o_totalprice,o_orderkey) rn from orders),
+ch as (select distinct o_custkey, o_orderpriority from orders)
+select b.o_custkey, ch.o_orderpriority, o_orderkey, o_totalprice from b join ch on b.o_custkey = ch.o_custkey where rn=1 and o_orderpriority <> '5-LOW'""")
+def multiplex_expand(spark, sf_dir):
+    """The best order of a customer for each priority that the customer has used."""
+    o = table(spark, sf_dir, "orders")
+    channels = sorted(r[0] for r in o.select("o_orderpriority").distinct().collect())
+    best = o.select("o_custkey", "o_orderkey", "o_totalprice")
+    library = o.select("o_custkey", "o_orderpriority").distinct()
+    return J.multiplex(best, library, group="o_custkey", channel="o_orderpriority", order=["o_totalprice", "o_orderkey"], channels=[c for c in channels if c != "5-LOW"])
+
+
+# --- aggregates -----------------------------------------------------------------------------
+
+
+def _psm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rows of a search: flags are groups, parts precursors, suppliers peptides."""
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(
+        F.col("l_returnflag").alias("pg"), (F.col("l_linestatus") == "O").cast("int").alias("decoy"), F.col("l_partkey").alias("precursor_idx"), F.col("l_suppkey").alias("sequence"),
+        F.col("l_linenumber").alias("run"), F.col("l_discount").alias("proba"), F.col("l_returnflag").alias("genes"), F.col("l_linestatus").alias("proteins"),
+    )
+
+
+@query("""select l_returnflag pg, cast(l_linestatus='O' as int) decoy, count(*) n_rows, count(distinct l_partkey) n_precursors, count(distinct l_suppkey) n_peptides,
+count(distinct l_linenumber) n_runs, round(avg(l_discount),6) mean_score, min(l_discount) best_score, max(l_discount) worst_score from lineitem group by 1, 2""")
+def protein_features(spark, sf_dir):
+    """Evidence per group."""
+    return A.protein_features(_psm(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6)).drop("genes", "proteins")
+
+
+@query("""with b as (select n_name run, c channel from nation, (select 0 c union all select 1 union all select 9)),
+s as (select n_name run, cast(l_linestatus='O' as int) channel, count(*) n, count(distinct l_returnflag) n_pg from lineitem join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey group by 1,2)
+select b.run, b.channel, coalesce(n,0) n, coalesce(n_pg,0) n_pg from b left join s on b.run = s.run and b.channel = s.channel""")
+def run_channel_stats(spark, sf_dir):
+    """Rows and groups per run and channel, empty ones included."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("run"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    psm = lines.select("run", (F.col("l_linestatus") == "O").cast("int").alias("channel"), F.col("l_returnflag").alias("pg"), F.col("l_tax").alias("cycle_fwhm"), F.col("l_tax").alias("mobility_fwhm"))
+    return A.run_statistics(psm, nation, [0, 1, 9]).select("run", "channel", "n", "n_pg")
+
+
+@query("""select p_brand, round(median(p_retailprice),6) med, round(quantile_cont(p_retailprice,0.9),6) p90 from part group by 1""")
+def median_stats(spark, sf_dir):
+    """Median and percentile per brand."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m"), F.percentile("p_retailprice", 0.9).alias("p"))
+    return p.select("p_brand", F.round("m", 6).alias("med"), F.round("p", 6).alias("p90"))
+
+
+@query("""select modification, count(*) n from (select unnest(list_distinct(string_split(lang || ';' || source, ';'))) modification from documents) group by 1
+union all select 'unmodified', 0 union all select 'Total', count(*) from documents""")
+def mods_explode(spark, sf_dir):
+    """Rows per item of a joined list, with totals."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws(";", "lang", "source").alias("mods"))
+    return A.modification_counts(d)
+
+
+@query("""select user_id, count(*) filter (event_type<>'error') targets, count(*) filter (event_type='error') decoys,
+count(*) filter (event_type<>'error' and value<=50) "targets_50", count(*) filter (event_type<>'error' and value<=10) "targets_10" from events group by 1""")
+def fdr_summary(spark, sf_dir):
+    """Targets and decoys per user at limits."""
+    return A.fdr_summary(scored_events(spark, sf_dir), ["user_id"], qval="proba", limits=(50.0, 10.0))
+
+
+@query("""with m as (select avg(l_quantity) m from lineitem)
+select round((abs(quantile_cont(l_quantity - m, 0.025)) + abs(quantile_cont(l_quantity - m, 0.975))) / 2, 6) ci from lineitem, m""")
+def calibration_ci(spark, sf_dir):
+    """Half width that holds 95 % of residuals."""
+    t = table(spark, sf_dir, "lineitem")
+    r = t.join(F.broadcast(t.agg(F.avg("l_quantity").alias("m")))).select((F.col("l_quantity") - F.col("m")).alias("r"))  # one row
+    return A.residual_interval(r, "r").select(F.round("ci", 6).alias("ci"))
+
+
+@query("""with m as (select l_orderkey k, median(l_quantity) md from lineitem where l_quantity>0 group by 1)
+select l_orderkey,l_linenumber,case when l_quantity>0.75*md then l_quantity else 0.0 end q, md>20 u from lineitem join m on l_orderkey=k""")
+def ms2_qc(spark, sf_dir):
+    """Weak lines of an order set to zero."""
+    out = A.quality_control(table(spark, sf_dir, "lineitem"), ["l_orderkey"], intensity="l_quantity", least=20.0)
+    return out.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("use").alias("u"))
+
+
+@query("""select cast(floor(l_discount*100) as bigint) bin, cast(sum(cast(l_returnflag<>'R' as int)) as bigint) t, cast(sum(cast(l_returnflag='R' as int)) as bigint) d from lineitem group by 1""")
+def pep_histogram(spark, sf_dir):
+    """Targets and decoys per score bin."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_discount") * 100).alias("bin"))
+    return t.agg(F.count_if(F.col("l_returnflag") != "R").alias("t"), F.count_if(F.col("l_returnflag") == "R").alias("d"))
+
+
+@query("""select user_id, round(case when (count(*)*sum(value*value)-sum(value)*sum(value)) > 0 then corr(value, event_id) else 0 end, 4) r from events group by 1""")
+def safe_pearson(spark, sf_dir):
+    """Correlation per user, 0 where nothing varies."""
+    e = table(spark, sf_dir, "events").withColumn("id", F.col("event_id").cast("double"))
+    return e.groupBy("user_id").agg(F.round(S.safe_pearson("value", "id"), 4).alias("r"))
+
+
+@query("""select l_returnflag, round(sum(l_extendedprice*l_quantity)/sum(l_quantity),4) centre from lineitem group by 1""")
+def weighted_centre(spark, sf_dir):
+    """Quantity-weighted mean price."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(S.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("centre"))
+
+
+# --- quantities -----------------------------------------------------------------------------
+
+
+@query("""select l_partkey, coalesce(sum(l_quantity) filter (l_returnflag='A'),0) "A", coalesce(sum(l_quantity) filter (l_returnflag='N'),0) "N", coalesce(sum(l_quantity) filter (l_returnflag='R'),0) "R" from lineitem group by 1""")
+def fragment_accumulate(spark, sf_dir):
+    """Sums per part and flag, missing ones 0."""
+    return Q.accumulate(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag", "l_quantity", ["A", "N", "R"])
+
+
+@query("""select p_brand, 'avg_price' run, round(avg(p_retailprice),6) intensity from part group by 1 union all select p_brand, 'avg_size', round(avg(p_size),6) from part group by 1""")
+def melt_levels(spark, sf_dir):
+    """Brand averages in long form."""
+    wide = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 6).alias("avg_price"), F.round(F.avg("p_size"), 6).alias("avg_size"))
+    return Q.melt(wide, ["p_brand"])
+
+
+@query("""with m as (select l_orderkey, l_suppkey, avg(l_extendedprice) q from lineitem group by 1,2),
+k as (select *, row_number() over (partition by l_orderkey order by q desc, l_suppkey) rn from m)
+select l.l_orderkey, l.l_suppkey, l.l_linenumber from lineitem l join k on l.l_orderkey=k.l_orderkey and l.l_suppkey=k.l_suppkey where rn<=1 or q>60000""")
+def ion_filter(spark, sf_dir):
+    """Rows of the best or good ions."""
+    return Q.filter_ions(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_extendedprice", top_n=1, min_quality=60000.0).select("l_orderkey", "l_suppkey", "l_linenumber")
+
+
+@query()
+def lfq(spark, sf_dir):
+    """Label-free quantities of brands over line numbers."""
+    t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    long = t.groupBy("p_brand", "l_partkey", F.col("l_linenumber").cast("int").alias("run")).agg(F.sum("l_extendedprice").alias("v"))
+    return Q.label_free(long, "p_brand", "l_partkey", "run", "v")
+
+
+# --- signals and scalars --------------------------------------------------------------------
+
+
+@query("""with x as (select user_id, value v, lag(value) over w pv, epoch(ts) t, lag(epoch(ts)) over w pt from events
+  window w as (partition by user_id order by ts,event_id)) select user_id, round(sum((v+pv)*0.5*(t-pt)),2) area from x group by 1""")
+def trapezoid_area(spark, sf_dir):
+    """Area under each user's values."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return G.trapezoid_area(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], t, "value").select("user_id", F.round("area", 2).alias("area"))
+
+
+@query("""with x as (select user_id,event_id,value v,lag(value,1) over w a,lag(value,2) over w b,lead(value,1) over w c,lead(value,2) over w d
+  from events window w as (partition by user_id order by ts,event_id)) select user_id,event_id from x where b<a and a<v and v>c and c>d""")
+def local_peaks(spark, sf_dir):
+    """Five-point maxima of each user's values."""
+    return G.local_peaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id")
+
+
+@query("""with x as (select user_id, event_id, value v, lag(value) over w a, lead(value) over w c from events window w as (partition by user_id order by ts,event_id))
+select user_id, event_id, case when v<a and v<c then (a+c)/2 else v end as value from x""")
+def envelope(spark, sf_dir):
+    """Dips filled from both sides."""
+    return G.fill_dips(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", "value")
+
+
+@query("""with x as (select event_id i, cast(user_id as double)-avg(cast(user_id as double)) over () d from events)
+select b.i-a.i lag, round(sum(a.d*b.d)/max(z.s),6) r from x a join x b on b.i-a.i between 0 and 20 cross join (select sum(d*d) s from x) z group by 1""")
+def autocorrelation(spark, sf_dir):
+    """Autocorrelation of the user sequence."""
+    return G.autocorrelation(table(spark, sf_dir, "events"), "event_id", "user_id", 20).select("lag", F.round("r", 6).alias("r"))
+
+
+@query("""with m as (select percentile_cont(0.001) within group (order by l_extendedprice) lo, percentile_cont(0.999) within group (order by l_extendedprice) hi from lineitem)
+select l_orderkey,l_linenumber, round(least(greatest(l_extendedprice,lo),hi),4) v from lineitem cross join m""")
+def rt_percentile_clip(spark, sf_dir):
+    """Prices limited to two percentiles."""
+    return L.clip_times(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 4).alias("v"))
+
+
+@query("""with m as (select max(o_totalprice) mo, max(o_totalprice * 0.9 + 1000) mc from orders)
+select o_orderkey, round((1 - o_totalprice/mo) * ((o_totalprice*0.9+1000)/mc) + (o_totalprice/mo)*(o_totalprice/mo), 9) rt_norm from orders, m""")
+def rt_norm_delta(spark, sf_dir):
+    """Blend of two max-normalised columns."""
+    o = table(spark, sf_dir, "orders").withColumn("c", F.col("o_totalprice") * 0.9 + 1000)
+    return L.blend_times(o, "o_totalprice", "c").select("o_orderkey", F.round("rt_norm", 9).alias("rt_norm"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey + (cast(l_linenumber as bigint) << 32) as hash from lineitem""")
+def candidate_hash(spark, sf_dir):
+    """Part and line in one number."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.candidate_hash(F.col("l_partkey"), F.col("l_linenumber")).alias("hash"))
+
+
+@query("""select doc_id, cast(length(text) - length(replace(text, 'K', '')) as int) n_k from documents""")
+def seq_char_count(spark, sf_dir):
+    """Number of one letter."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.count_of(F.col("text"), "K").alias("n_k"))
+
+
+@query("""select event_id, cast(json_extract_string(props, '$.k') as int) k from events""")
+def props_json(spark, sf_dir):
+    """A field of a JSON column."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""select vec_id, round(list_dot_product(embedding::double[], embedding::double[]) / (list_dot_product(embedding::double[], embedding::double[]) + 1e-4), 6) c from embeddings""")
+def embedding_cosine(spark, sf_dir):
+    """Damped cosine of each vector with itself."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("embedding")), 6).alias("c"))
+
+
+@query("""select p_partkey, round(p_retailprice + 3*1.0033548350700006/2, 6) mz3 from part""")
+def isotope_mz(spark, sf_dir):
+    """Fourth isotope position."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(S.isotope_mz(F.col("p_retailprice"), F.lit(2), 4)[3], 6).alias("mz3"))
+
+
+# --- kernels that SQL cannot express ----------------------------------------------------------
+
+
+@query()
+def protein_inference(spark, sf_dir):
+    """Set cover of orders by the brands of their parts."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    ids = table(spark, sf_dir, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("precursor_idx")).agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat("p_brand", "p_type"))), ";").alias("proteins"), F.lit(0).alias("decoy"))
+    return infer_groups(ids).select("precursor_idx", "pg_master", "pg")
+
+
+@query()
+def fragment_competition(spark, sf_dir):
+    """Orders of a month that share line quantities compete by price."""
+    o = table(spark, sf_dir, "orders")
+    psm = o.select(F.col("o_orderkey").alias("id"), F.month("o_orderdate").alias("window_idx"), F.dayofmonth("o_orderdate").cast("double").alias("rt"), F.col("o_totalprice").alias("proba"))
+    frag = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("mz"))
+    return X.compete(psm, frag, rt=3.0, least=1)
+
+
+@query()
+def loess_calibration(spark, sf_dir):
+    """Price by quantity, smoothed."""
+    t = table(spark, sf_dir, "lineitem")
+    model = C.fit_local(t, "l_quantity", "l_extendedprice")
+    return t.select("l_orderkey", "l_linenumber", F.round(model.predict(F.col("l_quantity")), 3).alias("fit"))
+
+
+@query()
+def psm_classifier(spark, sf_dir):
+    """Returned lines as decoys: probabilities and q-values of the best line per part."""
+    t = table(spark, sf_dir, "lineitem").withColumn("decoy", (F.col("l_returnflag") == "R").cast("int")).withColumnRenamed("l_partkey", "precursor_idx")
+    rows = t.select("precursor_idx", "decoy", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return E.control(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], keys=["precursor_idx", "decoy"], idx="l_orderkey").select("precursor_idx", "decoy", "proba", "qval")
+
+
+@query()
+def candidate_selection(spark, sf_dir):
+    """Peaks of users' events, types as fragments and hours as cycles."""
+    e = table(spark, sf_dir, "events")
+    traces = e.groupBy(F.col("user_id").alias("precursor_idx"), F.col("event_type").alias("fragment"), (F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long").alias("cycle")).agg(
+        F.sum("value").alias("intensity"), F.avg("value").alias("mz"))
+    return K.select(traces, K.Selection(least_fragments=2))
+
+
+@query()
+def candidate_scoring(spark, sf_dir):
+    """Features of those peaks."""
+    e = table(spark, sf_dir, "events")
+    traces = e.groupBy(F.col("user_id").alias("precursor_idx"), F.col("event_type").alias("fragment"), (F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long").alias("cycle")).agg(
+        F.sum("value").alias("intensity"), F.avg("value").alias("mz"))
+    traces = traces.withColumn("mz_library", F.col("mz"))
+    library = traces.groupBy("precursor_idx", "fragment").agg(F.max("mz_library").alias("mz_library"), F.avg("intensity").alias("intensity_library"))
+    return K.score_candidates(traces, K.select(traces, K.Selection(least_fragments=2)), library)
