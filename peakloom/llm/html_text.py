@@ -33,6 +33,7 @@ _SCOPE = frozenset("html body div article section main aside nav header footer t
 _DROPPED = frozenset(
     "head script style noscript template nav footer aside form button input select option textarea iframe svg canvas object embed video audio map menu dialog title noembed noframes".split()
 )
+_UNCOUNTED = _INLINE | _DROPPED | {"#root", "html", "body", "br", "hr", "img"}  # no templates of their own
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 _FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion "
@@ -151,7 +152,7 @@ class Page:
         if template:
             own = self.hashes()
             for i in range(1, n):
-                share = template.get(own[i], 0.0)
+                share = template.get(own[i], 0.0) if self.tag[i] not in _UNCOUNTED else 0.0
                 gone[i] = gone[i] or gone[self.parent[i]] or (share >= (outside if whole else within) and not bears[i])
         out: list[str] = []
         stack: list[tuple[str | int, bool]] = [(0, False)]
@@ -181,7 +182,7 @@ def host_of(url):
 def extract_text(pages: DataFrame, *, least: int = 5, outside: float = 0.3, within: float = 0.6) -> DataFrame:
     """Main text of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Pass one hashes every element subtree and counts, per host, the pages that hold it; counts
+    Pass one hashes every block element's subtree and counts, per host, the pages that hold it; counts
     are summed inside each partition first, so a host with a third of all pages costs no more
     than others. A subtree on at least ``least`` pages is site template if it is on a share
     of ``outside`` of the host's pages, or of ``within`` inside an article or main element
@@ -203,7 +204,7 @@ def extract_text(pages: DataFrame, *, least: int = 5, outside: float = 0.3, with
         for batch in batches:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(source or "")
-                names = {h for h, t in zip(page.hashes(), page.tag) if t not in ("html", "body", "#root") and t not in _DROPPED}
+                names = {h for h, t in zip(page.hashes(), page.tag) if t not in _UNCOUNTED}
                 seen.update((host, h) for h in names)
                 seen[host, 0] += 1  # all pages of the host
             if len(seen) > 200_000:
