@@ -13,10 +13,11 @@ from .common import NON_WORD, Scratch, by_bytes, grams, hash_words, mix, texts_o
 from .components import connected_components
 from .jaccard_join import set_links
 
-#: Bytes that end a paragraph: sentence marks and line feeds.
+#: Bytes that end a sentence, or a line.
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
-#: Paragraphs of more words are cut where a word's hash is the least of this many on both sides.
+_LINE = np.arange(256) == 10
+#: Sentences of more words are cut where a word's hash is the least of this many on both sides.
 LONG, REACH = 32, 6
 
 
@@ -34,32 +35,42 @@ def tune_bands(threshold: float, recall: float, most: int = 4) -> tuple[int, int
 
 
 class Paragraphs:
-    """Paragraphs of a group of texts: where they are, and their shingles as one flat array.
+    """Paragraphs of a group of texts, and the pieces of those that have several.
 
-    A paragraph ends at a line feed or sentence mark. A longer one is cut at words that are
-    chosen by their neighbours alone, so that a passage set into another text is cut alike.
+    A paragraph is a line. A piece is a sentence of it, and a longer sentence is cut at words
+    that are chosen by their neighbours alone, so that a passage set into the middle of another
+    text has the same pieces there. Arrays list the paragraphs first (``lines`` of them), then
+    the pieces; ``shingles`` holds their shingles one after the other.
     """
 
     def __init__(self, texts: list[bytes], shingle: int, least: int):
         h, of, start, end = hash_words(texts, NON_WORD)
-        self.count = 0
+        self.count = self.lines = 0
         if not len(h):
             return
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)])
-        marks = np.concatenate([[0], np.cumsum(_ENDS[np.frombuffer(b" ".join(texts), np.uint8)])])
-        gap = marks[begins[of[1:]] + start[1:]] - marks[begins[of[:-1]] + end[:-1]]
-        first = np.concatenate([[True], (gap > 0) | (of[1:] != of[:-1])])
-        at = np.flatnonzero(first)
+        body = np.frombuffer(b" ".join(texts), np.uint8)
+
+        def after(marks: np.ndarray) -> np.ndarray:
+            """First words of the parts that texts and ``marks`` separate."""
+            seen = np.concatenate([[0], np.cumsum(marks[body])])
+            gap = seen[begins[of[1:]] + start[1:]] - seen[begins[of[:-1]] + end[:-1]]
+            return np.flatnonzero(np.concatenate([[True], (gap > 0) | (of[1:] != of[:-1])]))
+
+        line, at = after(_LINE), after(_ENDS)
         sizes = np.diff(np.append(at, len(h)))
         cuts = [at]
         for a, n in zip(at[sizes > LONG].tolist(), sizes[sizes > LONG].tolist()):
             view = np.lib.stride_tricks.sliding_window_view(h[a : a + n], 2 * REACH + 1)
             cuts.append(a + REACH + np.flatnonzero(view.argmin(1) == REACH))
         at = np.unique(np.concatenate(cuts))
-        sizes = np.diff(np.append(at, len(h)))
-        ok = sizes >= max(least, shingle)
-        at, sizes = at[ok], sizes[ok]
+        sizes, line_sizes = np.diff(np.append(at, len(h))), np.diff(np.append(line, len(h)))
+        whole = np.zeros(len(h), np.int64)
+        whole[line] = line_sizes
+        ok, line_ok = (sizes >= max(least, shingle)) & (whole[at] != sizes), line_sizes >= max(least, shingle)
+        self.lines = int(line_ok.sum())
+        at, sizes = np.concatenate([line[line_ok], at[ok]]), np.concatenate([line_sizes[line_ok], sizes[ok]])
         if not len(at):
             return
         self.count = len(at)
@@ -82,31 +93,35 @@ class Paragraphs:
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """Band hashes, a row per paragraph."""
-        out = np.zeros((self.count, bands), np.uint64)
+        out = np.zeros((self.lines, bands), np.uint64)
+        first, own = self.first[: self.lines], self.shingles[: int(self.n[: self.lines].sum())]
         for b in range(bands):
             for r in range(rows):
                 seed = mix(np.array([b * 97 + r + 1], np.uint64))
-                out[:, b] = mix(out[:, b] + np.minimum.reduceat(mix(self.shingles ^ seed), self.first) + np.uint64(b))
+                out[:, b] = mix(out[:, b] + np.minimum.reduceat(mix(own ^ seed), first) + np.uint64(b))
         return out
 
 
 def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, recall: float = 0.98, least: int = 8,
-                      min_words: int = 20, slack: int = 12, block: int = 100_000) -> DataFrame:
+                      min_words: int = 30, slack: int = 24, block: int = 100_000) -> DataFrame:
     """Paragraphs of ``docs`` (doc_id, text) that recur in other documents.
 
     Returns doc_id, start_word, n_words, start_byte, end_byte (of the UTF-8 text), cluster_id,
     n_docs_at_least (2), first_doc and removed (true unless the document is the smallest
     doc_id of the cluster).
 
-    1. Paragraphs of at least ``least`` words get a name by content; equal ones are one item,
-       so a line in thousands of documents is one row per partition after partial sums.
-    2. Bands are tuned for ``recall`` at the threshold; items that collide in a band form
-       candidate clusters (links to the smallest item of a band, then components).
+    1. Paragraphs (lines) of at least ``least`` words, and their sentences, get a name by
+       content; equal ones are one item, so a line in thousands of documents is one row per
+       partition after partial sums.
+    2. Bands of paragraphs are tuned for ``recall`` at the threshold; paragraphs that collide
+       in a band form candidate clusters (links to the smallest item of a band, then
+       components). Sentences, which find a passage in the middle of another paragraph, are
+       matched by name.
     3. Items of a cluster are compared exactly, in blocks: Jaccard of their ``shingle``-word
        sets of at least ``percent`` / 100.
     4. Components of those links are the clusters of removals. A cluster counts if it spans
-       two documents, and a paragraph is reported if its run of such paragraphs (gaps of up to
-       ``slack`` words) has ``min_words`` words.
+       two documents, and an item is reported if its run of such items (gaps of up to
+       ``slack`` words) spans ``min_words`` words.
 
     Null and empty texts have no paragraphs; rows with a null doc_id are left out. Repeated
     rows (equal doc_id) are one document. Extra columns are ignored.
@@ -133,18 +148,17 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
         for batch in batches:
             for rows in by_bytes(texts_of(batch, "doc_id"), size):
                 p = Paragraphs([r[-1] for r in rows], shingle, least)
-                if p.count:
-                    _, own = np.unique(names := p.names().view(np.int64), return_index=True)
+                if p.lines:
+                    _, own = np.unique(names := p.names().view(np.int64)[: p.lines], return_index=True)
                     sig = p.bands(n_bands, n_rows)[own].ravel().view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(names[own], n_bands))], ["sig", "id"])
 
     units = scratch.save(docs.mapInArrow(locate, "doc_id long, word int, words int, start int, end int, id long"))
-    signed = docs.mapInArrow(band, "sig long, id long").repartition("sig")
-    hubs = signed.groupBy("sig").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u < top").select("sig", "u")
-    stars = signed.join(hubs, "sig").where("id <> u").select("u", F.col("id").alias("v"))
+    least_of_band = F.min("id").over(Window.partitionBy("sig"))
+    stars = docs.mapInArrow(band, "sig long, id long").withColumn("u", least_of_band).where("u < id").select("u", F.col("id").alias("v"))
     clusters = scratch.save(connected_components(stars, scratch))
     facts = (
-        units.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "word")).alias("at"), F.min("words").alias("words"))
+        units.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "word", "words")).alias("at"))
         .join(clusters.select(F.col("u").alias("id"), F.col("component_id").alias("cluster")).hint("merge"), "id", "left")
         .where("lo < hi OR cluster IS NOT NULL")
     )
@@ -157,21 +171,21 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
             for rows in by_bytes(((i, *r) for i, r in enumerate(texts_of(batch))), size):
                 p = Paragraphs([r[-1] for r in rows], shingle, least)
                 if p.count:
-                    place = {(rows[t][0], w): k for k, (t, w) in enumerate(zip(p.text.tolist(), p.word.tolist()))}
+                    place = {(rows[t][0], w, n): k for k, (t, w, n) in enumerate(zip(p.text.tolist(), p.word.tolist(), p.words.tolist()))}
                     sets = p.sets()
                     for i, _ in rows:
-                        out += [(w["id"], w["cluster"], w["bucket"], w["salt"], sets[k].tobytes()) for w in wanted[i] if (k := place.get((i, w["word"]))) is not None]
+                        out += [(w["id"], w["cluster"], w["bucket"], w["salt"], sets[k].tobytes()) for w in wanted[i] if (k := place.get((i, w["word"], w["words"]))) is not None]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "cluster", "bucket", "salt", "set"]
             )
 
     def attach(blocked: DataFrame) -> DataFrame:
-        where = blocked.join(facts.select("id", "at.doc_id", "at.word"), "id")
-        wanted = where.groupBy("doc_id").agg(F.collect_list(F.struct("word", "id", "cluster", "bucket", "salt")).alias("wanted"))  # paragraphs of one text
+        where = blocked.join(facts.select("id", "at.*"), "id")
+        wanted = where.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "id", "cluster", "bucket", "salt")).alias("wanted"))  # paragraphs of one text
         return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(members, "id long, cluster long, bucket int, salt int, set binary")
 
-    sized = facts.where("cluster IS NOT NULL").select("id", "cluster", F.col("words").cast("long").alias("n"), F.lit(0).alias("bucket"))
+    sized = facts.where("cluster IS NOT NULL").select("id", "cluster", F.col("at.words").cast("long").alias("n"), F.lit(0).alias("bucket"))
     links = set_links(sized, attach, scratch, percent=percent, block=block)
     near = scratch.save(connected_components(links, scratch))
     named = facts.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "lo", "hi", F.coalesce("component_id", "id").alias("cluster_id"))
@@ -179,10 +193,12 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
     shared = scratch.save(named.select("id", "cluster_id").join(spans, "cluster_id"))
     scratch.drop(clusters, links, facts)
     found = units.join(shared.hint("merge"), "id")
-    order = Window.partitionBy("doc_id").orderBy("word", "id")
-    gap = F.col("word") - F.lag(F.col("word") + F.col("words")).over(order)
-    runs = found.withColumn("new", F.when(gap <= slack, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    kept = runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("total") >= min_words)
+    order = Window.partitionBy("doc_id").orderBy("word", "words", "id")
+    until = F.col("word") + F.col("words")
+    reach = F.max(until).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.when(F.col("word") - reach <= slack, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    run = Window.partitionBy("doc_id", "run")
+    kept = runs.withColumn("total", F.max(until).over(run) - F.min("word").over(run)).where(F.col("total") >= min_words)
     return kept.select(
         "doc_id", F.col("word").alias("start_word"), F.col("words").alias("n_words"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"),
         "cluster_id", "first_doc", (F.col("doc_id") > F.col("first_doc")).alias("removed"),
