@@ -229,7 +229,10 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     first = jaccard_classes(named, **settings).where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = named.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    place = "_row"
+    while place in map(str.lower, docs.columns):
+        place += "_"
+    kept = named.join(first.hint("merge"), "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
     return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
