@@ -1,23 +1,16 @@
-"""Shared helpers: session settings, tables in the cluster's shared folder, word hashing."""
+"""Shared helpers: session settings, word hashing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Used only where spark.checkpoint.dir is unset (tests, a laptop).
-LOCAL_SHARED = "/tmp/checkpoints/peakloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or LOCAL_SHARED).rstrip("/")
+from peakloom.sources.shared import Scratch
 
+__all__ = ["Scratch", "tune", "mix", "hash_words", "grams", "by_bytes", "texts_of", "SPACE", "NON_WORD"]
 
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a few very long texts cannot fill a Python worker."""
@@ -25,32 +18,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return a frame that reads the files."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete saved tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-
 # --- word hashing ---------------------------------------------------------------------------
 
 _P = 0x9E3779B97F4A7C15

@@ -11,11 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peakloom.operators.components import connected_components
+
 from .common import SPACE, Scratch, by_bytes, grams, hash_words, mix, texts_of, tune
-from .components import connected_components
 
-#: Ratio of the upper to the lower size of a signature band.
-BAND = 1.5
+#: Shingles are counted in blocks of this many; those repeated inside a block add up.
+COUNTED = 2_000_000
+#: A shingle with such a count or more is frequent; so are at most FREQUENT shingles.
+LEAST, FREQUENT = 16, 1_000_000
+#: Documents that share a prefix shingle are paired up to this many, and form a star beyond.
+PAIRED = 16
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int, *keys: str) -> Iterator[tuple]:
@@ -27,35 +32,72 @@ def shingle_sets(batch: pa.RecordBatch, n: int, *keys: str) -> Iterator[tuple]:
             yield (*row[:-1], np.unique(grams(h[cuts[i] : cuts[i + 1]], n)))
 
 
-def _bands(size: int, percent: int) -> list[int]:
-    """Signature bands of a set: its own, and the next one if a partner may lie there."""
-    k = int(math.log(size) / math.log(BAND) + 1e-9)
-    largest = size * 100 // percent
-    return [k] if largest < BAND ** (k + 1) else [k, k + 1]
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in one order for all sets: frequent ones last, else by hash.
+
+    Two sets that reach Jaccard ``percent`` / 100 share at least that part of each, so with
+    one order for all they share one of their first ``n - ceil(percent n / 100) + 1`` shingles.
+    """
+    size = len(s) - -(-percent * len(s) // 100) + 1
+    s = s[np.argsort(mix(s), kind="stable")]
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        common = frequent[at] == s
+        s = np.concatenate([s[~common], s[common]])
+    return s[:size]
+
+
+def tally(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall to each of some hash buckets; a power of two, 4 to 8 a bucket."""
+    buckets = 1 << max(2, len(s).bit_length() - 3)
+    return np.minimum(np.bincount((mix(s) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of parts of a shingle set, at least one of which two linked sets share.
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """False if the tallies show that two sets of sizes n and m differ in too many shingles.
 
-    Two sets of a band with upper size ``hi`` that reach the bound differ in at most
-    ``d = 2 hi (100 - percent) / (100 + percent)`` elements. Elements are dealt by hash to
-    ``d + 1 + spare`` parts; at least ``1 + spare`` parts are then equal. Empty parts are
-    left out unless a set has more than ``spare`` of them (rare), so equality of a nonempty
-    part is never missed.
+    Tallies differ by no more than the sets do, and sets that reach the bound differ in at
+    most ``(n + m) (100 - percent) / (100 + percent)`` shingles.
     """
-    out = []
-    for k in _bands(len(s), percent):
-        hi = BAND ** (k + 1)
-        d = int(2 * hi * (100 - percent) / (100 + percent) + 1e-9)
-        expected = (d + 1) * math.exp(-min(BAND**k, hi) / (d + 1))
-        parts = d + 1 + (spare := 1 + int(3 * expected))
-        part = (mix(s ^ np.uint64(0x5BD1E995 + k)) % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mix(s + np.uint64(0x9E3779B97F4A7C15)))
-        full = np.bincount(part, minlength=parts) > 0
-        sig = mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
-        out.append(sig if parts - full.sum() > spare else sig[full])
-    return np.concatenate(out)
+    if percent * max(n, m) > 100 * min(n, m):
+        return False
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    while len(x) != len(y):  # the larger one folds: its buckets are told apart by one more bit
+        x, y = (x.reshape(2, -1).sum(0), y) if len(x) > len(y) else (x, y.reshape(2, -1).sum(0))
+    if max(x.max(), y.max()) >= 255:  # a full bucket was cut
+        return True
+    return int(np.abs(x - y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> np.ndarray:
+    """Sorted hashes of shingles that occur often; at most FREQUENT of them.
+
+    Counts add up inside blocks of a task first, and only what a block repeats leaves the
+    task. The result orders shingles and decides no link, so what blocks miss costs time only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, s in shingle_sets(batch, shingle, "doc_id"):
+                held.append(s)
+                size += len(s)
+                if size > COUNTED:
+                    yield _repeated(held)
+                    held, size = [], 0
+        yield _repeated(held)
+
+    counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    counts = scratch.save(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(LEAST, total // FREQUENT)).select("token").toArrow()
+    scratch.drop(counts)
+    return np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+    tokens, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -153,10 +195,12 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     Returns per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, where
     component_id is the smallest doc_id reachable by links.
 
-    1. One pass makes each text's set of ``shingle``-word hashes, a 128-bit fingerprint of the
-       set, and its part signatures. Rows with equal fingerprints form a class.
-    2. Class representatives that share a signature go to one candidate cluster (components
-       of signature-to-smallest-member links; no pairs are emitted).
+    1. Frequent shingles are found, a bounded list. A second pass makes each text's set of
+       ``shingle``-word hashes, a 128-bit fingerprint of the set, its prefix in an order that
+       puts frequent shingles last, and a tally. Rows with equal fingerprints form a class.
+    2. Class representatives that share a prefix shingle are candidates: small groups as pairs
+       that the tallies' size-derived bound thins out exactly, large groups as a star whose
+       members all stay candidates of each other. Components of both are the clusters.
     3. Clusters are cut into blocks by size bucket and salt, each of about ``block`` shingles,
        so one huge cluster is spread over tasks. Each pair of blocks with compatible sizes is
        one sparse product that accumulates overlap counts; pairs below the size-derived bound
@@ -171,31 +215,50 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
 
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, shingle, scratch))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, prints, sigs = [], [], [], []
-            for doc, s in shingle_sets(batch, shingle, "doc_id"):
-                ids.append(doc)
-                sizes.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signatures(s, percent).view(np.int64) if len(s) and doc is not None else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
+            rows = list(shingle_sets(batch, shingle, "doc_id"))
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in rows]
+            firsts = [prefix(s, frequent.value, percent) if len(s) and doc is not None else s[:0] for doc, s in rows]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)]), pa.int64()))],
-                ["doc_id", "n_shingles", "print", "sigs"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array([tally(s).tobytes() for _, s in rows], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)))],
+                ["doc_id", "n_shingles", "print", "tally", "prefix"],
             )
 
-    rows = scratch.save(docs.mapInArrow(sets, "doc_id long, n_shingles long, print binary, sigs array<long>"))
+    rows = scratch.save(docs.mapInArrow(sets, "doc_id long, n_shingles long, print binary, tally binary, prefix array<long>"))
     classes = scratch.save(
         rows.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     )
-    # Signatures of representatives only: copies add no candidates. The joins with texts and
-    # signature lists are merge joins at every size, so their cost is the same share of the input.
+    # Prefixes of representatives only: copies add no candidates. The joins with texts and
+    # prefixes are merge joins at every size, so their cost is the same share of the input.
     reps = rows.join(classes.select("print", F.col("rep").alias("doc_id")).hint("merge"), ["print", "doc_id"], "left_semi")
-    signed = reps.select("doc_id", F.explode("sigs").alias("sig")).repartition("sig")
-    hubs = signed.groupBy("sig").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top")).where("u < top").select("sig", "u")
-    stars = signed.join(hubs, "sig").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
+    signed = reps.select("doc_id", "n_shingles", F.explode("prefix").alias("sig"))
+    own = Window.partitionBy("sig")
+    shared = signed.withColumn("u", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("u < top")
+    shared = scratch.save(shared.select("sig", "u", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")))
+    many = shared.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("sig")
+    stars = shared.join(many, "sig", "left_semi").where("u <> v").select("u", "v")
+    groups = shared.join(many, "sig", "left_anti").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("g"))  # PAIRED rows at most
+    pairs = (
+        groups.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, PAIRED), lambda y: F.struct(x["v"].alias("u"), y["v"].alias("v"), x["n"].alias("n"), y["n"].alias("m")))))).alias("p"))
+        .select("p.*").where((percent * F.greatest("n", "m") <= 100 * F.least("n", "m")) & (F.col("u") < F.col("v"))).distinct()
+    )
+    tallies = rows.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "tally")
+    facing = pairs.join(tallies.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("tally").alias("a")), ["u", "n"])
+    facing = facing.join(tallies.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("tally").alias("b")), ["v", "m"])
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(a, b, n, m, percent) for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    near = facing.select("u", "v", "n", "m", "a", "b").mapInArrow(thin, "u long, v long")
+    stars = near.union(stars)
     clusters = scratch.save(connected_components(stars, scratch))
 
     sized = clusters.join(classes.select(F.col("rep").alias("u"), "n"), "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
@@ -214,7 +277,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
 
     links = set_links(sized, attach, scratch, percent=percent, block=block)
     found = scratch.save(connected_components(links, scratch))
-    scratch.drop(clusters, links)
+    scratch.drop(clusters, links, shared)
     named = classes.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

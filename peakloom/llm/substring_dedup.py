@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peakloom.operators.components import connected_components
+
 from .common import NON_WORD, Scratch, by_bytes, grams, hash_words, mix, texts_of, tune
-from .components import connected_components
 from .jaccard_join import set_links
 
 #: Bytes that end a sentence, or a line.

@@ -77,20 +77,21 @@ def test_jaccard_join(spark, docs, shingle, percent):
     assert {i: r["component_id"] for i, r in got.items()} == truth
 
 
-def test_part_signatures_never_miss():
+def test_prefixes_and_tallies_never_miss():
     rng = np.random.default_rng(0)
     for percent in (80, 90):
         for _ in range(300):
             n = int(rng.integers(1, 400))
             a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-            b = a.copy()
+            b, frequent = a.copy(), np.sort(rng.choice(a, n // 3))
             while True:  # the farthest partner that still reaches the bound
-                c = np.unique(np.append(b[1:], rng.integers(0, 1 << 62, 1).astype(np.uint64)))
+                c = np.unique(np.append(b[1:], rng.integers(0, 1 << 62, int(rng.integers(0, 3))).astype(np.uint64)))
                 both = len(np.intersect1d(a, c))
                 if not both or both * (100 + percent) < percent * (len(a) + len(c)):
                     break
                 b = c
-            assert np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)).size
+            assert np.intersect1d(jaccard_join.prefix(a, frequent, percent), jaccard_join.prefix(b, frequent, percent)).size
+            assert jaccard_join.may_link(jaccard_join.tally(a).tobytes(), jaccard_join.tally(b).tobytes(), len(a), len(b), percent)
 
 
 def test_cover_tree(spark):
