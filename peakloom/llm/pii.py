@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,46 +56,51 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
 
 
 # Characters that look like ASCII ones, and characters that show nothing.
-_LOOKALIKES = {
-    "АВЕЅІЈКМНОРСТХУ": "ABESIJKMHOPCTXY",  # Cyrillic capitals
-    "аеѕіјорсухһԁ": "aesijopcyxhd",  # Cyrillic small letters
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",  # Greek capitals
-    "ονικρ": "ovikp",  # Greek small letters
-    "＠﹫": "@@",
-    "．。․﹒": "....",
-    "‐‑‒–—−－": "-------",
-    "＋﹢": "++",
-    "      　": "       ",
-    "（）": "()",
-    "＿": "_",
-}
-_HIDDEN = "​‌‍⁠﻿­"
+_LOOKALIKES = (
+    ("АВЕЅІЈКМНОРСТХУ", "ABESIJKMHOPCTXY"),  # Cyrillic capitals
+    ("аеѕіјорсухһԁкмтвԛԝѵ", "aesijopcyxhdkmtbqwv"),  # Cyrillic small letters
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
+    ("αονικρτυω", "aovikptuw"),  # Greek small letters
+    ("ɡıɑ", "gia"),  # other Latin letters
+    ("﹫", "@"),
+    ("。․﹒", "..."),
+    ("‐‑‒–—−", "------"),
+    ("﹢", "+"),
+    ("\u00a0\u2002\u2003\u2007\u2009\u202f\u3000", " " * 7),
+)
+_HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 # Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-#: Blocks of ten digits in other scripts, full width and mathematical styles, by their zero.
-_ZEROS = (0x0660, 0x06F0, 0x0966, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
-_FOLD = {a: b for k, v in _LOOKALIKES.items() for a, b in zip(k, v)} | dict.fromkeys(_HIDDEN, "")
+#: Full-width forms, circled letters, and mathematical letters and digits fold to what they stand for.
+_STYLED = (range(0xFF01, 0xFF5F), range(0x24B6, 0x24EA), range(0x1D400, 0x1D800))
+#: Blocks of ten digits in other scripts, by their zero.
+_ZEROS = (0x0660, 0x06F0, 0x0966)
+_FOLD = {a: b for k, v in _LOOKALIKES for a, b in zip(k, v, strict=True)} | dict.fromkeys(_HIDDEN, "")
 _FOLD |= {chr(z + d): str(d) for z in _ZEROS for d in range(10)}
-_FOLD |= {chr(0xFEE0 + c): chr(c) for a, b in ((65, 91), (97, 123)) for c in range(a, b)}
+_FOLD |= {chr(c): n for r in _STYLED for c in r if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()}
 _ODD = re.compile("[" + re.escape("".join(_FOLD)) + "]+")
 
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]+)?(?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+)(?![A-Za-z]))+", re.I)
-_PART = re.compile(rf"{_WORD}|[0-9]+|plus", re.I)
+_GAP = r"(?:[\s,.()-]{1,3}|\s{1,3}(?:dot|point)\s{1,3})"
+_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]{{1,3}})?(?:{_WORD}|[0-9])(?:{_GAP}(?:{_WORD}|[0-9]+)(?![A-Za-z]))+", re.I)
+_PART = re.compile(rf"{_WORD}|[0-9]+|plus|dot|point", re.I)
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
+_BARE = r"(?:\s{1,3}|[_*-]{1,2})"
 #: Rewrites of disguised separators, in order; a lookahead or group keeps prose as it is.
 _RULES = (
     (re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:at|@|arroba){_CLOSE}(?=[A-Za-z0-9])", re.I), "@"),
     (re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}(?=[A-Za-z0-9])", re.I), "."),
     (re.compile(r"&#0*64;|&#x0*40;|&commat;", re.I), "@"),
-    (re.compile(r"(?<=[0-9])\s{1,3}dot\s{1,3}(?=[0-9])", re.I), "."),
-    (re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}|_)at(?:\s{1,3}|_)(?=[A-Za-z0-9-]+(?:(?:\s{1,3}|_)dot(?:\s{1,3}|_)|\.)[A-Za-z]{2,})", re.I), "@"),
-    (re.compile(r"(?<=[A-Za-z0-9])\s{0,2}@\s{0,2}(?=[A-Za-z0-9-]+\s?\.\s?[A-Za-z]{2,}|[A-Za-z0-9-]+(?:\s{1,3}|_)dot)", re.I), "@"),
+    (re.compile(r"&#0*46;|&#x0*2e;|&period;", re.I), "."),
+    (re.compile(r"(?<=[0-9])\s{1,3}(?:dot|point)\s{1,3}(?=[0-9])", re.I), "."),
+    (re.compile(rf"(?<=[A-Za-z0-9]){_BARE}at{_BARE}(?=[A-Za-z0-9-]+(?:{_BARE}dot{_BARE}|\.)[A-Za-z]{{2,}})", re.I), "@"),
+    (re.compile(rf"(?<=[A-Za-z0-9])\s{{0,2}}@\s{{0,2}}(?=[A-Za-z0-9-]+\s{{0,2}}\.\s{{0,2}}[A-Za-z]{{2,}}|[A-Za-z0-9-]+{_BARE}dot)", re.I), "@"),
+    (re.compile(r"(@[A-Za-z0-9-]+)\s{1,2}\.\s{1,2}(?=[A-Za-z]{2,})"), r"\1."),
 )
-_AFTER = re.compile(r"(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)(?:\s{1,3}|_)dot(?:\s{1,3}|_)(?=[A-Za-z0-9])", re.I)
-_BEFORE = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}|_)dot(?:\s{1,3}|_)(?=[A-Za-z0-9._%+-]+@)", re.I)
-_SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#0*64;|&#x0*40;|&commat;|\s@|@\s|[\s_]dot[\s_]", re.I)
+_AFTER = re.compile(rf"(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*){_BARE}dot{_BARE}(?=[A-Za-z0-9])", re.I)
+_BEFORE = re.compile(rf"(?<=[A-Za-z0-9]){_BARE}dot{_BARE}(?=[A-Za-z0-9._%+-]+@)", re.I)
+_SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);|\s@|@\s|[\s_*-](?:dot|point)[\s_*-]", re.I)
 
 
 class Tracked:
@@ -140,7 +146,8 @@ def _digits(m: re.Match) -> str:
     parts = [p.lower() for p in _PART.findall(m[0])]
     if sum(p in _SPELLED for p in parts) < 3:
         return m[0]
-    return "".join("+" if p == "plus" else _SPELLED.get(p, p) for p in parts)
+    signs = {"plus": "+", "dot": ".", "point": "."}
+    return "".join(signs.get(p) or _SPELLED.get(p, p) for p in parts)
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
@@ -158,7 +165,7 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     changed = odd and t.rewrite(_ODD, lambda m: "".join(_FOLD[c] for c in m[0]))
     changed |= spelled and t.rewrite(_RUN, _digits)
     for rule, to in _RULES:
-        changed |= t.rewrite(rule, lambda m, to=to: to)
+        changed |= t.rewrite(rule, lambda m, to=to: m.expand(to))
     for rule, to in ((_AFTER, r"\1."), (_BEFORE, ".")):
         while t.rewrite(rule, lambda m, to=to: m.expand(to)):
             changed = True

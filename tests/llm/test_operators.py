@@ -177,6 +177,12 @@ def test_pii_plain_spans(docs):
         ("host 10 dot 0 dot 0 dot 17 up", "ip", "10 dot 0 dot 0 dot 17"),
         ("card ４１１１ 1111 1111 1111 ok", "card", "４１１１ 1111 1111 1111"),
         ("call plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven"),
+        ("host one nine two dot one six eight dot one dot two up", "ip", "one nine two dot one six eight dot one dot two"),
+        ("tel +1 (five five five) one two three 4567 ok", "phone", "+1 (five five five) one two three 4567"),
+        ("mail john @ example . com ok", "email", "john @ example . com"),
+        ("mail john&#64;example&#46;com ok", "email", "john&#64;example&#46;com"),
+        ("mail john_at_example_dot_com ok", "email", "john_at_example_dot_com"),
+        ("mail 𝐣𝐨𝐡𝐧@example.com ok", "email", "𝐣𝐨𝐡𝐧@example.com"),
         ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
     ],
 )
