@@ -302,3 +302,22 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard of 0.9 or more, over all documents."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM words),
+sizes AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM sets),
+elements AS (SELECT doc_id, unnest(g) AS g FROM sets),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM elements a JOIN elements b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+  WHERE 100 * c >= 90 * (x.n_shingles + y.n_shingles - c)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, b.v FROM reach r JOIN edges b ON r.other = b.u)
+SELECT doc_id, n_shingles, min(other) AS component_id FROM sizes JOIN reach USING (doc_id) GROUP BY 1, 2
+"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP6_SQL, op6_chat
-from .cover_tree import op4_cover_tree
+from .cover_tree import OP4_SQL, op4_cover_tree
 from .decontaminate import op10_decontaminate
 from .html_text import op1_html_text
-from .jaccard_join import op7_jaccard_join
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .packing import op2_packing
 from .pii import op3_pii
 from .quality import op5_quality
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontaminate,
     )
 }
-ORACLE: dict[str, str] = {"op6_chat": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_cover_tree": OP4_SQL, "op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL}
