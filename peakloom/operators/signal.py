@@ -81,3 +81,17 @@ def check_cycle(spectra: DataFrame, order: str, signature: str, start: int, leng
     rows = spectra.where(number >= 0).withColumn("_slot", F.pmod(number, F.lit(length)))
     first = rows.where(number < length).select("_slot", F.col(signature).alias("_first"))
     return rows.join(F.broadcast(first), "_slot").where(F.col(signature) != F.col("_first")).drop("_slot", "_first")
+
+
+def merge_boxes(df: DataFrame, keys: list[str], start: str, stop: str, order: list[str]) -> DataFrame:
+    """Overlapping intervals of a key merged: (keys, start, stop, n)."""
+    w = Window.partitionBy(*keys).orderBy(start, *order)
+    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_box", F.sum("_new").over(w))
+    return rows.groupBy(*keys, "_box").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n")).drop("_box")
+
+
+def normalised_top(df: DataFrame, keys: list[str], value: str, order: list[str], n: int) -> DataFrame:
+    """The ``n`` highest rows per key, their values scaled to sum to one."""
+    top = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), *order))).where(F.col("_rank") <= n).drop("_rank")
+    return top.withColumn(value, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))

@@ -19,6 +19,7 @@ from peakloom.operators import quantify as Q
 from peakloom.operators import ranking as R
 from peakloom.operators import signal as G
 from peakloom.operators.grouping import infer_groups
+from peakloom.streaming import accumulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -464,3 +465,132 @@ def candidate_scoring(spark, sf_dir):
     traces = traces.withColumn("mz_library", F.col("mz"))
     library = traces.groupBy("precursor_idx", "fragment").agg(F.max("mz_library").alias("mz_library"), F.avg("intensity").alias("intensity_library"))
     return K.score_candidates(traces, K.select(traces, K.Selection(least_fragments=2)), library)
+
+
+# --- further operators ------------------------------------------------------------------------
+
+
+@query("""with p as (select user_id, epoch_us(ts) a, epoch_us(ts) + cast(floor(value) as bigint) * 600000000 b, event_id from events),
+g as (select *, case when a <= max(b) over (partition by user_id order by a, event_id rows between unbounded preceding and 1 preceding) then 0 else 1 end n0 from p),
+i as (select *, sum(n0) over (partition by user_id order by a, event_id rows between unbounded preceding and current row) box from g)
+select user_id, min(a) a, max(b) b, count(*) n from i group by user_id, box""")
+def merge_boxes(spark, sf_dir):
+    """Overlapping boxes of a user merged."""
+    a = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", a.alias("a"), (a + F.floor("value") * 600_000_000).alias("b"))
+    return G.merge_boxes(e, ["user_id"], "a", "b", ["event_id"])
+
+
+@query("""with t as (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) rn from lineitem)
+select l_orderkey, l_linenumber, round(l_extendedprice / sum(l_extendedprice) over (partition by l_orderkey), 9) share from t where rn <= 3""")
+def fragment_top_share(spark, sf_dir):
+    """Three dearest lines per order as shares."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    out = G.normalised_top(t, ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 3)
+    return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 9).alias("share"))
+
+
+@query("""with x as (select l_quantity y, l_extendedprice/1000 p from lineitem)
+select 'r_square' metric, round(regr_r2(p, y), 6) as value from x union all select 'r_slope', round(regr_slope(p, y), 6) from x
+union all select 'l1', round(avg(abs(p-y)), 6) from x union all select 'abs_error_95', round(quantile_cont(abs(p-y), 0.95), 6) from x""")
+def regression_metrics(spark, sf_dir):
+    """Metrics of a prediction in long form."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1000).alias("p"))
+    return A.regression_metrics(t, "y", "p").select("metric", F.round("value", 6).alias("value"))
+
+
+@query("""with x as (select cast(l_returnflag='R' as int) y, l_discount*10 p from lineitem), h as (select y, p >= 0.5 h, least(greatest(p,1e-12),1-1e-12) s from x)
+select 'accuracy' metric, round(avg(cast(h = (y=1) as int)), 6) as value from h
+union all select 'precision', round(count(*) filter (h and y=1) / count(*) filter (h), 6) from h
+union all select 'recall', round(count(*) filter (h and y=1) / count(*) filter (y=1), 6) from h
+union all select 'bce', round(avg(-case when y=1 then ln(s) else ln(1-s) end), 6) from h""")
+def classification_metrics(spark, sf_dir):
+    """Metrics of a classifier in long form."""
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 10).alias("p"))
+    return A.classification_metrics(t, "y", "p").select("metric", F.round("value", 6).alias("value"))
+
+
+@query("""select 'value' as "column", count(*) filter (value is null or isnan(value) or isinf(value)) n from events""")
+def critical_values(spark, sf_dir):
+    """Rows with unusable numbers."""
+    return A.critical_values(table(spark, sf_dir, "events"), ["value"])
+
+
+@query("""select count(*) filter (o_orderstatus<>'F') targets, count(*) filter (o_orderstatus='F') decoys, count(distinct o_custkey) elution_groups,
+count(distinct o_orderpriority) proteins, count(distinct o_orderstatus) channels from orders""")
+def library_stats(spark, sf_dir):
+    """Counts of a library."""
+    o = table(spark, sf_dir, "orders")
+    return A.library_statistics(o.select((F.col("o_orderstatus") == "F").cast("int").alias("decoy"), F.col("o_custkey").alias("elution_group_idx"), F.col("o_orderpriority").alias("proteins"), F.col("o_orderstatus").alias("channel")))
+
+
+@query("""select c_custkey from customer intersect select o_custkey from orders where o_totalprice > 250000""")
+def available_features(spark, sf_dir):
+    """Intersection of two key sets."""
+    some = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").intersect(some)
+
+
+@query("""select 'customer' as kind, c_custkey as id from customer union all select 'supplier', s_suppkey from supplier""")
+def union_runs(spark, sf_dir):
+    """Rows of several tables in one."""
+    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    return c.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id")))
+
+
+@query("""with m as (select min(o_totalprice) lo, max(o_totalprice) hi from orders) select o_orderkey, round((o_totalprice-lo)/(hi-lo)*(1200-60)+60, 6) rt from orders, m""")
+def rt_scale(spark, sf_dir):
+    """Prices mapped to a range of times."""
+    o = table(spark, sf_dir, "orders")
+    ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    scaled = S.min_max_scale(F.col("o_totalprice"), F.col("lo"), F.col("hi"), F.lit(60.0), F.lit(1200.0))
+    return o.join(F.broadcast(ends)).select("o_orderkey", F.round(scaled, 6).alias("rt"))  # one row
+
+
+@query("""select l_orderkey, l_linenumber, round((l_extendedprice - l_quantity*1000)/(l_quantity*1000)*1e6, 3) ppm,
+round(1/(1+exp(-(l_quantity-20)/3)) - 1/(1+exp(-(l_quantity-40)/5)), 9) q from lineitem""")
+def deviation_and_rectangle(spark, sf_dir):
+    """Relative deviation, and a logistic rectangle."""
+    t = table(spark, sf_dir, "lineitem")
+    ppm = S.ppm_error(F.col("l_extendedprice"), F.col("l_quantity") * 1000)
+    return t.select("l_orderkey", "l_linenumber", F.round(ppm, 3).alias("ppm"), F.round(S.logistic_rectangle(F.col("l_quantity"), 20, 40, 3, 5), 9).alias("q"))
+
+
+@query("""select vec_id, round(len(list_filter(embedding, lambda x: x > list_max(embedding)/2)) / len(embedding) * 3.0, 9) w from embeddings""")
+def profile_width(spark, sf_dir):
+    """Share of a profile above half of its maximum."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.above_half(F.col("embedding"), 3.0), 9).alias("w"))
+
+
+@query("""select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events""")
+def running_index(spark, sf_dir):
+    """Number of an event within its user."""
+    return A.running_order(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "i").select("event_id", "user_id", F.col("i").cast("long").alias("i"))
+
+
+@query("""select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n from events group by 1, 2""")
+def extra_tumbling(spark, sf_dir):
+    """Events per hour and type (an addition)."""
+    return accumulate.tumbling_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+
+
+@query("""with g as (select user_id, ts, case when ts < lag(ts) over w + interval '6 hours' then 0 else 1 end n from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(n) over (partition by user_id order by ts rows between unbounded preceding and current row) k from g)
+select user_id, min(ts) as start, max(ts) + interval '6 hours' as "end", count(*) n from s group by user_id, k""")
+def extra_sessions(spark, sf_dir):
+    """Sessions of users (an addition)."""
+    return accumulate.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
+
+
+@query()
+def pep(spark, sf_dir):
+    """Posterior errors of scored events."""
+    out = A.posterior_error(scored_events(spark, sf_dir), "proba", "decoy")
+    return out.select("event_id", F.round("pep", 6).alias("pep"))
+
+
+@query()
+def protein_fdr(spark, sf_dir):
+    """Group q-values joined back to rows."""
+    psm = _psm(spark, sf_dir).withColumn("pg", F.concat_ws("_", (F.col("precursor_idx") % 50).cast("string"), "pg"))
+    return E.protein_control(psm).groupBy("pg", "decoy").agg(F.min("pg_qval").alias("pg_qval"))
