@@ -38,7 +38,7 @@ _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search d
 _FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
-    "comment comments disqus replies reply respond search searchform login pagination pager skip copyright disclaimer paywall teaser".split()
+    "comment comments disqus replies reply respond search searchform login pagination pager skip copyright disclaimer paywall".split()
 )
 _HEADERS = frozenset(["header", "topbar"])
 
