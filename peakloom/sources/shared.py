@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +46,26 @@ class Scratch:
             if path := getattr(df, "_scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it on the Python path they share.
+
+    The archive is written by the driver for itself and travels through Spark's file server.
+    """
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="peakloom-")  # served from here while the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "peakloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "peakloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
