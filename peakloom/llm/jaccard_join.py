@@ -183,7 +183,9 @@ def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratc
         found = _forest(links[ids[links[:, 0]] != ids[links[:, 1]]], len(ids))
         return pa.table({"u": pa.array(ids[[f[0] for f in found]] if found else [], pa.int64()), "v": pa.array(ids[[f[1] for f in found]] if found else [], pa.int64())})
 
-    links = attach(blocked).join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "id", "set")
+    # Products take time rather than bytes, so their partitions are not merged by size.
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = attach(blocked).join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "id", "set").repartition(parts, "pair")
     out = scratch.save(links.groupBy("pair").applyInArrow(product, "u long, v long"))
     scratch.drop(sized)
     return out
