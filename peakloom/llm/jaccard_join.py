@@ -54,19 +54,43 @@ def tally(s: np.ndarray) -> np.ndarray:
 
 
 def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
-    """False if the tallies show that two sets of sizes n and m differ in too many shingles.
+    """False if the tallies show that two sets of sizes n and m differ in too many shingles."""
+    return bool(tallies_reach([a], [b], np.array([n]), np.array([m]), percent)[0, 0])
+
+
+def tallies_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets of sizes n and m may reach the bound, by their tallies.
 
     Tallies differ by no more than the sets do, and sets that reach the bound differ in at
-    most ``(n + m) (100 - percent) / (100 + percent)`` shingles.
+    most ``(n + m) (100 - percent) / (100 + percent)`` shingles. Of two tallies the longer one
+    folds: its buckets are told apart by more bits. A full bucket was cut and rules out nothing.
     """
-    if percent * max(n, m) > 100 * min(n, m):
-        return False
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    while len(x) != len(y):  # the larger one folds: its buckets are told apart by one more bit
-        x, y = (x.reshape(2, -1).sum(0), y) if len(x) > len(y) else (x, y.reshape(2, -1).sum(0))
-    if max(x.max(), y.max()) >= 255:  # a full bucket was cut
-        return True
-    return int(np.abs(x - y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+    out = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
+    room = (n[:, None] + m[None, :]) * (100 - percent)
+    of = lambda v: {k: np.flatnonzero([len(x) == k for x in v]) for k in {len(x) for x in v}}
+    stack = lambda v, i: np.stack([np.frombuffer(v[k], np.uint8) for k in i]).astype(np.int32)
+    for i in of(a).values():
+        x = stack(a, i)
+        for j in of(b).values():
+            y = stack(b, j)
+            u, w = x, y
+            while u.shape[1] != w.shape[1]:
+                u, w = (u.reshape(len(u), 2, -1).sum(1), w) if u.shape[1] > w.shape[1] else (u, w.reshape(len(w), 2, -1).sum(1))
+            cut_u, cut_w = (x >= 255).any(1), (y >= 255).any(1)
+            for k, row in zip(i, range(len(i))):
+                near = j[out[k, j]]
+                if len(near):
+                    at = np.searchsorted(j, near)
+                    gap = np.abs(w[at] - u[row]).sum(1)
+                    out[k, near] = (gap * (100 + percent) <= room[k, near]) | cut_u[row] | cut_w[at]
+    return out
+
+
+def sets_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets reach the bound, exactly; the sets' own sizes count."""
+    x, y = ([np.frombuffer(v, np.uint64) for v in side] for side in (a, b))
+    sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+    return _overlaps(x, y).astype(np.int64) * (100 + percent) >= percent * sizes
 
 
 def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> np.ndarray:
@@ -141,13 +165,13 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratch: Scratch, *, percent: int, block: int) -> DataFrame:
+def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratch: Scratch, *, percent: int, block: int, reach: Callable = sets_reach) -> DataFrame:
     """Links (u, v) that connect what reaches Jaccard ``percent`` / 100 inside each cluster.
 
     ``sized`` has id, cluster and n (size of the set), and bucket where n is no exact size. ``attach`` gets (id, cluster, bucket,
-    salt) and adds ``set``, the sorted hashes as bytes. Clusters are cut into blocks by size
-    bucket and salt, each of about ``block`` elements; each pair of blocks whose sizes allow a
-    link is one sparse product in one task, which returns a spanning forest of its links.
+    salt) and adds n and ``set``, what ``reach`` compares, as bytes. Clusters are cut into blocks
+    by size bucket and salt, each of about ``block`` elements; each pair of blocks whose sizes
+    allow a link is one product in one task, which returns a spanning forest of its links.
     """
     if "bucket" not in sized.columns:
         sized = sized.withColumn("bucket", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
@@ -169,23 +193,20 @@ def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratc
     )
 
     def product(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        data = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        side, ids, n = (table.column(c).to_numpy() for c in ("side", "id", "n"))
+        data = table.column("set").to_pylist()
         i = np.flatnonzero(side == 0)
         j = np.flatnonzero(side == 1) if side.any() else i
         if not len(i) or not len(j):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        sizes = np.array([len(x) for x in data])
-        both = _overlaps([data[x] for x in i], [data[x] for x in j]).astype(np.int64)
-        x, y = np.nonzero(both * (100 + percent) >= percent * (sizes[i][:, None] + sizes[j][None, :]))
+        x, y = np.nonzero(reach([data[k] for k in i], [data[k] for k in j], n[i], n[j], percent))
         links = np.stack([i[x], j[y]], 1)
         found = _forest(links[ids[links[:, 0]] != ids[links[:, 1]]], len(ids))
         return pa.table({"u": pa.array(ids[[f[0] for f in found]] if found else [], pa.int64()), "v": pa.array(ids[[f[1] for f in found]] if found else [], pa.int64())})
 
     # Products take time rather than bytes, so their partitions are not merged by size.
     parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = attach(blocked).join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "id", "set").repartition(parts, "pair")
+    links = attach(blocked).join(sides, ["cluster", "bucket", "salt"]).select("pair", "side", "id", "n", "set").repartition(parts, "pair")
     out = scratch.save(links.groupBy("pair").applyInArrow(product, "u long, v long"))
     scratch.drop(sized)
     return out
@@ -202,7 +223,8 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
        puts frequent shingles last, and a tally. Rows with equal fingerprints form a class.
     2. Class representatives that share a prefix shingle are candidates: small groups as pairs
        that the tallies' size-derived bound thins out exactly, large groups as a star whose
-       members all stay candidates of each other. Components of both are the clusters.
+       members all stay candidates of each other. Components of both are loose clusters,
+       which a blocked product of the tallies cuts down to tight ones, again exactly.
     3. Clusters are cut into blocks by size bucket and salt, each of about ``block`` shingles,
        so one huge cluster is spread over tasks. Each pair of blocks with compatible sizes is
        one sparse product that accumulates overlap counts; pairs below the size-derived bound
@@ -243,6 +265,8 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     own = Window.partitionBy("sig")
     shared = signed.withColumn("u", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("u < top")
     shared = scratch.save(shared.select("sig", "u", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")))
+    long, rows = rows, scratch.save(rows.drop("prefix"))
+    scratch.drop(long)
     many = shared.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("sig")
     stars = shared.join(many, "sig", "left_semi").where("u <> v").select("u", "v")
     groups = shared.join(many, "sig", "left_anti").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("g"))  # PAIRED rows at most
@@ -261,25 +285,35 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
 
     near = facing.select("u", "v", "n", "m", "a", "b").mapInArrow(thin, "u long, v long")
     stars = near.union(stars)
-    clusters = scratch.save(connected_components(stars, scratch))
+    loose = scratch.save(connected_components(stars, scratch))
+    sizes = classes.select(F.col("rep").alias("u"), "n")
+    sized = loose.join(sizes, "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
+
+    def tallied(blocked: DataFrame) -> DataFrame:
+        own = tallies.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("tally").alias("set"))
+        return own.join(blocked, "id")
 
-    sized = clusters.join(classes.select(F.col("rep").alias("u"), "n"), "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
+    maybe = set_links(sized, tallied, scratch, percent=percent, block=4 * block, reach=tallies_reach)
+    scratch.drop(shared, loose)
+    clusters = scratch.save(connected_components(maybe, scratch))
+    scratch.drop(maybe)
+    sized = clusters.join(sizes, "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = list(shingle_sets(batch, shingle, "id", "cluster", "bucket", "salt"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))] + [pa.array([r[4].tobytes() for r in out], pa.binary())],
-                ["id", "cluster", "bucket", "salt", "set"],
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))] + [pa.array([len(r[4]) for r in out], pa.int64()), pa.array([r[4].tobytes() for r in out], pa.binary())],
+                ["id", "cluster", "bucket", "salt", "n", "set"],
             )
 
     def attach(blocked: DataFrame) -> DataFrame:
         named = docs.withColumnRenamed("doc_id", "id").join(blocked.hint("merge"), "id")
-        return named.select("id", "cluster", "bucket", "salt", "text").mapInArrow(members, "id long, cluster long, bucket int, salt int, set binary")
+        return named.select("id", "cluster", "bucket", "salt", "text").mapInArrow(members, "id long, cluster long, bucket int, salt int, n long, set binary")
 
     links = set_links(sized, attach, scratch, percent=percent, block=block)
     found = scratch.save(connected_components(links, scratch))
-    scratch.drop(clusters, links, shared)
+    scratch.drop(clusters, links)
     named = classes.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

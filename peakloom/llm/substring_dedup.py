@@ -175,16 +175,17 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
                     place = {(rows[t][0], w, n): k for k, (t, w, n) in enumerate(zip(p.text.tolist(), p.word.tolist(), p.words.tolist()))}
                     sets = p.sets()
                     for i, _ in rows:
-                        out += [(w["id"], w["cluster"], w["bucket"], w["salt"], sets[k].tobytes()) for w in wanted[i] if (k := place.get((i, w["word"], w["words"]))) is not None]
-            cols = list(zip(*out)) or [()] * 5
+                        out += [(w["id"], w["cluster"], w["bucket"], w["salt"], len(sets[k]), sets[k].tobytes()) for w in wanted[i] if (k := place.get((i, w["word"], w["words"]))) is not None]
+            cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "cluster", "bucket", "salt", "set"]
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                ["id", "cluster", "bucket", "salt", "n", "set"],
             )
 
     def attach(blocked: DataFrame) -> DataFrame:
         where = blocked.join(facts.select("id", "at.*"), "id")
         wanted = where.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "id", "cluster", "bucket", "salt")).alias("wanted"))  # paragraphs of one text
-        return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(members, "id long, cluster long, bucket int, salt int, set binary")
+        return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(members, "id long, cluster long, bucket int, salt int, n long, set binary")
 
     sized = facts.where("cluster IS NOT NULL").select("id", "cluster", F.col("at.words").cast("long").alias("n"), F.lit(0).alias("bucket"))
     links = set_links(sized, attach, scratch, percent=percent, block=block)
