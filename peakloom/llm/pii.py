@@ -79,7 +79,8 @@ _ZEROS = (0x0660, 0x06F0, 0x0966)
 _FOLD = {a: b for k, v in _LOOKALIKES for a, b in zip(k, v, strict=True)} | dict.fromkeys(_HIDDEN, "")
 _FOLD |= {chr(z + d): str(d) for z in _ZEROS for d in range(10)}
 _FOLD |= {chr(c): n for r in _STYLED for c in r if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()}
-_ODD = re.compile("[" + re.escape("".join(_FOLD)) + "]+")
+_ODD = re.compile("[^\\x00-\\x7f]")
+_FOLDED = frozenset(_FOLD)
 
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _GAP = r"(?:[\s,.()-]{1,3}|\s{1,3}(?:dot|point)\s{1,3})"
@@ -102,6 +103,12 @@ _AFTER = re.compile(rf"(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*){_BARE}dot{_BARE}(?=[
 _BEFORE = re.compile(rf"(?<=[A-Za-z0-9]){_BARE}dot{_BARE}(?=[A-Za-z0-9._%+-]+@)", re.I)
 _SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);|\s@|@\s|[\s_*-](?:dot|point)[\s_*-]", re.I)
 
+#: Cheap hints that come before the patterns: most texts have none of them.
+_HINTS = ("@", "[", "(", "{", "<", "&", "dot", "point")
+_RARE_DIGITS = [w for w in _SPELLED if w not in ("one", "oh")]
+_SINGLE = re.compile(rf"{_WORD}(?![a-z])")
+_ONES = re.compile(r"one[\s,.()-]{1,3}(?:one|oh)(?![a-z])")
+
 
 class Tracked:
     """A text under rewriting, with each character's span in the source."""
@@ -150,19 +157,26 @@ def _digits(m: re.Match) -> str:
     return "".join(signs.get(p) or _SPELLED.get(p, p) for p in parts)
 
 
+def _spells(low: str) -> bool:
+    """Whether three spelled digits stand near each other, as in every run that is rewritten."""
+    at = [m.start() for m in _SINGLE.finditer(low)]
+    return any(c - a <= 200 for a, c in zip(at, at[2:]))
+
+
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in the source of identifiers that only the normal form shows.
 
     Homoglyphs and hidden characters, spelled digits, and at/dot disguises are rewritten one
     after the other, each rewrite carrying the source span of every character along.
     """
-    odd = not text.isascii() and _ODD.search(text) is not None
+    odd = not text.isascii() and not _FOLDED.isdisjoint(text)
     low = text.lower()
-    spelled = sum(w in low for w in _SPELLED) >= 2
-    if not (odd or spelled or _SIGNS.search(low)):
+    spelled = (any(w in low for w in _RARE_DIGITS) or _ONES.search(low) is not None) and _spells(low)
+    signs = any(c in low for c in _HINTS) and _SIGNS.search(low) is not None
+    if not (odd or spelled or signs):
         return []
     t = Tracked(text)
-    changed = odd and t.rewrite(_ODD, lambda m: "".join(_FOLD[c] for c in m[0]))
+    changed = odd and t.rewrite(_ODD, lambda m: _FOLD.get(m[0], m[0]))
     changed |= spelled and t.rewrite(_RUN, _digits)
     for rule, to in _RULES:
         changed |= t.rewrite(rule, lambda m, to=to: m.expand(to))
