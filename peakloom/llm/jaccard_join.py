@@ -16,9 +16,9 @@ from peakloom.operators.components import connected_components
 from .common import SPACE, Scratch, by_bytes, grams, hash_words, mix, texts_of, tune
 
 #: Shingles are counted in blocks of this many; those repeated inside a block add up.
-COUNTED = 2_000_000
+COUNTED = 4_000_000
 #: A shingle with such a count or more is frequent; so are at most FREQUENT shingles.
-LEAST, FREQUENT = 16, 1_000_000
+LEAST, FREQUENT = 8, 1_000_000
 #: Documents that share a prefix shingle are paired up to this many, and form a star beyond.
 PAIRED = 16
 
@@ -293,7 +293,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
         own = tallies.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("tally").alias("set"))
         return own.join(blocked, "id")
 
-    maybe = set_links(sized, tallied, scratch, percent=percent, block=4 * block, reach=tallies_reach)
+    maybe = set_links(sized, tallied, scratch, percent=percent, block=16 * block, reach=tallies_reach)
     scratch.drop(shared, loose)
     clusters = scratch.save(connected_components(maybe, scratch))
     scratch.drop(maybe)
