@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -52,7 +52,7 @@ class SeedIndex:
         self.item = np.array([r[1] for r in rows], np.int64)[order]
         self.place = np.array([r[2] for r in rows], np.int64)[order]
         self.gram = gram
-        self.keep = np.ones(len(self.seeds), bool)
+        self.distinct = [np.unique(w) for w in self.words]
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -66,26 +66,9 @@ class SeedIndex:
         ok = self.seeds[k] == g[at]
         return at[ok], k[ok]
 
-    def rare(self, counts: np.ndarray, spread: int, floor: int) -> np.ndarray:
-        """Seeds that are rare for at least one of their items.
-
-        A seed is rare for an item if its document count is at most ``spread`` times the lower
-        quartile of the item's seeds, plus ``floor``: chance n-grams stand out above that,
-        while an item copied into many documents keeps its seeds.
-        """
-        df = np.repeat(counts, np.diff(self.first))
-        ok = np.zeros(len(self.seeds), bool)
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(own):
-                ok[seed[own[df[own] <= spread * np.quantile(df[own], 0.25) + floor]]] = True
-        return ok
-
     def aligned(self, h: np.ndarray, of: np.ndarray, min_score: float, min_words: int) -> list[tuple]:
-        """(text, item_id, score, start_word, end_word) of items that rare seeds lead to and that align."""
+        """(text, item_id, score, start_word, end_word) of items that seeds lead to and that align."""
         at, k = self.hits(h, of)
-        at, k = at[self.keep[k]], k[self.keep[k]]
         near: dict[tuple[int, int], list[int]] = {}
         for p, seed in zip(at.tolist(), k.tolist()):
             for x in range(self.first[seed], self.first[seed + 1]):
@@ -94,8 +77,9 @@ class SeedIndex:
         for (doc, item), begins in near.items():
             words = self.words[item]
             lo, hi = np.searchsorted(of, [doc, doc + 1])
-            score, start, end = _best(words, h[lo:hi], sorted(b - lo for b in begins))
-            if score >= MATCH * max(min_score * len(words), min(min_words, len(words))):
+            need = MATCH * max(min_score * len(words), min(min_words, len(words)))
+            score, start, end = _best(words, self.distinct[item], h[lo:hi], sorted(b - lo for b in begins), need)
+            if score >= need:
                 out.append((doc, self.ids[item], score / (MATCH * len(words)), start, end))
         return out
 
@@ -107,7 +91,7 @@ def _chunks(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[list[tuple], np
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: float = 0.5, min_words: int = 8,
-                 spread: int = 2, floor: int = 10, item_bytes: int = 8 << 20) -> DataFrame:
+                 item_bytes: int = 8 << 20) -> DataFrame:
     """Documents that hold an exact, edited or paraphrased copy of a test item.
 
     Returns (doc_id, item_id, score, start_word, end_word): the best alignment of each such
@@ -115,10 +99,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_sc
     and worth ``min_words`` matching words (all words of a shorter item).
 
     The items are taken in blocks of at most ``item_bytes`` of text, so what is broadcast is
-    bounded however large the benchmark is. Per block, one pass counts in how many documents
-    each ``gram``-word seed occurs (all documents, summed per partition before the shuffle);
-    a second pass finds rare seeds and aligns the words around them at once, where the text
-    is. Neither pass shuffles a text, and no number of hits is capped.
+    bounded however large the benchmark is. Per block, one pass finds every ``gram``-word seed
+    and aligns the words around it at once, where the text is. No text is shuffled, no number
+    of hits is capped, and no seed is left out for being frequent: a window is skipped only if
+    the words it shares with the item cannot reach the score.
 
     Null or empty texts and items, and items of fewer than ``gram`` words, match nothing. A
     null doc_id or item_id is kept as such in the pairs. Repeated rows give one pair. Extra
@@ -126,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_sc
     """
     docs = docs.select("doc_id", "text")
     found = None
-    for index in _indexes(docs, benchmark, gram, item_bytes, spread, floor):
+    for index in _indexes(docs, benchmark, gram, item_bytes):
         pairs = _pairs(docs, index, min_score, min_words)
         found = pairs if found is None else found.union(pairs)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("m"))
@@ -134,10 +118,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_sc
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: float = 0.5, min_words: int = 8,
-          spread: int = 2, floor: int = 10, item_bytes: int = 8 << 20) -> DataFrame:
+          item_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without the rows that ``contaminated`` finds; the filter runs where the text is."""
     whole = docs
-    for index in _indexes(docs, benchmark, gram, item_bytes, spread, floor):
+    for index in _indexes(docs, benchmark, gram, item_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -152,38 +136,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: fl
     return docs
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, gram: int, item_bytes: int, spread: int, floor: int) -> Iterator[SeedIndex]:
-    """An index per block of items, with its rare seeds marked."""
+def _indexes(docs: DataFrame, benchmark: DataFrame, gram: int, item_bytes: int) -> Iterator[SeedIndex]:
+    """An index per block of items."""
     tune(docs.sparkSession)
     benchmark = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(size * 1.5 / item_bytes) or 1
     for b in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = SeedIndex([tuple(r) for r in part.distinct().collect()], gram)
-        index.keep = index.rare(_document_counts(docs, index), spread, floor)
-        yield index
-
-
-def _document_counts(docs: DataFrame, index: SeedIndex) -> np.ndarray:
-    """In how many documents each seed of the block occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.seeds), np.int64)
-        for batch in batches:
-            for _, h, of in _chunks(batch):
-                at, k = sent.value.hits(h, of)
-                seen = np.unique(of[at] * len(total) + k) if len(at) else at
-                total += np.bincount(seen % len(total), minlength=len(total)) if len(seen) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
-
-    counts = np.zeros(len(index.seeds), np.int64)
-    summed = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    for seed, n in summed.collect():  # at most one row per seed of the bounded block
-        counts[seed] = n
-    return counts
+        yield SeedIndex([tuple(r) for r in part.distinct().collect()], gram)
 
 
 def _pairs(docs: DataFrame, index: SeedIndex, min_score: float, min_words: int) -> DataFrame:
@@ -205,8 +166,18 @@ def _pairs(docs: DataFrame, index: SeedIndex, min_score: float, min_words: int)
     return docs.mapInArrow(align, "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
-def _best(item: np.ndarray, text: np.ndarray, begins: list[int]) -> tuple[int, int, int]:
-    """Best alignment over the windows around likely ``begins``; overlapping windows merge."""
+def _bound(distinct: np.ndarray, window: np.ndarray) -> int:
+    """No alignment in ``window`` scores more: words of the item count as matches, others as edits."""
+    at = np.minimum(np.searchsorted(distinct, window), len(distinct) - 1)
+    sums = np.concatenate([[0], np.cumsum(np.where(distinct[at] == window, MATCH, max(MISMATCH, GAP)))])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
+def _best(item: np.ndarray, distinct: np.ndarray, text: np.ndarray, begins: list[int], need: float) -> tuple[int, int, int]:
+    """Best alignment over the windows around likely ``begins``; overlapping windows merge.
+
+    Windows that cannot reach ``need`` are left out.
+    """
     slack = len(item) // 4 + 2
     best, reach, lo = (0, 0, 0), None, 0
     spans = []
@@ -218,6 +189,8 @@ def _best(item: np.ndarray, text: np.ndarray, begins: list[int]) -> tuple[int, i
         reach = spans[-1][1]
     for lo, hi in spans:
         lo, hi = max(lo, 0), min(hi, len(text))
+        if _bound(distinct, text[lo:hi]) < need:
+            continue
         score, end = smith_waterman(item, text[lo:hi])
         if score > best[0]:
             _, back = smith_waterman(item[::-1], text[lo : lo + end][::-1])

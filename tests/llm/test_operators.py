@@ -296,6 +296,18 @@ def test_decontaminate(spark, docs):
     assert small == set(got)
 
 
+def test_decontaminate_many_copies(spark):
+    item, other = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    edited = " ".join("changed" if i in (9, 19, 29) else w for i, w in enumerate(item))
+    part = " ".join(other[:26])
+    rows = [(i, f"before {i} {edited} after {i}") for i in range(50)] + [(100 + i, f"x{i} {part} y{i}") for i in range(50)] + [(200 + i, " ".join(item[:5])) for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(i, 1) for i in range(50)} | {(i, 2) for i in range(100, 150)}
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(range(200, 250))
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(50):
