@@ -20,6 +20,8 @@ _ENDS[[10, 33, 46, 63]] = True
 _LINE = np.arange(256) == 10
 #: Sentences of more words are cut where a word's hash is the least of this many on both sides.
 LONG, REACH = 32, 6
+#: Words of an anchor, and the bits of the filter of shared anchors (16 MB).
+ANCHOR, FILTER_BITS = 10, 27
 
 
 def tune_bands(threshold: float, recall: float, most: int = 4) -> tuple[int, int]:
@@ -103,6 +105,97 @@ class Paragraphs:
         return out
 
 
+class Stretches:
+    """Every run of ``n`` words of a group of texts, line and sentence ends notwithstanding.
+
+    ``least`` is the smallest hash of the ``ANCHOR``-word shingles of a run, its anchor: equal
+    runs have equal anchors, and neighbouring runs mostly share theirs.
+    """
+
+    def __init__(self, texts: list[bytes], n: int):
+        h, of, start, end = hash_words(texts, NON_WORD)
+        self.at = np.zeros(0, np.int64)
+        if len(h) < n:
+            return
+        k = min(ANCHOR, n)
+        self.g, self.n, self.k = grams(h, k), n, k
+        low, size, wide = self.g, 1, n - k + 1
+        while size * 2 <= wide:
+            low, size = np.minimum(low[:-size], low[size:]), size * 2
+        if size < wide:
+            low = np.minimum(low[: size - wide], low[wide - size :])
+        self.at = np.flatnonzero(of[: len(low)] == of[n - 1 :])
+        self.least, self.text = low[self.at], of[self.at]
+        self.word = self.at - np.searchsorted(of, np.arange(len(texts)))[self.text]
+        self.start, self.end = start[self.at], end[self.at + n - 1]
+
+    def names(self, some: np.ndarray) -> np.ndarray:
+        """64-bit names of the words of some runs."""
+        at = self.at[some]
+        out = self.g[at]
+        for o in (*range(self.k, self.n - self.k, self.k), self.n - self.k):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + self.g[at + o])
+        return out
+
+
+def exact_passages(docs: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Every stretch of ``n`` or more words that stands in two documents of ``docs`` word for word.
+
+    Equal runs of ``n`` words have equal anchors, so only runs whose anchor occurs in two
+    documents are compared. The anchors travel as a filter of fixed size; what passes it by
+    chance is dropped by the exact count of runs that follows, and nothing else is. Runs that
+    follow each other both here and in their first document are one passage.
+    """
+    spark = docs.sparkSession
+    size, slots = 1 << 19, 1 << FILTER_BITS - 6
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in by_bytes(texts_of(batch, "doc_id"), size):
+                p = Stretches([r[-1] for r in rows], n)
+                if len(p.at):
+                    new = np.flatnonzero(np.concatenate([[True], (p.least[1:] != p.least[:-1]) | (p.text[1:] != p.text[:-1])]))
+                    ids = np.array([r[0] for r in rows], np.int64)[p.text[new]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p.least[new].view(np.int64))], ["doc_id", "sig"])
+
+    shared = docs.mapInArrow(anchors, "doc_id long, sig long").groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(sig, {FILTER_BITS - 6}) & 63 as int))")
+    filled = shared.groupBy(F.expr(f"sig & {slots - 1}L").alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2**21 rows
+    bits = np.zeros(slots, np.int64)
+    bits[filled["slot"].to_numpy()] = filled["bits"].to_numpy()
+    sent = spark.sparkContext.broadcast(bits)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value.view(np.uint64)
+        for batch in batches:
+            for rows in by_bytes(texts_of(batch, "doc_id"), size):
+                p = Stretches([r[-1] for r in rows], n)
+                if not len(p.at):
+                    continue
+                slot, place = (p.least & np.uint64(slots - 1)).astype(np.int64), p.least >> np.uint64(FILTER_BITS - 6) & np.uint64(63)
+                some = np.flatnonzero(known[slot] >> place & np.uint64(1))
+                ids = np.array([r[0] for r in rows], np.int64)[p.text[some]]
+                cols = (p.word[some], p.start[some], p.end[some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids)] + [pa.array(c.astype(np.int32)) for c in cols] + [pa.array(p.names(some).view(np.int64))],
+                    ["doc_id", "word", "start", "end", "id"],
+                )
+
+    units = scratch.save(docs.mapInArrow(runs, "doc_id long, word int, start int, end int, id long"))
+    first = units.groupBy("id").agg(F.min(F.struct("doc_id", "word")).alias("at"), F.max("doc_id").alias("hi")).where("at.doc_id < hi")
+    first = first.select("id", F.col("at.doc_id").alias("first_doc"), F.col("at.word").alias("place"))
+    order = Window.partitionBy("first_doc").orderBy("place")
+    new = F.when(F.col("place") - F.lag("place").over(order) <= 1, 0).otherwise(1)
+    named = first.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    named = scratch.save(named.select("id", "first_doc", F.min("id").over(Window.partitionBy("first_doc", "run")).alias("cluster_id")))
+    own = Window.partitionBy("doc_id", "cluster_id").orderBy("word")
+    found = units.join(named.hint("merge"), "id").withColumn("island", F.col("word") - F.dense_rank().over(own))
+    passages = found.groupBy("doc_id", "cluster_id", "first_doc", "island").agg(
+        F.min("word").alias("start_word"), (F.max("word") - F.min("word") + n).alias("n_words"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte")
+    )
+    return passages.select("doc_id", "start_word", "n_words", "start_byte", "end_byte", "cluster_id", "first_doc", (F.col("doc_id") > F.col("first_doc")).alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, recall: float = 0.98, least: int = 8,
                       min_words: int = 30, slack: int = 24, block: int = 100_000) -> DataFrame:
     """Paragraphs of ``docs`` (doc_id, text) that recur in other documents.
@@ -123,6 +216,8 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
     4. Components of those links are the clusters of removals. A cluster counts if it spans
        two documents, and an item is reported if its run of such items (gaps of up to
        ``slack`` words) spans ``min_words`` words.
+    5. Stretches of ``min_words`` or more words that two documents share word for word are
+       reported whole, wherever their lines and sentences end, unless an item above holds them.
 
     Null and empty texts have no paragraphs; rows with a null doc_id are left out. Repeated
     rows (equal doc_id) are one document. Extra columns are ignored.
@@ -201,10 +296,15 @@ def repeated_passages(docs: DataFrame, *, shingle: int = 5, percent: int = 80, r
     runs = found.withColumn("new", F.when(F.col("word") - reach <= slack, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     run = Window.partitionBy("doc_id", "run")
     kept = runs.withColumn("total", F.max(until).over(run) - F.min("word").over(run)).where(F.col("total") >= min_words)
-    return kept.select(
+    kept = kept.select(
         "doc_id", F.col("word").alias("start_word"), F.col("words").alias("n_words"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"),
         "cluster_id", "first_doc", (F.col("doc_id") > F.col("first_doc")).alias("removed"),
     ).distinct()
+    kept = scratch.save(kept)
+    scratch.drop(units, shared)
+    exact, inside = exact_passages(docs, scratch, min_words).alias("e"), kept.alias("k")
+    held = F.expr("e.doc_id = k.doc_id AND k.start_byte <= e.start_byte AND k.end_byte >= e.end_byte AND (k.removed OR NOT e.removed)")
+    return kept.unionByName(exact.join(inside, held, "left_anti"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,24 @@ def test_substring_dedup(spark):
         assert len(re.findall(r"\w+", piece)) == r.n_words and piece.split()[1].strip(".") in passage
 
 
+def test_substring_dedup_inside_lines(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    rows, passages = {}, {}
+    for k, (n, every, sign) in enumerate([(30, 99, ""), (31, 99, ""), (52, 99, ""), (70, 99, ""), (60, 6, "."), (60, 6, "\n"), (60, 1, "\n")] * 3):
+        passage = "".join(w + (sign if i % every == every - 1 else "") + " " for i, w in enumerate(words(n))).strip(" .\n")
+        for i in (2 * k, 2 * k + 1):
+            rows[i], passages[i] = " ".join([*words(int(rng.integers(40, 60))), passage, *words(45)]), passage
+    rows |= {100 + i: " ".join(words(200)) for i in range(10)} | {200: " ".join([*words(50), *passages[4].split()[:29], *words(50)])}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).toPandas()
+    assert set(got.doc_id) == set(passages)
+    for i, passage in passages.items():
+        a = rows[i].encode().index(passage.encode())
+        own = got[(got.doc_id == i) & (got.start_byte == a) & (got.end_byte == a + len(passage.encode()))]
+        assert len(own) and (own.removed == (i % 2 == 1)).all() and (own.n_words == len(passage.split())).all() and (own.first_doc == i // 2 * 2).all()
+    assert all(g.doc_id.nunique() == 2 for _, g in got.groupby("cluster_id"))
+
+
 def test_chat_snapshots(spark):
     turns = lambda c, *t: [(c, i, "user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(t)]
     rows = turns(1, "a", "b") + turns(2, "a", "b", "c") + turns(3, "a", "b", "c") + turns(4, "a", "x") + turns(5, None) + turns(6, "a") + [(None, 0, "user", "a"), (7, None, "user", "a"), (8, 0, None, None)]
