@@ -84,7 +84,7 @@ _FOLDED = frozenset(_FOLD)
 
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _GAP = r"(?:[\s,.()-]{1,3}|\s{1,3}(?:dot|point)\s{1,3})"
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]{{1,3}})?(?:{_WORD}|[0-9])(?:{_GAP}(?:{_WORD}|[0-9]+)(?![A-Za-z]))+", re.I)
+_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]{{1,3}})?(?:{_WORD}|(?<![0-9])[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+)(?![A-Za-z]))+", re.I)
 _PART = re.compile(rf"{_WORD}|[0-9]+|plus|dot|point", re.I)
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _BARE = r"(?:\s{1,3}|[_*-]{1,2})"
@@ -101,13 +101,11 @@ _RULES = (
 )
 _AFTER = re.compile(rf"(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*){_BARE}dot{_BARE}(?=[A-Za-z0-9])", re.I)
 _BEFORE = re.compile(rf"(?<=[A-Za-z0-9]){_BARE}dot{_BARE}(?=[A-Za-z0-9._%+-]+@)", re.I)
-_SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);|\s@|@\s|[\s_*-](?:dot|point)[\s_*-]", re.I)
+_SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|point|punto)\s{0,3}[\])}>]|&#0*(?:64|46);|&#x0*(?:40|2e);|&(?:commat|period);|\s@|@\s|[\s_*-](?:dot|point)[\s_*-]|[\s_*-]at[\s_*-]{1,3}[a-z0-9-]+(?:\.|[\s_*-]{1,3}dot)|@[a-z0-9-]+\s{1,2}\.", re.I)
 
-#: Cheap hints that come before the patterns: most texts have none of them.
-_HINTS = ("@", "[", "(", "{", "<", "&", "dot", "point")
-_RARE_DIGITS = [w for w in _SPELLED if w not in ("one", "oh")]
-_SINGLE = re.compile(rf"{_WORD}(?![a-z])")
-_ONES = re.compile(r"one[\s,.()-]{1,3}(?:one|oh)(?![a-z])")
+#: In every run that is rewritten, a spelled digit stands beside another digit.
+_NUMBER = re.compile(rf"{_WORD}{_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}{_WORD}", re.I)
+_PLUS, _POINT = re.compile(r"plus[\s,-]{1,3}", re.I), re.compile(r"\s{1,3}(?:dot|point)\s{1,3}", re.I)
 
 
 class Tracked:
@@ -149,18 +147,28 @@ class Tracked:
 
 
 def _digits(m: re.Match) -> str:
-    """Digits of a run that spells at least three of them; other runs stay."""
+    """Digits of a run that spells some of them.
+
+    Runs of fewer than three spelled digits stay unless an identifier needs one of these; the
+    separators stay where it needs them.
+    """
     parts = [p.lower() for p in _PART.findall(m[0])]
-    if sum(p in _SPELLED for p in parts) < 3:
+    spelled = sum(p in _SPELLED for p in parts)
+    if not spelled:
         return m[0]
     signs = {"plus": "+", "dot": ".", "point": "."}
-    return "".join(signs.get(p) or _SPELLED.get(p, p) for p in parts)
-
-
-def _spells(low: str) -> bool:
-    """Whether three spelled digits stand near each other, as in every run that is rewritten."""
-    at = [m.start() for m in _SINGLE.finditer(low)]
-    return any(c - a <= 200 for a, c in zip(at, at[2:]))
+    joined = "".join(signs.get(p) or _SPELLED.get(p, p) for p in parts)
+    before = "+" if m.string[: m.start()].endswith("+") else ""
+    spaced = _POINT.sub(".", _PLUS.sub("+", m[0]))
+    for pieces in ([signs.get(p, p) for p in parts], re.split(rf"({_WORD})", spaced, flags=re.I)):
+        out, at = before, []
+        for p in pieces:
+            if p.lower() in _SPELLED:
+                at.append(len(out))
+            out += _SPELLED.get(p.lower(), p)
+        if any(a <= x < b for _, a, b in identifiers(out) for x in at):
+            return out[len(before) :]
+    return joined if spelled >= 3 else m[0]
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
@@ -169,15 +177,12 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     Homoglyphs and hidden characters, spelled digits, and at/dot disguises are rewritten one
     after the other, each rewrite carrying the source span of every character along.
     """
-    odd = not text.isascii() and not _FOLDED.isdisjoint(text)
-    low = text.lower()
-    spelled = (any(w in low for w in _RARE_DIGITS) or _ONES.search(low) is not None) and _spells(low)
-    signs = any(c in low for c in _HINTS) and _SIGNS.search(low) is not None
-    if not (odd or spelled or signs):
-        return []
     t = Tracked(text)
-    changed = odd and t.rewrite(_ODD, lambda m: _FOLD.get(m[0], m[0]))
-    changed |= spelled and t.rewrite(_RUN, _digits)
+    changed = not text.isascii() and not _FOLDED.isdisjoint(text) and t.rewrite(_ODD, lambda m: _FOLD.get(m[0], m[0]))
+    if _NUMBER.search(t.text):
+        changed |= t.rewrite(_RUN, _digits)
+    if not (changed or _SIGNS.search(t.text)):
+        return []
     for rule, to in _RULES:
         changed |= t.rewrite(rule, lambda m, to=to: m.expand(to))
     for rule, to in ((_AFTER, r"\1."), (_BEFORE, ".")):

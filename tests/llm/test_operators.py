@@ -191,6 +191,35 @@ def test_pii_disguises(text, kind, source):
     assert (kind, source) in found
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("mail john at example.com now", "email", "john at example.com"),
+        ("mail john_at_example.com now", "email", "john_at_example.com"),
+        ("mail john@example . com ok", "email", "john@example . com"),
+        ("card 4111 1111 1111 111 one end", "card", "4111 1111 1111 111 one"),
+        ("host 192.168.one.one up", "ip", "192.168.one.one"),
+        ("host one dot one dot one dot one up", "ip", "one dot one dot one dot one"),
+        ("tel +49 30 one 23456 ok", "phone", "+49 30 one 23456"),
+        ("call plus f\u0456ve five five \uff4fne two thr\u200bee four six now", "phone", "plus f\u0456ve five five \uff4fne two thr\u200bee four six"),
+    ],
+)
+def test_pii_gates_hold_for_every_rule(text, kind, source):
+    assert (kind, source) in [(pii.KINDS[k], text[a:b]) for k, a, b, _ in pii.spans(text)]
+
+
+def test_pii_gated_as_ungated(monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = ["john", "example", "com", " at ", "_at_", "@", " @ ", ".", " . ", " dot ", "[at]", "(dot)", "&#64;", "one", "oh", " two ", "192", ".", " ", "plus ", "+", "1 ", "f\u0456ve", "\u200b", "point"]
+    texts = ["".join(rng.choice(bits, 12)) for _ in range(3000)]
+    gated = [pii.disguised(t) for t in texts]
+    monkeypatch.setattr(pii, "_SIGNS", re.compile(""))
+    monkeypatch.setattr(pii, "_NUMBER", re.compile(""))
+    found = [pii.disguised(t) for t in texts]
+    for t, a, b in zip(texts, gated, found):
+        assert {s for s in b if not any(p[0] == s[0] and p[1] < s[2] and s[1] < p[2] for p in pii.identifiers(t))} <= set(a)
+
+
 def test_pii_leaves_prose_alone():
     for text in ("meet me at noon. The dot on the map", "one two three four", "look at this (at last) dot", "he is one of two or three at home", "Straße à côté – «oui»"):
         assert pii.spans(text) == []
