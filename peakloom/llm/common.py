@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from peakloom.sources.shared import Scratch
 
-__all__ = ["Scratch", "tune", "mix", "hash_words", "grams", "by_bytes", "texts_of", "SPACE", "NON_WORD"]
+__all__ = ["Scratch", "tune", "mix", "hash_words", "powers", "grams", "by_bytes", "texts_of", "SPACE", "NON_WORD"]
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a few very long texts cannot fill a Python worker."""
@@ -33,7 +34,8 @@ NON_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _pow: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base, and their inverses."""
     if "p" not in _pow or len(_pow["p"]) < n:
         size = max(n, 1 << 20)
         for key, base in (("p", _P), ("i", _P_INV)):
@@ -72,7 +74,7 @@ def hash_words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray,
     word[1:-1] = ~separators[a]
     step = np.diff(word)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    p, inv = _powers(len(a))
+    p, inv = powers(len(a))
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * p, out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * inv[starts])
