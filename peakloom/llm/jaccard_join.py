@@ -21,6 +21,8 @@ COUNTED = 4_000_000
 LEAST, FREQUENT = 8, 1_000_000
 #: Documents that share a prefix shingle are paired up to this many, and form a star beyond.
 PAIRED = 16
+#: Sets of a block, about.
+ROWS = 2048
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int, *keys: str) -> Iterator[tuple]:
@@ -65,8 +67,7 @@ def tallies_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray,
     most ``(n + m) (100 - percent) / (100 + percent)`` shingles. Of two tallies the longer one
     folds: its buckets are told apart by more bits. A full bucket was cut and rules out nothing.
     """
-    out = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
-    room = (n[:, None] + m[None, :]) * (100 - percent)
+    out = np.zeros((len(a), len(b)), bool)
     of = lambda v: {k: np.flatnonzero([len(x) == k for x in v]) for k in {len(x) for x in v}}
     stack = lambda v, i: np.stack([np.frombuffer(v[k], np.uint8) for k in i]).astype(np.int32)
     for i in of(a).values():
@@ -77,20 +78,22 @@ def tallies_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray,
             while u.shape[1] != w.shape[1]:
                 u, w = (u.reshape(len(u), 2, -1).sum(1), w) if u.shape[1] > w.shape[1] else (u, w.reshape(len(w), 2, -1).sum(1))
             cut_u, cut_w = (x >= 255).any(1), (y >= 255).any(1)
-            for k, row in zip(i, range(len(i))):
-                near = j[out[k, j]]
-                if len(near):
-                    at = np.searchsorted(j, near)
+            for row, k in enumerate(i.tolist()):
+                at = np.flatnonzero(percent * np.maximum(n[k], m[j]) <= 100 * np.minimum(n[k], m[j]))
+                if len(at):
                     gap = np.abs(w[at] - u[row]).sum(1)
-                    out[k, near] = (gap * (100 + percent) <= room[k, near]) | cut_u[row] | cut_w[at]
+                    out[k, j[at]] = (gap * (100 + percent) <= (n[k] + m[j[at]]) * (100 - percent)) | cut_u[row] | cut_w[at]
     return out
 
 
 def sets_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sets reach the bound, exactly; the sets' own sizes count."""
     x, y = ([np.frombuffer(v, np.uint64) for v in side] for side in (a, b))
-    sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
-    return _overlaps(x, y).astype(np.int64) * (100 + percent) >= percent * sizes
+    sizes = np.array([len(v) for v in y])
+    out = np.zeros((len(x), len(y)), bool)
+    for i, counts in enumerate(overlaps(x, y)):
+        out[i] = counts * (100 + percent) >= percent * (len(x[i]) + sizes)
+    return out
 
 
 def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> np.ndarray:
@@ -124,27 +127,24 @@ def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Product of two incidence matrices: shared elements of every row of a and of b."""
-    ta, tb = np.concatenate(a), np.concatenate(b)
-    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    shared = np.intersect1d(np.unique(ta), np.unique(tb), assume_unique=True)
-    out = np.zeros((len(a), len(b)), np.float32 if len(shared) < 1 << 24 else np.float64)
-    ka, kb = np.searchsorted(shared, ta), np.searchsorted(shared, tb)
-    ok_a, ok_b = ka < len(shared), kb < len(shared)
-    ok_a[ok_a], ok_b[ok_b] = shared[ka[ok_a]] == ta[ok_a], shared[kb[ok_b]] == tb[ok_b]
-    ka, ra, kb, rb = ka[ok_a], ra[ok_a], kb[ok_b], rb[ok_b]
-    width = max(1, (1 << 22) // (len(a) + len(b)))
-    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-    ka, ra, kb, rb = ka[oa], ra[oa], kb[ob], rb[ob]
-    for at in range(0, len(shared), width):
-        ia, ib = np.searchsorted(ka, [at, at + width]), np.searchsorted(kb, [at, at + width])
-        w = min(width, len(shared) - at)
-        x, y = np.zeros((len(a), w), np.float32), np.zeros((len(b), w), np.float32)
-        x[ra[slice(*ia)], ka[slice(*ia)] - at] = 1
-        y[rb[slice(*ib)], kb[slice(*ib)] - at] = 1
-        out += x @ y.T
-    return out
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Rows of the product of two incidence matrices: shared elements of a row of a with every row of b.
+
+    b is held by columns (the rows that hold each element); a row of the product is the sum of
+    the columns that the row of a names, counted by row.
+    """
+    elements = np.concatenate([*b, np.zeros(0, np.uint64)])
+    order = np.argsort(elements, kind="stable")
+    holders = np.repeat(np.arange(len(b)), [len(v) for v in b])[order]
+    columns, first = np.unique(elements[order], return_index=True)
+    until = np.append(first[1:], len(elements))
+    for row in a:
+        k = np.searchsorted(columns, row)
+        k[k == len(columns)] = 0
+        k = k[columns[k] == row] if len(columns) else k[:0]
+        size = until[k] - first[k]
+        at = np.arange(size.sum()) + np.repeat(first[k] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[: len(k)], size)
+        yield np.bincount(holders[at], minlength=len(b))
 
 
 def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -170,13 +170,13 @@ def set_links(sized: DataFrame, attach: Callable[[DataFrame], DataFrame], scratc
 
     ``sized`` has id, cluster and n (size of the set), and bucket where n is no exact size. ``attach`` gets (id, cluster, bucket,
     salt) and adds n and ``set``, what ``reach`` compares, as bytes. Clusters are cut into blocks
-    by size bucket and salt, each of about ``block`` elements; each pair of blocks whose sizes
+    by size bucket and salt, each of about ``block`` elements and ROWS sets; each pair of blocks whose sizes
     allow a link is one product in one task, which returns a spanning forest of its links.
     """
     if "bucket" not in sized.columns:
         sized = sized.withColumn("bucket", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
     sized = scratch.save(sized)
-    weight = sized.groupBy("cluster", "bucket").agg(F.ceil(F.sum("n") / block).cast("int").alias("salts"))
+    weight = sized.groupBy("cluster", "bucket").agg(F.ceil(F.greatest(F.sum("n") / block, F.count("*") / ROWS)).cast("int").alias("salts"))
     blocked = sized.join(weight, ["cluster", "bucket"]).select(
         "id", "cluster", "bucket", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int").alias("salt")
     )
@@ -262,14 +262,12 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     # prefixes are merge joins at every size, so their cost is the same share of the input.
     reps = rows.join(classes.select("print", F.col("rep").alias("doc_id")).hint("merge"), ["print", "doc_id"], "left_semi")
     signed = reps.select("doc_id", "n_shingles", F.explode("prefix").alias("sig"))
-    own = Window.partitionBy("sig")
-    shared = signed.withColumn("u", F.min("doc_id").over(own)).withColumn("top", F.max("doc_id").over(own)).where("u < top")
-    shared = scratch.save(shared.select("sig", "u", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")))
+    tops = signed.groupBy("sig").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("top"), F.count("*").alias("c")).where("u < top").select("sig", "u", "c")
+    shared = scratch.save(signed.join(tops, "sig").select("sig", "u", "c", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")))
     long, rows = rows, scratch.save(rows.drop("prefix"))
     scratch.drop(long)
-    many = shared.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("sig")
-    stars = shared.join(many, "sig", "left_semi").where("u <> v").select("u", "v")
-    groups = shared.join(many, "sig", "left_anti").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("g"))  # PAIRED rows at most
+    stars = shared.where((F.col("c") > PAIRED) & (F.col("u") != F.col("v"))).select("u", "v")
+    groups = shared.where(F.col("c") <= PAIRED).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("g"))  # PAIRED rows at most
     pairs = (
         groups.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, PAIRED), lambda y: F.struct(x["v"].alias("u"), y["v"].alias("v"), x["n"].alias("n"), y["n"].alias("m")))))).alias("p"))
         .select("p.*").where((percent * F.greatest("n", "m") <= 100 * F.least("n", "m")) & (F.col("u") < F.col("v"))).distinct()
