@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 SMOOTH = 20
 
 
@@ -53,22 +55,21 @@ def library_statistics(library: DataFrame) -> DataFrame:
 
 def residual_interval(df: DataFrame, residual: str, share: float = 0.95) -> DataFrame:
     """Half width that holds ``share`` of the residuals: mean size of the two percentiles."""
-    lo, hi = (1 - share) / 2, (1 + share) / 2
-    p = df.agg(F.percentile(residual, F.array(F.lit(lo), F.lit(hi))).alias("p"))
-    return p.select(((F.abs(F.col("p")[0]) + F.abs(F.col("p")[1])) / 2).alias("ci"))
+    lo, hi = quantiles(df, residual, [(1 - share) / 2, (1 + share) / 2])
+    return df.sparkSession.createDataFrame([(None if lo is None else (abs(lo) + abs(hi)) / 2,)], "ci double")
 
 
 def median_known(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median of each column's numbers; columns that hold none are left out."""
-    row = df.agg(*(F.median(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns)).first()
-    return {c: row[c] for c in columns if row[c] is not None}
+    found = {c: quantiles(df, c, [0.5])[0] for c in columns}
+    return {c: v for c, v in found.items() if v is not None}
 
 
 def recalibration(psm: DataFrame, *, score: str, percentile: float = 0.01, factor: float = 0.99) -> DataFrame:
     """Median peak widths and the score cutoff of identified rows."""
-    return psm.agg(
-        F.median("cycle_fwhm").alias("fwhm_rt"), F.median("mobility_fwhm").alias("fwhm_mobility"), (F.percentile(score, percentile) * factor).alias("score_cutoff")
-    )
+    rt, mobility = (quantiles(psm, c, [0.5])[0] for c in ("cycle_fwhm", "mobility_fwhm"))
+    cutoff = quantiles(psm, score, [percentile])[0]
+    return psm.sparkSession.createDataFrame([(rt, mobility, None if cutoff is None else cutoff * factor)], "fwhm_rt double, fwhm_mobility double, score_cutoff double")
 
 
 def posterior_error(df: DataFrame, score: str, decoy: str, *, bins: int = 100, sigma: float = 4.0, out: str = "pep") -> DataFrame:
@@ -91,7 +92,8 @@ def posterior_error(df: DataFrame, score: str, decoy: str, *, bins: int = 100, s
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Long table (metric, value): R2, slope, mean absolute error and its 95th percentile."""
     error = F.abs(F.col(predicted) - F.col(truth))
-    wide = df.agg(F.regr_r2(predicted, truth).alias("r_square"), F.regr_slope(predicted, truth).alias("r_slope"), F.avg(error).alias("l1"), F.percentile(error, 0.95).alias("abs_error_95"))
+    high = quantiles(df, error, [0.95])[0]
+    wide = df.agg(F.regr_r2(predicted, truth).alias("r_square"), F.regr_slope(predicted, truth).alias("r_slope"), F.avg(error).alias("l1")).withColumn("abs_error_95", F.lit(high).cast("double"))
     return wide.unpivot([], wide.columns, "metric", "value")
 
 

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 
 @dataclass
 class Local:
@@ -15,7 +17,7 @@ class Local:
 
     centres: np.ndarray
     width: float
-    coefficients: np.ndarray  # centre x power
+    coefficients: np.ndarray  # centre x power of (x - centre) / width
 
     def weights(self, x: Column) -> list[Column]:
         """Tricube weight of each centre; beyond the ends the outer kernels stay open."""
@@ -26,7 +28,7 @@ class Local:
     def predict(self, x: Column) -> Column:
         """Column of fitted values."""
         w = self.weights(x)
-        fits = [sum((float(b) * F.pow(x, p) for p, b in enumerate(row)), F.lit(0.0)) for row in self.coefficients]
+        fits = [sum((float(b) * F.pow((x - float(c)) / self.width, p) for p, b in enumerate(row)), F.lit(0.0)) for c, row in zip(self.centres, self.coefficients)]
         return sum((a * b for a, b in zip(w, fits)), F.lit(0.0)) / F.greatest(sum(w, F.lit(0.0)), F.lit(1e-12))
 
 
@@ -37,7 +39,7 @@ def fit_local(df: DataFrame, x: str, y: str, *, kernels: int = 6, degree: int =
     number of kernels and the degree.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    lo, hi, n = rows.agg(F.percentile("x", trim[0]), F.percentile("x", trim[1]), F.count("*")).first()
+    (lo, hi), n = quantiles(rows, "x", list(trim)), rows.count()
     if not n:
         raise ValueError("no rows to fit")
     kernels = max(1, min(kernels, n // (degree + 1)))
@@ -45,16 +47,14 @@ def fit_local(df: DataFrame, x: str, y: str, *, kernels: int = 6, degree: int =
     centres = np.linspace(lo, hi, kernels) if kernels > 1 else np.array([(lo + hi) / 2])
     width = 1.5 * (hi - lo) / max(kernels - 1, 1) or 1.0
     model = Local(centres, width, np.zeros((kernels, degree + 1)))
-    scale = max(abs(lo), abs(hi)) or 1.0  # keeps powers near one
-    z = F.col("x") / scale
     sums = []
-    for w in model.weights(F.col("x")):
+    for c, w in zip(centres.tolist(), model.weights(F.col("x"))):
+        z = (F.col("x") - c) / width  # powers stay near one
         sums += [F.sum(w * F.pow(z, p)) for p in range(2 * degree + 1)] + [F.sum(w * F.pow(z, p) * F.col("y")) for p in range(degree + 1)]
     flat = np.array(rows.where(F.col("x").between(lo, hi)).agg(*sums).first(), float).reshape(kernels, -1)
     for k, s in enumerate(flat):
         gram = np.array([[s[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
-        beta = np.linalg.lstsq(gram + 1e-12 * np.eye(degree + 1), s[2 * degree + 1 :], rcond=None)[0]
-        model.coefficients[k] = beta / scale ** np.arange(degree + 1)
+        model.coefficients[k] = np.linalg.lstsq(gram + 1e-12 * np.eye(degree + 1), s[2 * degree + 1 :], rcond=None)[0]
     return model
 
 
@@ -89,7 +89,7 @@ class Estimator:
     def interval(self, df: DataFrame, share: float = 0.95) -> float:
         """Half width that holds ``share`` of the residuals after calibration."""
         d = self.deviation(F.col(self.observed)) - self.model.predict(F.col(self.expected))
-        lo, hi = df.agg(F.percentile(d, (1 - share) / 2), F.percentile(d, (1 + share) / 2)).first()
+        lo, hi = quantiles(df, d, [(1 - share) / 2, (1 + share) / 2])
         return (abs(lo) + abs(hi)) / 2
 
 

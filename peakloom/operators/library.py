@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions.scalars import ISOTOPE, PROTON, translate_mods
 
 from .joins import lookup_with_fallback, only_keys
-from .ranking import keep_best
+from .ranking import keep_best, quantiles
 
 # Monoisotopic residue masses, mass of water, and a public residue exchange.
 RESIDUES = {
@@ -119,8 +119,8 @@ def blend_times(df: DataFrame, observed: str, calibrated: str, out: str = "rt_no
 
 def clip_times(df: DataFrame, value: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """Values limited to two of their percentiles."""
-    ends = df.agg(F.percentile(value, lo).alias("_lo"), F.percentile(value, hi).alias("_hi"))
-    return df.join(F.broadcast(ends)).withColumn(value, F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")  # ends is one row
+    least, most = quantiles(df, value, [lo, hi])
+    return df.withColumn(value, F.least(F.greatest(F.col(value), F.lit(least)), F.lit(most)))
 
 
 def isotope_window(mz: Column, charge: Column, n: int) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def q_values(df: DataFrame, score: str, decoy: str, ties: list[str], *, scale: f
 
     Rows are ordered by score (smaller is better), decoy and ``ties``; the ratio of running
     counts is ``scale * decoys / (targets + epsilon)``, and NO_TARGET while no target came.
-    Both running passes work on range blocks of the order with totals per block.
+    Both running passes work on range blocks of the order with totals per block, and take time
+    in proportion to a block's rows: the least ratio runs from the worst row up.
     """
     keys = [score, decoy, *ties]
     rows = ordered_blocks(df, keys)
@@ -42,11 +45,35 @@ def q_values(df: DataFrame, score: str, decoy: str, ties: list[str], *, scale: f
     counted = counted.withColumn("_ratio", ratio)
     after = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
     least = counted.groupBy("_block").agg(F.min("_ratio").alias("_m")).select("_block", F.min("_m").over(after).alias("_after"))
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy("_block").orderBy(*(F.desc(k) for k in keys)).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.join(F.broadcast(least), "_block").withColumn(out, F.least(F.min("_ratio").over(onward), F.coalesce("_after", F.lit(NO_TARGET))))
     return ranked.drop("_block", "_d0", "_n0", "_d", "_t", "_ratio", "_after")
 
 
+def quantiles(df: DataFrame, value: str | Column, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of the known values, linear between neighbours; nulls if there are none.
+
+    The ranks that matter are found from the sizes of range blocks, so no task holds a whole
+    column or its distinct values.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    rows = ordered_blocks(df.select(column.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)"), ["_v"])
+    sizes = sorted((r["_block"], r["n"]) for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect())  # one row per block
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None] * len(shares)
+    places = [s * (total - 1) for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    wanted, before = [], 0
+    for block, n in sizes:
+        wanted += [(block, r - before + 1, r) for r in ranks if before <= r < before + n]
+        before += n
+    asked = df.sparkSession.createDataFrame(wanted, "_block int, _i int, rank long")  # two rows a share
+    near = rows.join(F.broadcast(asked.select("_block").distinct()), "_block").withColumn("_i", F.row_number().over(Window.partitionBy("_block").orderBy("_v")))
+    at = {r["rank"]: r["_v"] for r in near.join(F.broadcast(asked), ["_block", "_i"]).select("rank", "_v").collect()}
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def keep_best(df: DataFrame, keys: list[str], order: list[str | Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in ``order``, which should end with a unique column."""
     w = Window.partitionBy(*keys).orderBy(*order)

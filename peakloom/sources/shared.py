@@ -12,23 +12,51 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset (tests, a laptop).
+#: Used only where spark.checkpoint.dir is unset and one process does all work (tests, a laptop).
 LOCAL_SHARED = "/tmp/checkpoints/peakloom"
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from spark.checkpoint.dir."""
+    """The shared folder, from spark.checkpoint.dir; several machines must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     return (folder or LOCAL_SHARED).rstrip("/")
 
 
+def clear_scratch() -> None:
+    """Delete the tables of every Scratch of this process; results that read them end with it."""
+    while _roots:
+        spark, root = _roots.pop()
+        try:
+            _delete(spark, root)
+        except Exception:  # noqa: BLE001  the session, and with it the way to the store, may be gone
+            if not root.startswith(LOCAL_SHARED):
+                continue
+            shutil.rmtree(root, ignore_errors=True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(clear_scratch)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
+    """Tables written to the shared folder: they cut lineage and outlive a lost executor.
+
+    What is not dropped before is deleted when the driver's process ends, or by clear_scratch.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _roots.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return a frame that reads the files."""
@@ -41,11 +69,9 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete saved tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:
