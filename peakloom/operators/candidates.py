@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.functions.scalars import isotope_mz
+
 from .joins import band_join
 
 
@@ -23,6 +25,8 @@ class Selection:
     least_fragments: int = 4
     close: int = 3
     half_width: int = 10
+    isotopes: int = 3
+    score_cutoff: float = 0.0
 
 
 def extract_traces(peaks: DataFrame, fragments: DataFrame, *, ppm: float) -> DataFrame:
@@ -39,6 +43,16 @@ def extract_traces(peaks: DataFrame, fragments: DataFrame, *, ppm: float) -> Dat
     )
 
 
+def isotope_traces(peaks: DataFrame, precursors: DataFrame, *, ppm: float, n: int) -> DataFrame:
+    """Summed intensity of the MS1 peaks near the first ``n`` isotopes of each precursor, per cycle.
+
+    ``precursors`` has precursor_idx, mz and charge; the result has precursor_idx, isotope,
+    mz_library, cycle, intensity and mz.
+    """
+    each = precursors.select("precursor_idx", F.posexplode(isotope_mz(F.col("mz"), F.col("charge"), n)).alias("isotope", "mz_library"))
+    return extract_traces(peaks, each.withColumnRenamed("isotope", "fragment"), ppm=ppm).withColumnRenamed("fragment", "isotope")
+
+
 def gaussian(fwhm: float, scale: float, size: int) -> np.ndarray:
     """Kernel of ``size`` points that sums to one."""
     sigma = max(fwhm / 2.3548 * scale, 1e-6)
@@ -97,28 +111,54 @@ def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return out, names, first
 
 
-def select(traces: DataFrame, settings: Selection = Selection()) -> DataFrame:  # noqa: B008
+def select(traces: DataFrame, settings: Selection = Selection(), isotopes: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Candidates per precursor: (precursor_idx, rank, score, cycle_start, cycle_center, cycle_stop).
 
-    A group is one precursor's traces, bounded by its fragments and cycles.
+    The score sums the logarithms of smoothed fragment traces and, where ``isotopes`` are
+    given, those of the precursor; only candidates above ``score_cutoff`` stay. A group is one
+    precursor's traces, bounded by its fragments and cycles.
     """
+    rows = traces.select("precursor_idx", F.col("fragment").cast("string").alias("fragment"), "cycle", "intensity", F.lit(False).alias("ms1"))
+    if isotopes is not None:
+        rows = rows.union(isotopes.select("precursor_idx", F.concat(F.lit("isotope "), "isotope"), "cycle", "intensity", F.lit(True)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if pdf["fragment"].nunique() >= settings.least_fragments:
+        if pdf.loc[~pdf["ms1"], "fragment"].nunique() >= settings.least_fragments:
             table, _, first = dense(pdf)
             kernel = gaussian(settings.fwhm_cycles, settings.sigma_scale, 2 * settings.half_width + 1)
             score = np.log1p(np.maximum(smooth(table, kernel), 0)).sum(0)
             places = apart(peaks_of(score, 4 * settings.candidates), score, settings.close)[: settings.candidates]
-            for rank, p in enumerate(places):
+            for rank, p in enumerate(p for p in places if score[p] > settings.score_cutoff):
                 lo, hi = limits(score, p, settings.half_width)
                 out.append((int(pdf["precursor_idx"].iloc[0]), rank, float(score[p]), first + lo, first + p, first + hi))
         return pd.DataFrame(out, columns=["precursor_idx", "rank", "score", "cycle_start", "cycle_center", "cycle_stop"])
 
-    return traces.groupBy("precursor_idx").applyInPandas(solve, "precursor_idx long, rank int, score double, cycle_start long, cycle_center long, cycle_stop long")
+    return rows.groupBy("precursor_idx").applyInPandas(solve, "precursor_idx long, rank int, score double, cycle_start long, cycle_center long, cycle_stop long")
+
+
+FEATURES = (
+    "n_fragments", "log_intensity", "height", "area", "base_width", "fwhm", "mean_correlation", "top3_correlation", "median_correlation", "mass_error", "library_cosine", "peak_shift", "share_observed",
+    "library_correlation", "top3_mass_error", "b_correlation", "y_correlation", "log_b", "log_y", "overlap_by", "n_over_half", "height_correlation", "signal_to_ends",
+)
+
+
+def overlap_by(names: np.ndarray, seen: np.ndarray, length: int | None = None) -> float:
+    """Places of the backbone that observed b and y fragments (b3, y7, ...) both cover.
+
+    A b fragment covers the residues before its number, a y fragment those after it; without a
+    length the longest fragment of all counts as the peptide's.
+    """
+    b, y = ([int(n[1:]) for n, s in zip(names, seen) if s and n[:1] == t and n[1:].isdigit()] for t in "by")
+    if not b or not y:
+        return 0.0
+    length = length or 1 + max(int(n[1:]) for n in names if n[:1] in "by" and n[1:].isdigit())
+    return float(max(max(b) + max(y) - length, 0))
 
 
-FEATURES = ("n_fragments", "log_intensity", "height", "area", "base_width", "fwhm", "mean_correlation", "top3_correlation", "median_correlation", "mass_error", "library_cosine", "peak_shift", "share_observed")
+def correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """Correlation, 0 where either side does not vary."""
+    return float(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() > 0 and y.std() > 0 else 0.0
 
 
 def score_candidates(traces: DataFrame, candidates: DataFrame, library: DataFrame) -> DataFrame:
@@ -131,21 +171,23 @@ def score_candidates(traces: DataFrame, candidates: DataFrame, library: DataFram
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         table, names, first = dense(pdf)
-        weight = pdf.groupby("fragment")["intensity_library"].first().loc[names].to_numpy()
-        profile = table.sum(0)
-        total = table.sum(1)
-        varied = table.std(1) > 0
-        r = np.zeros(len(table))
-        if varied.any() and profile.std() > 0:
-            r[varied] = [np.corrcoef(x, profile)[0, 1] for x in table[varied]]
+        by_name = pdf.groupby("fragment")
+        weight = by_name["intensity_library"].first().loc[names].to_numpy()
+        profile, total = table.sum(0), table.sum(1)
+        r = np.array([correlation(x, profile) for x in table])
         top = np.argsort(-weight, kind="stable")[:3]
-        error = ((pdf["mz"] - pdf["mz_library"]) / pdf["mz_library"] * 1e6).to_numpy()
+        kind = np.array([str(n)[:1] for n in names])
+        pdf = pdf.assign(error=((pdf["mz"] - pdf["mz_library"]) / pdf["mz_library"] * 1e6).abs())
+        error = by_name.ngroup()
+        weighted = lambda rows: float(np.average(rows["error"], weights=rows["intensity"])) if rows["intensity"].sum() > 0 else 0.0
         centre = int(pdf["cycle_center"].iloc[0]) - first
+        of = lambda values, which: float(values[which].mean()) if which.any() else 0.0
+        ends = (profile[0] + profile[-1]) / 2
         values = (
-            len(table), float(np.log1p(total.sum())), float(profile.max()), float(((profile[1:] + profile[:-1]) / 2).sum()),
-            float(pdf["cycle_stop"].iloc[0] - pdf["cycle_start"].iloc[0]), float((profile > profile.max() / 2).sum()), float(r.mean()), float(r[top].mean()), float(np.median(r)),
-            float(np.average(np.abs(error), weights=pdf["intensity"])) if pdf["intensity"].sum() > 0 else 0.0,
-            float(weight @ total / (np.linalg.norm(weight) * np.linalg.norm(total) + 1e-4)), float(int(profile.argmax()) - centre), float((total > 0).mean()),
+            len(table), np.log1p(total.sum()), profile.max(), ((profile[1:] + profile[:-1]) / 2).sum(), pdf["cycle_stop"].iloc[0] - pdf["cycle_start"].iloc[0], (profile > profile.max() / 2).sum(),
+            r.mean(), r[top].mean(), np.median(r), weighted(pdf), weight @ total / (np.linalg.norm(weight) * np.linalg.norm(total) + 1e-4), int(profile.argmax()) - centre, (total > 0).mean(),
+            correlation(weight, total), weighted(pdf[error.isin(top)]), of(r, kind == "b"), of(r, kind == "y"), np.log1p(total[kind == "b"].sum()), np.log1p(total[kind == "y"].sum()),
+            overlap_by(names.astype(str), total > 0), (r > 0.5).sum(), correlation(weight, table.max(1)), np.log1p(profile.max()) - np.log1p(ends),
         )
         return pd.DataFrame([(int(pdf["precursor_idx"].iloc[0]), int(pdf["rank"].iloc[0]), *map(float, values))], columns=["precursor_idx", "rank", *FEATURES])
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.sources.shared import Scratch
+
 from .joins import band_join
 
 
@@ -20,12 +24,14 @@ def overlapping_pairs(psm: DataFrame, frag: DataFrame, *, ppm: float = 15.0, rt:
     """Pairs (better, worse) of one window with close retention times and shared fragments.
 
     ``psm`` has window_idx, id, rt and proba; ``frag`` has id and mz. Fragments are paired by a
-    binned tolerance join inside windows, so pairs without a common fragment never appear.
+    binned tolerance join inside windows and cells of time, so pairs without a common fragment
+    or far apart in time never appear.
     """
+    cell = F.floor(F.col("rt") / rt)
     rows = frag.join(psm.select("id", "window_idx", "rt", "proba"), "id")
-    one = rows.select("window_idx", *(F.col(c).alias(f"{c}_1") for c in ("id", "mz", "rt", "proba")))
-    two = rows.select("window_idx", *(F.col(c).alias(f"{c}_2") for c in ("id", "mz", "rt", "proba")))
-    pairs = band_join(one, two, "mz_1", "mz_2", ppm=ppm, on=["window_idx"])
+    one = rows.select("window_idx", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"), *(F.col(c).alias(f"{c}_1") for c in ("id", "mz", "rt", "proba")))
+    two = rows.select("window_idx", cell.alias("_cell"), *(F.col(c).alias(f"{c}_2") for c in ("id", "mz", "rt", "proba")))
+    pairs = band_join(one, two, "mz_1", "mz_2", ppm=ppm, on=["window_idx", "_cell"])
     better = F.struct("proba_1", "id_1") < F.struct("proba_2", "id_2")
     near = pairs.where(better & (F.abs(F.col("rt_1") - F.col("rt_2")) < rt))
     counted = near.groupBy("window_idx", "id_1", "id_2", "proba_1", "proba_2").agg(F.count("*").alias("n"))
@@ -33,7 +39,7 @@ def overlapping_pairs(psm: DataFrame, frag: DataFrame, *, ppm: float = 15.0, rt:
 
 
 def survivors(pairs: list[tuple], order: list) -> set:
-    """Ids that stay when, best first, each one still valid removes the worse ones it overlaps."""
+    """Ids that go when, best first, each one still valid removes the worse ones it overlaps."""
     below: dict = {}
     for better, worse in pairs:
         below.setdefault(better, []).append(worse)
@@ -44,18 +50,33 @@ def survivors(pairs: list[tuple], order: list) -> set:
     return gone
 
 
-def compete(psm: DataFrame, frag: DataFrame, **settings) -> DataFrame:
-    """``psm`` without the rows that lose their fragments to a better one of the same window.
+def lost_ids(pairs: DataFrame, *, most: int = 500_000) -> DataFrame:
+    """Ids that a better one removes, as if all were visited one after the other, best first.
 
-    Only ids that occur in an overlapping pair reach the greedy pass of a window.
+    In a round, ids without a live better rival stay and their worse rivals go, which is what
+    the visit in order does too; pairs of ids that went are dropped. Once ``most`` pairs are
+    left, one task visits them in order.
     """
-    pairs = overlapping_pairs(psm, frag, **settings)
+    scratch = Scratch(pairs.sparkSession, "compete")
+    live = scratch.save(pairs.select("better", "worse", "proba").distinct())
+    kind = dict(live.dtypes)["better"]
+    lost = []
+    while live.count() > most:
+        tops = live.select("better").distinct().join(live.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        gone = scratch.save(live.join(tops, "better").select(F.col("worse").alias("id")).distinct())
+        lost.append(gone)
+        rest = live.join(gone.withColumnRenamed("id", "better"), "better", "left_anti").join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti")
+        before, live = live, scratch.save(rest)
+        scratch.drop(before)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values(["proba", "better"])["better"].drop_duplicates().tolist()
-        gone = survivors(list(zip(pdf["better"], pdf["worse"])), order)
-        return pd.DataFrame({"id": sorted(gone)})
+        return pd.DataFrame({"id": sorted(survivors(list(zip(pdf["better"], pdf["worse"])), order))})
+
+    last = live.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(visit, f"id {kind}")  # at most ``most`` rows
+    return reduce(DataFrame.union, lost, last)
+
 
-    kind = dict(psm.dtypes)["id"]
-    lost = pairs.groupBy("window_idx").applyInPandas(solve, f"id {kind}")
-    return psm.join(lost, "id", "left_anti")
+def compete(psm: DataFrame, frag: DataFrame, *, most: int = 500_000, **settings) -> DataFrame:
+    """``psm`` without the rows that lose their fragments to a better one of the same window."""
+    return psm.join(lost_ids(overlapping_pairs(psm, frag, **settings), most=most), "id", "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+from collections import Counter
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -9,27 +13,39 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.sources.shared import Scratch
+
 from .aggregates import any_null, protein_features
 from .ranking import keep_best, q_values
 
 
-def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, train_share: float = 0.8, out: str = "proba") -> DataFrame:
-    """Add the probability that a row is a decoy.
+def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, folds: int = 2, iterations: int = 15, out: str = "proba") -> DataFrame:
+    """Rows with the probability that each is a decoy; rows that lack a feature are dropped.
 
-    A perceptron learns on a hashed share of the rows and scores all of them. Rows that lack a
-    feature get probability 1.
+    Rows fall into hashed folds, and each fold is scored by a perceptron that learned on the
+    others, so that no row's own label speaks for it; few ``iterations`` keep it from learning
+    single rows by heart. Where the others lack one of the classes,
+    all rows are learned from. Targets and decoys should be about as many; a warning tells if not.
     """
-    known = df.where(~any_null(features))
-    share = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1000)) < int(1000 * train_share)
+    scratch = Scratch(df.sparkSession, "classify")
+    fold = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(folds)).cast("int")
+    known = scratch.save(df.where(~any_null(features)).withColumn("_y", F.col(decoy).cast("double")).withColumn("_fold", fold))
+    counts = Counter({(r["_fold"], r["_y"]): r["count"] for r in known.groupBy("_fold", "_y").count().collect()})
+    decoys, targets = (sum(n for (_, y), n in counts.items() if y == label) for label in (1.0, 0.0))
+    if abs(decoys - targets) > 0.1 * (decoys + targets) / 2:
+        warnings.warn(f"{targets} targets and {decoys} decoys are far from equal in number", stacklevel=2)
     stages = [
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
-        MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(features), *layers, 2], seed=seed, maxIter=60, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c"),
+        MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(features), *layers, 2], seed=seed, maxIter=iterations, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c"),
     ]
-    known = known.withColumn("_y", F.col(decoy).cast("double"))
-    model = Pipeline(stages=stages).fit(known.where(share))
-    scored = model.transform(known).withColumn(out, vector_to_array("_p")[1]).select(*df.columns, out)
-    return scored.unionByName(df.where(any_null(features)).withColumn(out, F.lit(1.0)))
+    parts = []
+    for f in range(folds):
+        others = all(sum(n for (g, y), n in counts.items() if g != f and y == label) for label in (0.0, 1.0))
+        if any(counts[f, y] for y in (0.0, 1.0)):
+            model = Pipeline(stages=stages).fit(known.where(F.col("_fold") != f) if others else known)
+            parts.append(model.transform(known.where(F.col("_fold") == f)).withColumn(out, vector_to_array("_p")[1]).select(*df.columns, out))
+    return reduce(DataFrame.unionByName, parts) if parts else known.select(*df.columns, F.lit(1.0).alias(out))
 
 
 def control(df: DataFrame, features: list[str], *, keys: list[str], idx: str = "precursor_idx", decoy: str = "decoy", least: int = 20, seed: int = 0) -> DataFrame:
@@ -54,19 +70,20 @@ def control_by_channel(df: DataFrame, features: list[str], channels: list[int],
             both = df.where((F.col("channel") == c) | (F.col("channel") == decoy_channel))
             rows = both.where(F.col("decoy") == 0).withColumn("decoy", (F.col("channel") == decoy_channel).cast("int"))
         parts.append(control(rows, features, **settings))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def protein_control(psm: DataFrame, *, seed: int = 42) -> DataFrame:
-    """Add pg_qval: q-values of protein groups from features of their rows, joined back."""
+def protein_control(psm: DataFrame, *, seed: int = 42, least: int = 20) -> DataFrame:
+    """Add pg_qval: q-values of protein groups from features of their rows, joined back.
+
+    With fewer than ``least`` targets or decoys to learn from, a group's best row is its score.
+    """
     features = protein_features(psm)
     numbers = ["n_precursors", "n_peptides", "n_runs", "mean_score", "best_score", "worst_score", "n_rows"]
     counts = {r["decoy"]: r["count"] for r in features.groupBy("decoy").count().collect()}
     if len(counts) < 2:
         return psm.withColumn("pg_qval", F.lit(0.0 if counts.get(0) else 1.0))
     scale = counts[0] / counts[1]
-    scored = q_values(classify(features, numbers, "decoy", seed=seed), "proba", "decoy", ["pg"], scale=scale)
+    learned = classify(features, numbers, "decoy", seed=seed) if min(counts.values()) >= least else features.withColumn("proba", F.col("best_score"))
+    scored = q_values(learned, "proba", "decoy", ["pg"], scale=scale)
     return psm.join(scored.select("pg", "decoy", F.col("qval").alias("pg_qval")), ["pg", "decoy"], "left")

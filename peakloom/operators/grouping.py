@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.sources.shared import Scratch
 
-from .components import connected_components
 from .ranking import keep_best
 
 
-def greedy_cover(sets: list[tuple[int, list[str], int]]) -> dict[int, str]:
+def greedy_cover(sets: list[tuple[int, list[str], int]], first: dict[str, tuple] | None = None) -> dict[int, str]:
     """Master id of each set (key, ids in order, weight), by repeated choice of the largest id.
 
-    The id with the most uncovered weight is taken, the first seen on ties; its sets leave.
+    The id with the most uncovered weight is taken; ties go to the smallest ``first`` (the
+    order of first sight where none is given). Its sets leave.
     """
-    members: dict[str, dict[int, int]] = {}
+    members: dict[str, dict[int, int]] = {i: {} for i in sorted(first or (), key=(first or {}).get)}
     for key, ids, weight in sets:
         for i in ids:
             members.setdefault(i, {})[key] = weight
@@ -36,11 +38,46 @@ def greedy_cover(sets: list[tuple[int, list[str], int]]) -> dict[int, str]:
     return out
 
 
-def infer_groups(df: DataFrame, *, idx: str = "precursor_idx", ids: str = "proteins", decoy: str = "decoy", strategy: str = "heuristic") -> DataFrame:
+def cover(sets: DataFrame, *, most: int = 1_000_000) -> DataFrame:
+    """Masters (part, key, master) of ``sets`` (part, key, list, n), as greedy_cover chooses them in each part.
+
+    In a round, every id that is the largest in all of its uncovered sets takes them: weights
+    only fall, so it would be taken before any id that shares a set with it. Once ``most`` pairs
+    of set and id are left, one task per part takes the rest in order.
+    """
+    scratch = Scratch(sets.sparkSession, "cover")
+    pairs = scratch.save(sets.select("part", "key", "n", F.posexplode("list").alias("pos", "id")).groupBy("part", "key", "id").agg(F.min("pos").alias("pos"), F.first("n").alias("n")))
+    seen = pairs.groupBy("part", "id").agg(F.min(F.struct("key", "pos")).alias("first"))
+    left = scratch.save(pairs.join(seen, ["part", "id"]).select("part", "key", "id", "n", "first"))
+    scratch.drop(pairs)
+    done = []
+    while left.count() > most:
+        weights = left.groupBy("part", "id").agg(F.sum("n").alias("w"))
+        ranked = left.join(weights, ["part", "id"])
+        rank = F.struct("w", -F.col("first.key"), -F.col("first.pos"))
+        top = scratch.save(ranked.groupBy("part", "key").agg(F.max_by("id", rank).alias("master")))
+        taken = left.join(top, ["part", "key"]).groupBy("part", F.col("id").alias("master")).agg(F.every(F.col("id") == F.col("master")).alias("all")).where("all")
+        found = scratch.save(top.join(taken.select("part", "master"), ["part", "master"], "left_semi").select("part", "key", "master"))
+        done.append(found)
+        before, left = left, scratch.save(left.join(found, ["part", "key"], "left_anti"))
+        scratch.drop(before, top)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        ids = pdf.groupby("key", sort=True).agg(ids=("id", list), n=("n", "first"))
+        first = dict(zip(pdf["id"], zip(pdf["first_key"], pdf["first_pos"])))
+        masters = greedy_cover(list(zip(ids.index.tolist(), ids["ids"], ids["n"].tolist())), first)
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "key": list(masters), "master": list(masters.values())})
+
+    rest = left.select("part", "key", "id", "n", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos"))
+    last = rest.groupBy("part").applyInPandas(solve, f"part {dict(left.dtypes)['part']}, key long, master string")  # at most ``most`` rows
+    return reduce(DataFrame.union, done, last)
+
+
+def infer_groups(df: DataFrame, *, idx: str = "precursor_idx", ids: str = "proteins", decoy: str = "decoy", strategy: str = "heuristic", most: int = 1_000_000) -> DataFrame:
     """Add pg_master and pg to rows of (idx, ids joined by ;, decoy).
 
-    Targets and decoys are covered apart. Precursors with the same ids are one weighted set;
-    sets fall into connected components of ids, and each component is solved on its own.
+    Targets and decoys are covered apart. Precursors with the same ids are one weighted set.
     Strategy heuristic gives pg the row's ids that are masters of targets or decoys;
     maximum_parsimony gives it the master; library keeps the ids.
     """
@@ -50,19 +87,9 @@ def infer_groups(df: DataFrame, *, idx: str = "precursor_idx", ids: str = "prote
         return df.withColumn("pg_master", F.col(ids)).withColumn("pg", F.col(ids))
     scratch = Scratch(df.sparkSession, "grouping")
     one = keep_best(df.select(idx, ids, decoy), [idx], [ids])
-    sets = scratch.save(one.groupBy(ids, decoy).agg(F.min(idx).cast("long").alias("key"), F.count("*").alias("n")).withColumn("list", F.split(ids, ";")))
-    name = lambda c: F.xxhash64(c, decoy)
-    edges = sets.select(decoy, F.col("list")[0].alias("a"), F.explode("list").alias("b")).select(name("a").alias("u"), name("b").alias("v"))
-    parts = scratch.save(connected_components(edges, scratch))
-    placed = sets.withColumn("u", name(F.col("list")[0])).join(parts, "u", "left").withColumn("part", F.coalesce("component_id", "u"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        masters = greedy_cover(list(zip(pdf["key"], map(list, pdf["list"]), pdf["n"])))
-        return pd.DataFrame({ids: pdf[ids], decoy: pdf[decoy], "pg_master": pdf["key"].map(masters)})
-
-    schema = f"{ids} string, {decoy} {dict(df.dtypes)[decoy]}, pg_master string"
-    solved = scratch.save(placed.groupBy(decoy, "part").applyInPandas(solve, schema))
+    sets = scratch.save(one.groupBy(ids, F.col(decoy).alias("part")).agg(F.min(idx).cast("long").alias("key"), F.count("*").alias("n")).withColumn("list", F.split(ids, ";")))
+    masters = cover(sets, most=most)
+    solved = scratch.save(sets.join(masters, ["part", "key"]).select(F.col(ids), F.col("part").alias(decoy), F.col("master").alias("pg_master")))
     if strategy == "maximum_parsimony":
         return df.join(solved, [ids, decoy], "left").withColumn("pg", F.col("pg_master"))
     masters = solved.select(F.col("pg_master").alias("id")).distinct()

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import rank_or_quality
@@ -37,7 +35,7 @@ def merge_levels(psm: DataFrame, matrices: dict[str, tuple[str, DataFrame]], run
     return psm
 
 
-def align_runs(long: DataFrame, ion: str, run: str, value: str, *, sample: int = 50_000) -> DataFrame:
+def align_runs(long: DataFrame, ion: str, run: str, value: str) -> DataFrame:
     """Shift log2 values of each run to the median of its differences from the ions' means.
 
     Ions seen in at least two runs take part; means come from all of them.
@@ -45,47 +43,35 @@ def align_runs(long: DataFrame, ion: str, run: str, value: str, *, sample: int =
     logs = long.where(F.col(value) > 0).withColumn("_log", F.log2(value))
     means = logs.groupBy(ion).agg(F.avg("_log").alias("_mean"), F.count("*").alias("_n")).where("_n > 1").select(ion, "_mean")
     shift = logs.join(means, ion).groupBy(run).agg(F.median(F.col("_log") - F.col("_mean")).alias("_shift"))
-    return logs.join(F.broadcast(shift), run, "left").withColumn("_log", F.col("_log") - F.coalesce("_shift", F.lit(0.0))).drop("_shift")
+    return logs.join(shift, run, "left").withColumn("_log", F.col("_log") - F.coalesce("_shift", F.lit(0.0))).drop("_shift")
 
 
-def ratio_profile(table: np.ndarray) -> np.ndarray:
-    """Run profile of one group from a matrix of log values (ions x runs, NaN where unseen).
+def run_profiles(logs: DataFrame, group: str, ion: str, run: str, *, rounds: int = 4) -> DataFrame:
+    """Median polish of log values in each group: (group, ion, run, _log, _profile).
 
-    Ions are shifted onto a growing consensus in order of how complete they are, each by the
-    median difference where both are seen; the profile is the median of shifted ions, scaled
-    to the ions' total.
+    Ions shift to the profile by their median difference from it, and a run's profile is the
+    median of the shifted ions, in turns. A window holds the runs of an ion, or the ions of one
+    run of a group, so a large group is spread over its ions and its runs.
     """
-    order = np.argsort(-np.isfinite(table).sum(1), kind="stable")
-    done: list[np.ndarray] = []
-    for i in order:
-        row = table[i].copy()
-        if done:
-            with np.errstate(all="ignore"):
-                consensus = np.nanmedian(np.stack(done), 0) if len(done) > 1 else done[0]
-                gap = consensus - row
-            if not np.isfinite(gap).any():
-                continue
-            row += np.nanmedian(gap)
-        done.append(row)
-    stacked = np.stack(done)
-    seen = np.isfinite(stacked).any(0)
-    profile = np.full(table.shape[1], np.nan)
-    profile[seen] = np.nanmedian(stacked[:, seen], 0)
-    total = np.log2(np.nansum(2.0**table))
-    return profile - np.log2(np.nansum(2.0 ** profile[seen])) + total
-
-
-def label_free(long: DataFrame, group: str, ion: str, run: str, value: str, *, least: int = 1) -> DataFrame:
-    """Intensity per group and run from the ratios of its ions: (group, run, intensity)."""
-    aligned = align_runs(long, ion, run, value).select(group, F.col(ion).cast("string").alias(ion), run, "_log")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=ion, columns=run, values="_log", aggfunc="max")
-        if len(wide) < least:
-            return pd.DataFrame({group: [], run: [], "intensity": []})
-        profile = ratio_profile(wide.to_numpy())
-        keep = np.isfinite(profile)
-        return pd.DataFrame({group: pdf[group].iloc[0], run: wide.columns[keep], "intensity": 2.0 ** profile[keep]})
-
-    kinds = dict(aligned.dtypes)
-    return aligned.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, {run} {kinds[run]}, intensity double")
+    ions, runs = Window.partitionBy(group, ion), Window.partitionBy(group, run)
+    rows = logs.withColumn("_profile", F.lit(0.0))
+    for _ in range(rounds):
+        rows = rows.withColumn("_shift", F.median(F.col("_log") - F.col("_profile")).over(ions))
+        rows = rows.withColumn("_profile", F.median(F.col("_log") - F.col("_shift")).over(runs))
+    return rows.drop("_shift")
+
+
+def label_free(long: DataFrame, group: str, ion: str, run: str, value: str, *, least: int = 1, rounds: int = 4) -> DataFrame:
+    """Intensity per group and run from the ratios of its ions: (group, run, intensity).
+
+    Profiles are scaled so that a group keeps the total of its aligned ions. Groups of fewer
+    than ``least`` ions are left out; repeated rows of an ion and run count as the largest.
+    """
+    aligned = align_runs(long, ion, run, value).groupBy(group, ion, run).agg(F.max("_log").alias("_log"))
+    profiles = run_profiles(aligned, group, ion, run, rounds=rounds)
+    by_run = profiles.groupBy(group, run).agg(F.first("_profile").alias("_profile"), F.sum(F.pow(F.lit(2.0), F.col("_log"))).alias("_sum"))
+    whole = Window.partitionBy(group)  # a row per run
+    scaled = by_run.withColumn("intensity", F.pow(F.lit(2.0), F.col("_profile")) * F.sum("_sum").over(whole) / F.sum(F.pow(F.lit(2.0), F.col("_profile"))).over(whole))
+    if least > 1:
+        scaled = scaled.join(aligned.groupBy(group).agg(F.countDistinct(ion).alias("_n")).where(F.col("_n") >= least), group, "left_semi")
+    return scaled.select(group, run, "intensity")

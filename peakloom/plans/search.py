@@ -9,14 +9,16 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.functions.scalars import safe_pearson
 from peakloom.operators.aggregates import fdr_summary, run_statistics
-from peakloom.operators.candidates import FEATURES, Selection, extract_traces, score_candidates, select
+from peakloom.operators.candidates import FEATURES, Selection, extract_traces, isotope_traces, score_candidates, select
 from peakloom.operators.competition import compete
 from peakloom.operators.fdr import control, protein_control
 from peakloom.operators.grouping import infer_groups
-from peakloom.operators.joins import only_keys
+from peakloom.operators.joins import window_index
 from peakloom.operators.library import match_between_runs
 from peakloom.operators.quantify import accumulate, filter_ions, label_free, merge_levels
+from peakloom.sources.shared import Scratch
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,9 @@ class Settings:
     inference: str = "heuristic"
     top_ions: int = 12
     ion_quality: float = 0.5
+    windows: tuple[tuple[float, float], ...] = ()  # isolation windows of one cycle
+    cycle_seconds: float = 1.0
+    rt_tolerance: float = 3.0
 
 
 def observable(library: DataFrame, spectra: DataFrame) -> DataFrame:
@@ -37,39 +42,51 @@ def observable(library: DataFrame, spectra: DataFrame) -> DataFrame:
     return library.join(F.broadcast(limits), F.col("mz_library").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")  # limits is one row
 
 
-def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Scored rows of one run and their fragment intensities.
+def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame, settings: Settings, *, ms1: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of one run and their fragment intensities with each fragment's correlation.
 
-    ``precursors`` has precursor_idx, decoy, proteins, sequence; ``fragments`` precursor_idx,
-    fragment, mz_library, intensity_library; ``peaks`` cycle, mz, intensity.
+    ``precursors`` has precursor_idx, decoy, proteins, sequence, and mz and charge where
+    ``ms1`` peaks or isolation windows are to be used; ``fragments`` precursor_idx, fragment,
+    mz_library, intensity_library; ``peaks`` and ``ms1`` cycle, mz, intensity. Precursors compete
+    inside the isolation window of their m/z, within ``rt_tolerance`` seconds.
     """
-    traces = extract_traces(peaks, fragments, ppm=settings.selection.ppm)
-    picked = select(traces, settings.selection)
-    scored = score_candidates(traces, picked, fragments).join(picked.select("precursor_idx", "rank", "cycle_start", "cycle_center", "cycle_stop"), ["precursor_idx", "rank"])
-    rows = scored.join(precursors, "precursor_idx")
-    psm = control(rows, list(FEATURES), keys=["precursor_idx"])
+    scratch = Scratch(peaks.sparkSession, "search")
+    traces = scratch.save(extract_traces(peaks, fragments, ppm=settings.selection.ppm))
+    isotopes = None if ms1 is None else isotope_traces(ms1, precursors, ppm=settings.selection.ppm, n=settings.selection.isotopes)
+    picked = scratch.save(select(traces, settings.selection, isotopes))
+    scored = score_candidates(traces, picked, fragments).join(picked, ["precursor_idx", "rank"])
+    rows = scratch.save(scored.join(precursors, "precursor_idx").withColumn("rt", F.col("cycle_center") * settings.cycle_seconds))
+    psm = control(rows, [*FEATURES, "score"], keys=["precursor_idx"])
     if settings.compete:
-        named = psm.withColumn("id", F.col("precursor_idx")).withColumn("window_idx", F.col("cycle_center")).withColumn("rt", F.col("cycle_center").cast("double"))
-        psm = compete(named, fragments.select(F.col("precursor_idx").alias("id"), F.col("mz_library").alias("mz"))).drop("id", "window_idx", "rt")
-    psm = psm.where(F.col("qval") <= settings.fdr).withColumn("run", F.lit(run))
+        placed = window_index(psm, "mz", list(settings.windows)) if settings.windows else psm.withColumn("window_idx", F.lit(0))
+        named = scratch.save(placed.withColumn("id", F.col("precursor_idx")))
+        psm = compete(named, fragments.select(F.col("precursor_idx").alias("id"), F.col("mz_library").alias("mz")), rt=settings.rt_tolerance).drop("id", "window_idx")
+    psm = scratch.save(psm.where(F.col("qval") <= settings.fdr).withColumn("run", F.lit(run)))
     inside = traces.join(psm.select("precursor_idx", "cycle_start", "cycle_stop"), "precursor_idx").where(F.col("cycle").between(F.col("cycle_start"), F.col("cycle_stop")))
-    frag = inside.groupBy("precursor_idx", "fragment").agg(F.sum("intensity").alias("intensity"), F.max("intensity").alias("height")).withColumn("run", F.lit(run))
-    return psm, frag
+    profile = inside.groupBy("precursor_idx", "cycle").agg(F.sum("intensity").alias("profile"))
+    frag = inside.join(profile, ["precursor_idx", "cycle"]).groupBy("precursor_idx", "fragment").agg(
+        F.sum("intensity").alias("intensity"), F.max("intensity").alias("height"), safe_pearson("intensity", "profile").alias("correlation")
+    )
+    return psm, frag.withColumn("run", F.lit(run))
 
 
 def combine(psm: DataFrame, frag: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """Results over all runs: rows with groups and quantities, matrices, summaries."""
-    grouped = protein_control(infer_groups(psm, strategy=settings.inference).withColumn("genes", F.col("proteins")))
+    """Results over all runs: rows with groups and quantities, matrices, summaries.
+
+    Ions are filtered by the correlation that the search gave them.
+    """
+    scratch = Scratch(psm.sparkSession, "combine")
+    grouped = scratch.save(protein_control(infer_groups(psm, strategy=settings.inference).withColumn("genes", F.col("proteins"))))
     found = grouped.where(F.col("pg_qval") <= settings.fdr).where("decoy = 0")
     keys = found.select("precursor_idx", "run", "pg", "sequence").distinct()
-    ions = only_keys(frag, keys, ["precursor_idx", "run"]).join(keys, ["precursor_idx", "run"])
-    ions = ions.withColumn("ion", F.concat_ws(":", "precursor_idx", "fragment")).withColumn("quality", F.lit(1.0))
+    ions = scratch.save(frag.join(keys, ["precursor_idx", "run"]).withColumn("ion", F.concat_ws(":", "precursor_idx", "fragment")))
+    runs = found.select("run").distinct()
+    names = sorted(r["run"] for r in runs.collect())  # one row per run
     matrices = {}
     for level, key in (("precursor", "precursor_idx"), ("peptide", "sequence"), ("pg", "pg")):
-        kept = filter_ions(ions, key, "ion", "quality", top_n=settings.top_ions, min_quality=settings.ion_quality)
+        kept = filter_ions(ions, key, "ion", "correlation", top_n=settings.top_ions, min_quality=settings.ion_quality)
         long = label_free(kept, key, "ion", "run", "intensity")
-        matrices[level] = (key, accumulate(long, [key], "run", "intensity"))
-    runs = found.select("run").distinct()
+        matrices[level] = (key, scratch.save(accumulate(long, [key], "run", "intensity", names)))
     stats = run_statistics(found.withColumns({"channel": F.lit(0), "cycle_fwhm": F.col("fwhm"), "mobility_fwhm": F.lit(0.0)}), runs, [0])
     return {"precursors": merge_levels(found, matrices), "stats": stats, "fdr": fdr_summary(grouped, ["run"])} | {f"{k}_matrix": m for k, (_, m) in matrices.items()}
 

@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from peakloom.operators import aggregates, calibrate, candidates, competition, f
 from peakloom.operators.components import connected_components
 from peakloom.plans.search import Settings, combine, merge_config, search_run
 from peakloom.sources import spectra, tables
-from peakloom.sources.shared import Scratch
+from peakloom.sources.shared import Scratch, shared_dir
 from peakloom.streaming import accumulate
 
 
@@ -21,38 +22,75 @@ def frame(spark, **columns):
 
 
 def test_keep_best(spark):
-    df = frame(spark, proba=[0.1 * i for i in range(1, 10)], precursor_idx=[0, 0, 0, 1, 1, 1, 2, 2, 2], channel=[0, 0, 1, 0, 1, 1, 0, 0, 1])
-    best = lambda keys: sorted(round(r["proba"], 1) for r in ranking.keep_best(df, keys, ["proba"]).collect())
-    assert best(["precursor_idx"]) == [0.1, 0.4, 0.7]
-    assert best(["channel", "precursor_idx"]) == [0.1, 0.3, 0.4, 0.5, 0.7, 0.9]
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame({"proba": rng.permutation(400) / 400, "precursor_idx": rng.integers(0, 60, 400), "channel": rng.integers(0, 3, 400)})
+    for keys in (["precursor_idx"], ["channel", "precursor_idx"]):
+        for n in (1, 3):
+            want = pdf.sort_values("proba").groupby(keys).head(n)
+            got = ranking.keep_best(spark.createDataFrame(pdf), keys, ["proba"], n).toPandas()
+            assert sorted(got.proba) == sorted(want.proba)
+
+
+def plain_q_values(rows):
+    """q-values of (score, decoy) in order, by their definition."""
+    ratios, t, d = [], 0, 0
+    for _, decoy in rows:
+        t, d = t + (not decoy), d + decoy
+        ratios.append(d / t if t else ranking.NO_TARGET)
+    return [min(ratios[i:]) for i in range(len(rows))]
 
 
 def test_q_values(spark):
-    df = frame(spark, i=list(range(10)), proba=[0.1 * k for k in range(1, 11)], decoy=[0, 0, 0, 1, 0, 0, 1, 1, 1, 1])
-    got = [round(r["qval"], 3) for r in ranking.q_values(df, "proba", "decoy", ["i"]).orderBy("i").collect()]
-    assert got == [0, 0, 0, 0.2, 0.2, 0.2, 0.4, 0.6, 0.8, 1.0]
+    rng = np.random.default_rng(11)
+    for n, values in ((1, 5), (300, 40), (300, 10_000)):
+        rows = sorted((int(rng.integers(values)) / values, int(rng.random() < 0.3)) for _ in range(n))
+        df = frame(spark, i=list(range(n)), proba=[r[0] for r in rows], decoy=[r[1] for r in rows])
+        got = [r["qval"] for r in ranking.q_values(df, "proba", "decoy", ["i"]).orderBy("i").collect()]
+        assert np.allclose(got, plain_q_values(rows))
     first = frame(spark, i=[0, 1], proba=[0.1, 0.2], decoy=[1, 1])
     assert {r["qval"] for r in ranking.q_values(first, "proba", "decoy", ["i"]).collect()} == {ranking.NO_TARGET}
 
 
-@pytest.mark.parametrize(
-    ("proteins", "master", "group"),
-    [
-        (["A", "A", "B", "B"], "A A B B", "A A B B"),
-        (["A", "A;B", "A;B", "B"], "A A A B", "A A;B A;B B"),
-        (["A;B"] * 4, "A A A A", "A A A A"),
-        (["A", "A;B", "A;B", "A;B"], "A A A A", "A A A A"),
-        (["A", "A;B", "B;C", "C"], "A A C C", "A A C C"),
-        (["A;B", "A;B;C", "A;B;C", "A;C"], "A A A A", "A A A A"),
-        (["A;B;C", "B;C;D", "C;D;E", "D;E;A"], "C C C A", "A;C C C A"),
-        (["P1;P2;P3;P4", "P1;P4", "P2", "P2;P5"], "P2 P1 P2 P2", "P1;P2 P1 P2 P2"),
-    ],
-)
-def test_protein_grouping(spark, proteins, master, group):
-    df = frame(spark, precursor_idx=list(range(len(proteins))), proteins=proteins, decoy=[0] * len(proteins))
-    rows = grouping.infer_groups(df).orderBy("precursor_idx").collect()
-    assert [r["pg_master"] for r in rows] == master.split() and [r["pg"] for r in rows] == group.split()
-    assert [r["pg"] for r in grouping.infer_groups(df, strategy="maximum_parsimony").orderBy("precursor_idx").collect()] == master.split()
+def test_q_values_take_linear_time(spark):
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("i"), (F.xxhash64("id") % 100_000 / 100_000).alias("proba"), (F.col("id") % 3 == 0).cast("int").alias("decoy"))
+    began = time.time()
+    ranking.q_values(df, "proba", "decoy", ["i"]).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 60  # a quadratic pass over two blocks of 100,000 rows takes minutes
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 1000):
+        x = rng.integers(0, 50, n) / 7
+        shares = [0.0, 0.001, 0.3, 0.5, 0.975, 1.0]
+        assert np.allclose(ranking.quantiles(frame(spark, x=x), "x", shares), np.quantile(x, shares))
+    none = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert ranking.quantiles(none, "x", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("most", [0, 30, 1000])
+def test_protein_grouping(spark, most):
+    rng = np.random.default_rng(13)
+    lists = [";".join(f"P{p:02d}" for p in rng.choice(25, int(rng.integers(1, 5)), replace=False)) for _ in range(120)]
+    decoy = [int(x) for x in rng.random(120) < 0.3]
+    df = frame(spark, precursor_idx=list(range(120)), proteins=lists, decoy=decoy)
+    master = {}
+    for side in (0, 1):  # repeated choice of the id with most uncovered rows, the first seen on ties
+        open_ = {i: lists[i].split(";") for i in range(120) if decoy[i] == side}
+        seen = list(dict.fromkeys(p for ids in open_.values() for p in ids))
+        while open_:
+            best = max(seen, key=lambda p: (sum(p in ids for ids in open_.values()), -seen.index(p)))  # noqa: B023
+            for i in [i for i, ids in open_.items() if best in ids]:
+                master[i] = best
+                del open_[i]
+    chosen = set(master.values())
+    rows = grouping.infer_groups(df, most=most).orderBy("precursor_idx").collect()
+    assert [r["pg_master"] for r in rows] == [master[i] for i in range(120)]
+    assert [r["pg"] for r in rows] == [";".join(sorted(set(ids.split(";")) & chosen)) for ids in lists]
+    if most == 1000:
+        parsimony = grouping.infer_groups(df, strategy="maximum_parsimony").orderBy("precursor_idx").collect()
+        assert [r["pg"] for r in parsimony] == [master[i] for i in range(120)]
 
 
 def test_components(spark):
@@ -69,34 +107,53 @@ def test_components(spark):
 
 
 def test_fragment_overlap():
-    x = np.arange(100.0, 1001.0, 100)
-    assert competition.shared_fragments(x, x, 10) == 10 and competition.shared_fragments(x, np.array([100.0]), 10) == 1
-    assert competition.shared_fragments(x, np.array([]), 10) == 0 and competition.shared_fragments(x, x + 1, 10) == 0
-
-
-def test_competition(spark):
-    psm = frame(spark, id=list(range(6)), window_idx=[0, 0, 0, 1, 1, 1], rt=[10.0, 20.0, 20.0, 10.0, 10.0, 20.0], proba=[0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
-    frag = frame(spark, id=[i for i in range(6) for _ in range(10)], mz=[100.0 + k for _ in range(6) for k in range(10)])
-    assert sorted(r["id"] for r in competition.compete(psm, frag).collect()) == [0, 1, 3, 5]
+    rng = np.random.default_rng(14)
+    for n, m in ((40, 60), (1, 9), (0, 5), (5, 0)):
+        a, b = rng.uniform(400, 400.2, n), rng.uniform(400, 400.2, m)
+        assert competition.shared_fragments(a, b, 20) == (np.abs(a[:, None] - b[None, :]) <= b[None, :] * 20e-6).sum()
+
+
+@pytest.mark.parametrize("most", [0, 10, 10_000])
+def test_competition(spark, most):
+    rng = np.random.default_rng(15)
+    n = 150
+    psm = pd.DataFrame({"id": range(n), "window_idx": rng.integers(0, 2, n), "rt": rng.uniform(0, 30, n), "proba": rng.permutation(n) / n})
+    mz = {i: rng.choice(np.arange(300.0, 330.0), 6, replace=False) for i in range(n)}
+    frag = frame(spark, id=[i for i in range(n) for _ in mz[i]], mz=[float(v) for i in range(n) for v in mz[i]])
+    gone = set()
+    for a in psm.sort_values("proba").itertuples():
+        if a.id not in gone:
+            for b in psm.itertuples():
+                if b.proba > a.proba and b.window_idx == a.window_idx and abs(a.rt - b.rt) < 3 and len(set(mz[a.id]) & set(mz[b.id])) >= 3:
+                    gone.add(b.id)
+    assert gone
+    got = {r["id"] for r in competition.compete(spark.createDataFrame(psm), frag, most=most).collect()}
+    assert got == set(range(n)) - gone
 
 
 def test_hashes(spark):
-    df = frame(spark, i=[1, 2, 1000000], r=[0, 1, 2])
-    assert [r[0] for r in df.select(scalars.candidate_hash(F.col("i"), F.col("r"))).collect()] == [1, 4294967298, 8590934592]
+    rng = np.random.default_rng(16)
+    cols = {c: [int(x) for x in rng.integers(0, top, 20)] for c, top in (("i", 1 << 31), ("r", 200), ("k", 99), ("z", 5), ("l", 99))}
+    df = frame(spark, n=list(range(20)), **cols).orderBy("n")
+    c = {k: F.col(k) for k in cols}
+    got = df.select(scalars.candidate_hash(c["i"], c["r"]).alias("a"), scalars.ion_hash(c["i"], c["r"], c["k"], c["z"], c["l"]).alias("b")).collect()
+    for j, r in enumerate(got):
+        i, rank, k, z, loss = (cols[x][j] for x in "irkzl")
+        assert r["a"] == i + rank * 2**32 and r["b"] == i + rank * 2**32 + k * 2**40 + z * 2**48 + loss * 2**56
 
 
 def test_multiplex(spark):
-    cand = frame(spark, eg=[0, 0, 1], prec=[0, 1, 3], proba=[0.1, 0.4, 0.3])
-    lib = frame(spark, precursor_idx=list(range(6)), eg=[0, 0, 0, 1, 1, 1], channel=[0, 4, 8, 0, 4, 8])
-    out = joins.multiplex(cand, lib, group="eg", channel="channel", order=["proba"], channels=[0, 4, 8]).orderBy("precursor_idx").collect()
-    assert [r["proba"] for r in out] == [0.1, 0.1, 0.1, 0.3, 0.3, 0.3]
+    cand = frame(spark, eg=[7, 7, 9, 9], prec=[70, 71, 90, 91], proba=[0.35, 0.25, 0.6, 0.75])
+    lib = frame(spark, precursor_idx=[70, 71, 72, 90, 91, 92, 99], eg=[7, 7, 7, 9, 9, 9, 11], channel=[0, 2, 5, 0, 2, 5, 0])
+    out = joins.multiplex(cand, lib, group="eg", channel="channel", order=["proba"], channels=[0, 5]).orderBy("precursor_idx").collect()
+    assert [(r["precursor_idx"], r["proba"]) for r in out] == [(70, 0.25), (72, 0.25), (90, 0.6), (92, 0.6)]
     assert joins.multiplex(cand, lib, group="eg", channel="channel", order=["proba"], channels=[]).count() == 0
 
 
 def test_lookup(spark):
-    targets = frame(spark, k=[100, 200, 300, 400], f=[0, 0, 1, 1])
-    out = joins.lookup_with_fallback(targets, frame(spark, k=[200, 400], v=[100, 200]), frame(spark, f=[0, 1], v=[10, 20]), key="k", fallback_key="f", value="v", out="x")
-    assert [r["x"] for r in out.orderBy("k").collect()] == [10, 100, 20, 200]
+    targets = frame(spark, k=[3, 5, 8, 13], f=[1, 1, 2, 4])
+    out = joins.lookup_with_fallback(targets, frame(spark, k=[5], v=[-1.5]), frame(spark, f=[1, 2], v=[6.5, 7.5]), key="k", fallback_key="f", value="v", out="x")
+    assert [r["x"] for r in out.orderBy("k").collect()] == [6.5, -1.5, 7.5, None]
 
 
 def test_band_join_is_exact(spark):
@@ -107,10 +164,14 @@ def test_band_join_is_exact(spark):
 
 
 def test_fragment_filter(spark):
-    q = {100: 0.85, 101: 0.65, 102: 0.35, 200: 0.85, 201: 0.65, 202: 0.45}
-    df = frame(spark, pg=["A" if i < 200 else "B" for i in q], ion=list(q), quality=list(q.values()))
-    kept = lambda n, m: sorted(r["ion"] for r in quantify.filter_ions(df, "pg", "ion", "quality", top_n=n, min_quality=m).collect())
-    assert len(kept(2, 0.5)) == 4 and kept(1, 0.6) == [100, 101, 200, 201] and kept(1, 2.0) == [100, 200]
+    rng = np.random.default_rng(17)
+    pdf = pd.DataFrame({"pg": rng.choice(list("UVW"), 90), "quality": rng.permutation(90) / 90})
+    pdf["ion"] = pdf.pg + rng.integers(0, 8, 90).astype(str)
+    mean = pdf.groupby(["pg", "ion"]).quality.mean().reset_index()
+    for n, least in ((2, 0.5), (1, 0.6), (3, 2.0)):
+        rank = mean.groupby("pg").quality.rank(ascending=False)
+        want = set(mean[(rank <= n) | (mean.quality > least)].ion)
+        assert {r["ion"] for r in quantify.filter_ions(spark.createDataFrame(pdf), "pg", "ion", "quality", top_n=n, min_quality=least).collect()} == want
 
 
 def test_label_free_recovers_ratios(spark):
@@ -122,6 +183,23 @@ def test_label_free_recovers_ratios(spark):
     assert math.isclose(out[out.g == "g1"].intensity.std(), 0, abs_tol=1e-6)
 
 
+def test_label_free_is_a_median_polish(spark):
+    rng = np.random.default_rng(18)
+    logs = rng.normal(20, 3, (30, 1)) + rng.normal(0, 1, (1, 7)) + rng.normal(0, 0.2, (30, 7))
+    logs[rng.random(logs.shape) < 0.3] = np.nan
+    logs = logs[np.isfinite(logs).sum(1) > 1]
+    means = np.nanmean(logs, 1, keepdims=True)
+    table = logs - np.nanmedian(logs - means, 0, keepdims=True)
+    profile = np.zeros(7)
+    for _ in range(4):
+        shift = np.nanmedian(table - profile, 1, keepdims=True)
+        profile = np.nanmedian(table - shift, 0)
+    want = 2**profile * np.nansum(2**table) / (2**profile).sum()
+    rows = [("g", i, r, float(2 ** logs[i, r])) for i in range(len(logs)) for r in range(7) if np.isfinite(logs[i, r])]
+    got = quantify.label_free(spark.createDataFrame(rows, "g string, i long, run int, v double"), "g", "i", "run", "v").orderBy("run").toPandas()
+    assert np.allclose(got.intensity, want)
+
+
 def test_cycle():
     assert signal.cycle_length([1, 2, 3, 4, 5] * 3) == 5 and signal.cycle_length([1.0, 1.0, 1.0]) == -1
     assert signal.cycle_start([0, 0, 0] + [1, 2, 3, 4, 5] * 3, 5) == 3 and signal.cycle_start([0, 0, 0], 1) == -1
@@ -230,6 +308,57 @@ def test_small_search(spark):
     found = out["precursors"].toPandas()
     assert len(found) >= 40 and (found.decoy == 0).all() and ((found.cycle_center - 30).abs() <= 1).mean() > 0.9
     assert set(out["pg_matrix"].columns) == {"pg", "r1", "r2"}
+    assert ions[0].where("correlation > 0.9").count() > 100
+
+
+def test_search_competition_and_precursor_traces(spark):
+    """Precursors of one window and time that share fragments compete; those of another window do not."""
+    rng = np.random.default_rng(19)
+    n, cycles = 48, 40
+    prec = frame(spark, precursor_idx=np.arange(n), decoy=np.arange(n) % 2, mz=[400.2 + 100 * (i % 3 == 2) + i / 1000 for i in range(n)], charge=[2] * n, proteins=[f"P{i}" for i in range(n)], sequence=[f"S{i}" for i in range(n)])
+    base = lambda i: 0 if i in (0, 2, 4) else i  # noqa: E731  0, 2 and 4 have the same fragments; 2 lies in another window
+    frag = [(i, f"y{k + 1}", 200.0 + base(i) * 10 + k, 1.0 + k) for i in range(n) for k in range(5)]
+    peaks = []
+    for i, _, mz, w in frag:
+        if base(i) == i:
+            for c in range(cycles):
+                shape = np.exp(-((c - 20) ** 2) / 10) * w * 1000 if i % 2 == 0 else 0
+                peaks.append((c, mz, float(shape + rng.uniform(1, 60))))
+    f = spark.createDataFrame(frag, "precursor_idx long, fragment string, mz_library double, intensity_library double")
+    p = spark.createDataFrame(pd.DataFrame(peaks, columns=["cycle", "mz", "intensity"]))
+    ms1 = frame(spark, cycle=list(range(cycles)), mz=[400.2 + 6 / 1000] * cycles, intensity=[1000.0 * float(np.exp(-((c - 21) ** 2) / 10)) for c in range(cycles)])
+    settings = Settings(fdr=1.0, windows=((400.0, 450.0), (450.0, 550.0)))
+    psm = search_run("r", prec, f, p, settings, ms1=ms1)[0].toPandas()
+    kept = set(psm.precursor_idx)
+    assert len(kept & {0, 4}) == 1 and 2 in kept and {6, 8, 10} <= kept
+    traces = candidates.extract_traces(p, f, ppm=15)
+    isotopes = candidates.isotope_traces(ms1, prec, ppm=15, n=3)
+    plain, more = ({r["precursor_idx"]: r["score"] for r in candidates.select(traces, settings.selection, x).where("rank = 0").collect()} for x in (None, isotopes))
+    assert more[6] > plain[6] and more[40] == plain[40]
+    cut = candidates.select(traces, candidates.Selection(score_cutoff=plain[6])).collect()
+    assert cut and min(r["score"] for r in cut) > plain[6]
+
+
+def test_overlap_by():
+    names, seen = np.array(["b1", "b2", "b5", "y4", "y6"]), np.array([True] * 5)
+    assert candidates.overlap_by(names, seen, 8) == 3.0 and candidates.overlap_by(names, seen & (names != "y6"), 8) == 1.0
+    assert candidates.overlap_by(names[:3], seen[:3]) == 0.0
+
+
+def test_scratch_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(Session())
+    Context.master = "local[4]"
+    assert shared_dir(Session()).startswith("/tmp/")
 
 
 def test_config_layers():
