@@ -22,6 +22,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b")
 
 # Element names by their role in HTML, and names that sites give to page furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +42,11 @@ _FURNITURE = frozenset(
     "comment comments disqus replies reply respond search searchform login pagination pager skip copyright disclaimer paywall".split()
 )
 _HEADERS = frozenset(["header", "topbar"])
+# Elements that group others, and words that a site adds to the name of a group.
+_GROUPS = frozenset("article div section ul ol dl table details figure center".split())
+_GROUP_WORDS = frozenset("area bar block blocks box buttons container form group icons items links list panel section slot thread tools unit widget wrap wrapper".split())
+#: Pages on which a subtree may recur by chance or copying before it counts as recurring.
+CHANCE = 2
 
 
 class Page:
@@ -103,49 +109,83 @@ class Page:
 
     def hashes(self) -> list[int]:
         """A hash per element of its name and content, from the innermost out."""
-        out = [0] * len(self.tag)
+        return self.digests()[0]
+
+    def digests(self) -> tuple[list[int], list[int]]:
+        """hashes(), and per element the sum of the hashes of all texts in it."""
+        out, sums = [0] * len(self.tag), [0] * len(self.tag)
         for i in range(len(self.tag) - 1, -1, -1):
             h = xxhash.xxh64(self.tag[i])
             for x in self.items[i]:
                 if isinstance(x, int):
                     h.update(out[x].to_bytes(8, "little"))
+                    sums[i] += sums[x]
                 elif words := x.split():
-                    h.update(" ".join(words))
+                    h.update(text := " ".join(words))
+                    sums[i] += xxhash.xxh64_intdigest(text)
             out[i] = h.intdigest()
-        return out
+        return out, sums
 
-    def _furniture(self, i: int, inside: bool) -> bool:
-        """Whether an element's role, name or style says that it is no main text."""
-        tag, text = self.tag[i], self.attributes[i]
-        if tag in _DROPPED or (tag == "header" and not inside):
-            return True
-        if not text or tag in ("html", "body", "main", "article") and "comment" not in text.lower():
-            return False
-        for m in _ATTRIBUTE.finditer(text):
+    def _hidden(self, i: int) -> bool:
+        """Whether an element's role or style says that it is no main text."""
+        for m in _ATTRIBUTE.finditer(self.attributes[i]):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 return True
             if key == "role" and value.lower() in _DROPPED_ROLES:
                 return True
-            if key in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & _FURNITURE or (not inside and words & _HEADERS):
-                    return True
         return False
 
+    def _names(self, i: int) -> Iterator[str]:
+        """Class and id names of an element."""
+        for m in _ATTRIBUTE.finditer(self.attributes[i]):
+            if m[1].lower() in ("class", "id"):
+                yield from (m[2] or m[3] or m[4] or "").split()
+
+    def _named(self, i: int) -> bool:
+        """Whether a group bears a furniture name as a whole: ad, comments, share-buttons; not share-price."""
+        for name in self._names(i):
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if words and words[0] in _FURNITURE and all(w in _FURNITURE | _GROUP_WORDS for w in words[1:]):
+                return True
+        return False
+
+    def _furniture(self, i: int, inside: bool) -> bool:
+        """Whether an element is no main text by itself.
+
+        Inside an article or main element only roles, styles and groups with a furniture name
+        prove it; outside, a furniture word in a class or id does.
+        """
+        tag = self.tag[i]
+        if tag in _DROPPED or (tag == "header" and not inside):
+            return True
+        if not self.attributes[i] or tag in ("html", "body"):
+            return False
+        if self._hidden(i):
+            return True
+        if inside or tag in ("main", "article"):
+            return tag in _GROUPS and self._named(i)
+        words = {w.lower() for name in self._names(i) for w in _WORDS.findall(name)}
+        return bool(words & _FURNITURE or words & _HEADERS)
+
     def text(self, template: dict[int, float], outside: float, within: float) -> str:
         """Main text. ``template`` has the share of the host's pages that hold a subtree."""
         n = len(self.tag)
-        bears = [t in ("article", "main", "h1") for t in self.tag]  # elements that hold the main text
+        named = [t == "article" and self._furniture(i, True) for i, t in enumerate(self.tag)]
+        some = any(t == "article" and not named[i] for i, t in enumerate(self.tag))
+        aside = [False] * n  # in an article that its name sets apart from another one
+        for i in range(1, n):
+            aside[i] = aside[self.parent[i]] or (named[i] and some)
+        bears = [t in ("article", "main", "h1") and not a for t, a in zip(self.tag, aside)]  # elements that hold the main text
         for i in range(n - 1, 0, -1):
             bears[self.parent[i]] |= bears[i]
         gone, inside = [False] * n, [False] * n
         for i in range(1, n):
             up = self.parent[i]
             inside[i] = inside[up] or self.tag[up] in ("article", "main")
-            gone[i] = gone[up] or (self._furniture(i, inside[i]) and (not bears[i] or self.tag[i] in _DROPPED or self.tag[i] == "article"))
+            gone[i] = gone[up] or (self._furniture(i, inside[i]) and (not bears[i] or self.tag[i] in _DROPPED))
         regions = [i for i in range(1, n) if self.tag[i] == "article" and not gone[i]] or [
-            i for i in range(1, n) if not gone[i] and (self.tag[i] == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", self.attributes[i]))
+            i for i in range(1, n) if not gone[i] and (self.tag[i] == "main" or _ROLE.search(self.attributes[i]))
         ]
         whole = not regions
         chosen = set(regions) or {0}
@@ -179,70 +219,83 @@ def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_text(pages: DataFrame, *, least: int = 5, outside: float = 0.3, within: float = 0.6) -> DataFrame:
-    """Main text of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
+def _signed(h: int) -> int:
+    h &= 0xFFFFFFFFFFFFFFFF
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-    Pass one hashes every block element's subtree and counts, per host, the pages that hold it; counts
-    are summed inside each partition first, so a host with a third of all pages costs no more
-    than others. A subtree on at least ``least`` pages is site template if it is on a share
-    of ``outside`` of the host's pages, or of ``within`` inside an article or main element
-    (an article may be copied on a site). Pass two drops template subtrees and elements that
-    are page furniture by name, role or style, and joins what is left of the article.
 
-    The templates of a host are joined to its pages; the table of templates is written first,
-    so that Spark knows its size and broadcasts it only where it is small.
+def subtrees(pages: DataFrame) -> DataFrame:
+    """Subtrees of block elements of each page: (host, print, hash, rest).
 
-    Null or empty html gives an empty text. A null url has no host and no template removal.
-    Repeated rows count as pages of their own. Extra columns are ignored.
+    ``rest`` names the page's text without the subtree; the row with hash 0 names all of it.
     """
-    spark = tune(pages.sparkSession)
-    scratch = Scratch(spark, "html")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            out: list[tuple] = []
+            for host, name, source in zip(*(batch.column(c).to_pylist() for c in ("host", "print", "html"))):
                 page = Page(source or "")
-                names = {h for h, t in zip(page.hashes(), page.tag) if t not in _UNCOUNTED}
-                seen.update((host, h) for h in names)
-                seen[host, 0] += 1  # all pages of the host
-            if len(seen) > 200_000:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
-
-    held = pages.where("host IS NOT NULL").select("host", "html").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    held = scratch.save(held.where(f"hash = 0 OR n >= {least}"))
-    totals = held.where("hash = 0").select("host", F.col("n").alias("pages"))
-    templates = (
-        held.where("hash <> 0").join(totals, "host").where(F.col("n") >= outside * F.col("pages"))
-        .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("hash", (F.col("n") / F.col("pages")).alias("share")))).alias("template"))
-    )
-    templates = scratch.save(templates)
+                hashes, sums = page.digests()
+                held = {h: s for h, s, t in zip(hashes, sums, page.tag) if t not in _UNCOUNTED} | {0: 0}
+                out += [(host, name, _signed(h), _signed(sums[0] - s)) for h, s in held.items()]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "print", "hash", "rest"])
+
+    return pages.select("host", "print", "html").mapInArrow(list_all, "host string, print long, hash long, rest long")
+
+
+def template_shares(held: DataFrame, share: float) -> DataFrame:
+    """Subtrees (host, hash, share) on ``share`` of a host's pages or more.
+
+    Pages are told apart by their text without the subtree, so copies of a page count once; of
+    the pages that hold a subtree, CHANCE count for nothing on hosts of every size.
+    """
+    counts = held.select("host", "hash", "rest").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    totals = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
+    shares = counts.where("hash <> 0").join(totals, "host").select("host", "hash", ((F.col("n") - CHANCE) / F.greatest("n", "pages")).alias("share"))
+    return shares.where(F.col("share") >= share)
+
+
+def extract_text(pages: DataFrame, *, outside: float = 0.3, within: float = 0.6) -> DataFrame:
+    """Main text of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
+
+    Pass one hashes every block element's subtree; pages that hold it are counted per host by
+    their remaining text. A subtree is site template if it is on a share of ``outside`` of the
+    host's pages, or of ``within`` where the page has an article or main element. Templates are
+    joined to the subtrees of pages by host and hash, so no row holds a host's templates. Pass
+    two drops template subtrees and page furniture, and joins what is left of the article: inside
+    it, elements are furniture by their role, style or name as a group, never by a word in a name.
+
+    Null or empty html gives an empty text, an empty table no rows. A null url, or one without
+    a host, has no template removal. Repeated rows are rows of their own and count as one page.
+    A share equal to the bound is template. Very long pages take memory in proportion to their
+    length. Extra columns are ignored.
+    """
+    spark = tune(pages.sparkSession)
+    scratch = Scratch(spark, "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"), F.xxhash64("html").alias("print"))
+    held = scratch.save(subtrees(pages.where("host IS NOT NULL")))
+    templates = scratch.save(template_shares(held, min(outside, within)))
+    known = (
+        held.select("host", "print", "hash").distinct().join(templates, ["host", "hash"])
+        .groupBy("host", "print").agg(F.collect_list(F.struct("hash", "share")).alias("template"))
+    )  # the templates of one page
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-                known = {h & 0xFFFFFFFFFFFFFFFF: s for h, s in template or ()}
-                texts.append(Page(source).text(known, outside, within) if source else "")
+                shares = {t["hash"] & 0xFFFFFFFFFFFFFFFF: t["share"] for t in template or ()}
+                texts.append(Page(source).text(shares, outside, within) if source else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = pages.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    joined = pages.join(known, ["host", "print"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    hashes = [h - (1 << 64) if h >= 1 << 63 else h for _, h in seen]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in seen], pa.string()), pa.array(hashes, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "n"]
-    )
-
-
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -293,6 +293,51 @@ def test_html_furniture_and_templates(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_html_keeps_article_text_by_any_class():
+    text = lambda h: html_text.Page(h).text({}, 0.3, 0.6)
+    assert text("<main><p class='share-price'>Acme rose 3%</p><p>b</p></main>") == "Acme rose 3% b"
+    assert text("<article><h1>A</h1><div class='related-work'><p>r</p></div><p class=ad>x</p><li class='menu'>soup</li></article>") == "A r x soup"
+    assert text("<article><p>a</p><div class='share-buttons'>s</div><div id=comments><p>c</p></div><div role=alert>n</div><div class=ad>d</div></article>") == "a"
+    assert text("<article><h1>T</h1><p>t</p></article><article class='related'><h1>O</h1></article><div class='x'><article class=comment>c</article></div>") == "T t"
+    assert text("<article class='related'><h1>O</h1></article>") == "O"
+
+
+def test_html_templates_alone(spark):
+    """Blocks without telling names inside articles; copies of one page; hosts of any size; counts by brute force."""
+    page = "<article><h1>T{n}</h1><div class=k{n}><p>Our editors pick stories</p></div><div><p>Read them all here</p></div><p>own {n}</p></article>"
+    rows = [(i, f"http://big.example/{i}", page.format(n=i)) for i in range(20)]
+    copy = "<body><div><p>One story</p><p>told again</p></div><div>Menu one two</div></body>"
+    rows += [(100 + i, f"http://copy.example/{i}?p={i}", copy) for i in range(9)] + [(120 + i, f"http://copy.example/x{i}", f"<body><div><p>Other {i}</p></div><div>Menu one two</div></body>") for i in range(9)]
+    rows += [(200 + i, f"http://small.example/{i}", f"<body><p>a{i}</p><p>same line</p></body>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert all(got[i] == f"T{i} own {i}" for i in range(20))
+    assert all(got[100 + i] == "One story told again" and got[120 + i] == f"Other {i}" for i in range(9))
+    assert all(got[200 + i] == f"a{i} same line" for i in range(2))
+    held = defaultdict(set)
+    for _, url, source in rows:
+        p = html_text.Page(source)
+        whole = sorted(x for items in p.items for x in items if isinstance(x, str) and x.strip())
+        for i, (h, t) in enumerate(zip(p.hashes(), p.tag)):
+            inner, todo = [], [i]
+            while todo:
+                for x in p.items[todo.pop()]:
+                    todo += [x] if isinstance(x, int) else []
+                    inner += [x] if isinstance(x, str) and x.strip() else []
+            if t not in html_text._UNCOUNTED:
+                held[url.split("/")[2], h].add(tuple(sorted((Counter(whole) - Counter(inner)).elements())))
+        held[url.split("/")[2], 0].add(tuple(whole))
+    want = {k: (len(v) - 2) / max(len(v), len(held[k[0], 0])) for k, v in held.items() if k[1]}
+    pages = df.select("html", html_text.host_of("url").alias("host"), "page_id").withColumnRenamed("page_id", "print")
+    shares = {(r["host"], r["hash"] & (1 << 64) - 1): r["share"] for r in html_text.template_shares(html_text.subtrees(pages), 0.3).collect()}
+    assert shares == {k: v for k, v in want.items() if v >= 0.3}
+
+
+def test_html_long_page():
+    source = "<article>" + "<div>" * 3000 + "<p>x</p>" * 30_000 + "</article>"
+    assert html_text.Page(source).text({}, 0.3, 0.6) == " ".join(["x"] * 30_000)
+
+
 def test_quality_held_out(spark):
     sf = DATA.replace("0.001", "0.01")
     got = {r["doc_id"]: r for r in quality.op5_quality(spark, sf).collect()}
