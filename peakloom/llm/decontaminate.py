@@ -37,24 +37,43 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class SeedIndex:
-    """Word n-grams of a block of test items, with the items and places that hold each."""
+    """Word n-grams of a block of test items, with the items and places that hold each.
+
+    An item of fewer words than a seed is known by the hash of all of its words.
+    """
 
     def __init__(self, items: list[tuple], gram: int):
         self.ids = [i for i, _ in items]
         h, of, _, _ = hash_words([(t or "").lower().encode("utf-8", "replace") for _, t in items], NON_WORD)
         cuts = np.searchsorted(of, np.arange(len(items) + 1))
         self.words = [h[cuts[i] : cuts[i + 1]] for i in range(len(items))]
-        rows = [(g, i, p) for i, w in enumerate(self.words) if len(w) >= gram for p, g in enumerate(grams(w, gram))]
-        seeds = np.array([r[0] for r in rows], np.uint64)
+        at = np.flatnonzero(of[: max(len(h) - gram + 1, 0)] == of[gram - 1 :]) if len(h) >= gram else np.zeros(0, np.int64)
+        seeds = grams(h, gram)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
         self.seeds, first = np.unique(seeds[order], return_index=True)
-        self.first = np.append(first, len(rows))
-        self.item = np.array([r[1] for r in rows], np.int64)[order]
-        self.place = np.array([r[2] for r in rows], np.int64)[order]
+        self.first = np.append(first, len(at))
+        self.item = of[at][order]
+        self.place = (at - cuts[of[at]])[order]
         self.gram = gram
         self.distinct = [np.unique(w) for w in self.words]
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < gram:
+                self.short.setdefault(len(w), {}).setdefault(int(grams(w, len(w))[0]), []).append(i)
+
+    def verbatim(self, h: np.ndarray, of: np.ndarray) -> list[tuple]:
+        """(text, item_id, 1.0, start_word, end_word) of the first place of each short item in a text."""
+        out = []
+        for n, items in self.short.items():
+            g = grams(h, n) if len(h) >= n else h[:0]
+            at = np.flatnonzero(np.isin(g, np.array(list(items), np.uint64)) & (of[: len(g)] == of[n - 1 : n - 1 + len(g)]))
+            _, once = np.unique(np.stack([of[at].astype(np.uint64), g[at]]), axis=1, return_index=True)
+            for p in at[once].tolist():
+                begin = p - int(np.searchsorted(of, of[p]))
+                out += [(int(of[p]), self.ids[i], 1.0, begin, begin + n) for i in items[int(g[p])]]
+        return out
 
     def hits(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which a seed begins within one text, and the seeds' numbers."""
@@ -68,12 +87,12 @@ class SeedIndex:
 
     def aligned(self, h: np.ndarray, of: np.ndarray, min_score: float, min_words: int) -> list[tuple]:
         """(text, item_id, score, start_word, end_word) of items that seeds lead to and that align."""
+        out = self.verbatim(h, of) if self.short else []
         at, k = self.hits(h, of)
         near: dict[tuple[int, int], list[int]] = {}
         for p, seed in zip(at.tolist(), k.tolist()):
             for x in range(self.first[seed], self.first[seed + 1]):
                 near.setdefault((int(of[p]), int(self.item[x])), []).append(p - int(self.place[x]))
-        out = []
         for (doc, item), begins in near.items():
             words = self.words[item]
             lo, hi = np.searchsorted(of, [doc, doc + 1])
@@ -91,22 +110,24 @@ def _chunks(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[list[tuple], np
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: float = 0.5, min_words: int = 8,
-                 item_bytes: int = 8 << 20) -> DataFrame:
+                 item_bytes: int = 32 << 20) -> DataFrame:
     """Documents that hold an exact, edited or paraphrased copy of a test item.
 
     Returns (doc_id, item_id, score, start_word, end_word): the best alignment of each such
     pair; score is its Smith-Waterman score over that of a perfect copy, at least ``min_score``
     and worth ``min_words`` matching words (all words of a shorter item).
 
-    The items are taken in blocks of at most ``item_bytes`` of text, so what is broadcast is
-    bounded however large the benchmark is. Per block, one pass finds every ``gram``-word seed
+    The items are taken in blocks of at most ``item_bytes`` of text (an index takes about seven
+    times as much), so what is broadcast is bounded however large the benchmark is. Per block, one pass finds every ``gram``-word seed
     and aligns the words around it at once, where the text is. No text is shuffled, no number
     of hits is capped, and no seed is left out for being frequent: a window is skipped only if
     the words it shares with the item cannot reach the score.
 
-    Null or empty texts and items, and items of fewer than ``gram`` words, match nothing. A
-    null doc_id or item_id is kept as such in the pairs. Repeated rows give one pair. Extra
-    columns are ignored.
+    Items of fewer than ``gram`` words match where all their words stand in a row (score 1).
+    Null or empty texts and items, and items without a word, match nothing; empty tables give no
+    rows. A null doc_id or item_id is kept as such in the pairs. Repeated rows give one pair; of
+    alignments with equal scores the one that starts last is given. Time follows a text's length
+    and the words near its seeds. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     found = None
@@ -118,8 +139,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_sc
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, gram: int = 4, min_score: float = 0.5, min_words: int = 8,
-          item_bytes: int = 8 << 20) -> DataFrame:
-    """``docs`` without the rows that ``contaminated`` finds; the filter runs where the text is."""
+          item_bytes: int = 32 << 20) -> DataFrame:
+    """``docs`` without the rows that ``contaminated`` finds; the filter runs where the text is.
+
+    Rows with null or empty texts stay, and so do null ids, repeated rows and extra columns; an
+    empty table or benchmark changes nothing.
+    """
     whole = docs
     for index in _indexes(docs, benchmark, gram, item_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)

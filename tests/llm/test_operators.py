@@ -439,6 +439,38 @@ def test_decontaminate_many_copies(spark):
     assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(range(200, 250))
 
 
+def test_decontaminate_pairs_by_brute_force(spark, docs):
+    """Every pair of a document and an item that aligns, short items included."""
+    rng = np.random.default_rng(23)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocab, n))) for i, n in enumerate((1, 2, 3, 3, 4, 5, 9, 12, 20, 30, 40))] + [(50, "!?"), (51, "zq")]
+    rows = {}
+    for k in range(120):
+        words = list(rng.choice(vocab, int(rng.integers(0, 30))))
+        part = items[int(rng.integers(len(items) - 2))][1].split()
+        part = [w if rng.random() > 0.1 else "x" for w in part]
+        rows[k] = " ".join(words + part + list(rng.choice(vocab, 5)))
+    rows |= {200: "Zq", 201: "a zq.", 202: "zqa"}
+    d, b = spark.createDataFrame(list(rows.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in decontaminate.contaminated(d, b).collect()}
+    hashes = lambda t: decontaminate.hash_words([t.lower().encode()], decontaminate.NON_WORD)[0]
+    want = {}
+    for i, t in rows.items():
+        h = hashes(t)
+        for j, x in items:
+            w = hashes(x)
+            if 0 < len(w) < 4:
+                if any((h[p : p + len(w)] == w).all() for p in range(len(h) - len(w) + 1)):
+                    want[i, j] = 1.0
+            elif len(w):
+                seeded = any((h[p : p + 4] == w[q : q + 4]).all() for p in range(len(h) - 3) for q in range(len(w) - 3))
+                score = decontaminate.smith_waterman(w, h)[0]
+                if seeded and score >= 2 * max(0.5 * len(w), min(8, len(w))):
+                    want[i, j] = score / (2 * len(w))
+    assert set(got) == set(want) and all(got[k][0] == v for k, v in want.items())
+    assert {(200, 51), (201, 51)} <= set(got) and (202, 51) not in got
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(50):
