@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from peakloom.sources.shared import Scratch
 
-__all__ = ["Scratch", "tune", "mix", "hash_words", "powers", "grams", "by_bytes", "texts_of", "SPACE", "NON_WORD"]
+__all__ = ["Scratch", "tune", "arrow_batches", "mix", "hash_words", "powers", "grams", "by_bytes", "texts_of", "SPACE", "NON_WORD"]
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -19,6 +20,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; the setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- word hashing ---------------------------------------------------------------------------
 
 _P = 0x9E3779B97F4A7C15

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.llm import chat, cover_tree, decontaminate, html_text, jaccard_join, packing, pii, quality, secrets, substring_dedup
 from peakloom.llm.queries import ORACLE, QUERIES
@@ -115,6 +116,46 @@ def test_cover_tree(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 907))
 
 
+def cosine_truth(x, labels, bound=0.98):
+    e = x / np.abs(x).max(1, keepdims=True)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    near = (e @ e.T >= bound) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    return near.sum(1), linked(range(len(x)), zip(*np.nonzero(near)))
+
+
+def test_cover_tree_levels(spark):
+    """Several upper levels over clusters and isotropic vectors of one label; pairs of subtrees pruned."""
+    rng = np.random.default_rng(24)
+    middle = rng.normal(size=(40, 8))
+    x = np.concatenate([np.repeat(middle, 40, 0) + rng.normal(size=(1600, 8)) * 0.08, rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(1, 8)), 200, 0) + rng.normal(size=(200, 8)) * 1e-3])
+    rows = [(i, e.tolist(), 7) for i, e in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n, truth = cosine_truth(x, np.zeros(len(x)))
+    for r in cover_tree.cosine_links(df, block=32).collect():
+        assert (r["n_links"], r["component_id"]) == (n[r["vec_id"]], truth[r["vec_id"]])
+    scratch = cover_tree.Scratch(spark, "t")
+    classes = df.select(F.col("label").cast("long").alias("label"), F.size("embedding").alias("dims"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"), "embedding")
+    placed, levels = cover_tree.upper_levels(classes, scratch, 32)
+    assert len(levels) >= 2 and placed.count() == len(x)
+    nodes = placed.select("node").distinct().count()
+    pairs = cover_tree.near_nodes(spark.createDataFrame([("7:8",)], "node string"), levels, 0.2)
+    assert pairs.count() == pairs.distinct().count() < nodes * (nodes + 1) / 2 * 0.6  # a third of the vectors lies anywhere
+
+
+def test_cover_tree_doubles(spark):
+    rows = [(1, [1e-60, 1e-60], 0), (2, [1e-60, 1e-60], 0), (3, [1e60, 0.0], 0), (4, [1e60, 0.0], 0), (5, [1e-300, 1e-300], 0), (6, [1.0, 1.0 + 1e-12], 0), (7, [0.0, -1e300], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 5: (3, 1), 6: (3, 1), 3: (1, 3), 4: (1, 3), 7: (0, 7)}
+    bound = 0.98
+    y = [bound, float(np.sqrt(1 - bound**2))]
+    edge = [(1, [1.0, 0.0], 0), (2, y, 0), (3, [y[0] - 1e-9, y[1]], 0), (4, [y[0] + 1e-9, y[1]], 0)]
+    x = np.array([r[1] for r in edge])
+    n, _ = cosine_truth(x, np.zeros(4))
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.cosine_links(spark.createDataFrame(edge, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[3] == n[2] and got[4] == n[3]
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
