@@ -228,6 +228,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
     """Subtrees of block elements of each page: (host, print, hash, rest).
 
     ``rest`` names the page's text without the subtree; the row with hash 0 names all of it.
+    Subtrees of elements that never are main text (menus, forms, ...) go with these.
     """
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,10 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for host, name, source in zip(*(batch.column(c).to_pylist() for c in ("host", "print", "html"))):
                 page = Page(source or "")
                 hashes, sums = page.digests()
-                held = {h: s for h, s, t in zip(hashes, sums, page.tag) if t not in _UNCOUNTED} | {0: 0}
+                out_of = [t in _DROPPED for t in page.tag]
+                for i in range(1, len(out_of)):
+                    out_of[i] |= out_of[page.parent[i]]
+                held = {h: s for h, s, t, o in zip(hashes, sums, page.tag, out_of) if not o and t not in _UNCOUNTED} | {0: 0}
                 out += [(host, name, _signed(h), _signed(sums[0] - s)) for h, s in held.items()]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "print", "hash", "rest"])
@@ -276,10 +280,11 @@ def extract_text(pages: DataFrame, *, outside: float = 0.3, within: float = 0.6)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"), F.xxhash64("html").alias("print"))
     held = scratch.save(subtrees(pages.where("host IS NOT NULL")))
     templates = scratch.save(template_shares(held, min(outside, within)))
-    known = (
+    known = scratch.save(  # so that Spark knows its size, and moves no html where it is small
         held.select("host", "print", "hash").distinct().join(templates, ["host", "hash"])
         .groupBy("host", "print").agg(F.collect_list(F.struct("hash", "share")).alias("template"))
-    )  # the templates of one page
+    )  # a list holds the templates of one page
+    scratch.drop(held, templates)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
