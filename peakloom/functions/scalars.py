@@ -96,3 +96,11 @@ def weighted_variance(value: str, weight: str) -> Column:
     """Aggregate: variance of ``value`` by ``weight``."""
     mean = weighted_mean(value, weight)
     return F.try_divide(F.sum(F.col(value) * F.col(value) * F.col(weight)), F.sum(weight)) - mean * mean
+
+
+def normalise_profile(profile: Column, around: int = 1) -> Column:
+    """Profile over the mean of its centre and ``around`` points on both sides; zeros if that is not positive."""
+    centre = F.floor(F.size(profile) / 2).cast("int")
+    window = F.slice(profile, centre - around + 1, F.lit(2 * around + 1))
+    mean = F.aggregate(window, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(window)
+    return F.when(mean > 0, F.transform(profile, lambda v: v / mean)).otherwise(F.transform(profile, lambda v: F.lit(0.0)))

@@ -128,6 +128,16 @@ def running_order(df: DataFrame, key: str, order: list[str], out: str) -> DataFr
     return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str | Column, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value per key, a column per name in ``shares``; a key's distinct values are held at once."""
+    return df.groupBy(*keys).agg(*(F.percentile(value, p).alias(name) for name, p in shares.items()))
+
+
+def score_histogram(df: DataFrame, score: str, decoy: Column, width: float) -> DataFrame:
+    """Targets and decoys per score bin: (bin, t, d)."""
+    return df.groupBy(F.floor(F.col(score) / width).alias("bin")).agg(F.count_if(~decoy).alias("t"), F.count_if(decoy).alias("d"))
+
+
 def any_null(columns: list[str]) -> Column:
     """True if one of the columns is null or not a number."""
     return reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns))

@@ -126,3 +126,13 @@ def clip_times(df: DataFrame, value: str, lo: float = 0.001, hi: float = 0.999)
 def isotope_window(mz: Column, charge: Column, n: int) -> tuple[Column, Column]:
     """Range of m/z that the first ``n`` isotopes span."""
     return mz, mz + (n - 1) * ISOTOPE / charge
+
+
+def hash_precursors(psm: DataFrame) -> DataFrame:
+    """Cleaned modifications (null is none) and the keys mod_seq_hash and mod_seq_charge_hash.
+
+    ``psm`` has sequence, mods, mod_sites and charge.
+    """
+    clean = psm.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("mods", "mod_sites")})
+    named = clean.withColumn("mod_seq_hash", F.xxhash64("sequence", "mods", "mod_sites"))
+    return named.withColumn("mod_seq_charge_hash", F.xxhash64("sequence", "mods", "mod_sites", F.col("charge").cast("long")))

@@ -80,6 +80,11 @@ def keep_best(df: DataFrame, keys: list[str], order: list[str | Column], n: int
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def top_rows(df: DataFrame, order: list[str | Column], n: int, where: Column | None = None) -> DataFrame:
+    """The first ``n`` rows of those that pass ``where``, in ``order``: a top-k over partial top-ks."""
+    return (df if where is None else df.where(where)).orderBy(*order).limit(n)
+
+
 def rank_or_quality(df: DataFrame, keys: list[str], order: list[str | Column], n: int, good: Column) -> DataFrame:
     """Rows among the first ``n`` of their key, or that are ``good`` by themselves."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -120,7 +120,7 @@ def prefix_below(spark, sf_dir):
 @query("""select event_id, value from events where event_type <> 'error' order by value desc, event_id limit 500""")
 def fragment_calib_topk(spark, sf_dir):
     """The 500 highest of the filtered rows (a top-k report)."""
-    return table(spark, sf_dir, "events").where("event_type <> 'error'").orderBy(F.desc("value"), "event_id").limit(500).select("event_id", "value")
+    return R.top_rows(table(spark, sf_dir, "events"), [F.desc("value"), "event_id"], 500, F.col("event_type") != "error").select("event_id", "value")
 
 
 # --- joins and sets -------------------------------------------------------------------------
@@ -149,7 +149,7 @@ def fdr_semi_filter(spark, sf_dir):
 def missing_channels(spark, sf_dir):
     """Customers without a large order."""
     some = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(some.distinct())
+    return J.without_keys(table(spark, sf_dir, "customer").select("c_custkey"), some, ["c_custkey"])
 
 
 @query("""select l_orderkey, l_linenumber, o_orderstatus, o_totalprice from lineitem left join orders on l_orderkey = o_orderkey""")
@@ -245,7 +245,7 @@ def run_channel_stats(spark, sf_dir):
 @query("""select p_brand, round(median(p_retailprice),6) med, round(quantile_cont(p_retailprice,0.9),6) p90 from part group by 1""")
 def median_stats(spark, sf_dir):
     """Median and percentile per brand."""
-    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m"), F.percentile("p_retailprice", 0.9).alias("p"))
+    p = A.group_quantiles(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", {"m": 0.5, "p": 0.9})
     return p.select("p_brand", F.round("m", 6).alias("med"), F.round("p", 6).alias("p90"))
 
 
@@ -281,11 +281,10 @@ def ms2_qc(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("use").alias("u"))
 
 
-@query("""select cast(floor(l_discount*100) as bigint) bin, cast(sum(cast(l_returnflag<>'R' as int)) as bigint) t, cast(sum(cast(l_returnflag='R' as int)) as bigint) d from lineitem group by 1""")
+@query("""select cast(floor(l_discount/0.01) as bigint) bin, cast(sum(cast(l_returnflag<>'R' as int)) as bigint) t, cast(sum(cast(l_returnflag='R' as int)) as bigint) d from lineitem group by 1""")
 def pep_histogram(spark, sf_dir):
     """Targets and decoys per score bin."""
-    t = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_discount") * 100).alias("bin"))
-    return t.agg(F.count_if(F.col("l_returnflag") != "R").alias("t"), F.count_if(F.col("l_returnflag") == "R").alias("d"))
+    return A.score_histogram(table(spark, sf_dir, "lineitem"), "l_discount", F.col("l_returnflag") == "R", 0.01)
 
 
 @query("""select user_id, round(case when (count(*)*sum(value*value)-sum(value)*sum(value)) > 0 then corr(value, event_id) else 0 end, 4) r from events group by 1""")
@@ -325,12 +324,35 @@ def ion_filter(spark, sf_dir):
     return Q.filter_ions(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "l_extendedprice", top_n=1, min_quality=60000.0).select("l_orderkey", "l_suppkey", "l_linenumber")
 
 
-@query()
+def _polish(rounds: int) -> str:
+    """SQL of the rounds of a median polish that starts from ``a0(g, i, r, x, p)``."""
+    steps = [f"""s{k} as (select g, i, r, x, p, median(x - p) over (partition by g, i) s from a{k}),
+a{k + 1} as (select g, i, r, x, median(x - s) over (partition by g, r) p from s{k})""" for k in range(rounds)]
+    return ",\n".join(steps)
+
+
+@query(f"""with long as (select p_brand g, l_partkey i, cast(l_linenumber as int) r, sum(l_extendedprice) v from lineitem join part on l_partkey = p_partkey group by 1, 2, 3),
+logs as (select *, log2(v) lg from long where v > 0), means as (select i, avg(lg) m from logs group by 1 having count(*) > 1),
+moved as (select r, median(lg - m) s from logs join means using (i) group by 1),
+a0 as (select g, i, r, max(lg - coalesce(s, 0)) x, 0.0::double p from logs left join moved using (r) group by g, i, r),
+{_polish(4)},
+runs as (select g, r, min(p) p, sum(pow(2.0, x)) t from a4 group by 1, 2)
+select g p_brand, r run, round(log2(pow(2.0, p) * sum(t) over (partition by g) / sum(pow(2.0, p)) over (partition by g)), 6) log_intensity from runs""")
 def lfq(spark, sf_dir):
     """Label-free quantities of brands over line numbers."""
     t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     long = t.groupBy("p_brand", "l_partkey", F.col("l_linenumber").cast("int").alias("run")).agg(F.sum("l_extendedprice").alias("v"))
-    return Q.label_free(long, "p_brand", "l_partkey", "run", "v")
+    return Q.label_free(long, "p_brand", "l_partkey", "run", "v").select("p_brand", "run", F.round(F.log2("intensity"), 6).alias("log_intensity"))
+
+
+@query("""select distinct l_partkey, l_returnflag as run, round(sum(l_quantity) over (partition by l_partkey, l_returnflag), 6) precursor_intensity,
+round(sum(l_quantity) over (partition by l_suppkey % 5, l_returnflag), 6) pg_intensity, l_suppkey % 5 as pg from lineitem""")
+def merge_levels(spark, sf_dir):
+    """Quantities of parts and of groups of suppliers joined to rows by run."""
+    t = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("run"), (F.col("l_suppkey") % 5).alias("pg"), "l_quantity")
+    wide = lambda key: (key, Q.accumulate(t, [key], "run", "l_quantity", ["A", "N", "R"]))
+    out = Q.merge_levels(t.select("l_partkey", "run", "pg").distinct(), {"precursor": wide("l_partkey"), "pg": wide("pg")})
+    return out.withColumns({c: F.round(c, 6) for c in ("precursor_intensity", "pg_intensity")})
 
 
 # --- signals and scalars --------------------------------------------------------------------
@@ -398,10 +420,13 @@ def props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("""select vec_id, round(list_dot_product(embedding::double[], embedding::double[]) / (list_dot_product(embedding::double[], embedding::double[]) + 1e-4), 6) c from embeddings""")
+@query("""select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]))
+  * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-4), 6) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def embedding_cosine(spark, sf_dir):
-    """Damped cosine of each vector with itself."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("embedding")), 6).alias("c"))
+    """Damped cosine of each vector with the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 6).alias("c"))
 
 
 @query("""select p_partkey, round(p_retailprice + 3*1.0033548350700006/2, 6) mz3 from part""")
@@ -528,7 +553,7 @@ def library_stats(spark, sf_dir):
 def available_features(spark, sf_dir):
     """Intersection of two key sets."""
     some = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").intersect(some)
+    return J.only_keys(table(spark, sf_dir, "customer").select("c_custkey"), some, ["c_custkey"])
 
 
 @query("""select 'customer' as kind, c_custkey as id from customer union all select 'supplier', s_suppkey from supplier""")
@@ -582,13 +607,148 @@ def extra_sessions(spark, sf_dir):
     return accumulate.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
 
 
-@query()
+@query("""with s as (select event_id, value v, cast(event_type = 'error' as int) d from events), e as (select min(v) lo, max(v) hi from s),
+b as (select event_id, d, cast(least(floor((v - lo) / greatest(hi - lo, 1e-12) * 100), 99) as int) bin from s, e),
+c as (select bin, cast(sum(d) as double) d, cast(sum(1 - d) as double) t from b group by 1),
+m as (select bin + k bin, sum(d * exp(-k * k / 32.0)) d, sum(t * exp(-k * k / 32.0)) t from c, (select unnest(range(-20, 21)) k) group by 1)
+select event_id, round(least(1.0, coalesce(m.d / nullif(m.t, 0), 1.0)), 6) pep from b left join m using (bin)""")
 def pep(spark, sf_dir):
     """Posterior errors of scored events."""
     out = A.posterior_error(scored_events(spark, sf_dir), "proba", "decoy")
     return out.select("event_id", F.round("pep", 6).alias("pep"))
 
 
+# --- libraries --------------------------------------------------------------------------------
+
+
+@query(r"""with p as (select cast(doc_id as varchar) protein, list_filter(string_split(replace(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '([KR])', '\1|', 'g'), '|P', 'P'), '|'), lambda x: x <> '') w from documents),
+s as (select distinct protein, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) peptide from p where len(w) > 0)
+select peptide, array_to_string(list_sort(list(protein)), ';') proteins from s where length(peptide) between 7 and 35 and not regexp_matches(peptide, '[BJXZ]') group by 1""")
+def digest(spark, sf_dir):
+    """Letters of texts as proteins, digested."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("protein"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+    return L.digest(d)
+
+
+@query("""with s as (select p_partkey, upper(replace(p_name || p_type, ' ', '')) q from part), n as (select *, length(q) n from s)
+select p_partkey, q sequence, 0 decoy from n union all
+select p_partkey, case when n >= 5 then q[1:1] || translate(q[2:2], 'GAVLIFMPWSCTYHKRQEND', 'LLLVVLLLLTSSSSLLNDQE') || substr(q, 3, n - 4) || translate(substr(q, n - 1, 1), 'GAVLIFMPWSCTYHKRQEND', 'LLLVVLLLLTSSSSLLNDQE') || substr(q, n, 1) else q end, 1 from n""")
+def add_decoys(spark, sf_dir):
+    """Names of parts as sequences, with mutated decoys."""
+    return L.add_decoys(table(spark, sf_dir, "part").select("p_partkey", F.upper(F.replace(F.concat("p_name", "p_type"), F.lit(" "), F.lit(""))).alias("sequence")))
+
+
+@query("""with m as (select p_partkey, greatest(p_retailprice * 0.000594 - 0.03091, 1e-6) l from part),
+h as (select p_partkey, exp(-l) a, l * exp(-l) b, l * l * exp(-l) / 2 c, l * l * l * exp(-l) / 6 d from m)
+select p_partkey, round(a / (a + b + c + d), 9) first, round(c / (a + b + c + d), 9) third from h""")
+def isotope_pattern(spark, sf_dir):
+    """Isotope heights by mass."""
+    p = L.isotope_pattern(F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(p[0], 9).alias("first"), F.round(p[2], 9).alias("third"))
+
+
+@query("""select p_partkey, replace(p_brand, 'Brand#1', 'light') mods, 'a' channel from part union all
+select p_partkey, replace(replace(p_brand, 'Brand#1', 'heavy'), '#2', '+2'), 'b' from part""")
+def multiplex_library(spark, sf_dir):
+    """A copy of the parts per channel with translated brands."""
+    lib = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("mods"))
+    return L.multiplex_library(lib, {"a": {"Brand#1": "light"}, "b": {"Brand#1": "heavy", "#2": "+2"}})
+
+
+@query("""with r as (select user_id e, event_id % 7 + user_id * 10 h, value rt, event_type pg, value / 200 q, cast(event_type = 'error' as int) d from events),
+f as (select * from r where q <= 0.2), n as (select * from f where d = 0), lib as (select distinct e, h from r),
+a as (select h, median(rt) m from f group by 1), b as (select e, median(rt) m from f group by 1),
+g as (select e, pg from (select e, pg, row_number() over (partition by e order by h, pg) k from n) where k = 1)
+select lib.e elution_group_idx, lib.h mod_seq_charge_hash, round(coalesce(a.m, b.m), 6) rt_library, g.pg from lib join g on lib.e = g.e left join a on lib.h = a.h left join b on lib.e = b.e""")
+def match_between_runs(spark, sf_dir):
+    """Library of found users with observed values, by hash or else by user."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("elution_group_idx"), (F.col("event_id") % 7 + F.col("user_id") * 10).alias("mod_seq_charge_hash"), F.col("value").alias("rt_observed"),
+        F.col("event_type").alias("pg"), (F.col("value") / 200).alias("qval"), (F.col("event_type") == "error").cast("int").alias("decoy"))
+    out = L.match_between_runs(e, e.select("elution_group_idx", "mod_seq_charge_hash").distinct(), fdr=0.2)
+    return out.select("elution_group_idx", "mod_seq_charge_hash", F.round("rt_library", 6).alias("rt_library"), "pg")
+
+
+@query("""with b as (select event_id, user_id, value + 1 t from (select *, row_number() over (partition by user_id order by value, event_type, event_id) k from events where event_type <> 'error') where k <= 3)
+select event_id, user_id, round(t / (select max(t) from b), 9) rt_norm from b""")
+def transfer_library(spark, sf_dir):
+    """Best three rows per user with normalised times."""
+    psm = scored_events(spark, sf_dir).select("event_id", F.col("user_id").alias("mod_seq_hash"), "proba", F.col("event_type").alias("run"), F.col("event_id").alias("precursor_idx"), "decoy", (F.col("proba") + 1).alias("rt_observed"))
+    return L.transfer_library(psm).select("event_id", F.col("mod_seq_hash").alias("user_id"), F.round("rt_norm", 9).alias("rt_norm"))
+
+
+@query("""select c_custkey, count(*) over (partition by c_mktsegment, coalesce(m, '')) n_same, count(*) over (partition by c_mktsegment, coalesce(m, ''), c_nationkey % 4) n_charge
+from (select *, case when c_nationkey % 3 = 0 then null else cast(c_nationkey % 3 as varchar) end m from customer)""")
+def precursor_hashes(spark, sf_dir):
+    """Customers that share a hashed key, with null modifications cleaned."""
+    mods = F.when(F.col("c_nationkey") % 3 != 0, (F.col("c_nationkey") % 3).cast("string"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("sequence"), mods.alias("mods"), F.lit(None).cast("string").alias("mod_sites"), (F.col("c_nationkey") % 4).alias("charge"))
+    h = L.hash_precursors(c)
+    same = lambda k: h.groupBy(k).agg(F.count("*").alias(f"n_{k}"))
+    out = h.join(same("mod_seq_hash"), "mod_seq_hash").join(same("mod_seq_charge_hash"), "mod_seq_charge_hash")
+    return out.select("c_custkey", F.col("n_mod_seq_hash").alias("n_same"), F.col("n_mod_seq_charge_hash").alias("n_charge"))
+
+
+# --- more of the operators above --------------------------------------------------------------
+
+
+@query("""with f as (select event_id slot, user_id u from events where event_id < 7) select event_id from events join f on event_id % 7 = slot where user_id <> u""")
+def check_cycle(spark, sf_dir):
+    """Events whose user differs from that of the first cycle of seven."""
+    return G.check_cycle(table(spark, sf_dir, "events"), "event_id", "user_id", 0, 7).select("event_id")
+
+
+@query("""select 'l_tax' as "column", round(median(l_tax), 6) as value from lineitem union all select 'l_quantity', round(median(l_quantity), 6) from lineitem""")
+def median_known(spark, sf_dir):
+    """Medians of columns by ranks of range blocks."""
+    found = A.median_known(table(spark, sf_dir, "lineitem"), ["l_tax", "l_quantity"])
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in found.items()], "column string, value double")
+
+
+@query("""select round(median(l_tax), 6) fwhm_rt, round(median(l_discount), 6) fwhm_mobility, round(quantile_cont(l_extendedprice, 0.01) * 0.99, 6) score_cutoff from lineitem""")
+def recalibration(spark, sf_dir):
+    """Median widths and a score cutoff."""
+    t = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_tax": "cycle_fwhm", "l_discount": "mobility_fwhm"})
+    out = A.recalibration(t, score="l_extendedprice")
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("""select l_orderkey, l_linenumber, o_custkey, o_totalprice from lineitem left join orders on l_orderkey = o_orderkey""")
+def unique_left_join(spark, sf_dir):
+    """Orders joined to lines, one per key."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice")
+    return J.unique_left_join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"])
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey + (l_linenumber::bigint << 32) + (l_suppkey % 100 << 40) + (cast(l_quantity as bigint) % 5 << 48) as hash from lineitem""")
+def ion_hash(spark, sf_dir):
+    """Part, line, supplier and quantity in one number."""
+    h = S.ion_hash(F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey") % 100, F.col("l_quantity").cast("long") % 5, F.lit(0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", h.alias("hash"))
+
+
+@query("""select l_returnflag, round(sum(l_discount*l_discount*l_quantity)/sum(l_quantity) - pow(sum(l_discount*l_quantity)/sum(l_quantity), 2), 9) spread from lineitem group by 1""")
+def weighted_spread(spark, sf_dir):
+    """Quantity-weighted variance of discounts."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(S.weighted_variance("l_discount", "l_quantity"), 9).alias("spread"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding::double[], lambda x: abs(x)) v from embeddings), m as (select *, list_sum(v[len(v)//2 : len(v)//2 + 2]) / 3 c from e)
+select vec_id, round(case when c > 0 then v[1] / c else 0 end, 6) first, round(case when c > 0 then v[len(v)] / c else 0 end, 6) last from m""")
+def profile_centre(spark, sf_dir):
+    """Profiles over the mean of their centre."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
+    n = S.normalise_profile(F.col("v"))
+    return e.select("vec_id", F.round(n[0], 6).alias("first"), F.round(F.element_at(n, -1), 6).alias("last"))
+
+
+@query("""select doc_id, round(list_sum(list_transform(range(1, 6), lambda i: ln(1 + i * n_chars))), 6) s, replace(replace(lang, 'e', 'E'), 'n', 'N') as tag from documents""")
+def log_sum(spark, sf_dir):
+    """Sums of logarithms, and translated names."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(S.log_sum(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (i * F.col("n_chars")).cast("double"))), 6).alias("s"), S.translate_mods(F.col("lang"), {"e": "E", "n": "N"}).alias("tag"))
+
+
 @query()
 def protein_fdr(spark, sf_dir):
     """Group q-values joined back to rows."""
