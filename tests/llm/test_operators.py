@@ -562,6 +562,52 @@ def test_substring_dedup_inside_lines(spark):
     assert all(g.doc_id.nunique() == 2 for _, g in got.groupby("cluster_id"))
 
 
+def test_substring_dedup_by_brute_force(spark):
+    """Lines, copies of documents, edited copies and passages inside lines: near lines and shared stretches."""
+    rng = np.random.default_rng(25)
+    vocab = [f"w{i}" for i in range(4000)]
+    words = lambda n: list(rng.choice(vocab, n))
+    lines = [words(int(rng.integers(3, 60))) for _ in range(40)]
+    rows = {}
+    for i in range(60):
+        mine = [lines[int(rng.integers(40))] if rng.random() < 0.4 else words(int(rng.integers(1, 70))) for _ in range(int(rng.integers(1, 7)))]
+        rows[i] = "\n".join(" ".join(x) for x in mine)
+    for i in range(60, 90):  # copies, some with one word changed or a passage of another document set in
+        w = rows[int(rng.integers(60))].split(" ")
+        if i % 3 and len(w) > 3:
+            w[int(rng.integers(len(w)))] = "changed"
+        other = rows[int(rng.integers(60))].split()
+        rows[i] = " ".join(w[:20] + (other[:45] if i % 2 else []) + w[20:])
+    rows[90] = rows[5].replace("\n", " ")
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).toPandas()
+    tokens = {i: t.split() for i, t in rows.items()}
+    holders = defaultdict(set)
+    for i, w in tokens.items():
+        for p in range(len(w) - 29):
+            holders[tuple(w[p : p + 30])].add(i)
+    spans = {i: sorted(zip(g.start_word, g.start_word + g.n_words)) for i, g in got.groupby("doc_id")}
+    shared = 0
+    for i, w in tokens.items():
+        covered = np.zeros(len(w), bool)
+        until = None
+        for a, b in spans.get(i, []):
+            covered[max(until, 0) if until is not None and a - until <= 24 else a : b] = True  # gaps between reported lines
+            until = max(until or 0, b)
+        for p in range(len(w) - 29):
+            if len(holders[tuple(w[p : p + 30])]) > 1:
+                shared += 1
+                assert covered[p : p + 30].all(), (i, p)
+    assert shared > 1000
+    for r in got.itertuples():  # what is reported is a near line of another document, or a shared stretch
+        w = tokens[r.doc_id][r.start_word : r.start_word + r.n_words]
+        if len(w) >= 30 and all(len(holders[tuple(w[p : p + 30])]) > 1 for p in range(len(w) - 29)):
+            continue
+        own = {tuple(w[p : p + 5]) for p in range(len(w) - 4)}
+        near = [x.split() for j, t in rows.items() if j != r.doc_id for x in t.split("\n")]
+        sets = [{tuple(x[p : p + 5]) for p in range(len(x) - 4)} for x in near]
+        assert any(len(own & x) >= 0.8 * len(own | x) for x in sets if x), r
+
+
 def test_chat_snapshots(spark):
     turns = lambda c, *t: [(c, i, "user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(t)]
     rows = turns(1, "a", "b") + turns(2, "a", "b", "c") + turns(3, "a", "b", "c") + turns(4, "a", "x") + turns(5, None) + turns(6, "a") + [(None, 0, "user", "a"), (7, None, "user", "a"), (8, 0, None, None)]
