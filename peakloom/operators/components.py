@@ -44,12 +44,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(edges)
     if not maps:
         return edges.sparkSession.createDataFrame([], "u long, component_id long")
-    # A node that left the graph in an earlier round follows the maps of the later ones.
-    label = maps[0]
-    for later in maps[1:]:
-        label = label.join(later.select(F.col("u").alias("to"), F.col("to").alias("next")), "to", "left").select(
-            "u", F.coalesce("next", "to").alias("to")
-        )
+    # Maps are joined from the last one back, each far smaller than the one before it: a node that
+    # has left the graph never comes back, so the map of the next round names all that go on.
+    label = maps[-1]
+    for earlier in reversed(maps[:-1]):
+        later = label.select(F.col("u").alias("to"), F.col("to").alias("next"))
+        label = earlier.join(later, "to", "left").select("u", F.coalesce("next", "to").alias("to"))
     label = scratch.save(label)
     scratch.drop(*maps)
     least = label.groupBy("to").agg(F.min("u").alias("component_id"))
