@@ -66,6 +66,14 @@ def safe_pearson(x: str, y: str) -> Column:
     return F.when(var > 1e-12, cov / F.sqrt(var)).otherwise(0.0)
 
 
+def damped_pearson(x: str, y: str) -> Column:
+    """Aggregate: correlation whose denominator is damped, so that it is 0 without variation."""
+    n, sx, sy = F.count(F.col(x) * F.col(y)), F.sum(x), F.sum(y)
+    cov = F.sum(F.col(x) * F.col(y)) - sx * sy / n
+    var = F.greatest(F.sum(F.col(x) * F.col(x)) - sx * sx / n, F.lit(0.0)) * F.greatest(F.sum(F.col(y) * F.col(y)) - sy * sy / n, F.lit(0.0))
+    return cov / (F.sqrt(var) + 1e-12)
+
+
 def cosine(x: Column, y: Column, epsilon: float = 1e-4) -> Column:
     """Cosine of two arrays, damped for near-zero ones."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

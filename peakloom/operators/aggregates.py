@@ -30,6 +30,16 @@ def run_statistics(psm: DataFrame, runs: DataFrame, channels: list[int]) -> Data
     return base.join(stats, ["run", "channel"], "left").fillna(0, ["n", "n_pg"])
 
 
+def mean_and_spread(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Mean and standard deviation of columns per key; the deviation of a single row is null."""
+    return df.groupBy(*keys).agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+def group_ranges(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """First position of each key and the one after its last: (keys, start, stop)."""
+    return df.groupBy(*keys).agg(F.min(position).alias("start"), (F.max(position) + 1).alias("stop"))
+
+
 def modification_counts(psm: DataFrame, mods: str = "mods") -> DataFrame:
     """Rows with each modification, unmodified rows, and all rows."""
     each = psm.select(F.explode(F.array_distinct(F.split(mods, ";"))).alias("modification")).where("modification <> ''").groupBy("modification").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.functions.scalars import isotope_mz
+from peakloom.functions.scalars import damped_pearson, isotope_mz, weighted_mean
 
 from .joins import band_join
 
@@ -53,6 +53,31 @@ def isotope_traces(peaks: DataFrame, precursors: DataFrame, *, ppm: float, n: in
     return extract_traces(peaks, each.withColumnRenamed("isotope", "fragment"), ppm=ppm).withColumnRenamed("fragment", "isotope")
 
 
+def precursor_scores(isotopes: DataFrame, candidates: DataFrame, library: DataFrame) -> DataFrame:
+    """Scores of the isotope traces inside each candidate (precursor_idx, rank).
+
+    ``isotopes`` is what isotope_traces gives; ``library`` has precursor_idx, isotope and its
+    expected intensity. Intensities and heights are of the first, the strongest expected and all
+    isotopes; errors in m/z are weighted by the expected intensities of the isotopes seen.
+    """
+    inside = candidates.join(isotopes, "precursor_idx").where(F.col("cycle").between(F.col("cycle_start"), F.col("cycle_stop")))
+    seen = inside.groupBy("precursor_idx", "rank", "isotope").agg(
+        F.sum("intensity").alias("total"), F.max("intensity").alias("height"), weighted_mean("mz", "intensity").alias("mz"), F.min("mz_library").alias("mz_library")
+    )
+    wanted = candidates.select("precursor_idx", "rank").join(library.select("precursor_idx", "isotope", F.col("intensity").alias("expected")), "precursor_idx")
+    rows = wanted.join(seen, ["precursor_idx", "rank", "isotope"], "left").fillna(0.0, ["total", "height"])
+    strongest = F.struct("expected", -F.col("isotope"))
+    error = F.sum((F.col("mz") - F.col("mz_library")) / F.col("mz_library") * 1e6 * F.col("expected"))
+    first = lambda c: F.max(F.when(F.col("isotope") == 0, F.col(c)))
+    return rows.groupBy("precursor_idx", "rank").agg(
+        *(f.alias(n) for c, k in (("total", "intensity"), ("height", "height")) for n, f in (
+            (f"mono_ms1_{k}", first(c)), (f"top_ms1_{k}", F.max_by(c, strongest)), (f"sum_ms1_{k}", F.sum(c)),
+            (f"weighted_ms1_{k}", F.sum(F.col(c) * F.col("expected"))), (f"isotope_{k}_correlation", damped_pearson("expected", c)))),
+        F.coalesce(error, F.lit(0.0)).alias("weighted_mass_deviation"), F.abs(F.coalesce(error, F.lit(0.0))).alias("weighted_mass_error"),
+        (first("mz_library") * (1 + F.coalesce(error, F.lit(0.0)) * 1e-6)).alias("mz_observed"),
+    )
+
+
 def gaussian(fwhm: float, scale: float, size: int) -> np.ndarray:
     """Kernel of ``size`` points that sums to one."""
     sigma = max(fwhm / 2.3548 * scale, 1e-6)

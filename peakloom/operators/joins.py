@@ -80,6 +80,11 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return spread.join(right.withColumn("_bin", bin_of(right_value)), [*(on or []), "_bin"]).where(close).drop("_bin")
 
 
+def assemble(wanted: DataFrame, index: DataFrame, place: list[str], keys: list[str], value: str) -> DataFrame:
+    """Sum of the values of ``index`` at the places that each key of ``wanted`` lists."""
+    return wanted.select(*keys, *place).distinct().join(index.select(*place, value), place).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
 def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
     """Pairs of rows whose closed intervals overlap.
 

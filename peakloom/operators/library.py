@@ -45,6 +45,45 @@ def with_charges(peptides: DataFrame, charges: list[int], mz: tuple[float, float
     return rows.withColumn("mz", (peptide_mass(F.col("peptide")) + F.col("charge") * PROTON) / F.col("charge")).where(F.col("mz").between(*mz))
 
 
+def place_of(residue: str) -> str | None:
+    """Residue of a modification "name@residue", or None for the first residue's end ("Any_N-term")."""
+    return None if residue.endswith("N-term") else residue
+
+
+def modify(peptides: DataFrame, *, fixed: dict[str, float], variable: dict[str, float], most: int = 2) -> DataFrame:
+    """Peptides with all fixed and each choice of up to ``most`` variable modifications.
+
+    Modifications are named "name@residue" (or "name@Any_N-term", at place 0) with their mass;
+    a place holds one of them, so variable ones skip places that a fixed one takes. Adds mods
+    and mod_sites (joined by ;, fixed ones first) and mod_mass.
+    """
+
+    letters = F.split("peptide", "")
+    none = F.array().cast("array<struct<place:int,name:string,mass:double>>")
+
+    def places_of(name: str, mass: float) -> Column:
+        residue = place_of(name.split("@")[1])
+        places = F.array(F.lit(0)) if residue is None else F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.get(letters, i - 1) == residue)
+        return F.transform(places, lambda i: F.struct(i.cast("int").alias("place"), F.lit(name).alias("name"), F.lit(float(mass)).alias("mass")))
+
+    def sites(mods: dict[str, float]) -> Column:
+        return F.array_sort(F.concat(none, *(places_of(n, m) for n, m in sorted(mods.items()))))
+
+    def longer(form: Column) -> Column:
+        last = F.coalesce(F.element_at(F.transform(form, lambda s: s["place"]), F.when(F.size(form) > 0, -1)), F.lit(-1))
+        return F.transform(F.filter("_free", lambda s: s["place"] > last), lambda s: F.concat(form, F.array(s)))
+
+    rows = peptides.where(F.length("peptide") > 0).withColumn("_fixed", sites(fixed))
+    free = F.filter(sites(variable), lambda s: ~F.exists("_fixed", lambda f: f["place"] == s["place"]))
+    rows = rows.withColumn("_free", free).withColumn("_form", F.array(F.slice("_free", 1, 0)))
+    for _ in range(most):
+        rows = rows.withColumn("_form", F.array_distinct(F.concat("_form", F.flatten(F.transform("_form", longer)))))
+    each = rows.withColumn("_all", F.explode("_form")).withColumn("_all", F.concat("_fixed", "_all"))
+    joined = lambda part: F.array_join(F.transform("_all", lambda s: s[part].cast("string")), ";")
+    mass = F.aggregate("_all", F.lit(0.0), lambda total, s: total + s["mass"])
+    return each.withColumns({"mods": joined("name"), "mod_sites": joined("place"), "mod_mass": mass}).drop("_fixed", "_free", "_form", "_all")
+
+
 def mutate(sequence: Column) -> Column:
     """Decoy sequence: the second and the second last residue are exchanged."""
     swap = lambda c: F.translate(c, *EXCHANGE)
@@ -70,6 +109,37 @@ def fragments(library: DataFrame, *, idx: str = "precursor_idx", sequence: str =
     return rows.select(idx, "number", both.alias("f")).select(idx, "f.type", "number", F.col("f.mz").alias("mz_library"))
 
 
+def all_fragments(library: DataFrame, *, charges: tuple[int, ...] = (1, 2), idx: str = "precursor_idx", sequence: str = "sequence") -> DataFrame:
+    """Every b and y fragment in each charge, all of intensity 1, to quantify anew."""
+    each = fragments(library, idx=idx, sequence=sequence).withColumn("charge", F.explode(F.array(*map(F.lit, charges))))
+    mz = (F.col("mz_library") - PROTON) / F.col("charge") + PROTON
+    return each.withColumn("mz_library", mz).withColumn("intensity_library", F.lit(1.0))
+
+
+def unshared_ions(ions: DataFrame, *, group: str = "elution_group_idx", channel: str = "channel", mz: str = "mz_library", digits: int = 4) -> DataFrame:
+    """Ions whose m/z, rounded, belongs to one channel of the group only."""
+    named = ions.withColumn("_mz", F.round(mz, digits))
+    alone = named.groupBy(group, "_mz").agg(F.min(channel).alias("_least"), F.max(channel).alias("_most")).where("_least = _most")
+    return named.join(alone.select(group, "_mz"), [group, "_mz"], "left_semi").drop("_mz")
+
+
+def with_reference(rows: DataFrame, reference: int, *, group: str = "elution_group_idx", channel: str = "channel") -> DataFrame:
+    """Rows of the groups that have the reference channel."""
+    return only_keys(rows, rows.where(F.col(channel) == reference).select(group).distinct(), [group])
+
+
+def observed_library(psm: DataFrame, run: str) -> DataFrame:
+    """Targets of a run as a library; rt, mz and mobility are the observed, else the calibrated,
+    else the library's column, by what the table has."""
+    out = psm.where(F.col("decoy") == 0).withColumn("run", F.lit(run))
+    for value in ("rt", "mz", "mobility"):
+        named = [c for c in (f"{value}_observed", f"{value}_calibrated", f"{value}_library") if c in psm.columns]
+        if not named:
+            raise ValueError(f"no column for {value}")
+        out = out.withColumn(value, F.col(named[0]))
+    return hash_precursors(out)
+
+
 def isotope_pattern(mass: Column, n: int = 4) -> Column:
     """Relative heights of the first isotopes, as a Poisson series of the average composition."""
     mean = mass * 0.000594 - 0.03091

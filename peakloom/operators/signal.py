@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import keep_best
+
 
 def local_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, top: int | None = None) -> DataFrame:
     """Rows that are strict maxima of five neighbours; optionally the ``top`` highest per key."""
@@ -18,6 +20,46 @@ def local_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, to
     return found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top).drop("_rank")
 
 
+def local_peaks_2d(df: DataFrame, keys: list[str], row: str, column: str, value: str, top: int | None = None) -> DataFrame:
+    """Cells of a grid that are strict maxima of five neighbours along their row and their column.
+
+    ``row`` and ``column`` are whole numbers; a cell whose two neighbours on each side are not
+    all there is no peak. Optionally the ``top`` highest per key.
+    """
+    v, found = F.col(value), df
+    for line, place in ((row, column), (column, row)):
+        w = Window.partitionBy(*keys, line).orderBy(place)
+        at = lambda d: F.when(F.lag(place, d).over(w) == F.col(place) - d, F.lag(value, d).over(w))  # noqa: E731, B023
+        found = found.withColumn(f"_{place}", (at(2) < at(1)) & (at(1) < v) & (v > at(-1)) & (at(-1) > at(-2)))
+    found = found.where(F.col(f"_{row}") & F.col(f"_{column}")).drop(f"_{row}", f"_{column}")
+    return found if top is None else keep_best(found, keys, [F.desc(value), row, column], top)
+
+
+def centre_envelope(profile: Column) -> Column:
+    """Profile that falls off from its centre: no point is above the mean of the two before it.
+
+    A profile of even length has two centres. The point next to a single centre is held against
+    its own mean with the centre, that next to one of two centres against the centre itself.
+    """
+    n = F.size(profile)
+    odd = n % 2 == 1
+
+    def outward(side: Column) -> Column:
+        first = F.when(odd, (side[0] + F.coalesce(F.get(side, 1), side[0])) / 2).otherwise(side[0])
+        start = F.struct(F.array(side[0]).alias("kept"), first.alias("limit"))
+
+        def step(s: Column, v: Column) -> Column:
+            low = F.least(s["limit"], v)
+            return F.struct(F.concat(s["kept"], F.array(low)).alias("kept"), ((low + F.element_at(s["kept"], -1)) / 2).alias("limit"))
+
+        return F.aggregate(F.slice(side, F.lit(2), F.size(side)), start, step, lambda s: s["kept"])
+
+    half = F.floor(n / 2).cast("int")
+    left = F.reverse(outward(F.reverse(F.slice(profile, F.lit(1), F.when(odd, half + 1).otherwise(half)))))
+    right = outward(F.slice(profile, half + 1, n))
+    return F.when(n > 2, F.concat(left, F.when(odd, F.slice(right, F.lit(2), F.size(right))).otherwise(right))).otherwise(profile)
+
+
 def trapezoid_area(df: DataFrame, keys: list[str], order: list[str], x: Column, y: str, out: str = "area") -> DataFrame:
     """Area under y over x per key."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -27,10 +69,10 @@ def trapezoid_area(df: DataFrame, keys: list[str], order: list[str], x: Column,
 
 
 def fill_dips(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Replace a value that is below both neighbours by their mean."""
+    """Replace a value that is below one of its two neighbours by their mean; both ends stay."""
     w = Window.partitionBy(*keys).orderBy(*order)
     a, c = F.lag(value).over(w), F.lead(value).over(w)
-    dip = (F.col(value) < a) & (F.col(value) < c)
+    dip = ((F.col(value) < a) | (F.col(value) < c)) & a.isNotNull() & c.isNotNull()
     return df.withColumn("_v", F.when(dip, (a + c) / 2).otherwise(F.col(value))).drop(value).withColumnRenamed("_v", value)
 
 

@@ -374,7 +374,7 @@ def local_peaks(spark, sf_dir):
 
 
 @query("""with x as (select user_id, event_id, value v, lag(value) over w a, lead(value) over w c from events window w as (partition by user_id order by ts,event_id))
-select user_id, event_id, case when v<a and v<c then (a+c)/2 else v end as value from x""")
+select user_id, event_id, case when (v<a or v<c) and a is not null and c is not null then (a+c)/2 else v end as value from x""")
 def envelope(spark, sf_dir):
     """Dips filled from both sides."""
     return G.fill_dips(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", "value")
@@ -749,6 +749,113 @@ def log_sum(spark, sf_dir):
     return d.select("doc_id", F.round(S.log_sum(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (i * F.col("n_chars")).cast("double"))), 6).alias("s"), S.translate_mods(F.col("lang"), {"e": "E", "n": "N"}).alias("tag"))
 
 
+@query("""with g as (select event_id % 40 a, event_id // 40 b, value v from events),
+x as (select *, lag(v) over r r1, lag(v, 2) over r r2, lead(v) over r r3, lead(v, 2) over r r4, lag(v) over c c1, lag(v, 2) over c c2, lead(v) over c c3, lead(v, 2) over c c4,
+lag(a) over c a1, lag(b) over r b1 from g window r as (partition by a order by b), c as (partition by b order by a))
+select a, b, v from x where r2 < r1 and r1 < v and v > r3 and r3 > r4 and c2 < c1 and c1 < v and v > c3 and c3 > c4""")
+def local_peaks_2d(spark, sf_dir):
+    """Events laid out as a grid of 40 rows; maxima along both directions."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("a"), F.floor(F.col("event_id") / 40).alias("b"), F.col("value").alias("v"))
+    return G.local_peaks_2d(e, [], "a", "b", "v")
+
+
+@query("""with recursive e as (select vec_id, list_transform(embedding::double[], lambda x: abs(x)) v from embeddings),
+k as (select vec_id, case when vec_id % 2 = 0 then v else v[1 : len(v) - 1] end v from e),
+s as (select vec_id, v, side, case when len(v) % 2 = 1 then len(v) // 2 + 1 when side = -1 then len(v) // 2 else len(v) // 2 + 1 end i0 from k, (values (-1), (1)) t(side)),
+r as (select vec_id, side, i0 i, v[i0] x, case when len(v) % 2 = 1 then (v[i0] + v[i0 + side]) / 2 else v[i0] end lim from s
+ union all select r.vec_id, r.side, r.i + r.side, least(r.lim, s.v[r.i + r.side]), (least(r.lim, s.v[r.i + r.side]) + r.x) / 2
+ from r join s using (vec_id, side) where r.i + r.side between 1 and len(s.v)),
+o as (select distinct vec_id, i, x from r)
+select vec_id, count(*) n, round(sum(x), 6) total, round(arg_min(x, i), 6) first, round(arg_max(x, i), 6) last from o group by 1""")
+def centre_envelope(spark, sf_dir):
+    """Profiles of even and odd length that fall off from their centre."""
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    v = F.when(F.col("vec_id") % 2 == 0, v).otherwise(F.slice(v, F.lit(1), F.size(v) - 1))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", G.centre_envelope(v).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.size("v").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(F.col("v")[0], 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
+@query("""with p as (select p_partkey, upper(replace(p_name, ' ', '')) q from part),
+s as (select p_partkey, q, i place, m.name, m.mass from p, unnest(range(1, len(q) + 1)) t(i), (values ('Oxidation@M', 15.5::double, 'M'), ('Phospho@S', 80.0::double, 'S'), ('Phospho@T', 80.0::double, 'T')) m(name, mass, r) where q[i] = r),
+n as (select * from s union all select p_partkey, q, 0, 'Acetyl@Any_N-term', 42.25::double from p),
+f as (select p_partkey, string_agg(name, ';' order by i) names, string_agg(i::varchar, ';' order by i) sites, count(*) * 57.0::double mass from
+ (select p_partkey, i, 'Carbamidomethyl@C' as name from p, unnest(range(1, len(q) + 1)) t(i) where q[i] = 'C') group by 1),
+v as (select p_partkey, null names, null sites, 0.0::double mass from p union all select p_partkey, name, place::varchar, mass from n union all
+ select a.p_partkey, a.name || ';' || b.name, a.place || ';' || b.place, a.mass + b.mass from n a join n b on a.p_partkey = b.p_partkey and a.place < b.place)
+select v.p_partkey, concat_ws(';', f.names, v.names) mods, concat_ws(';', f.sites, v.sites) mod_sites, round(coalesce(f.mass, 0) + v.mass, 6) mod_mass from v left join f using (p_partkey)""")
+def modifications(spark, sf_dir):
+    """Names of parts as peptides, with a fixed and up to two variable modifications."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("peptide"))
+    variable = {"Oxidation@M": 15.5, "Phospho@S": 80.0, "Phospho@T": 80.0, "Acetyl@Any_N-term": 42.25}
+    return L.modify(p, fixed={"Carbamidomethyl@C": 57.0}, variable=variable).select("p_partkey", "mods", "mod_sites", F.round("mod_mass", 6).alias("mod_mass"))
+
+
+@query("""with r as (select o_custkey g, o_orderkey k, l_linenumber c, round(l_discount, 4) mz from lineitem join orders on l_orderkey = o_orderkey)
+select g, k, c, mz from r where (g, mz) in (select (g, mz) from r group by g, mz having count(distinct c) = 1)
+and g in (select g from r where c = 3)""")
+def channel_ions(spark, sf_dir):
+    """Lines of customers that have a third line, without discounts that two line numbers share."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("k"), F.col("l_linenumber").alias("c"), F.round("l_discount", 4).alias("mz"))
+    kept = L.unshared_ions(L.with_reference(rows, 3, group="g", channel="c"), group="g", channel="c", mz="mz")
+    return kept.select("g", "k", "c", "mz")
+
+
+@query("""select o_orderkey, o_custkey, o_totalprice rt, cast(o_custkey as double) mz, cast(o_custkey % 5 as double) mobility from orders where o_orderstatus <> 'F'""")
+def observed_library(spark, sf_dir):
+    """Orders as rows of a library: observed, calibrated and library values by what is there."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_totalprice").alias("rt_observed"), F.lit(0.0).alias("rt_library"), F.col("o_custkey").cast("double").alias("mz_calibrated"), F.lit(0.0).alias("mz_library"),
+        (F.col("o_custkey") % 5).cast("double").alias("mobility_library"), (F.col("o_orderstatus") == "F").cast("int").alias("decoy"),
+        F.col("o_orderpriority").alias("sequence"), F.lit(None).cast("string").alias("mods"), F.lit(None).cast("string").alias("mod_sites"), F.lit(2).alias("charge"))
+    return L.observed_library(o, "a").select("o_orderkey", "o_custkey", "rt", "mz", "mobility")
+
+
+@query("""with c as (select o_orderkey k from orders), x as (select i from (select unnest(range(0, 4)) i)),
+t as (select l_orderkey k, l_linenumber - 1 i, sum(l_quantity) q, max(l_quantity) h, sum(l_extendedprice * l_quantity) / sum(l_quantity) mz, 50000.0 ref from lineitem where l_linenumber <= 4 group by 1, 2),
+w as (select c.k, x.i, 1.0 / (1 + x.i) e, coalesce(q, 0.0) q, coalesce(h, 0.0) h, mz, ref from c cross join x left join t on t.k = c.k and t.i = x.i)
+select k, round(max(case when i = 0 then q end), 6) mono, round(sum(q), 6) total, round(arg_max(h, e), 6) top, round(sum(q * e), 6) weighted, round(coalesce(sum((mz - ref) / ref * 1e6 * e), 0), 3) error,
+round((sum(e * q) - sum(e) * sum(q) / 4) / (sqrt(greatest(sum(e * e) - sum(e) * sum(e) / 4, 0) * greatest(sum(q * q) - sum(q) * sum(q) / 4, 0)) + 1e-12), 6) r from w group by 1""")
+def precursor_scores(spark, sf_dir):
+    """Orders as candidates whose first four lines are isotopes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("precursor_idx"), F.lit(0).alias("rank"), F.lit(0).alias("cycle_start"), F.lit(9).alias("cycle_stop"))
+    iso = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(
+        F.col("l_orderkey").alias("precursor_idx"), (F.col("l_linenumber") - 1).alias("isotope"), F.lit(50000.0).alias("mz_library"), F.lit(3).alias("cycle"), F.col("l_quantity").alias("intensity"), F.col("l_extendedprice").alias("mz"))
+    lib = orders.select("precursor_idx", F.explode(F.array(*map(F.lit, range(4)))).alias("isotope")).withColumn("intensity", 1.0 / (1 + F.col("isotope")))
+    s = K.precursor_scores(iso, orders, lib)
+    names = {"mono": "mono_ms1_intensity", "total": "sum_ms1_intensity", "top": "top_ms1_height", "weighted": "weighted_ms1_intensity", "r": "isotope_intensity_correlation"}
+    return s.select(F.col("precursor_idx").alias("k"), *(F.round(c, 6).alias(n) for n, c in names.items()), F.round("weighted_mass_deviation", 3).alias("error"))
+
+
+@query("""select l_linestatus, round(avg(l_quantity), 6) q_mean, round(stddev_samp(l_quantity), 6) q_std from lineitem group by 1""")
+def mean_and_spread(spark, sf_dir):
+    """Mean and deviation of quantities by mode."""
+    out = A.mean_and_spread(table(spark, sf_dir, "lineitem"), ["l_linestatus"], ["l_quantity"])
+    return out.select("l_linestatus", F.round("l_quantity_mean", 6).alias("q_mean"), F.round("l_quantity_std", 6).alias("q_std"))
+
+
+@query("""select user_id, min(event_id) as start, max(event_id) + 1 as stop from events group by 1""")
+def group_ranges(spark, sf_dir):
+    """Range of each user's events."""
+    return A.group_ranges(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+
+
+@query("""select o_custkey, round(sum(l_quantity), 6) q from (select distinct o_custkey, o_orderkey from orders) join lineitem on o_orderkey = l_orderkey group by 1""")
+def assemble_places(spark, sf_dir):
+    """Quantities of the orders that each customer lists."""
+    wanted = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    out = J.assemble(wanted, table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["o_custkey"], "l_quantity")
+    return out.select("o_custkey", F.round("l_quantity", 6).alias("q"))
+
+
+@query("""with x as (select l_returnflag f, l_quantity a, cast(l_extendedprice as double) b from lineitem)
+select f, round((sum(a * b) - sum(a) * sum(b) / count(*)) / (sqrt((sum(a * a) - sum(a) * sum(a) / count(*)) * (sum(b * b) - sum(b) * sum(b) / count(*))) + 1e-12), 6) r from x group by 1""")
+def damped_pearson(spark, sf_dir):
+    """Correlation of quantities and prices."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.round(S.damped_pearson("l_quantity", "l_extendedprice"), 6).alias("r"))
+
+
 @query()
 def protein_fdr(spark, sf_dir):
     """Group q-values joined back to rows."""

@@ -9,14 +9,14 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.functions.scalars import safe_pearson
+from peakloom.functions.scalars import PROTON, safe_pearson
 from peakloom.operators.aggregates import fdr_summary, run_statistics
-from peakloom.operators.candidates import FEATURES, Selection, extract_traces, isotope_traces, score_candidates, select
+from peakloom.operators.candidates import FEATURES, Selection, extract_traces, isotope_traces, precursor_scores, score_candidates, select
 from peakloom.operators.competition import compete
-from peakloom.operators.fdr import control, protein_control
+from peakloom.operators.fdr import control, control_by_channel, protein_control
 from peakloom.operators.grouping import infer_groups
-from peakloom.operators.joins import window_index
-from peakloom.operators.library import match_between_runs
+from peakloom.operators.joins import multiplex, only_keys, window_index
+from peakloom.operators.library import all_fragments, isotope_pattern, match_between_runs, unshared_ions, with_reference
 from peakloom.operators.quantify import accumulate, filter_ions, label_free, merge_levels
 from peakloom.sources.shared import Scratch
 
@@ -34,6 +34,7 @@ class Settings:
     windows: tuple[tuple[float, float], ...] = ()  # isolation windows of one cycle
     cycle_seconds: float = 1.0
     rt_tolerance: float = 3.0
+    ms1_scores: bool = False  # whether the classifier reads the scores of the isotope traces
 
 
 def observable(library: DataFrame, spectra: DataFrame) -> DataFrame:
@@ -52,22 +53,66 @@ def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: Dat
     """
     scratch = Scratch(peaks.sparkSession, "search")
     traces = scratch.save(extract_traces(peaks, fragments, ppm=settings.selection.ppm))
-    isotopes = None if ms1 is None else isotope_traces(ms1, precursors, ppm=settings.selection.ppm, n=settings.selection.isotopes)
+    isotopes = None if ms1 is None else scratch.save(isotope_traces(ms1, precursors, ppm=settings.selection.ppm, n=settings.selection.isotopes))
     picked = scratch.save(select(traces, settings.selection, isotopes))
     scored = score_candidates(traces, picked, fragments).join(picked, ["precursor_idx", "rank"])
+    features = [*FEATURES, "score"]
+    if isotopes is not None and settings.ms1_scores:
+        expected = isotope_pattern((F.col("mz") - PROTON) * F.col("charge"), settings.selection.isotopes)
+        scores = precursor_scores(isotopes, picked, precursors.select("precursor_idx", F.posexplode(expected).alias("isotope", "intensity"))).drop("mz_observed")
+        scored = scored.join(scores, ["precursor_idx", "rank"])
+        features += [c for c in scores.columns if c not in ("precursor_idx", "rank")]
     rows = scratch.save(scored.join(precursors, "precursor_idx").withColumn("rt", F.col("cycle_center") * settings.cycle_seconds))
-    psm = control(rows, [*FEATURES, "score"], keys=["precursor_idx"])
+    psm = control(rows, features, keys=["precursor_idx"])
     if settings.compete:
         placed = window_index(psm, "mz", list(settings.windows)) if settings.windows else psm.withColumn("window_idx", F.lit(0))
         named = scratch.save(placed.withColumn("id", F.col("precursor_idx")))
         psm = compete(named, fragments.select(F.col("precursor_idx").alias("id"), F.col("mz_library").alias("mz")), rt=settings.rt_tolerance).drop("id", "window_idx")
     psm = scratch.save(psm.where(F.col("qval") <= settings.fdr).withColumn("run", F.lit(run)))
+    return psm, fragment_table(traces, psm).withColumn("run", F.lit(run))
+
+
+def fragment_table(traces: DataFrame, psm: DataFrame) -> DataFrame:
+    """Intensity, height and correlation with the summed profile of each fragment inside its row's limits."""
     inside = traces.join(psm.select("precursor_idx", "cycle_start", "cycle_stop"), "precursor_idx").where(F.col("cycle").between(F.col("cycle_start"), F.col("cycle_stop")))
     profile = inside.groupBy("precursor_idx", "cycle").agg(F.sum("intensity").alias("profile"))
-    frag = inside.join(profile, ["precursor_idx", "cycle"]).groupBy("precursor_idx", "fragment").agg(
+    return inside.join(profile, ["precursor_idx", "cycle"]).groupBy("precursor_idx", "fragment").agg(
         F.sum("intensity").alias("intensity"), F.max("intensity").alias("height"), safe_pearson("intensity", "profile").alias("correlation")
     )
-    return psm, frag.withColumn("run", F.lit(run))
+
+
+def requantify_all_fragments(psm: DataFrame, library: DataFrame, peaks: DataFrame, *, ppm: float, charges: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """fragment_table of every b and y fragment of the found targets, for a transfer library.
+
+    ``psm`` has one row per precursor_idx with decoy, cycle_start and cycle_stop; ``library``
+    precursor_idx and sequence.
+    """
+    found = psm.where("decoy = 0").select("precursor_idx", "cycle_start", "cycle_stop")
+    ions = all_fragments(only_keys(library, found, ["precursor_idx"]), charges=charges)
+    limited = ions.withColumn("fragment", F.concat("type", F.col("number").cast("string"), F.lit("+"), F.col("charge").cast("string"))).join(found, "precursor_idx")
+    traces = extract_traces(peaks, limited.withColumnsRenamed({"cycle_start": "first_cycle", "cycle_stop": "last_cycle"}), ppm=ppm)
+    return fragment_table(traces, found)
+
+
+def requantify_channels(
+    found: DataFrame, library: DataFrame, fragments: DataFrame, peaks: DataFrame, *, reference: int, targets: list[int], decoy_channel: int, ppm: float, least: int = 20
+) -> DataFrame:
+    """Rows of every channel at the place of each group's best row, with q-values against the decoy channel.
+
+    ``found`` has elution_group_idx, proba, precursor_idx, cycle_start, cycle_center and
+    cycle_stop; ``library`` has elution_group_idx, precursor_idx, channel and decoy. Groups
+    without the reference channel are left out, and so are ions that channels share.
+    """
+    scratch = Scratch(peaks.sparkSession, "channels")
+    places = found.select("elution_group_idx", "proba", F.col("precursor_idx").alias("found_idx"), "cycle_start", "cycle_center", "cycle_stop")
+    rows = multiplex(places, library, group="elution_group_idx", channel="channel", order=["proba", "found_idx"], channels=sorted({reference, *targets, decoy_channel}))
+    rows = scratch.save(with_reference(rows, reference).drop("proba").withColumn("rank", F.lit(0)))
+    ions = fragments.join(rows.select("precursor_idx", "elution_group_idx", "channel", F.col("cycle_start").alias("first_cycle"), F.col("cycle_stop").alias("last_cycle")), "precursor_idx")
+    own = scratch.save(unshared_ions(ions))
+    traces = scratch.save(extract_traces(peaks, own, ppm=ppm))
+    scored = score_candidates(traces, rows.select("precursor_idx", "rank", "cycle_start", "cycle_center", "cycle_stop"), own).join(rows, ["precursor_idx", "rank"])
+    wanted = [c for c in sorted({reference, *targets}) if c != decoy_channel]
+    return control_by_channel(scratch.save(scored), list(FEATURES), wanted, decoy_channel=decoy_channel, keys=["precursor_idx"], least=least)
 
 
 def combine(psm: DataFrame, frag: DataFrame, settings: Settings) -> dict[str, DataFrame]:

@@ -2,17 +2,20 @@
 
 import math
 import time
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from peakloom.functions import scalars
 from peakloom.operators import aggregates, calibrate, candidates, competition, fdr, grouping, joins, library, optimise, quantify, ranking, signal
 from peakloom.operators.components import connected_components
-from peakloom.plans.search import Settings, combine, merge_config, search_run
-from peakloom.sources import spectra, tables
+from peakloom.plans.search import Settings, combine, merge_config, requantify_all_fragments, requantify_channels, search_run
+from peakloom.sources import saved, spectra, tables
 from peakloom.sources.shared import Scratch, shared_dir
 from peakloom.streaming import accumulate
 
@@ -331,6 +334,8 @@ def test_search_competition_and_precursor_traces(spark):
     psm = search_run("r", prec, f, p, settings, ms1=ms1)[0].toPandas()
     kept = set(psm.precursor_idx)
     assert len(kept & {0, 4}) == 1 and 2 in kept and {6, 8, 10} <= kept
+    scored = search_run("r", prec, f, p, replace(settings, compete=False, ms1_scores=True), ms1=ms1)[0].toPandas().set_index("precursor_idx")
+    assert len(scored) == n and scored.loc[6, "sum_ms1_intensity"] > 0 and scored.loc[40, "sum_ms1_intensity"] == 0
     traces = candidates.extract_traces(p, f, ppm=15)
     isotopes = candidates.isotope_traces(ms1, prec, ppm=15, n=3)
     plain, more = ({r["precursor_idx"]: r["score"] for r in candidates.select(traces, settings.selection, x).where("rank = 0").collect()} for x in (None, isotopes))
@@ -339,6 +344,102 @@ def test_search_competition_and_precursor_traces(spark):
     assert cut and min(r["score"] for r in cut) > plain[6]
 
 
+def plain_envelope(x):
+    """Both sides outwards: a point is at most the mean of the two before it."""
+    x, n = list(x), len(x)
+    if n < 3:
+        return x
+    for sign, centre in ((-1, n // 2 - (n % 2 == 0)), (1, n // 2)):
+        limit = (x[centre] + x[centre + sign]) / 2 if n % 2 else x[centre]
+        at = centre + sign
+        while 0 <= at < n:
+            x[at] = min(x[at], limit)
+            limit, at = (x[at] + x[at - sign]) / 2, at + sign
+    return x
+
+
+def test_centre_envelope(spark):
+    rng = np.random.default_rng(21)
+    rows = [[], [3.0], [2.0, 5.0]] + [list(map(float, rng.integers(0, 9, n))) for n in range(3, 12) for _ in range(5)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<double>")
+    got = [r["y"] for r in df.select("i", signal.centre_envelope(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert all(np.allclose(g, plain_envelope(r)) for g, r in zip(got, rows))
+
+
+def test_peaks_of_a_grid(spark):
+    rng = np.random.default_rng(22)
+    top = rng.random((12, 14))
+    cells = [(k, i, j, float(top[i, j])) for k in (0, 1) for i in range(12) for j in range(14) if not (k == 1 and (i, j) == (9, 7))]
+    for i, j in ((2, 2), (2, 11), (9, 6)):  # planted cones
+        cells = [(k, a, b, v + max(0, 40 - 10 * (abs(a - i) + abs(b - j)))) for k, a, b, v in cells]
+    value = {(k, i, j): v for k, i, j, v in cells}
+    rise = lambda k, places: all(p in value for p in ((k, *q) for q in places)) and all(value[k, *p] < value[k, *q] for p, q in zip(places, places[1:]))
+    want = {
+        (k, i, j) for k, i, j, _ in cells
+        if all(rise(k, [(i + 2 * a, j + 2 * b), (i + a, j + b), (i, j)]) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+    }
+    df = spark.createDataFrame(cells, "k int, i int, j int, v double")
+    assert {(r.k, r.i, r.j) for r in signal.local_peaks_2d(df, ["k"], "i", "j", "v").collect()} == want and len(want) > 2
+    best = signal.local_peaks_2d(df, ["k"], "i", "j", "v", top=1).collect()
+    assert {(r.k, r.v) for r in best} == {(k, max(value[w] for w in want if w[0] == k)) for k in {w[0] for w in want}}
+
+
+def test_modifications(spark):
+    df = frame(spark, peptide=["MCM", "", "AK"])
+    got = library.modify(df, fixed={"Carb@C": 57.0}, variable={"Ox@M": 16.0, "Acetyl@Any_N-term": 42.0, "Odd@C": 1.0}, most=2)
+    rows = {(r.peptide, r.mods, r.mod_sites, r.mod_mass) for r in got.collect()}
+    carb = ["", "0", "1", "3", "0;1", "0;3", "1;3"]
+    name = lambda sites: [{"0": "Acetyl@Any_N-term", "1": "Ox@M", "3": "Ox@M"}[s] for s in sites.split(";") if s]
+    mass = {"Acetyl@Any_N-term": 42.0, "Ox@M": 16.0}
+    want = {("MCM", ";".join(["Carb@C", *name(s)]), ";".join(filter(None, ["2", s])), 57.0 + sum(mass[n] for n in name(s))) for s in carb}
+    assert rows == want | {("AK", "", "", 0.0), ("AK", "Acetyl@Any_N-term", "0", 42.0)} and got.count() == len(rows)
+
+
+def test_saved_state_and_models(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    with pytest.warns(UserWarning, match="no state"):
+        assert saved.load_state(spark, path, 1) is None
+    saved.save_state(spark, path, {"ppm": 7.5, "names": ["a"]}, 1)
+    assert saved.load_state(spark, path, 1) == {"ppm": 7.5, "names": ["a"]}
+    with pytest.warns(UserWarning, match="another version"):
+        assert saved.load_state(spark, path, 2) is None
+    df = frame(spark, a=[0.0, 1.0, 2.0], b=[1.0, 0.0, 5.0])
+    fit = lambda *cols: Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="x")]).fit(df)
+    assert saved.load_model(spark, str(tmp_path), ["a", "b"]) is None
+    assert [saved.save_model(spark, str(tmp_path), c, fit(*c)) for c in (["a", "b"], ["b", "a"], ["a"])] == [0, 1, 0]
+    assert saved.load_model(spark, str(tmp_path), ["b", "a"]).transform(df).first()["x"].toArray().tolist() == [1.0, 0.0]
+    assert saved.load_model(spark, str(tmp_path), ["a", "b"], 0).transform(df).first()["x"].toArray().tolist() == [0.0, 1.0]
+    assert saved.load_model(spark, str(tmp_path), ["a", "b"], 5) is None
+
+
+def test_requantification(spark):
+    """Channels are read at the place of their group's best row; every fragment of a found target is summed."""
+    rng = np.random.default_rng(23)
+    groups, cycles = 40, 21
+    lib = [(3 * g + c, g, c, 0, f"AK{'G' * (g % 3)}R") for g in range(groups) for c in (0, 1, 2) if not (g == 39 and c == 0)]
+    library_df = spark.createDataFrame(lib, "precursor_idx long, elution_group_idx long, channel long, decoy int, sequence string")
+    frag = [(i, f"y{k + 1}", 200.0 + g * 30 + k + (0.0 if k == 0 else 5.0 * c), 1.0 + k) for i, g, c, *_ in lib for k in range(4)]
+    peaks = []
+    for i, _, mz, w in frag:
+        for t in range(cycles):
+            peaks.append((t, mz, float((np.exp(-((t - 10) ** 2) / 8) * w * 1000 if i % 3 < 2 else 0) + rng.uniform(1, 60))))
+    f = spark.createDataFrame(frag, "precursor_idx long, fragment string, mz_library double, intensity_library double")
+    p = spark.createDataFrame(peaks, "cycle long, mz double, intensity double")
+    found = spark.createDataFrame([(g, q, 3 * g + 1, 0, a, a + 5, a + 10) for g in range(groups) for q, a in ((0.1, 5), (0.5, 0))],
+                                  "elution_group_idx long, proba double, precursor_idx long, decoy int, cycle_start long, cycle_center long, cycle_stop long")
+    got = requantify_channels(found, library_df, f, p, reference=0, targets=[0, 1], decoy_channel=2, ppm=15).toPandas()
+    assert set(got.elution_group_idx) == set(range(39)) and (got.cycle_start == 5).all() and (got.n_fragments == 3).all()
+    real = got[got.decoy == 0]
+    assert set(real.channel) == {0, 1} and (real.qval <= 0.05).mean() > 0.9
+    one = frame(spark, precursor_idx=[1, 2], decoy=[0, 1], cycle_start=[2, 2], cycle_stop=[4, 4])
+    seqs = frame(spark, precursor_idx=[1, 2, 3], sequence=["AKR", "GGK", "AAK"])
+    ions = library.all_fragments(seqs).where("precursor_idx = 1").collect()
+    assert len(ions) == 8 and {r.intensity_library for r in ions} == {1.0}
+    at = spark.createDataFrame([(t, r.mz_library, 10.0 * (t + 1)) for r in ions for t in range(6)], "cycle long, mz double, intensity double")
+    table = requantify_all_fragments(one, seqs, at, ppm=5).toPandas()
+    assert set(table.precursor_idx) == {1} and len(table) == 8 and (table.intensity == 30.0 + 40.0 + 50.0).all() and np.allclose(table.correlation, 1.0)
+
+
 def test_overlap_by():
     names, seen = np.array(["b1", "b2", "b5", "y4", "y6"]), np.array([True] * 5)
     assert candidates.overlap_by(names, seen, 8) == 3.0 and candidates.overlap_by(names, seen & (names != "y6"), 8) == 1.0
