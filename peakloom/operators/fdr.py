@@ -19,16 +19,17 @@ from .aggregates import any_null, protein_features
 from .ranking import keep_best, q_values
 
 
-def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, folds: int = 2, iterations: int = 15, out: str = "proba") -> DataFrame:
+def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, folds: int = 3, iterations: int = 15, out: str = "proba", by: list[str] | None = None) -> DataFrame:
     """Rows with the probability that each is a decoy; rows that lack a feature are dropped.
 
-    Rows fall into hashed folds, and each fold is scored by a perceptron that learned on the
+    Rows fall into folds by the hash of the columns ``by`` (the features by default, whose last
+    bits may differ from run to run), and each fold is scored by a perceptron that learned on the
     others, so that no row's own label speaks for it; few ``iterations`` keep it from learning
     single rows by heart. Where the others lack one of the classes,
     all rows are learned from. Targets and decoys should be about as many; a warning tells if not.
     """
     scratch = Scratch(df.sparkSession, "classify")
-    fold = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(folds)).cast("int")
+    fold = F.pmod(F.xxhash64(*(by or features), F.lit(seed)), F.lit(folds)).cast("int")
     known = scratch.save(df.where(~any_null(features)).withColumn("_y", F.col(decoy).cast("double")).withColumn("_fold", fold))
     counts = Counter({(r["_fold"], r["_y"]): r["count"] for r in known.groupBy("_fold", "_y").count().collect()})
     decoys, targets = (sum(n for (_, y), n in counts.items() if y == label) for label in (1.0, 0.0))
@@ -56,7 +57,7 @@ def control(df: DataFrame, features: list[str], *, keys: list[str], idx: str = "
     counts = df.groupBy(decoy).count().collect()
     if len(counts) < 2 or min(r["count"] for r in counts) < least:
         return keep_best(df.withColumn("proba", F.lit(1.0)), keys, [idx]).withColumn("qval", F.lit(1.0))
-    scored = classify(df, features, decoy, seed=seed)
+    scored = classify(df, features, decoy, seed=seed, by=[idx])
     best = keep_best(scored, keys, ["proba", idx])
     return q_values(best, "proba", decoy, [idx])
 
@@ -84,6 +85,6 @@ def protein_control(psm: DataFrame, *, seed: int = 42, least: int = 20) -> DataF
     if len(counts) < 2:
         return psm.withColumn("pg_qval", F.lit(0.0 if counts.get(0) else 1.0))
     scale = counts[0] / counts[1]
-    learned = classify(features, numbers, "decoy", seed=seed) if min(counts.values()) >= least else features.withColumn("proba", F.col("best_score"))
+    learned = classify(features, numbers, "decoy", seed=seed, by=["pg", "decoy"]) if min(counts.values()) >= least else features.withColumn("proba", F.col("best_score"))
     scored = q_values(learned, "proba", "decoy", ["pg"], scale=scale)
     return psm.join(scored.select("pg", "decoy", F.col("qval").alias("pg_qval")), ["pg", "decoy"], "left")
