@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where spark.checkpoint.dir is unset and one process does all work (tests, a laptop).
 LOCAL_SHARED = "/tmp/checkpoints/peakloom"
 _roots: list[tuple[SparkSession, str]] = []
@@ -59,10 +61,18 @@ class Scratch:
         _roots.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return a frame that reads the files."""
+        """Write ``df`` once and return a frame that reads the files.
+
+        Shuffle files of the write go at its end: nothing reads them once the table is there.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
