@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP6_SQL, op6_chat
 from .cover_tree import OP4_SQL, op4_cover_tree
 from .decontaminate import op10_decontaminate
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_text import op1_html_text
 from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .packing import op2_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_secrets,
         op10_decontaminate,
+        op11_hard_negatives,
     )
 }
-ORACLE: dict[str, str] = {"op4_cover_tree": OP4_SQL, "op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL}
+ORACLE: dict[str, str] = {"op4_cover_tree": OP4_SQL, "op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_hard_negatives": OP11_SQL}
