@@ -17,6 +17,7 @@ from .pii import op3_pii
 from .quality import op5_quality
 from .secrets import op9_secrets
 from .substring_dedup import op8_substring_dedup
+from .warc import OP13_SQL, op13_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_decontaminate,
         op11_hard_negatives,
+        op13_warc,
     )
 }
-ORACLE: dict[str, str] = {"op4_cover_tree": OP4_SQL, "op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLE: dict[str, str] = {"op4_cover_tree": OP4_SQL, "op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_warc": OP13_SQL}
