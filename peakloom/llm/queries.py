@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .chat import OP6_SQL, op6_chat
 from .cover_tree import OP4_SQL, op4_cover_tree
 from .decontaminate import op10_decontaminate
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_decontaminate,
         op11_hard_negatives,
+        op12_alignment,
         op13_warc,
     )
 }
