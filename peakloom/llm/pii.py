@@ -181,7 +181,7 @@ def _digits(m: re.Match) -> str:
         return m[0]
     signs = {"plus": "+", "dot": ".", "point": "."}
     joined = "".join(signs.get(p) or _SPELLED.get(p, p) for p in parts)
-    before = "+" if m.string[: m.start()].endswith("+") else ""
+    before = "+" if m.start() and m.string[m.start() - 1] == "+" else ""
     spaced = _POINT.sub(".", _PLUS.sub("+", m[0]))
     for pieces in ([signs.get(p, p) for p in parts], re.split(rf"({_WORD})", spaced, flags=re.I)):
         out, at = before, []
