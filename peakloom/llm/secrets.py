@@ -180,8 +180,10 @@ def scan_secrets(docs: DataFrame, *, fdr: float = 0.01) -> DataFrame:
     string of its encoding (p of LEAST_P or more), and that is no ordinary string: of the tokens
     called, a share of ``fdr`` at most is expected to be ordinary. Long tokens give stronger
     evidence than short ones, so Benjamini-Hochberg runs within classes of length (powers of
-    two) over the p-values under "ordinary string". Thresholds come from counts of p-values in
-    steps of STEP, a small table however many tokens there are, so nothing is sorted as a whole.
+    two) over the p-values under "ordinary string", where a token that the battery tells from a
+    random one has p = 1: it is never called and never counts as called, but counts as tested.
+    Thresholds come from counts of p-values in steps of STEP, a small table however many tokens
+    there are, so nothing is sorted as a whole.
 
     Null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated
     rows, and count as such; an empty table gives no rows; extra columns are ignored. Tokens of
@@ -207,10 +209,10 @@ def scan_secrets(docs: DataFrame, *, fdr: float = 0.01) -> DataFrame:
     )
     empty = F.array().cast("array<struct<start:int,end:int,size:int,bin:int,random:boolean>>")
     scanned = scratch.save(found.select("doc_id", "known", F.when(F.size("token") > 0, tested).otherwise(empty).alias("token")))
-    counts = scanned.where(F.size("token") > 0).select(F.explode("token").alias("t")).groupBy("t.size", "t.bin").agg(F.count("*").alias("n"))
+    counts = scanned.where(F.size("token") > 0).select(F.explode("token").alias("t")).groupBy("t.size", "t.bin").agg(F.count("*").alias("n"), F.count_if("t.random").alias("called"))
     beyond = Window.partitionBy("size").orderBy(F.desc("bin"))
     limits = (
-        counts.select("size", "bin", F.sum("n").over(beyond).alias("above"), F.sum("n").over(Window.partitionBy("size")).alias("all"))
+        counts.select("size", "bin", F.sum("called").over(beyond).alias("above"), F.sum("n").over(Window.partitionBy("size")).alias("all"))
         .where(F.pow(F.lit(10.0), -F.col("bin") * STEP) <= fdr * F.col("above") / F.col("all"))
         .groupBy("size").agg(F.min("bin").alias("limit"))
     )
