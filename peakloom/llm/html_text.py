@@ -45,6 +45,7 @@ _HEADERS = frozenset(["header", "topbar"])
 # Elements that group others, and words that a site adds to the name of a group.
 _GROUPS = frozenset("article div section ul ol dl table details figure center".split())
 _GROUP_WORDS = frozenset("area bar block blocks box buttons container form group icons items links list panel section slot thread tools unit widget wrap wrapper".split())
+_PLACES = frozenset("bottom desktop entry global inner left lower main mobile outer page post primary reader right secondary site top upper user".split())
 #: Pages on which a subtree may recur by chance or copying before it counts as recurring.
 CHANCE = 2
 
@@ -143,13 +144,29 @@ class Page:
                 yield from (m[2] or m[3] or m[4] or "").split()
 
     def _named(self, i: int) -> bool:
-        """Whether a group bears a furniture name as a whole: ad, comments, share-buttons; not share-price."""
+        """Whether a group bears a furniture name as a whole: ad, user-comments, share-buttons; not share-price."""
         for name in self._names(i):
             words = [w.lower() for w in _WORDS.findall(name)]
-            if words and words[0] in _FURNITURE and all(w in _FURNITURE | _GROUP_WORDS for w in words[1:]):
+            own = [w for w in words if w not in _PLACES]
+            if own and own[0] in _FURNITURE and all(w in _FURNITURE | _GROUP_WORDS for w in own[1:]):
                 return True
         return False
 
+    def wrapping_forms(self) -> set[int]:
+        """Forms that hold the main text: an article or main element or, where the page has none, most of its text."""
+        if "form" not in self.tag:
+            return set()
+        n = len(self.tag)
+        holds, weight = [t in ("article", "main") for t in self.tag], [0] * n
+        for i in range(n - 1, -1, -1):
+            if self.tag[i] in _DROPPED and self.tag[i] != "form":
+                continue
+            weight[i] += sum(len(x.strip()) for x in self.items[i] if isinstance(x, str))
+            if i:
+                weight[self.parent[i]] += weight[i]
+                holds[self.parent[i]] |= holds[i]
+        return {i for i, t in enumerate(self.tag) if t == "form" and (holds[i] or (not holds[0] and 2 * weight[i] > weight[0]))}
+
     def _furniture(self, i: int, inside: bool) -> bool:
         """Whether an element is no main text by itself.
 
@@ -176,14 +193,16 @@ class Page:
         aside = [False] * n  # in an article that its name sets apart from another one
         for i in range(1, n):
             aside[i] = aside[self.parent[i]] or (named[i] and some)
-        bears = [t in ("article", "main", "h1") and not a for t, a in zip(self.tag, aside)]  # elements that hold the main text
+        holds = [t in ("article", "main") and not a for t, a in zip(self.tag, aside)]  # elements that hold the main text
+        bears = [h or (t == "h1" and not a) for h, t, a in zip(holds, self.tag, aside)]
         for i in range(n - 1, 0, -1):
             bears[self.parent[i]] |= bears[i]
-        gone, inside = [False] * n, [False] * n
+            holds[self.parent[i]] |= holds[i]
+        gone, inside, forms = [False] * n, [False] * n, self.wrapping_forms()
         for i in range(1, n):
             up = self.parent[i]
             inside[i] = inside[up] or self.tag[up] in ("article", "main")
-            gone[i] = gone[up] or (self._furniture(i, inside[i]) and (not bears[i] or self.tag[i] in _DROPPED))
+            gone[i] = gone[up] or (i not in forms and self._furniture(i, inside[i]) and (not bears[i] or self.tag[i] in _DROPPED))
         regions = [i for i in range(1, n) if self.tag[i] == "article" and not gone[i]] or [
             i for i in range(1, n) if not gone[i] and (self.tag[i] == "main" or _ROLE.search(self.attributes[i]))
         ]
@@ -193,7 +212,7 @@ class Page:
             own = self.hashes()
             for i in range(1, n):
                 share = template.get(own[i], 0.0) if self.tag[i] not in _UNCOUNTED else 0.0
-                gone[i] = gone[i] or gone[self.parent[i]] or (share >= (outside if whole else within) and not bears[i])
+                gone[i] = gone[i] or gone[self.parent[i]] or (share >= (outside if whole else within) and not holds[i])  # a heading that recurs is the site's
         out: list[str] = []
         stack: list[tuple[str | int, bool]] = [(0, False)]
         while stack:
@@ -237,7 +256,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for host, name, source in zip(*(batch.column(c).to_pylist() for c in ("host", "print", "html"))):
                 page = Page(source or "")
                 hashes, sums = page.digests()
-                out_of = [t in _DROPPED for t in page.tag]
+                forms = page.wrapping_forms()
+                out_of = [t in _DROPPED and i not in forms for i, t in enumerate(page.tag)]
                 for i in range(1, len(out_of)):
                     out_of[i] |= out_of[page.parent[i]]
                 held = {h: s for h, s, t, o in zip(hashes, sums, page.tag, out_of) if not o and t not in _UNCOUNTED} | {0: 0}
@@ -269,6 +289,7 @@ def extract_text(pages: DataFrame, *, outside: float = 0.3, within: float = 0.6)
     joined to the subtrees of pages by host and hash, so no row holds a host's templates. Pass
     two drops template subtrees and page furniture, and joins what is left of the article: inside
     it, elements are furniture by their role, style or name as a group, never by a word in a name.
+    A form is furniture unless it holds the main text. A recurring heading goes with its subtree.
 
     Null or empty html gives an empty text, an empty table no rows. A null url, or one without
     a host, has no template removal. Repeated rows are rows of their own and count as one page.
