@@ -46,6 +46,7 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         h, of, _, _ = hash_words([(t or "").lower().encode("utf-8", "replace") for _, t in items], NON_WORD)
         cuts = np.searchsorted(of, np.arange(len(items) + 1))
+        self.flat, self.cuts = h, cuts
         self.words = [h[cuts[i] : cuts[i + 1]] for i in range(len(items))]
         at = np.flatnonzero(of[: max(len(h) - gram + 1, 0)] == of[gram - 1 :]) if len(h) >= gram else np.zeros(0, np.int64)
         seeds = grams(h, gram)[at] if len(at) else np.zeros(0, np.uint64)
@@ -89,19 +90,41 @@ class SeedIndex:
         """(text, item_id, score, start_word, end_word) of items that seeds lead to and that align."""
         out = self.verbatim(h, of) if self.short else []
         at, k = self.hits(h, of)
-        near: dict[tuple[int, int], list[int]] = {}
-        for p, seed in zip(at.tolist(), k.tolist()):
-            for x in range(self.first[seed], self.first[seed + 1]):
-                near.setdefault((int(of[p]), int(self.item[x])), []).append(p - int(self.place[x]))
-        for (doc, item), begins in near.items():
-            words = self.words[item]
-            lo, hi = np.searchsorted(of, [doc, doc + 1])
-            need = MATCH * max(min_score * len(words), min(min_words, len(words)))
-            score, start, end = _best(words, self.distinct[item], h[lo:hi], sorted(b - lo for b in begins), need)
-            if score >= need:
-                out.append((doc, self.ids[item], score / (MATCH * len(words)), start, end))
+        for d in np.unique(of[at]).tolist():
+            lo, hi = np.searchsorted(of, [d, d + 1])
+            mine = slice(*np.searchsorted(of[at], [d, d + 1]))
+            for item, begins, need in self._likely(h[lo:hi], at[mine] - lo, k[mine], min_score, min_words):
+                words = self.words[item]
+                score, start, end = _best(words, self.distinct[item], h[lo:hi], begins, need)
+                if score >= need:
+                    out.append((d, self.ids[item], score / (MATCH * len(words)), start, end))
         return out
 
+    def _likely(self, text: np.ndarray, at: np.ndarray, k: np.ndarray, min_score: float, min_words: int) -> Iterator[tuple[int, np.ndarray, float]]:
+        """(item, begins, least score) of the items that a text's seeds lead to.
+
+        An item of whose words too few stand anywhere in the text is left before any place is
+        listed, so a seed that many items and places share costs their sum, not their product.
+        """
+        order = np.argsort(k, kind="stable")
+        seeds, first, times = np.unique(k[order], return_index=True, return_counts=True)
+        held = self.first[seeds + 1] - self.first[seeds]
+        entries = np.repeat(self.first[seeds] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        items, of_seed = self.item[entries], np.repeat(np.arange(len(seeds)), held)
+        some = np.unique(items)
+        lengths = self.cuts[some + 1] - self.cuts[some]
+        words = self.flat[np.repeat(self.cuts[some] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        known = np.unique(text)
+        shared = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
+        reach = MATCH * np.add.reduceat(shared.astype(np.int64), np.cumsum(lengths) - lengths)
+        need = MATCH * np.maximum(min_score * lengths, np.minimum(min_words, lengths))
+        by_item = np.argsort(items, kind="stable")
+        sorted_items = items[by_item]
+        for item, least in zip(some[reach >= need].tolist(), need[reach >= need].tolist()):
+            own = by_item[slice(*np.searchsorted(sorted_items, [item, item + 1]))]
+            begins = [at[order[first[s] : first[s] + times[s]]] - self.place[e] for e, s in zip(entries[own], of_seed[own])]
+            yield item, np.unique(np.concatenate(begins)), least
+
 
 def _chunks(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
     for rows in by_bytes(texts_of(batch, *keys, lower=True)):
@@ -198,20 +221,15 @@ def _bound(distinct: np.ndarray, window: np.ndarray) -> int:
     return int((sums - np.minimum.accumulate(sums)).max())
 
 
-def _best(item: np.ndarray, distinct: np.ndarray, text: np.ndarray, begins: list[int], need: float) -> tuple[int, int, int]:
-    """Best alignment over the windows around likely ``begins``; overlapping windows merge.
+def _best(item: np.ndarray, distinct: np.ndarray, text: np.ndarray, begins: np.ndarray, need: float) -> tuple[int, int, int]:
+    """Best alignment over the windows around likely ``begins``, in order; overlapping windows merge.
 
     Windows that cannot reach ``need`` are left out.
     """
     slack = len(item) // 4 + 2
-    best, reach, lo = (0, 0, 0), None, 0
-    spans = []
-    for b in begins:
-        if reach is None or b - slack > reach:
-            spans.append([b - slack, b + len(item) + slack])
-        else:
-            spans[-1][1] = b + len(item) + slack
-        reach = spans[-1][1]
+    best = (0, 0, 0)
+    cuts = np.flatnonzero(np.diff(begins) > len(item) + 2 * slack) + 1
+    spans = [(int(b[0]) - slack, int(b[-1]) + len(item) + slack) for b in np.split(begins, cuts)]
     for lo, hi in spans:
         lo, hi = max(lo, 0), min(hi, len(text))
         if _bound(distinct, text[lo:hi]) < need:
