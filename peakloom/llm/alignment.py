@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, tune
 
 #: Segments a worker keeps; longer ones than so many characters aren't kept.
-SEGMENTS, KEPT_CHARS = 400_000, 64
+SEGMENTS, KEPT_CHARS = 300_000, 64
 #: Groups whose figures are broadcast: the most frequent ones, of keys up to so many characters.
 HOT_GROUPS, HOT_CHARS = 100_000, 40
 #: Entries of the counts that a task gathers before it hands them on.
-GATHERED = 1_000_000
+GATHERED = 500_000
+_NO_CUT = re.compile(r"\s ")  # a space that follows white space
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -30,10 +33,16 @@ def default_vocabularies() -> tuple[str, str]:
 
 
 class Pair:
-    """The two tokenizers, with the bytes of each of their tokens."""
+    """The two tokenizers, with the bytes of each of their tokens.
+
+    A's own vocabulary, whose ids stand in the order of its merges, also makes a faster encoder
+    of the same tokens; it takes the segments of Latin text, many at once.
+    """
 
     def __init__(self, a_path: str, b_path: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -47,34 +56,47 @@ class Pair:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
         self.space = self.b.piece_to_id("▁")
+        special = self.a.get_added_tokens_decoder()
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in special}, special_tokens={})
+        self.lengths = [np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes)]
 
-    def encode(self, segments: list[str]) -> list[list[tuple[tuple[int, ...], tuple[int, ...]]] | None]:
-        """Groups (A ids, B ids) of each segment, which starts with the space that B adds.
+    def encode(self, segments: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of A and B for all segments, one after the other, their numbers per segment, and which are spelled.
 
-        None where the tokens of A or of B don't spell the segment.
+        A segment starts with the space that B adds. The tokens of one that A's or B's tokens
+        don't spell are left out.
         """
-        one = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        two = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return [self._groups(s.encode(), x.ids, y if len(s) > 1 else [self.space]) for s, x, y in zip(segments, one, two)]
-
-    def _groups(self, whole: bytes, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-            return None
-        out, i, j, n, m = [], 0, 0, len(a), len(b)
-        while i < n:
-            i0, j0 = i, j
-            at, to = len(a_bytes[a[i]]), len(b_bytes[b[j]])
-            i, j = i + 1, j + 1
-            while at != to:
-                if at < to:
-                    at += len(a_bytes[a[i]])
-                    i += 1
-                else:
-                    to += len(b_bytes[b[j]])
-                    j += 1
-            out.append((tuple(a[i0:i]), tuple(b[j0:j])))
-        return out if j == m else None
+        whole = [s.encode() for s in segments]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        # Where a segment ends in white space or holds letters beyond Latin ones it is encoded alone.
+        apart = np.array([s[-1].isspace() or not (s.isascii() or max(s) < "\u0250") for s in segments])
+        alone = iter(self.a.encode_batch_fast([s for s, x in zip(segments, apart) if x], add_special_tokens=False))
+        joined = self.fast.encode_ordinary("".join([s for s, x in zip(segments, apart) if not x]))
+        one = np.array(joined, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[0][one])])
+        cuts = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes[~apart])]))
+        a_counts = np.zeros(len(whole), np.int64)
+        a_counts[~apart] = np.diff(cuts)
+        if apart.any():
+            lists = [e.ids for e in alone]
+            a_counts[apart] = [len(x) for x in lists]
+            both = np.zeros(a_counts.sum(), np.int64)
+            of = np.repeat(apart, a_counts)
+            both[of], both[~of] = np.fromiter(chain.from_iterable(lists), np.int64), one
+            one = both
+        two = [y or [self.space] for y in self.b.encode([s[1:] for s in segments], num_threads=1)]
+        b_counts = np.fromiter(map(len, two), np.int64, len(two))
+        flat, counts = [one, np.fromiter(chain.from_iterable(two), np.int64, int(b_counts.sum()))], [a_counts, b_counts]
+        ok, text = np.ones(len(whole), bool), b"".join(whole)
+        for x, n, known, length in zip(flat, counts, (self.a_bytes, self.b_bytes), self.lengths):
+            ends = np.concatenate([[0], np.cumsum(length[x])])[np.cumsum(n)]
+            if not np.array_equal(ends, np.cumsum(sizes)) or b"".join([known[i] for i in x.tolist()]) != text:
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                ok &= [b"".join([known[i] for i in x[i:j].tolist()]) == w for i, j, w in zip(cuts[:-1], cuts[1:], whole)]
+        if not ok.all():
+            flat = [x[np.repeat(ok, n)] for x, n in zip(flat, counts)]
+            counts = [np.where(ok, n, 0) for n in counts]
+        return flat, counts, ok
 
 
 def segments_of(text: str) -> list[str]:
@@ -85,7 +107,7 @@ def segments_of(text: str) -> list[str]:
     another character.
     """
     words = text.split(" ")
-    if "" not in words and not any(w[-1].isspace() for w in words if not w.isalnum()):
+    if not _NO_CUT.search(f" {text}"):
         return words
     out, held = [], None
     for w in words:
@@ -102,17 +124,16 @@ class _Lists:
     def __init__(self) -> None:
         self.data, self.ends, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 10, np.int64), 0
 
-    def extend(self, lists: list[list[int]]) -> None:
-        flat = np.fromiter((x for v in lists for x in v), np.int64)
-        ends = np.cumsum([len(v) for v in lists]) + (self.ends[self.n - 1] if self.n else 0)
-        used = self.ends[self.n - 1] if self.n else 0
-        for name, more, at in (("data", flat, used), ("ends", ends, self.n)):
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.ends[self.n - 1]) if self.n else 0
+        for name, more, at in (("data", flat, used), ("ends", np.cumsum(lengths) + used, self.n)):
             own = getattr(self, name)
             if at + len(more) > len(own):
-                own = np.concatenate([own[:at], np.zeros(max(len(own), len(more)), own.dtype)])
-                setattr(self, name, np.resize(own, max(len(own), at + len(more))))
-            getattr(self, name)[at : at + len(more)] = more
-        self.n += len(lists)
+                larger = np.zeros(max(2 * len(own), at + len(more)), np.int64)
+                larger[:at] = own[:at]
+                setattr(self, name, own := larger)
+            own[at : at + len(more)] = more
+        self.n += len(lengths)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of ``rows`` one after the other, and their lengths."""
@@ -128,8 +149,8 @@ class _Lists:
 class Interned:
     """Segments and groups that a worker has seen, by number.
 
-    Of a segment: its groups, and their spelling. Of a group: its key (``a1,a2|b1``), the tokens
-    on either side, and its distinct pairs as 64-bit numbers.
+    Of a segment: its groups in order. Of a group: its key (``a1,a2|b1``), the tokens on either
+    side, and its distinct pairs as 64-bit numbers.
     """
 
     def __init__(self, pair: Pair):
@@ -138,10 +159,10 @@ class Interned:
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.spelled: list[str] = []
+        self.n = 0
         self.bad: set[int] = set()
         self.groups = _Lists()
-        self.group_numbers: dict[tuple, int] = {}
+        self.group_numbers: dict = {}
         self.keys: list[str] = []
         self.sides = np.zeros((1 << 12, 2), np.int64)
         self.pairs = _Lists()
@@ -151,31 +172,48 @@ class Interned:
         new = [s for s in segments if s not in self.numbers]
         if not new:
             return
-        lists, pairs, first = [], [], len(self.keys)
-        sides = []
-        for s, groups in zip(new, self.pair.encode([" " + s for s in new])):
-            number = self.numbers[s] = len(self.spelled)
-            if groups is None:
-                self.bad.add(number)
-                groups = []
-            own = []
-            for g in groups:
-                at = self.group_numbers.get(g)
-                if at is None:
-                    at = self.group_numbers[g] = len(self.keys)
-                    a, b = g
-                    self.keys.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                    sides.append((len(a), len(b)))
-                    pairs.append([x << 32 | y for x in set(a) for y in set(b)])
-                own.append(at)
-            lists.append(own)
-            self.spelled.append(";".join([self.keys[g] for g in own]))
-        self.groups.extend(lists)
-        if pairs:
-            self.pairs.extend(pairs)
+        (a, b), (a_counts, _), ok = self.pair.encode([" " + s for s in new])
+        self.numbers.update(zip(new, range(self.n, self.n + len(new))))
+        self.bad.update((self.n + np.flatnonzero(~ok)).tolist())
+        self.n += len(new)
+        a_ends, b_ends = (np.cumsum(length[x]) for length, x in zip(self.pair.lengths, (a, b)))
+        # Tokens that end where one of the other side ends close a group; segments end so, too.
+        a_last = np.flatnonzero(np.isin(a_ends, b_ends, assume_unique=True))
+        b_last = np.flatnonzero(np.isin(b_ends, a_ends, assume_unique=True))
+        closes = np.zeros(len(a) + 1, np.int64)
+        closes[a_last + 1] = 1
+        lengths = np.diff(np.cumsum(closes)[np.concatenate([[0], np.cumsum(a_counts)])])
+        self.groups.extend(self._numbered(a, b, a_last, b_last), lengths)
+
+    def _numbered(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> np.ndarray:
+        """Numbers of the groups that close at these tokens."""
+        a_first, b_first = (np.concatenate([[0], x[:-1] + 1]) for x in (a_last, b_last))
+        out = np.zeros(len(a_last), np.int64)
+        single = (a_first == a_last) & (b_first == b_last)
+        codes, at = np.unique(a[a_last[single]] << 32 | b[b_last[single]], return_inverse=True)
+        first = len(self.keys)
+        new: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+        known = self.group_numbers
+
+        def number(key, one: tuple[int, ...], two: tuple[int, ...]) -> int:
+            known[key] = n = first + len(new)
+            new.append((one, two))
+            return n
+
+        out[single] = np.array([known[c] if c in known else number(c, (c >> 32,), (c & 0xFFFFFFFF,)) for c in codes.tolist()], np.int64)[at]
+        x, y = a.tolist(), b.tolist()
+        rest = np.flatnonzero(~single)
+        places = zip(*(v[rest].tolist() for v in (a_first, a_last + 1, b_first, b_last + 1)))
+        pairs = [(tuple(x[i:j]), tuple(y[k:m])) for i, j, k, m in places]
+        out[rest] = [known[g] if g in known else number(g, *g) for g in pairs]
+        if new:
+            distinct = [[p << 32 | q for p in set(one) for q in set(two)] for one, two in new]
+            self.pairs.extend(np.fromiter(chain.from_iterable(distinct), np.int64), np.array([len(d) for d in distinct]))
+            self.keys += [f"{','.join(map(str, one))}|{','.join(map(str, two))}" for one, two in new]
             if len(self.keys) > len(self.sides):
                 self.sides = np.resize(self.sides, (2 * len(self.keys), 2))
-            self.sides[first : len(self.keys)] = sides
+            self.sides[first : len(self.keys)] = [(len(one), len(two)) for one, two in new]
+        return out
 
 
 _workers: dict[tuple[str, str], Interned] = {}
@@ -232,35 +270,40 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 yield batch_of([{"pairs": codes[at : at + 10_000], "times": more[at : at + 10_000]}])
 
         for batch in batches:
-            if max(len(own.spelled), len(own.keys)) > SEGMENTS:
+            if max(own.n, len(own.keys)) > SEGMENTS:
                 yield from counts()
                 docs_of, extra = _Counts(), _Counts()
                 own.clear()
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             parts = [segments_of(t) if t else [] for t in texts]
-            own.add({s for p in parts for s in p})
+            own.add(set(chain.from_iterable(parts)))
+            numbers = np.fromiter(map(own.numbers.__getitem__, chain.from_iterable(parts)), np.int64)
+            spelled = np.ones(len(parts), bool)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            if own.bad:
+                spelled[np.repeat(np.arange(len(parts)), lengths)[np.isin(numbers, list(own.bad))]] = False
+            every, held = own.groups.take(numbers)
+            cuts = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(lengths)])]
             rows = []
-            for doc, p in zip(ids, parts):
+            for d, doc in enumerate(ids):
                 out = {"row": row, "doc_id": doc, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "keys": [], "times": []}
                 rows.append(out)
                 row += 1
-                numbers = list(map(own.numbers.__getitem__, p))
-                if not numbers or (own.bad and not own.bad.isdisjoint(numbers)):
+                ordered = every[cuts[d] : cuts[d + 1]]
+                if not len(ordered) or not spelled[d]:
                     continue
-                segment, n = np.unique(np.array(numbers), return_counts=True)
-                groups, lengths = own.groups.take(segment)
-                group, at = np.unique(groups, return_inverse=True)
-                times = np.bincount(at, np.repeat(n, lengths)).astype(np.int64)
+                group, times = np.unique(ordered, return_counts=True)
+                times = times.astype(np.int64)
                 a, b = own.sides[group, 0], own.sides[group, 1]
                 codes, of = np.unique(own.pairs.take(group)[0], return_counts=True)
                 docs_of.add(group, np.ones(len(group), np.int64))
                 extra.add(codes[of > 1], of[of > 1] - 1)
-                digest = hashlib.sha256(";".join(map(own.spelled.__getitem__, numbers)).encode()).hexdigest()
+                digest = hashlib.sha256(";".join(map(own.keys.__getitem__, ordered.tolist())).encode()).hexdigest()
                 out |= {"n_a": int(times @ a), "n_b": int(times @ b), "n_groups": int(times.sum()), "n_links": int(times @ (a * b)), "groups_sha256": digest}
                 out |= {"keys": list(map(own.keys.__getitem__, group.tolist())), "times": times}
             yield batch_of(rows)
             for s in {s for p in parts for s in p if len(s) > KEPT_CHARS}:
-                own.spelled[own.numbers.pop(s)] = ""
+                del own.numbers[s]
         yield from counts()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ALIGNED)
