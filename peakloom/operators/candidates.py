@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from peakloom.functions.scalars import damped_pearson, isotope_mz, weighted_mean
 
 from .joins import band_join
+from .peak_index import PeakIndex
 
 
 @dataclass(frozen=True)
@@ -29,14 +30,18 @@ class Selection:
     score_cutoff: float = 0.0
 
 
-def extract_traces(peaks: DataFrame, fragments: DataFrame, *, ppm: float) -> DataFrame:
+def extract_traces(peaks: DataFrame | PeakIndex, fragments: DataFrame, *, ppm: float) -> DataFrame:
     """Summed intensity and weighted m/z of the peaks near each library fragment, per cycle.
 
-    ``peaks`` has cycle, mz and intensity; ``fragments`` has precursor_idx, fragment and
-    mz_library, and optionally first_cycle and last_cycle, which limit the search.
+    ``peaks`` has cycle, mz and intensity, or is an index of such peaks; ``fragments`` has
+    precursor_idx, fragment and mz_library, and optionally first_cycle and last_cycle, which
+    limit the search.
     """
-    pairs = band_join(peaks, fragments, "mz", "mz_library", ppm=ppm)
-    if "first_cycle" in fragments.columns:
+    if isinstance(peaks, PeakIndex):
+        pairs = peaks.near(fragments, "mz_library", ppm=ppm)
+    else:
+        pairs = band_join(peaks, fragments, "mz", "mz_library", ppm=ppm)
+    if "first_cycle" in fragments.columns and not isinstance(peaks, PeakIndex):
         pairs = pairs.where(F.col("cycle").between(F.col("first_cycle"), F.col("last_cycle")))
     return pairs.groupBy("precursor_idx", "fragment", "mz_library", "cycle").agg(
         F.sum("intensity").alias("intensity"), F.try_divide(F.sum(F.col("intensity") * F.col("mz")), F.sum("intensity")).alias("mz")

@@ -24,6 +24,41 @@ def batch_of(library: DataFrame, group: str, start: int, stop: int, total: int,
     return library.where((place >= start) & (place < stop))
 
 
+@dataclass
+class Lock:
+    """The part of a library that a search is tuned on: grown until enough is found, then as small as will do.
+
+    Batches are ranges of the groups' hashed places. While too little is found, each round adds
+    the next, twice as large; once ``target`` rows are found, the lock is the first range whose
+    share of the finds still reaches it.
+    """
+
+    groups: int
+    first: int
+    target: int
+    step: int = 0
+    reached: bool = False
+
+    def __post_init__(self) -> None:
+        self.plan = doubling_batches(self.groups, self.first)
+
+    @property
+    def span(self) -> tuple[int, int]:
+        """Places of the round: the new ones, or all of them once the target was reached."""
+        start, stop = self.plan[self.step]
+        return (0 if self.reached else start), stop
+
+    def update(self, found: int) -> bool:
+        """Take the number of finds; false if there is nothing left to add."""
+        stop = self.span[1]
+        self.reached = found >= self.target
+        if self.reached:
+            self.step = next(i for i, (_, end) in enumerate(self.plan) if end >= min(stop * self.target / found, self.groups))
+            return True
+        self.step += 1
+        return self.step < len(self.plan)
+
+
 @dataclass
 class Targeted:
     """Shrinks a tolerance to the residuals' interval until it reaches its target."""

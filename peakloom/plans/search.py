@@ -17,6 +17,7 @@ from peakloom.operators.fdr import control, control_by_channel, protein_control
 from peakloom.operators.grouping import infer_groups
 from peakloom.operators.joins import multiplex, only_keys, window_index
 from peakloom.operators.library import all_fragments, isotope_pattern, match_between_runs, unshared_ions, with_reference
+from peakloom.operators.peak_index import PeakIndex
 from peakloom.operators.quantify import accumulate, filter_ions, label_free, merge_levels
 from peakloom.sources.shared import Scratch
 
@@ -43,15 +44,8 @@ def observable(library: DataFrame, spectra: DataFrame) -> DataFrame:
     return library.join(F.broadcast(limits), F.col("mz_library").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")  # limits is one row
 
 
-def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame, settings: Settings, *, ms1: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scored rows of one run and their fragment intensities with each fragment's correlation.
-
-    ``precursors`` has precursor_idx, decoy, proteins, sequence, and mz and charge where
-    ``ms1`` peaks or isolation windows are to be used; ``fragments`` precursor_idx, fragment,
-    mz_library, intensity_library; ``peaks`` and ``ms1`` cycle, mz, intensity. Precursors compete
-    inside the isolation window of their m/z, within ``rt_tolerance`` seconds.
-    """
-    scratch = Scratch(peaks.sparkSession, "search")
+def scored_rows(precursors: DataFrame, fragments: DataFrame, peaks: DataFrame | PeakIndex, settings: Settings, scratch: Scratch, *, ms1: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Scored candidates of the library, their traces, and the names of the scores."""
     traces = scratch.save(extract_traces(peaks, fragments, ppm=settings.selection.ppm))
     isotopes = None if ms1 is None else scratch.save(isotope_traces(ms1, precursors, ppm=settings.selection.ppm, n=settings.selection.isotopes))
     picked = scratch.save(select(traces, settings.selection, isotopes))
@@ -63,6 +57,19 @@ def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: Dat
         scored = scored.join(scores, ["precursor_idx", "rank"])
         features += [c for c in scores.columns if c not in ("precursor_idx", "rank")]
     rows = scratch.save(scored.join(precursors, "precursor_idx").withColumn("rt", F.col("cycle_center") * settings.cycle_seconds))
+    return rows, traces, features
+
+
+def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame | PeakIndex, settings: Settings, *, ms1: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of one run and their fragment intensities with each fragment's correlation.
+
+    ``precursors`` has precursor_idx, decoy, proteins, sequence, and mz and charge where
+    ``ms1`` peaks or isolation windows are to be used; ``fragments`` precursor_idx, fragment,
+    mz_library, intensity_library; ``peaks`` (or their index) and ``ms1`` cycle, mz, intensity.
+    Precursors compete inside the isolation window of their m/z, within ``rt_tolerance`` seconds.
+    """
+    scratch = Scratch(precursors.sparkSession, "search")
+    rows, traces, features = scored_rows(precursors, fragments, peaks, settings, scratch, ms1=ms1)
     psm = control(rows, features, keys=["precursor_idx"])
     if settings.compete:
         placed = window_index(psm, "mz", list(settings.windows)) if settings.windows else psm.withColumn("window_idx", F.lit(0))
