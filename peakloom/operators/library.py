@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ RESIDUES = {
     "D": 115.026943, "Q": 128.058578, "K": 128.094963, "E": 129.042593, "M": 131.040485, "H": 137.058912, "F": 147.068414, "R": 156.101111, "Y": 163.063329, "W": 186.079313,
 }
 WATER = 18.010565
+# Atoms of residues and of common modifications, and natural shares of isotopes.
+COMPOSITIONS = {
+    "G": "C2H3NO", "A": "C3H5NO", "S": "C3H5NO2", "P": "C5H7NO", "V": "C5H9NO", "T": "C4H7NO2", "C": "C3H5NOS", "L": "C6H11NO", "I": "C6H11NO", "N": "C4H6N2O2",
+    "D": "C4H5NO3", "Q": "C5H8N2O2", "K": "C6H12N2O", "E": "C5H7NO3", "M": "C5H9NOS", "H": "C6H7N3O", "F": "C9H9NO", "R": "C6H12N4O", "Y": "C9H9NO2", "W": "C11H10N2O",
+}
+MODIFICATIONS = {"Carbamidomethyl": "C2H3NO", "Oxidation": "O", "Acetyl": "C2H2O", "Phospho": "HO3P", "Deamidated": "H-1N-1O", "Methyl": "CH2", "Dimethyl": "C2H4"}
+ELEMENTS = {
+    "C": (0.9893, 0.0107), "H": (0.999885, 0.000115), "N": (0.99636, 0.00364), "O": (0.99757, 0.00038, 0.00205), "S": (0.9499, 0.0075, 0.0425, 0.0, 0.0001), "P": (1.0,),
+}
 EXCHANGE = ("GAVLIFMPWSCTYHKRQEND", "LLLVVLLLLTSSSSLLNDQE")
 
 
@@ -33,6 +44,34 @@ def digest(proteins: DataFrame, *, missed: int = 1, length: tuple[int, int] = (7
     return sized.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("proteins"))
 
 
+def annotate(peptides: DataFrame, proteins: DataFrame, *, k: int = 6, heavy: int = 10_000) -> DataFrame:
+    """Proteins (protein, sequence) that hold each of ``peptides`` (peptide) anywhere: peptide and their names, joined by ;.
+
+    An index lists the proteins of every run of ``k`` letters; a peptide is looked up by the run
+    of its own that fewest proteins hold, and the whole peptide is then searched in these alone.
+    Runs that many proteins hold are spread over parts of about ``heavy`` of them, and peptides
+    that have none rarer are looked up in each part. Peptides shorter than ``k`` are looked up by
+    runs of their own length. Empty peptides and those of no protein are left out; repeated
+    names count once.
+    """
+    wanted = peptides.where(F.length("peptide") > 0).select("peptide").distinct()
+    size = F.least(F.length("peptide"), F.lit(k))
+    sizes = [r[0] for r in wanted.select(size).distinct().collect()]  # k of them at most
+    if not sizes:
+        return wanted.select("peptide", F.lit("").alias("proteins"))
+    runs = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    lists = [F.when(F.length("sequence") >= n, runs(F.col("sequence"), n)) for n in sizes]
+    index = proteins.select("protein", "sequence").distinct().withColumn("key", F.xxhash64("protein", "sequence"))
+    listed = index.select("key", F.explode(F.array_distinct(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))).alias("run"))
+    counts = listed.groupBy("run").agg(F.ceil(F.count("*") / heavy).cast("int").alias("parts"), F.count("*").alias("n"))
+    own = wanted.select("peptide", F.explode(runs(F.col("peptide"), size)).alias("run")).distinct()
+    rarest = own.join(counts, "run").groupBy("peptide").agg(F.min(F.struct("n", "run", "parts")).alias("best"))
+    looked = rarest.select("peptide", "best.run", F.explode(F.sequence(F.lit(0), F.col("best.parts") - 1)).alias("part"))
+    held = listed.join(counts, "run").select("run", "key", F.pmod("key", F.col("parts").cast("long")).cast("int").alias("part"))
+    pairs = looked.join(held, ["run", "part"]).select("peptide", "key").join(index, "key").where(F.col("sequence").contains(F.col("peptide")))
+    return pairs.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("proteins"))
+
+
 def peptide_mass(sequence: Column) -> Column:
     """Mass of an unmodified peptide."""
     masses = F.create_map(*(F.lit(x) for kv in RESIDUES.items() for x in kv))
@@ -140,13 +179,67 @@ def observed_library(psm: DataFrame, run: str) -> DataFrame:
     return hash_precursors(out)
 
 
-def isotope_pattern(mass: Column, n: int = 4) -> Column:
-    """Relative heights of the first isotopes, as a Poisson series of the average composition."""
-    mean = mass * 0.000594 - 0.03091
-    lam = F.greatest(mean, F.lit(1e-6))
-    heights = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.exp(k * F.log(lam) - lam) / F.factorial(k.cast("int")))
-    total = F.aggregate(heights, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(heights, lambda h: h / total)
+def formula_of(text: str) -> dict[str, int]:
+    """Atoms of a formula such as C2H3NO; a count may be negative (O-1H-2)."""
+    return {e: int(n or 1) for e, n in re.findall(r"([A-Z][a-z]?)(-?[0-9]*)", text)}
+
+
+def composition(sequence: Column, mods: Column | None = None, formulas: dict[str, str] | None = None) -> Column:
+    """Atoms of a peptide with its modifications: an array in the order of ELEMENTS.
+
+    ``mods`` names modifications joined by ; ("name@residue"); ``formulas`` gives what each name
+    adds (MODIFICATIONS by default). Letters that are no residue, and unknown names, add nothing.
+    """
+    order = list(ELEMENTS)
+    atoms = lambda text: F.array(*(F.lit(float(formula_of(text).get(e, 0))) for e in order))
+    table = lambda named: F.create_map(*(x for k, v in named.items() for x in (F.lit(k), atoms(v))))
+    add = lambda s, v: F.zip_with(s, v, lambda x, y: x + y)
+    known = lambda parts, named: F.filter(F.transform(parts, lambda c: F.try_element_at(named, c)), lambda v: v.isNotNull())
+    out = F.aggregate(known(F.split(sequence, ""), table(COMPOSITIONS)), atoms("H2O"), add)
+    if mods is None:
+        return out
+    names = F.transform(F.split(F.coalesce(mods, F.lit("")), ";"), lambda m: F.split(m, "@")[0])
+    return F.aggregate(known(names, table(formulas or MODIFICATIONS)), out, add)
+
+
+def _power(atoms: Column, shares: tuple[float, ...], n: int) -> Column:
+    """First ``n`` heights of so many atoms of one element: its polynomial to that power, by recurrence."""
+    first, ratios = shares[0], [s / shares[0] for s in shares[1:]]
+
+    def grow(c: Column, k: Column) -> Column:
+        terms = [F.when(k >= i, (i * (atoms + 1) - k) * r * F.coalesce(F.get(c, (k - i).cast("int")), F.lit(0.0))).otherwise(0.0) for i, r in enumerate(ratios, 1) if r]
+        return F.concat(c, F.array(sum(terms, F.lit(0.0)) / k))
+
+    start = F.array(F.pow(F.lit(first), atoms))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), start, grow) if n > 1 else start
+
+
+def _convolved(x: Column, y: Column, n: int) -> Column:
+    """First ``n`` terms of the product of two series."""
+
+    def product(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.get(p["x"], i) * F.get(p["y"], k - i)))
+
+    return F.element_at(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), product), 1)
+
+
+def isotope_pattern(sequence: Column, n: int = 4, mods: Column | None = None, formulas: dict[str, str] | None = None) -> Column:
+    """Relative heights of the first ``n`` isotopes of a peptide, by its elements.
+
+    Each element's isotopes are raised to its number of atoms, and the elements are convolved;
+    heights sum to one over the isotopes given. A null sequence gives null.
+    """
+
+    def of(atoms: Column) -> Column:
+        parts = [_power(F.element_at(atoms, i), shares, n) for i, shares in enumerate(ELEMENTS.values(), 1)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = _convolved(out, part, n)
+        return out
+
+    heights = F.element_at(F.transform(F.array(composition(sequence, mods, formulas)), of), 1)
+    scaled = lambda h: F.transform(h, lambda v: v / F.aggregate(h, F.lit(0.0), lambda s, x: s + x))
+    return F.element_at(F.transform(F.array(heights), scaled), 1)
 
 
 def multiplex_library(library: DataFrame, channels: dict[str, dict[str, str]], mods: str = "mods") -> DataFrame:

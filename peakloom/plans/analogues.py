@@ -15,6 +15,7 @@ from peakloom.operators import competition as X
 from peakloom.operators import fdr as E
 from peakloom.operators import joins as J
 from peakloom.operators import library as L
+from peakloom.operators import peak_index as I
 from peakloom.operators import quantify as Q
 from peakloom.operators import ranking as R
 from peakloom.operators import signal as G
@@ -638,13 +639,63 @@ def add_decoys(spark, sf_dir):
     return L.add_decoys(table(spark, sf_dir, "part").select("p_partkey", F.upper(F.replace(F.concat("p_name", "p_type"), F.lit(" "), F.lit(""))).alias("sequence")))
 
 
-@query("""with m as (select p_partkey, greatest(p_retailprice * 0.000594 - 0.03091, 1e-6) l from part),
-h as (select p_partkey, exp(-l) a, l * exp(-l) b, l * l * exp(-l) / 2 c, l * l * l * exp(-l) / 6 d from m)
-select p_partkey, round(a / (a + b + c + d), 9) first, round(c / (a + b + c + d), 9) third from h""")
+@query("""with r(c, nc, nh, nn, no, ns) as (values ('G',2,3,1,1,0),('A',3,5,1,1,0),('S',3,5,1,2,0),('P',5,7,1,1,0),('V',5,9,1,1,0),('T',4,7,1,2,0),('C',3,5,1,1,1),('L',6,11,1,1,0),('I',6,11,1,1,0),('N',4,6,2,2,0),
+('D',4,5,1,3,0),('Q',5,8,2,2,0),('K',6,12,2,1,0),('E',5,7,1,3,0),('M',5,9,1,1,1),('H',6,7,3,1,0),('F',9,9,1,1,0),('R',6,12,4,1,0),('Y',9,9,1,2,0),('W',11,10,2,1,0)),
+l as (select p_partkey, unnest(string_split(upper(replace(p_name || p_type, ' ', '')), '')) c from part),
+n as (select p_partkey, coalesce(sum(nc), 0)::double c, 2 + coalesce(sum(nh), 0)::double h, coalesce(sum(nn), 0)::double n, 1 + coalesce(sum(no), 0)::double o, coalesce(sum(ns), 0)::double s from l left join r using (c) group by 1),
+q as (select p_partkey, c * (0.0107/0.9893) + h * (0.000115/0.999885) + n * (0.00364/0.99636) + o * (0.00038/0.99757) + s * (0.0075/0.9499) s1,
+ -c * pow(0.0107/0.9893, 2) / 2 - h * pow(0.000115/0.999885, 2) / 2 - n * pow(0.00364/0.99636, 2) / 2 + o * (0.00205/0.99757 - pow(0.00038/0.99757, 2) / 2) + s * (0.0425/0.9499 - pow(0.0075/0.9499, 2) / 2) s2 from n)
+select p_partkey, round(1 / (1 + s1 + s2 + s1 * s1 / 2), 9) as first, round((s2 + s1 * s1 / 2) / (1 + s1 + s2 + s1 * s1 / 2), 9) third from q""")
 def isotope_pattern(spark, sf_dir):
-    """Isotope heights by mass."""
-    p = L.isotope_pattern(F.col("p_retailprice"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(p[0], 9).alias("first"), F.round(p[2], 9).alias("third"))
+    """Isotope heights of part names read as peptides, by their elements."""
+    part = table(spark, sf_dir, "part")
+    p = L.isotope_pattern(F.upper(F.regexp_replace(F.concat("p_name", "p_type"), " ", "")), 3)
+    return part.select("p_partkey", F.round(p[0], 9).alias("first"), F.round(p[2], 9).alias("third"))
+
+
+@query("""with w as (select distinct unnest(string_split(lower(text), ' ')) peptide from benchmark where text is not null)
+select peptide, string_agg(cast(doc_id as varchar), ';' order by cast(doc_id as varchar)) proteins from w join (select distinct doc_id, lower(text) t from documents) d on contains(d.t, w.peptide)
+where length(peptide) >= 6 group by 1""")
+def peptide_annotation(spark, sf_dir):
+    """Documents that hold each word of six or more letters of the benchmark, inside words too."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("peptide")).where(F.length("peptide") >= 6)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("protein"), F.lower("text").alias("sequence"))
+    return L.annotate(words, docs)
+
+
+@query("""select l_orderkey, l_linenumber, p_partkey from lineitem join part on abs(l_extendedprice - p_retailprice * 20) <= p_retailprice * 20 * 20e-6""")
+def peak_index(spark, sf_dir):
+    """Lines priced like twenty of a part, from an index of the lines by price."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("mz"), F.pmod("l_orderkey", F.lit(4096)).alias("cycle"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 20).alias("mz_library"))
+    return I.build_index(lines, ppm=20.0, cycles=1024).near(parts, "mz_library", ppm=20.0).select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+@query()
+def direct_lfq(spark, sf_dir):
+    """Brands over ship years from the prices of their parts."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.select("p_brand", "l_partkey", F.year("l_shipdate").alias("year"), "l_extendedprice")
+    return Q.direct_lfq(rows, "p_brand", "l_partkey", "year", "l_extendedprice").select("p_brand", "year", F.round("intensity", 3).alias("intensity"))
+
+
+@query()
+def density_calibration(spark, sf_dir):
+    """Price by quantity, smoothed with kernels at ranks of the quantities."""
+    t = table(spark, sf_dir, "lineitem")
+    model = C.fit_local(t, "l_quantity", "l_extendedprice", density=True)
+    return t.select("l_orderkey", "l_linenumber", F.round(model.predict(F.col("l_quantity")), 3).alias("fit"))
+
+
+@query()
+def quadrupole_transfer(spark, sf_dir):
+    """Share of orders above a price by order priority, as transfer curves of windows of one year."""
+    o = table(spark, sf_dir, "orders").withColumn("day", F.dayofyear("o_orderdate").cast("double"))
+    rows = o.select(F.col("o_orderpriority").alias("window"), "day", ((F.col("day") > 90) & (F.col("day") < 270) & (F.col("o_totalprice") > 20_000)).cast("double").alias("share"))
+    names = [r[0] for r in rows.select("window").distinct().collect()]  # a row per window
+    curves = C.fit_rectangles(rows, "window", "day", "share", {n: (80.0, 280.0, 5.0, 5.0) for n in names})
+    limits = spark.createDataFrame([(n, *C.transfer_limits(c)) for n, c in curves.items()], "window string, low double, high double")
+    return rows.join(F.broadcast(limits), "window").where(F.col("day").between(F.col("low"), F.col("high"))).groupBy("window").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
 @query("""select p_partkey, replace(p_brand, 'Brand#1', 'light') mods, 'a' channel from part union all

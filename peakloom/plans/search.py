@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.functions.scalars import PROTON, safe_pearson
+from peakloom.functions.scalars import safe_pearson
 from peakloom.operators.aggregates import fdr_summary, run_statistics
 from peakloom.operators.candidates import FEATURES, Selection, extract_traces, isotope_traces, precursor_scores, score_candidates, select
 from peakloom.operators.competition import compete
@@ -52,7 +52,7 @@ def scored_rows(precursors: DataFrame, fragments: DataFrame, peaks: DataFrame |
     scored = score_candidates(traces, picked, fragments).join(picked, ["precursor_idx", "rank"])
     features = [*FEATURES, "score"]
     if isotopes is not None and settings.ms1_scores:
-        expected = isotope_pattern((F.col("mz") - PROTON) * F.col("charge"), settings.selection.isotopes)
+        expected = isotope_pattern(F.col("sequence"), settings.selection.isotopes, F.col("mods") if "mods" in precursors.columns else None)
         scores = precursor_scores(isotopes, picked, precursors.select("precursor_idx", F.posexplode(expected).alias("isotope", "intensity"))).drop("mz_observed")
         scored = scored.join(scores, ["precursor_idx", "rank"])
         features += [c for c in scores.columns if c not in ("precursor_idx", "rank")]

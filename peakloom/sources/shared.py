@@ -85,14 +85,17 @@ class Scratch:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, unless they find it on the Python path they share.
+    """Send this package to the executors, which need not share the driver's folders.
 
-    The archive is written by the driver for itself and travels through Spark's file server.
+    A local master runs its tasks beside the driver and needs no copy, if the package is on the
+    path it hands on. The archive is written by the driver for itself and travels through
+    Spark's file server.
     """
     root = Path(__file__).resolve().parents[2]
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     context = spark.sparkContext
-    if any(p and Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
+    beside = context.master == "local" or context.master.startswith("local[")
+    if (beside and any(p and Path(p).resolve() == root for p in known)) or context.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="peakloom-")  # served from here while the driver lives
     atexit.register(shutil.rmtree, folder, ignore_errors=True)

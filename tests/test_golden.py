@@ -204,8 +204,15 @@ def test_label_free_is_a_median_polish(spark):
 
 
 def test_cycle():
-    assert signal.cycle_length([1, 2, 3, 4, 5] * 3) == 5 and signal.cycle_length([1.0, 1.0, 1.0]) == -1
-    assert signal.cycle_start([0, 0, 0] + [1, 2, 3, 4, 5] * 3, 5) == 3 and signal.cycle_start([0, 0, 0], 1) == -1
+    """Random schemes, with and without other spectra before the first cycle."""
+    rng = np.random.default_rng(31)
+    for _ in range(60):
+        scheme = rng.permutation(1000)[: int(rng.integers(2, 40))].astype(float).tolist()  # a window occurs once a cycle
+        repeats = int(rng.integers(4, 9))
+        assert signal.cycle_length(scheme * repeats) == len(scheme)
+        lead = (rng.permutation(1000)[: int(rng.integers(0, len(scheme)))] + 5000.0).tolist()
+        assert signal.cycle_start(lead + scheme * repeats, len(scheme)) == len(lead)
+        assert signal.cycle_start(rng.permutation(500).tolist(), len(scheme)) == -1
 
 
 def test_preprocess(spark):
@@ -217,10 +224,20 @@ def test_preprocess(spark):
 
 
 def test_batches_and_tolerances(spark):
-    assert optimise.doubling_batches(1000, 100) == [(0, 100), (100, 300), (300, 700), (700, 1000)]
-    assert optimise.doubling_batches(1000, 100, from_start=True) == [(0, 100), (0, 300), (0, 700), (0, 1000)]
-    nan = float("nan")
-    assert aggregates.median_known(frame(spark, ms1=[10.0, 20.0, nan], ms2=[20.0, nan, 30.0], no=[nan, nan, nan]), ["ms1", "ms2", "no"]) == {"ms1": 15.0, "ms2": 25.0}
+    rng = np.random.default_rng(32)
+    for total, first in rng.integers(1, 3000, (50, 2)).tolist():
+        sizes, left = [], total
+        while left > 0:
+            sizes.append(min(left, first << len(sizes)))
+            left -= sizes[-1]
+        ends = np.cumsum(sizes).tolist()
+        assert optimise.doubling_batches(total, first) == list(zip([0, *ends[:-1]], ends))
+        assert optimise.doubling_batches(total, first, from_start=True) == [(0, e) for e in ends]
+    values = rng.normal(size=(3, 41))
+    values[rng.random(values.shape) < 0.3] = np.nan
+    values[2] = np.nan
+    got = aggregates.median_known(frame(spark, a=values[0], b=values[1], c=values[2]), ["a", "b", "c"])
+    assert got == {"a": np.nanmedian(values[0]), "b": np.nanmedian(values[1])}
     out = optimise.optimise(lambda v: {"t": (0, v["t"] / 2), "a": (-abs(v["a"] - 3), v["a"] / 1.5)}, {"t": optimise.Targeted(40, 10), "a": optimise.Automatic(12)})
     assert out["t"] == 10 and 1 < out["a"] < 12
 
@@ -236,12 +253,6 @@ def test_local_regression(spark):
     assert line.interval(frame(spark, x=x + 100, y=(x + 100) * (1 + 5e-6))) < 1e-3
 
 
-def test_rectangle_fit():
-    x = np.linspace(0, 100, 400)
-    y = 1 / (1 + np.exp(-(x - 30) / 2)) - 1 / (1 + np.exp(-(x - 70) / 3))
-    assert np.allclose(calibrate.fit_rectangle(x, y, (25, 75, 1, 1)), [30, 70, 2, 3], atol=0.05)
-
-
 def test_classifier_separates(spark):
     rng = np.random.default_rng(4)
     n = 600
