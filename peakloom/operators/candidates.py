@@ -118,18 +118,18 @@ def apart(places: list[int], score: np.ndarray, close: int) -> list[int]:
     return kept
 
 
-def limits(score: np.ndarray, centre: int, most: int, drop: float = 0.3) -> tuple[int, int]:
-    """Symmetric boundaries: out to where both sides fell below a share of the peak, or rise again."""
-    width = 1
-    while width < most:
-        lo, hi = centre - width - 1, centre + width + 1
-        if lo < 0 or hi >= len(score):
-            break
-        now, ahead = score[lo + 1] + score[hi - 1], score[lo] + score[hi]
-        if ahead > now or now < 2 * drop * score[centre]:
-            break
-        width += 1
-    return max(centre - width, 0), min(centre + width, len(score) - 1)
+def limits(score: np.ndarray, centre: int, most: int, *, least: int = 1, fall: float = 0.95, share: float = 0.01) -> tuple[int, int]:
+    """First and last place of a peak that reaches equally far on both sides.
+
+    Beyond ``least``, it widens as long as the mean of both ends is below ``fall`` times that of
+    the ends before, and above ``share`` of the centre; it stays below ``most`` places a side.
+    """
+    n, away = len(score), np.arange(least + 1, most)
+    ends = (score[np.maximum(centre - away, 0)] + score[np.minimum(centre + away, n - 1)]) / 2
+    before = np.append(score[centre], ends[:-1])[: len(ends)]
+    goes_on = (ends < fall * before) & (ends > share * score[centre])
+    width = least + int(np.cumprod(goes_on).sum())
+    return max(centre - width, 0), min(centre + width, n - 1)
 
 
 def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:

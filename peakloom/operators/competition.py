@@ -50,7 +50,7 @@ def survivors(pairs: list[tuple], order: list) -> set:
     return gone
 
 
-def lost_ids(pairs: DataFrame, *, most: int = 500_000) -> DataFrame:
+def lost_ids(pairs: DataFrame, *, most: int = 200_000) -> DataFrame:
     """Ids that a better one removes, as if all were visited one after the other, best first.
 
     In a round, ids without a live better rival stay and their worse rivals go, which is what
@@ -77,6 +77,6 @@ def lost_ids(pairs: DataFrame, *, most: int = 500_000) -> DataFrame:
     return reduce(DataFrame.union, lost, last)
 
 
-def compete(psm: DataFrame, frag: DataFrame, *, most: int = 500_000, **settings) -> DataFrame:
+def compete(psm: DataFrame, frag: DataFrame, *, most: int = 200_000, **settings) -> DataFrame:
     """``psm`` without the rows that lose their fragments to a better one of the same window."""
     return psm.join(lost_ids(overlapping_pairs(psm, frag, **settings), most=most), "id", "left_anti")

@@ -38,29 +38,71 @@ def greedy_cover(sets: list[tuple[int, list[str], int]], first: dict[str, tuple]
     return out
 
 
-def cover(sets: DataFrame, *, most: int = 1_000_000) -> DataFrame:
+#: Largest ids whose overlaps a round counts; two to that power rows come back at most.
+TOP = 14
+
+
+def _leaders(left: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Masters of the sets that the next ids in order take, as far as one count of overlaps proves the order.
+
+    The TOP largest ids give each uncovered set a pattern of those it lists; the weights of the
+    patterns are enough to repeat the greedy choice among these ids. Other ids only lose weight,
+    so a choice stands as long as it comes before the best of them as they are now.
+    """
+    weights = left.groupBy("part", "id", "first").agg(F.sum("n").alias("w"))
+    ranked = weights.orderBy(F.desc("w"), "first", "part").limit(TOP + 1).collect()
+    top, bound = ranked[:TOP], ranked[TOP] if len(ranked) > TOP else None
+    place = lambda w, first: (w, -first["key"], -first["pos"])
+    kinds = dict(left.dtypes)
+    table = left.sparkSession.createDataFrame([(r["part"], r["id"], i) for i, r in enumerate(top)], f"part {kinds['part']}, id {kinds['id']}, bit int")
+    masks = left.join(F.broadcast(table), ["part", "id"]).groupBy("part", "key").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"), F.first("n").alias("n"))  # TOP rows
+    counts = {(r["part"], r["mask"]): r["n"] for r in masks.groupBy("part", "mask").agg(F.sum("n").alias("n")).collect()}
+    chosen: list[int] = []
+    while True:
+        own = {i: sum(n for (part, m), n in counts.items() if part == r["part"] and m >> i & 1) for i, r in enumerate(top) if i not in chosen}
+        best = max(own, key=lambda i: place(own[i], top[i]["first"]), default=None)
+        if best is None or own[best] <= 0 or (bound is not None and place(own[best], top[best]["first"]) <= place(bound["w"], bound["first"])):
+            break
+        chosen.append(best)
+        counts = {k: n for k, n in counts.items() if not (k[0] == top[best]["part"] and k[1] >> best & 1)}
+    order = left.sparkSession.createDataFrame([(top[i]["part"], top[i]["id"], k) for k, i in enumerate(chosen)], f"part {kinds['part']}, id {kinds['id']}, nth int")
+    found = scratch.save(left.join(F.broadcast(order), ["part", "id"]).groupBy("part", "key").agg(F.min_by("id", "nth").alias("master")))
+    return found, left.join(found, ["part", "key"], "left_anti").join(F.broadcast(order.select("part", "id")), ["part", "id"], "left_anti")
+
+
+def cover(sets: DataFrame, *, most: int = 250_000) -> DataFrame:
     """Masters (part, key, master) of ``sets`` (part, key, list, n), as greedy_cover chooses them in each part.
 
     In a round, every id that is the largest in all of its uncovered sets takes them: weights
-    only fall, so it would be taken before any id that shares a set with it. Once ``most`` pairs
-    of set and id are left, one task per part takes the rest in order.
+    only fall, so it would be taken before any id that shares a set with it. Where this settles
+    less than a tenth of what is left, because ids share sets all over, the largest ids are taken
+    in order by the counts of their overlaps. Once ``most`` pairs of set and id are left, one task
+    per part takes the rest in order.
     """
     scratch = Scratch(sets.sparkSession, "cover")
     pairs = scratch.save(sets.select("part", "key", "n", F.posexplode("list").alias("pos", "id")).groupBy("part", "key", "id").agg(F.min("pos").alias("pos"), F.first("n").alias("n")))
     seen = pairs.groupBy("part", "id").agg(F.min(F.struct("key", "pos")).alias("first"))
     left = scratch.save(pairs.join(seen, ["part", "id"]).select("part", "key", "id", "n", "first"))
     scratch.drop(pairs)
-    done = []
-    while left.count() > most:
-        weights = left.groupBy("part", "id").agg(F.sum("n").alias("w"))
-        ranked = left.join(weights, ["part", "id"])
-        rank = F.struct("w", -F.col("first.key"), -F.col("first.pos"))
-        top = scratch.save(ranked.groupBy("part", "key").agg(F.max_by("id", rank).alias("master")))
-        taken = left.join(top, ["part", "key"]).groupBy("part", F.col("id").alias("master")).agg(F.every(F.col("id") == F.col("master")).alias("all")).where("all")
-        found = scratch.save(top.join(taken.select("part", "master"), ["part", "master"], "left_semi").select("part", "key", "master"))
-        done.append(found)
-        before, left = left, scratch.save(left.join(found, ["part", "key"], "left_anti"))
-        scratch.drop(before, top)
+    done, size, dense = [], left.count(), False
+    while size > most:
+        if dense:
+            found, rest = _leaders(left, scratch)
+            done.append(found)
+        else:
+            weights = left.groupBy("part", "id").agg(F.sum("n").alias("w"))
+            ranked = left.join(weights, ["part", "id"])
+            rank = F.struct("w", -F.col("first.key"), -F.col("first.pos"))
+            top = scratch.save(ranked.groupBy("part", "key").agg(F.max_by("id", rank).alias("master")))
+            taken = left.join(top, ["part", "key"]).groupBy("part", F.col("id").alias("master")).agg(F.every(F.col("id") == F.col("master")).alias("all")).where("all")
+            found = scratch.save(top.join(taken.select("part", "master"), ["part", "master"], "left_semi").select("part", "key", "master"))
+            done.append(found)
+            rest = left.join(found, ["part", "key"], "left_anti")
+        before, left = left, scratch.save(rest)
+        scratch.drop(before)
+        after = left.count()
+        dense = dense or after > 0.9 * size
+        size = after
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
@@ -74,7 +116,7 @@ def cover(sets: DataFrame, *, most: int = 1_000_000) -> DataFrame:
     return reduce(DataFrame.union, done, last)
 
 
-def infer_groups(df: DataFrame, *, idx: str = "precursor_idx", ids: str = "proteins", decoy: str = "decoy", strategy: str = "heuristic", most: int = 1_000_000) -> DataFrame:
+def infer_groups(df: DataFrame, *, idx: str = "precursor_idx", ids: str = "proteins", decoy: str = "decoy", strategy: str = "heuristic", most: int = 250_000) -> DataFrame:
     """Add pg_master and pg to rows of (idx, ids joined by ;, decoy).
 
     Targets and decoys are covered apart. Precursors with the same ids are one weighted set.

@@ -44,6 +44,10 @@ def digest(proteins: DataFrame, *, missed: int = 1, length: tuple[int, int] = (7
     return sized.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("proteins"))
 
 
+#: Letters of a piece of a sequence from which runs are listed.
+PIECE = 500
+
+
 def annotate(peptides: DataFrame, proteins: DataFrame, *, k: int = 6, heavy: int = 10_000) -> DataFrame:
     """Proteins (protein, sequence) that hold each of ``peptides`` (peptide) anywhere: peptide and their names, joined by ;.
 
@@ -60,9 +64,12 @@ def annotate(peptides: DataFrame, proteins: DataFrame, *, k: int = 6, heavy: int
     if not sizes:
         return wanted.select("peptide", F.lit("").alias("proteins"))
     runs = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-    lists = [F.when(F.length("sequence") >= n, runs(F.col("sequence"), n)) for n in sizes]
     index = proteins.select("protein", "sequence").distinct().withColumn("key", F.xxhash64("protein", "sequence"))
-    listed = index.select("key", F.explode(F.array_distinct(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))).alias("run"))
+    # A place in a text is found by walking to it, so long texts are cut into pieces that overlap by a run.
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE)), lambda i: (i * PIECE + 1).cast("int"))
+    pieces = index.where(F.length("sequence") > 0).select("key", F.explode(F.transform(starts, lambda i: F.substring("sequence", i, PIECE + k - 1))).alias("piece"))
+    lists = [F.when(F.length("piece") >= n, runs(F.col("piece"), n)) for n in sizes]
+    listed = pieces.select("key", F.explode(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))).alias("run")).distinct()
     counts = listed.groupBy("run").agg(F.ceil(F.count("*") / heavy).cast("int").alias("parts"), F.count("*").alias("n"))
     own = wanted.select("peptide", F.explode(runs(F.col("peptide"), size)).alias("run")).distinct()
     rarest = own.join(counts, "run").groupBy("peptide").agg(F.min(F.struct("n", "run", "parts")).alias("best"))

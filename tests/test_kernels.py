@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from peakloom.operators import calibrate, library, quantify
+from peakloom.operators import calibrate, candidates, grouping, library, quantify
 
 
 def test_isotopes_against_all_isotopologues(spark):
@@ -130,3 +130,33 @@ def test_transfer_curves_of_several_windows(spark):
         edge = lambda v, p=p: step((v - p[0]) / p[2]) - step((v - p[1]) / p[3])
         assert abs(edge(low) - 0.01) < 0.004 and abs(edge(high) - 0.01) < 0.004
     assert got[4].tolist() == [-9.0, 9.0, 0.8, 0.8]  # no rows
+
+
+def test_limits_of_a_peak():
+    """Against a walk outwards, step by step."""
+    rng = np.random.default_rng(13)
+    seen = set()
+    for _ in range(500):
+        n = int(rng.integers(5, 60))
+        centre, most, least = int(rng.integers(0, n)), int(rng.integers(2, 20)), int(rng.integers(1, 4))
+        score = np.exp(-((np.arange(n) - centre) ** 2) / rng.uniform(1, 60)) * 100 + rng.uniform(0, 3, n)
+        width, held = least, score[centre]
+        for s in range(least + 1, most):
+            ends = (score[max(centre - s, 0)] + score[min(centre + s, n - 1)]) / 2
+            if not (ends < 0.95 * held and ends > 0.01 * score[centre]):
+                break
+            width, held = s, ends
+        assert candidates.limits(score, centre, most, least=least) == (max(centre - width, 0), min(centre + width, n - 1))
+        seen.add(width)
+    assert len(seen) > 8
+
+
+def test_cover_where_ids_share_sets_all_over(spark):
+    """A few ids that almost all sets list: rounds by overlaps give the masters of the visit in order."""
+    rng = np.random.default_rng(14)
+    sets = [(int(part), k, sorted({f"p{int(x)}" for x in rng.zipf(1.3, int(rng.integers(1, 7))) % 40}, key=lambda i: hash((i, k)) % 97), int(rng.integers(1, 4))) for part in (0, 1) for k in range(600)]
+    df = spark.createDataFrame(sets, "part int, key long, list array<string>, n long")
+    got = {(r["part"], r["key"]): r["master"] for r in grouping.cover(df, most=100).collect()}
+    for part in (0, 1):
+        want = grouping.greedy_cover([(k, ids, n) for p, k, ids, n in sets if p == part])
+        assert {k: got[part, k] for k in want} == want and len(want) == 600
