@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from .aggregates import any_null, protein_features
 from .ranking import keep_best, q_values
 
 
-def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, folds: int = 3, iterations: int = 15, out: str = "proba", by: list[str] | None = None) -> DataFrame:
+def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[int, ...] = (20, 5), seed: int = 0, folds: int = 3, iterations: int = 15, out: str = "proba", by: list[str] | None = None, starts: dict[str, list[float]] | None = None) -> DataFrame:
     """Rows with the probability that each is a decoy; rows that lack a feature are dropped.
 
     Rows fall into folds by the hash of the columns ``by`` (the features by default, whose last
@@ -27,6 +28,10 @@ def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[in
     others, so that no row's own label speaks for it; few ``iterations`` keep it from learning
     single rows by heart. Where the others lack one of the classes,
     all rows are learned from. Targets and decoys should be about as many; a warning tells if not.
+
+    ``starts`` holds the weights of earlier models by features, layers and fold: a model begins
+    with those of its own, and leaves its weights there for the next search. A fold's weights
+    never came from its rows, as long as rows keep their fold (``by`` names stable columns).
     """
     scratch = Scratch(df.sparkSession, "classify")
     fold = F.pmod(F.xxhash64(*(by or features), F.lit(seed)), F.lit(folds)).cast("int")
@@ -35,29 +40,33 @@ def classify(df: DataFrame, features: list[str], decoy: str, *, layers: tuple[in
     decoys, targets = (sum(n for (_, y), n in counts.items() if y == label) for label in (1.0, 0.0))
     if abs(decoys - targets) > 0.1 * (decoys + targets) / 2:
         warnings.warn(f"{targets} targets and {decoys} decoys are far from equal in number", stacklevel=2)
-    stages = [
-        VectorAssembler(inputCols=features, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
-        MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(features), *layers, 2], seed=seed, maxIter=iterations, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c"),
-    ]
+    def stages(start: list[float] | None) -> list:
+        net = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(features), *layers, 2], seed=seed, maxIter=iterations, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
+        if start is not None:
+            net.setInitialWeights(Vectors.dense(start))
+        return [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), net]
+
     parts = []
     for f in range(folds):
         others = all(sum(n for (g, y), n in counts.items() if g != f and y == label) for label in (0.0, 1.0))
         if any(counts[f, y] for y in (0.0, 1.0)):
-            model = Pipeline(stages=stages).fit(known.where(F.col("_fold") != f) if others else known)
+            name = f"{'|'.join(features)}/{layers}/{folds}/{seed}/{f}" if others else ""
+            model = Pipeline(stages=stages((starts or {}).get(name))).fit(known.where(F.col("_fold") != f) if others else known)
+            if starts is not None and others:
+                starts[name] = [float(x) for x in model.stages[-1].weights]
             parts.append(model.transform(known.where(F.col("_fold") == f)).withColumn(out, vector_to_array("_p")[1]).select(*df.columns, out))
     return reduce(DataFrame.unionByName, parts) if parts else known.select(*df.columns, F.lit(1.0).alias(out))
 
 
-def control(df: DataFrame, features: list[str], *, keys: list[str], idx: str = "precursor_idx", decoy: str = "decoy", least: int = 20, seed: int = 0) -> DataFrame:
+def control(df: DataFrame, features: list[str], *, keys: list[str], idx: str = "precursor_idx", decoy: str = "decoy", least: int = 20, seed: int = 0, starts: dict[str, list[float]] | None = None) -> DataFrame:
     """Probabilities and q-values of the best row per key.
 
-    With too few rows to learn from, proba and qval are 1.
+    With too few rows to learn from, proba and qval are 1. ``starts`` is as for classify.
     """
     counts = df.groupBy(decoy).count().collect()
     if len(counts) < 2 or min(r["count"] for r in counts) < least:
         return keep_best(df.withColumn("proba", F.lit(1.0)), keys, [idx]).withColumn("qval", F.lit(1.0))
-    scored = classify(df, features, decoy, seed=seed, by=[idx])
+    scored = classify(df, features, decoy, seed=seed, by=[idx], starts=starts)
     best = keep_best(scored, keys, ["proba", idx])
     return q_values(best, "proba", decoy, [idx])
 

@@ -39,7 +39,7 @@ class Tuning:
 
 @dataclass
 class Tuned:
-    """What came out: settings, calibrations, and what each round did."""
+    """What came out: settings, calibrations, what each round did, and the weights its classifiers ended with."""
 
     settings: Settings
     mz: Estimator
@@ -47,6 +47,7 @@ class Tuned:
     rt_tolerance: float | None
     rounds: list[dict] = field(default_factory=list)
     enough: bool = False
+    starts: dict[str, list[float]] = field(default_factory=dict)
 
     def library(self, precursors: DataFrame, fragments: DataFrame) -> DataFrame:
         """Fragments at their calibrated m/z and, where times are known, within the cycles around their calibrated time."""
@@ -118,7 +119,7 @@ def tune_search(precursors: DataFrame, fragments: DataFrame, peaks: DataFrame |
         library = scratch.save(out.library(batch, only_keys(fragments, batch, ["precursor_idx"])))
         rows, traces, features = scored_rows(batch, library, peaks, out.settings, scratch)
         held.append((rows, traces, library))
-        psm = scratch.save(control(reduce(DataFrame.unionByName, (h[0] for h in held)), features, keys=["precursor_idx"]))
+        psm = scratch.save(control(reduce(DataFrame.unionByName, (h[0] for h in held)), features, keys=["precursor_idx"], starts=out.starts))
         found = scratch.save(psm.where((F.col("qval") <= tuning.fdr) & (F.col("decoy") == 0)))
         n = found.count()
         out.rounds.append({"start": start, "stop": stop, "rows": rows.count(), "found": n, "ppm": out.settings.selection.ppm, "rt": out.rt_tolerance})
@@ -166,5 +167,5 @@ def _recalibrate(out: Tuned, found: DataFrame, seen: DataFrame, psm: DataFrame,
 def tuned_search(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame | PeakIndex, settings: Settings = Settings(), tuning: Tuning | None = None) -> tuple[DataFrame, DataFrame, Tuned]:  # noqa: B008
     """Tune on a part of the library, then search all of it: rows, fragments and what was tuned."""
     tuned = tune_search(precursors, fragments, peaks, settings, tuning)
-    psm, ions = search_run(run, precursors, tuned.library(precursors, fragments), peaks, tuned.settings)
+    psm, ions = search_run(run, precursors, tuned.library(precursors, fragments), peaks, tuned.settings, starts=tuned.starts)
     return psm, ions, tuned

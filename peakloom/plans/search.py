@@ -60,17 +60,18 @@ def scored_rows(precursors: DataFrame, fragments: DataFrame, peaks: DataFrame |
     return rows, traces, features
 
 
-def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame | PeakIndex, settings: Settings, *, ms1: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search_run(run: str, precursors: DataFrame, fragments: DataFrame, peaks: DataFrame | PeakIndex, settings: Settings, *, ms1: DataFrame | None = None, starts: dict[str, list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Scored rows of one run and their fragment intensities with each fragment's correlation.
 
     ``precursors`` has precursor_idx, decoy, proteins, sequence, and mz and charge where
     ``ms1`` peaks or isolation windows are to be used; ``fragments`` precursor_idx, fragment,
     mz_library, intensity_library; ``peaks`` (or their index) and ``ms1`` cycle, mz, intensity.
     Precursors compete inside the isolation window of their m/z, within ``rt_tolerance`` seconds.
+    ``starts`` hands the weights of classifiers on from one search to the next.
     """
     scratch = Scratch(precursors.sparkSession, "search")
     rows, traces, features = scored_rows(precursors, fragments, peaks, settings, scratch, ms1=ms1)
-    psm = control(rows, features, keys=["precursor_idx"])
+    psm = control(rows, features, keys=["precursor_idx"], starts=starts)
     if settings.compete:
         placed = window_index(psm, "mz", list(settings.windows)) if settings.windows else psm.withColumn("window_idx", F.lit(0))
         named = scratch.save(placed.withColumn("id", F.col("precursor_idx")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from peakloom.operators.ranking import keep_best
 from peakloom.sources.tables import exists, write_runs
@@ -26,6 +30,32 @@ def keep_top(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ord
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def running_totals(stream: DataFrame, key: str, run: str, value: str, n: int) -> DataFrame:
+    """Number, sum and ``n`` largest values of each key over a stream of runs, from state kept per key.
+
+    Yields (key, n, total, top_runs, top_values) for every key that a batch touches; the newest
+    row of a key stands for all runs so far, in whatever order they came. State per key is two
+    numbers and ``n`` rows; a batch's rows of one key arrive in pieces, so none is held whole.
+    Ties of values go to the smaller run. Null values count as rows but add nothing.
+    """
+    kind = dict(stream.dtypes)
+
+    def step(name: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, total, runs, values = state.get if state.exists else (0, 0.0, [], [])
+        top = list(zip(values, runs))
+        for piece in pieces:
+            known = piece.dropna(subset=[value])
+            count, total = count + len(piece), total + float(known[value].sum())
+            best = known.sort_values([value, run], ascending=[False, True]).head(n)
+            top = sorted([*top, *zip(best[value].astype(float), best[run].astype(str))], key=lambda t: (-t[0], t[1]))[:n]
+        values, runs = [float(t[0]) for t in top], [t[1] for t in top]
+        state.update((count, total, runs, values))
+        yield pd.DataFrame({key: [name[0]], "n": [count], "total": [total], "top_runs": [runs], "top_values": [values]})
+
+    held = "n long, total double, top_runs array<string>, top_values array<double>"
+    return stream.select(key, run, value).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind[key]}, {held}", held, "update", GroupStateTimeout.NoTimeout)
+
+
 def process_runs(stream: DataFrame, search, path: str, checkpoint: str, run: str = "run") -> StreamingQuery:
     """Search each arriving run on its own and write its partition; a failed run is recorded and skipped."""
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from peakloom.operators import fdr
 from peakloom.operators.candidates import extract_traces
 from peakloom.operators.joins import band_join
 from peakloom.operators.optimise import Lock, Targeted, doubling_batches
@@ -91,3 +92,24 @@ def test_tuning_finds_a_shift(spark):
     assert max(r["stop"] for r in out.rounds) < n // 2 and len(out.rounds) >= 3
     assert out.settings.selection.score_cutoff == 0  # it would have left no decoys
     index.drop()
+
+
+def test_classifiers_start_where_the_last_ended(spark):
+    rng = np.random.default_rng(7)
+    n = 1200
+    decoy = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, 3)) + decoy[:, None] * np.array([1.5, 0.0, 0.0])
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "decoy": decoy, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
+    starts: dict = {}
+    settings = {"by": ["i"], "layers": (4,), "folds": 2}
+
+    def right(**more):
+        out = fdr.classify(df, ["a", "b", "c"], "decoy", **settings, **more)
+        return out.select(F.avg(((F.col("proba") > 0.5) == (F.col("decoy") == 1)).cast("int"))).first()[0]
+
+    cold, learned = right(iterations=1), right(iterations=40, starts=starts)
+    assert len(starts) == 2 and learned > 0.7
+    before = {k: list(v) for k, v in starts.items()}
+    assert right(iterations=1, starts=starts) >= learned - 0.02 > cold - 0.02
+    assert all(np.abs(np.array(starts[k]) - np.array(before[k])).max() < 1 for k in before)
+    assert right(iterations=1, starts={"other": [0.0]}) == cold  # other features, other models
