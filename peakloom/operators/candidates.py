@@ -28,6 +28,10 @@ class Selection:
     half_width: int = 10
     isotopes: int = 3
     score_cutoff: float = 0.0
+    least_width: int = 3
+    most_width: int = 15
+    fall: float = 0.99
+    share: float = 0.5
 
 
 def extract_traces(peaks: DataFrame | PeakIndex, fragments: DataFrame, *, ppm: float) -> DataFrame:
@@ -160,7 +164,7 @@ def select(traces: DataFrame, settings: Selection = Selection(), isotopes: DataF
             score = np.log1p(np.maximum(smooth(table, kernel), 0)).sum(0)
             places = apart(peaks_of(score, 4 * settings.candidates), score, settings.close)[: settings.candidates]
             for rank, p in enumerate(p for p in places if score[p] > settings.score_cutoff):
-                lo, hi = limits(score, p, settings.half_width)
+                lo, hi = limits(score, p, settings.most_width, least=settings.least_width, fall=settings.fall, share=settings.share)
                 out.append((int(pdf["precursor_idx"].iloc[0]), rank, float(score[p]), first + lo, first + p, first + hi))
         return pd.DataFrame(out, columns=["precursor_idx", "rank", "score", "cycle_start", "cycle_center", "cycle_stop"])
 
