@@ -210,7 +210,7 @@ def run_shifts(logs: DataFrame, ion: str, run: str, *, core: int = 50) -> dict[o
     return out
 
 
-def direct_lfq(long: DataFrame, group: str, ion: str, run: str, value: str, *, least: int = 1, core: int = 50, block: int = 256) -> DataFrame:
+def nearest_lfq(long: DataFrame, group: str, ion: str, run: str, value: str, *, least: int = 1, core: int = 50, block: int = 256) -> DataFrame:
     """Intensity per group and run from the ratios of its ions, nearest traces first: (group, run, intensity).
 
     Runs are shifted upon each other by the ions they share, then the ions of a group by the

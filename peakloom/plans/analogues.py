@@ -672,11 +672,11 @@ def peak_index(spark, sf_dir):
 
 
 @query()
-def direct_lfq(spark, sf_dir):
+def nearest_lfq(spark, sf_dir):
     """Brands over ship years from the prices of their parts."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = lines.select("p_brand", "l_partkey", F.year("l_shipdate").alias("year"), "l_extendedprice")
-    return Q.direct_lfq(rows, "p_brand", "l_partkey", "year", "l_extendedprice").select("p_brand", "year", F.round("intensity", 3).alias("intensity"))
+    return Q.nearest_lfq(rows, "p_brand", "l_partkey", "year", "l_extendedprice").select("p_brand", "year", F.round("intensity", 3).alias("intensity"))
 
 
 @query()

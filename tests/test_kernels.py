@@ -80,7 +80,7 @@ def test_traces_nearest_first():
     assert quantify.merge_traces(apart, np.isfinite(apart).astype(float))[0].tolist() == [1, 2, 5, 6]
 
 
-def test_direct_lfq(spark):
+def test_nearest_lfq(spark):
     rng = np.random.default_rng(9)
     rows, truth = [], {}
     offsets = rng.normal(0, 1, 9)
@@ -92,12 +92,12 @@ def test_direct_lfq(spark):
         rows += [(f"g{g}", f"g{g}i{i}", f"r{r}", float(2 ** (x[i, r] + offsets[r]))) for i in range(len(x)) for r in range(9) if np.isfinite(x[i, r])]
     df = spark.createDataFrame(rows, "g string, ion string, run string, v double")
     for settings in ({}, {"block": 8}, {"core": 5}):  # the first group in several parts; runs beyond the core
-        got = quantify.direct_lfq(df, "g", "ion", "run", "v", **settings).toPandas()
+        got = quantify.nearest_lfq(df, "g", "ion", "run", "v", **settings).toPandas()
         for g, profile in truth.items():
             own = np.log2(got[got.g == g].set_index("run").intensity.reindex([f"r{i}" for i in range(9)]).to_numpy())
             if g != "g0":
                 assert np.nanmax(np.abs((own - np.nanmean(own)) - (profile - profile.mean()))) < 0.35, (settings, g)
-    assert quantify.direct_lfq(df.limit(0), "g", "ion", "run", "v").count() == 0
+    assert quantify.nearest_lfq(df.limit(0), "g", "ion", "run", "v").count() == 0
 
 
 def test_kernels_at_ranks_follow_skewed_data(spark):
