@@ -120,7 +120,7 @@ def top_lists(rows: DataFrame, anchors: DataFrame, k: int, scale: float, scratch
     total = anchors.agg(F.count("*").alias("n"), F.coalesce(F.max("dims"), F.lit(1)).alias("dims")).first()
     size = max(1, min(PASS_ANCHORS, PASS_BYTES // (8 * total["dims"])))
     blocks = -(-total["n"] // size)
-    # Whole numbers written in range order: a pass reads the files of its block alone.
+    # Written in order of blocks, so that a pass reads the files of its own alone.
     dealt = scratch.save(anchors.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(max(1, blocks))).cast("int")).repartitionByRange(max(1, blocks), "block"))
     found = []
     for block in range(blocks):
