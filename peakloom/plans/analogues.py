@@ -457,12 +457,20 @@ def fragment_competition(spark, sf_dir):
     return X.compete(psm, frag, rt=3.0, least=1)
 
 
-@query()
+@query("""with e as (select quantile_disc(l_quantity, 0.001)::double lo, quantile_disc(l_quantity, 0.999)::double hi from lineitem),
+k as (select i, lo + (hi - lo) / 5 * i c, 1.5 * (hi - lo) / 5 v, lo, hi from e, (select unnest(range(0, 6)) i)),
+x as (select l_quantity::double x, count(*) n, sum(l_extendedprice)::double y from lineitem group by 1),
+g as (select i, c, v, x, n, y, (x - c) / v z, pow(1 - pow(least(abs(least(greatest(x, lo), hi) - c) / v, 1), 3), 3) w from x, k),
+s as (select i, sum(w*n) s0, sum(w*n*z) s1, sum(w*n*z*z) s2, sum(w*n*pow(z,3)) s3, sum(w*n*pow(z,4)) s4, sum(w*y) t0, sum(w*z*y) t1, sum(w*z*z*y) t2 from g group by 1),
+b as (select i, s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) d, t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2) d0,
+ s0*(t1*s4-s3*t2) - t0*(s1*s4-s2*s3) + s2*(s1*t2-t1*s2) d1, s0*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2) d2 from s),
+f as (select x, sum(w * (d0 + d1*z + d2*z*z) / d) / sum(w) fit from g join b using (i) group by 1)
+select l_orderkey, l_linenumber, round(fit, 2) fit from lineitem join f on l_quantity = x""")
 def loess_calibration(spark, sf_dir):
     """Price by quantity, smoothed."""
     t = table(spark, sf_dir, "lineitem")
     model = C.fit_local(t, "l_quantity", "l_extendedprice")
-    return t.select("l_orderkey", "l_linenumber", F.round(model.predict(F.col("l_quantity")), 3).alias("fit"))
+    return t.select("l_orderkey", "l_linenumber", F.round(model.predict(F.col("l_quantity")), 2).alias("fit"))
 
 
 @query()
