@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from peakloom.operators.components import connected_components
 
-from .common import SPACE, Scratch, by_bytes, grams, hash_words, mix, texts_of, tune
+from .common import SPACE, Scratch, arrow_batches, by_bytes, grams, hash_words, mix, texts_of, tune
 
 #: Shingles are counted in blocks of this many; those repeated inside a block add up.
 COUNTED = 4_000_000
 #: A shingle with such a count or more is frequent; so are at most FREQUENT shingles.
 LEAST, FREQUENT = 8, 1_000_000
-#: Documents that share a prefix shingle are paired up to this many, and form a star beyond.
+#: Documents that share a prefix shingle are paired up to this many, and multiplied in blocks beyond.
 PAIRED = 16
+#: Pairs whose tallies are compared at once.
+THINNED = 4096
 #: Sets of a block, about.
 ROWS = 2048
 
@@ -34,8 +36,8 @@ def shingle_sets(batch: pa.RecordBatch, n: int, *keys: str) -> Iterator[tuple]:
             yield (*row[:-1], np.unique(grams(h[cuts[i] : cuts[i + 1]], n)))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in one order for all sets: frequent ones last, else by hash.
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in one order for all sets: frequent ones last, by their ``counts``, else by hash.
 
     Two sets that reach Jaccard ``percent`` / 100 share at least that part of each, so with
     one order for all they share one of their first ``n - ceil(percent n / 100) + 1`` shingles.
@@ -45,7 +47,8 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         common = frequent[at] == s
-        s = np.concatenate([s[~common], s[common]])
+        last = s[common] if counts is None else s[common][np.argsort(counts[at[common]], kind="stable")]
+        s = np.concatenate([s[~common], last])
     return s[:size]
 
 
@@ -57,7 +60,26 @@ def tally(s: np.ndarray) -> np.ndarray:
 
 def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
     """False if the tallies show that two sets of sizes n and m differ in too many shingles."""
-    return bool(tallies_reach([a], [b], np.array([n]), np.array([m]), percent)[0, 0])
+    return bool(pairs_reach([a], [b], np.array([n]), np.array([m]), percent)[0])
+
+
+def pairs_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (a[i], b[i]) of sets may reach the bound; as tallies_reach, pair by pair.
+
+    Pairs whose tallies have the same two lengths are compared at once.
+    """
+    out = np.zeros(len(a), bool)
+    x_size, y_size = (np.fromiter(map(len, v), np.int64, len(v)) for v in (a, b))
+    fits = percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
+    for p, q in set(zip(x_size[fits].tolist(), y_size[fits].tolist())):
+        i = np.flatnonzero(fits & (x_size == p) & (y_size == q))
+        x, y = (np.frombuffer(b"".join([v[k] for k in i]), np.uint8).reshape(len(i), -1) for v in (a, b))
+        cut = (x >= 255).any(1) | (y >= 255).any(1)
+        u, w = (v.astype(np.int32) for v in (x, y))
+        least = min(p, q)
+        u, w = (v.reshape(len(i), -1, least).sum(1) for v in (u, w))
+        out[i] = (np.abs(u - w).sum(1) * (100 + percent) <= (n[i] + m[i]) * (100 - percent)) | cut
+    return out
 
 
 def tallies_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -96,8 +118,8 @@ def sets_reach(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, per
     return out
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> np.ndarray:
-    """Sorted hashes of shingles that occur often; at most FREQUENT of them.
+def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that occur often, at most FREQUENT of them, and their counts.
 
     Counts add up inside blocks of a task first, and only what a block repeats leaves the
     task. The result orders shingles and decides no link, so what blocks miss costs time only.
@@ -117,9 +139,11 @@ def frequent_shingles(docs: DataFrame, shingle: int, scratch: Scratch) -> np.nda
     counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     counts = scratch.save(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") >= max(LEAST, total // FREQUENT)).select("token").toArrow()
+    found = counts.where(F.col("n") >= max(LEAST, total // FREQUENT)).toArrow()
     scratch.drop(counts)
-    return np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
+    tokens, n = (found.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], n[order]
 
 
 def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -222,9 +246,10 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
        ``shingle``-word hashes, a 128-bit fingerprint of the set, its prefix in an order that
        puts frequent shingles last, and a tally. Rows with equal fingerprints form a class.
     2. Class representatives that share a prefix shingle are candidates: small groups as pairs
-       that the tallies' size-derived bound thins out exactly, large groups as a star whose
-       members all stay candidates of each other. Components of both are loose clusters,
-       which a blocked product of the tallies cuts down to tight ones, again exactly.
+       that the tallies' size-derived bound thins out exactly, large groups by a blocked
+       product of their members' tallies, group by group, with the same bound. Groups are never
+       joined before: chained by shared members they would hold most documents. Components of
+       what may link are clusters.
     3. Clusters are cut into blocks by size bucket and salt, each of about ``block`` shingles,
        so one huge cluster is spread over tasks. Each pair of blocks with compatible sizes is
        one sparse product that accumulates overlap counts; pairs below the size-derived bound
@@ -245,7 +270,7 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
         for batch in batches:
             rows = list(shingle_sets(batch, shingle, "doc_id"))
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in rows]
-            firsts = [prefix(s, frequent.value, percent) if len(s) and doc is not None else s[:0] for doc, s in rows]
+            firsts = [prefix(s, frequent.value[0], percent, frequent.value[1]) if len(s) and doc is not None else s[:0] for doc, s in rows]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(prints, pa.binary()),
@@ -266,7 +291,6 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
     shared = scratch.save(signed.join(tops, "sig").select("sig", "u", "c", F.col("doc_id").alias("v"), F.col("n_shingles").alias("n")))
     long, rows = rows, scratch.save(rows.drop("prefix"))
     scratch.drop(long)
-    stars = shared.where((F.col("c") > PAIRED) & (F.col("u") != F.col("v"))).select("u", "v")
     groups = shared.where(F.col("c") <= PAIRED).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("g"))  # PAIRED rows at most
     pairs = (
         groups.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, PAIRED), lambda y: F.struct(x["v"].alias("u"), y["v"].alias("v"), x["n"].alias("n"), y["n"].alias("m")))))).alias("p"))
@@ -278,23 +302,24 @@ def jaccard_classes(docs: DataFrame, *, shingle: int = 3, percent: int = 90, blo
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [may_link(a, b, n, m, percent) for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            yield batch.select(["u", "v"]).filter(pa.array(pairs_reach(a, b, n, m, percent), pa.bool_()))
 
     near = facing.select("u", "v", "n", "m", "a", "b").mapInArrow(thin, "u long, v long")
-    stars = near.union(stars)
-    loose = scratch.save(connected_components(stars, scratch))
     sizes = classes.select(F.col("rep").alias("u"), "n")
-    sized = loose.join(sizes, "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
+    # A group of up to ROWS is one product, a larger one is cut by sizes.
+    bucket = F.when(F.col("c") > ROWS, F.floor(F.log("n") / math.log(100 / percent))).otherwise(0).cast("int")
+    hot = shared.where(F.col("c") > PAIRED).select(F.col("v").alias("id"), F.col("sig").alias("cluster"), "n", bucket.alias("bucket"))
 
     def tallied(blocked: DataFrame) -> DataFrame:
         own = tallies.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("tally").alias("set"))
         return own.join(blocked, "id")
 
-    maybe = set_links(sized, tallied, scratch, percent=percent, block=16 * block, reach=tallies_reach)
-    scratch.drop(shared, loose)
-    clusters = scratch.save(connected_components(maybe, scratch))
-    scratch.drop(maybe)
+    maybe = set_links(hot, tallied, scratch, percent=percent, block=16 * block, reach=tallies_reach)
+    with arrow_batches(spark, THINNED):
+        clusters = scratch.save(connected_components(near.union(maybe), scratch))
+    scratch.drop(shared, maybe)
     sized = clusters.join(sizes, "u").select(F.col("u").alias("id"), F.col("component_id").alias("cluster"), "n")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from peakloom.llm import cover_tree, decontaminate, html_text, pii, secrets
+from peakloom.llm import cover_tree, decontaminate, html_text, jaccard_join, pii, secrets
 from peakloom.llm.common import NON_WORD, hash_words
 
 
@@ -72,3 +72,26 @@ def test_furniture_inside_main():
         assert text_of(f"<main><p>Text</p><div class={name}><p>no</p></div></main>") == "Text", name
     for name in ("post-body", "share-price", "main-text", "entry-content"):
         assert text_of(f"<main><p>Text</p><div class={name}><p>yes</p></div></main>") == "Text yes", name
+
+
+def test_shared_phrases_do_not_chain_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(8)) for i in range(60)]
+    docs = [(i, " x x ".join(["", *sorted(rng.sample(phrases, 3)), ""])) for i in range(1200)]
+    docs += [(2000 + i, docs[i][1]) for i in range(5)]
+    largest = []
+    links = jaccard_join.set_links
+
+    def watched(sized, *args, **settings):
+        largest.append(sized.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0)
+        return links(sized, *args, **settings)
+
+    monkeypatch.setattr(jaccard_join, "set_links", watched)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(largest) < 200  # 1200 where groups of a shared shingle were joined first
+    first = {}
+    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(3)])) for i, t in docs}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    same = {i: first[s] for i, s in sets.items()}
+    assert got == same  # documents share two phrases of three at most
