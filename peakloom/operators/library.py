@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,38 +45,45 @@ def digest(proteins: DataFrame, *, missed: int = 1, length: tuple[int, int] = (7
     return sized.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("proteins"))
 
 
-#: Letters of a piece of a sequence from which runs are listed.
-PIECE = 500
+#: Letters in which peptides may begin: of a piece of a sequence, and of a part of a piece.
+PIECE, PART = 500, 32
 
 
-def annotate(peptides: DataFrame, proteins: DataFrame, *, k: int = 6, heavy: int = 10_000) -> DataFrame:
+def annotate(peptides: DataFrame, proteins: DataFrame, *, k: int = 6, heavy: int = 500_000) -> DataFrame:
     """Proteins (protein, sequence) that hold each of ``peptides`` (peptide) anywhere: peptide and their names, joined by ;.
 
-    An index lists the proteins of every run of ``k`` letters; a peptide is looked up by the run
-    of its own that fewest proteins hold, and the whole peptide is then searched in these alone.
-    Runs that many proteins hold are spread over parts of about ``heavy`` of them, and peptides
-    that have none rarer are looked up in each part. Peptides shorter than ``k`` are looked up by
-    runs of their own length. Empty peptides and those of no protein are left out; repeated
-    names count once.
+    Peptides are broadcast by their first ``k`` letters (all, if fewer), about ``heavy`` of them at
+    a time; every run of a sequence is looked up there, and where it is found the whole peptide is
+    compared at that place. So sequences are read in place and only matches are shuffled. Empty
+    peptides and those of no protein are left out; repeated names count once.
     """
     wanted = peptides.where(F.length("peptide") > 0).select("peptide").distinct()
     size = F.least(F.length("peptide"), F.lit(k))
-    sizes = [r[0] for r in wanted.select(size).distinct().collect()]  # k of them at most
-    if not sizes:
+    facts = wanted.groupBy(size.alias("n")).agg(F.count("*").alias("peptides"), F.max(F.length("peptide")).alias("longest")).collect()  # k rows at most
+    if not facts:
         return wanted.select("peptide", F.lit("").alias("proteins"))
-    runs = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-    index = proteins.select("protein", "sequence").distinct().withColumn("key", F.xxhash64("protein", "sequence"))
-    # A place in a text is found by walking to it, so long texts are cut into pieces that overlap by a run.
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE)), lambda i: (i * PIECE + 1).cast("int"))
-    pieces = index.where(F.length("sequence") > 0).select("key", F.explode(F.transform(starts, lambda i: F.substring("sequence", i, PIECE + k - 1))).alias("piece"))
-    lists = [F.when(F.length("piece") >= n, runs(F.col("piece"), n)) for n in sizes]
-    listed = pieces.select("key", F.explode(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))).alias("run")).distinct()
-    counts = listed.groupBy("run").agg(F.ceil(F.count("*") / heavy).cast("int").alias("parts"), F.count("*").alias("n"))
-    own = wanted.select("peptide", F.explode(runs(F.col("peptide"), size)).alias("run")).distinct()
-    rarest = own.join(counts, "run").groupBy("peptide").agg(F.min(F.struct("n", "run", "parts")).alias("best"))
-    looked = rarest.select("peptide", "best.run", F.explode(F.sequence(F.lit(0), F.col("best.parts") - 1)).alias("part"))
-    held = listed.join(counts, "run").select("run", "key", F.pmod("key", F.col("parts").cast("long")).cast("int").alias("part"))
-    pairs = looked.join(held, ["run", "part"]).select("peptide", "key").join(index, "key").where(F.col("sequence").contains(F.col("peptide")))
+    sizes, longest = sorted(r["n"] for r in facts), max(r["longest"] for r in facts)
+    rounds = -(-sum(r["peptides"] for r in facts) // heavy)
+    # A place in a text is found by walking to it, so long texts are cut twice, into pieces that overlap by a peptide.
+    texts = proteins.where((F.length("sequence") > 0) & F.col("protein").isNotNull()).select("protein", F.col("sequence").alias("piece"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:
+        texts = texts.repartition(cores)
+    letters = F.length("piece")
+    for step in (max(PIECE, longest), max(PART, longest)):
+        starts = F.sequence(F.lit(0), F.floor((letters - 1) / step))
+        cut = F.transform(starts, lambda i: F.substring("piece", (i * step + 1).cast("int"), F.lit(step + longest - 1)))  # noqa: B023
+        texts = texts.select("protein", F.explode(cut).alias("piece"))
+        letters = F.least(F.length("piece"), F.lit(step))  # what overlaps begins in the next piece
+    places = texts.select("protein", "piece", F.explode(F.sequence(F.lit(1), letters)).alias("i"))
+    runs = places.select("protein", "piece", "i", F.explode(F.array(*(F.substring(F.col("piece"), F.col("i"), F.lit(n)) for n in sizes))).alias("run"))
+    named = wanted.select("peptide", F.substring("peptide", 1, k).alias("run"))
+    whole = F.substring(F.col("piece"), F.col("i"), F.length("peptide")) == F.col("peptide")
+    found = [
+        runs.join(F.broadcast(named.where(F.pmod(F.xxhash64("peptide"), F.lit(rounds)) == r) if rounds > 1 else named), "run").where(whole).select("peptide", "protein")
+        for r in range(rounds)
+    ]
+    pairs = reduce(DataFrame.union, found)
     return pairs.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("proteins"))
 
 

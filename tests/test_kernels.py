@@ -160,3 +160,13 @@ def test_cover_where_ids_share_sets_all_over(spark):
     for part in (0, 1):
         want = grouping.greedy_cover([(k, ids, n) for p, k, ids, n in sets if p == part])
         assert {k: got[part, k] for k in want} == want and len(want) == 600
+
+
+def test_annotate_shuffles_no_runs(spark):
+    """Peptides at every place of texts of several pieces, without an index of all runs."""
+    text = "".join(chr(97 + i * i % 23) + chr(97 + i % 19) for i in range(900))
+    peptides = sorted({text[i : i + n] for i in range(0, 1780, 7) for n in (3, 6, 20)} | {"absent", text[400:1200]})
+    proteins = [("a", text), ("b", text[450:560]), ("c", None)]
+    out = library.annotate(spark.createDataFrame([(p,) for p in peptides], "peptide string"), spark.createDataFrame(proteins, "protein string, sequence string"))
+    assert {r["peptide"]: r["proteins"] for r in out.collect()} == {p: ";".join(n for n, t in proteins if t and p in t) for p in peptides if p in text}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
