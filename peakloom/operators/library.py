@@ -112,30 +112,37 @@ def modify(peptides: DataFrame, *, fixed: dict[str, float], variable: dict[str,
     and mod_sites (joined by ;, fixed ones first) and mod_mass.
     """
 
-    letters = F.split("peptide", "")
     none = F.array().cast("array<struct<place:int,name:string,mass:double>>")
 
     def places_of(name: str, mass: float) -> Column:
         residue = place_of(name.split("@")[1])
-        places = F.array(F.lit(0)) if residue is None else F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.get(letters, i - 1) == residue)
+        places = F.array(F.lit(0)) if residue is None else F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.substring(F.col("peptide"), i, F.lit(1)) == residue)
         return F.transform(places, lambda i: F.struct(i.cast("int").alias("place"), F.lit(name).alias("name"), F.lit(float(mass)).alias("mass")))
 
     def sites(mods: dict[str, float]) -> Column:
         return F.array_sort(F.concat(none, *(places_of(n, m) for n, m in sorted(mods.items()))))
 
-    def longer(form: Column) -> Column:
-        last = F.coalesce(F.element_at(F.transform(form, lambda s: s["place"]), F.when(F.size(form) > 0, -1)), F.lit(-1))
-        return F.transform(F.filter("_free", lambda s: s["place"] > last), lambda s: F.concat(form, F.array(s)))
-
-    rows = peptides.where(F.length("peptide") > 0).withColumn("_fixed", sites(fixed))
+    # A form is built from a shorter one by one more place after its last: names and places joined by ;, and mass.
+    after = lambda form, s: F.struct(
+        s["place"].alias("last"), F.concat_ws(";", form["mods"], s["name"]).alias("mods"), F.concat_ws(";", form["sites"], s["place"].cast("string")).alias("sites"), (form["mass"] + s["mass"]).alias("mass")
+    )
+    kind = "struct<last:int,mods:string,sites:string,mass:double>"
+    rows = peptides.where(F.length("peptide") > 0)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # rows grow manifold here
+        rows = rows.repartition(cores)
+    rows = rows.withColumn("_fixed", sites(fixed))
     free = F.filter(sites(variable), lambda s: ~F.exists("_fixed", lambda f: f["place"] == s["place"]))
-    rows = rows.withColumn("_free", free).withColumn("_form", F.array(F.slice("_free", 1, 0)))
-    for _ in range(most):
-        rows = rows.withColumn("_form", F.array_distinct(F.concat("_form", F.flatten(F.transform("_form", longer)))))
-    each = rows.withColumn("_all", F.explode("_form")).withColumn("_all", F.concat("_fixed", "_all"))
-    joined = lambda part: F.array_join(F.transform("_all", lambda s: s[part].cast("string")), ";")
-    mass = F.aggregate("_all", F.lit(0.0), lambda total, s: total + s["mass"])
-    return each.withColumns({"mods": joined("name"), "mod_sites": joined("place"), "mod_mass": mass}).drop("_fixed", "_free", "_form", "_all")
+    start = F.aggregate("_fixed", F.struct(F.lit(-1).alias("last"), F.lit(None).cast("string").alias("mods"), F.lit(None).cast("string").alias("sites"), F.lit(0.0).alias("mass")).cast(kind), lambda f, s: after(f, s).cast(kind))
+    rows = rows.withColumn("_free", free).withColumn("_start", start)
+    rows = rows.withColumn("_start", F.struct(F.lit(-1).alias("last"), "_start.mods", "_start.sites", "_start.mass").cast(kind)).withColumn("_form0", F.array("_start"))
+    longer = lambda form: F.transform(F.filter("_free", lambda s: s["place"] > form["last"]), lambda s: after(form, s).cast(kind))
+    for i in range(most):
+        rows = rows.withColumn(f"_form{i + 1}", F.flatten(F.transform(f"_form{i}", longer)))
+    layers = [f"_form{i}" for i in range(most + 1)]
+    each = rows.withColumn("_all", F.explode(F.concat(*layers)))
+    each = each.withColumns({"mods": F.coalesce("_all.mods", F.lit("")), "mod_sites": F.coalesce("_all.sites", F.lit("")), "mod_mass": F.col("_all.mass")})
+    return each.drop("_fixed", "_free", "_start", "_all", *layers)
 
 
 def mutate(sequence: Column) -> Column:
