@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,10 +90,13 @@ def _distances(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A single shared run says nothing about the spread, so such pairs come after all others.
     """
     d = x - y
-    shared = np.isfinite(d).sum(1)
-    with np.errstate(all="ignore"), warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        shift, spread = np.nanmedian(d, 1), np.nanvar(d, 1)
+    seen = np.isfinite(d)
+    shared = seen.sum(1)
+    n = np.maximum(shared, 1)
+    rows, ordered = np.arange(len(d)), np.sort(np.where(seen, d, np.inf), 1)  # what is missing comes last
+    shift = np.where(shared == 0, np.nan, (ordered[rows, (n - 1) // 2] + ordered[rows, n // 2]) / 2)
+    mean = np.where(seen, d, 0).sum(1) / n
+    spread = (np.where(seen, d - mean[:, None], 0) ** 2).sum(1) / n
     spread = np.where(shared == 1, 1e12, spread / np.maximum(shared - 1, 1))
     return shift, np.where(shared == 0, np.inf, spread)
 

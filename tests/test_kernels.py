@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -170,3 +171,27 @@ def test_annotate_shuffles_no_runs(spark):
     out = library.annotate(spark.createDataFrame([(p,) for p in peptides], "peptide string"), spark.createDataFrame(proteins, "protein string, sequence string"))
     assert {r["peptide"]: r["proteins"] for r in out.collect()} == {p: ";".join(n for n, t in proteins if t and p in t) for p in peptides if p in text}
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trace_distances_take_little_time():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((256, 7)) < 0.2, np.nan, rng.normal(size=(256, 7)))
+    x[5] = np.nan
+    shift, spread = quantify._distances(x[0], x[1:])
+    d = x[0] - x[1:]
+    n = np.isfinite(d).sum(1)
+    known = n > 1
+    assert np.array_equal(shift[known], np.nanmedian(d[known], 1)) and np.allclose(spread[known], np.nanvar(d[known], 1) / (n[known] - 1), rtol=1e-12)
+    assert np.isinf(spread[n == 0]).all() and np.isnan(shift[n == 0]).all() and (spread[n == 1] == 1e12).all()
+    began = time.process_time()
+    quantify.merge_traces(x, np.isfinite(x).astype(float))
+    assert time.process_time() - began < 0.15
+
+
+def test_forms_of_many_sites(spark):
+    """Forms grow from shorter ones and are never compared with each other."""
+    df = spark.createDataFrame([("S" * 600,)], "peptide string")
+    began = time.time()
+    out = library.modify(df, fixed={}, variable={"Phospho@S": 80.0}).agg({"mod_mass": "sum", "mods": "count"}).first()
+    assert sorted(out) == sorted([1 + 600 + 600 * 599 // 2, 600 * 80.0 + 600 * 599 // 2 * 160.0])
+    assert time.time() - began < 20
