@@ -85,17 +85,25 @@ def assemble(wanted: DataFrame, index: DataFrame, place: list[str], keys: list[s
     return wanted.select(*keys, *place).distinct().join(index.select(*place, value), place).groupBy(*keys).agg(F.sum(value).alias(value))
 
 
-def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
+def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float, *, heavy: int = 50_000_000) -> DataFrame:
     """Pairs of rows whose closed intervals overlap.
 
     Each interval is listed in every cell of ``width`` that it touches; a pair is kept in the
-    cell where the later of the two begins, so it appears once.
+    cell where the later of the two begins, so it appears once. A cell of many pairs is dealt
+    over parts of about ``heavy`` of them: a left row is in one part, a right row in all.
     """
     (a, b), (c, d) = left_span, right_span
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    pairs = left.withColumn("_cell", cells(a, b)).join(right.withColumn("_cell", cells(c, d)), "_cell")
+    one, two = left.withColumn("_cell", cells(a, b)), right.withColumn("_cell", cells(c, d))
+    sizes = one.groupBy("_cell").agg(F.count("*").alias("_l")).join(two.groupBy("_cell").agg(F.count("*").alias("_r")), "_cell")
+    parts = sizes.select("_cell", F.least(F.ceil(F.col("_l") * F.col("_r") / heavy), F.col("_l")).cast("int").alias("_parts"))
+    dealt = one.join(parts, "_cell").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("_parts").cast("long")).cast("int")).drop("_parts")
+    spread = two.join(parts, "_cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    # Pairs take time rather than bytes, so partitions are not merged by size.
+    count = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * left.sparkSession.sparkContext.defaultParallelism)
+    pairs = dealt.repartition(count, "_cell", "_part").join(spread.repartition(count, "_cell", "_part").hint("shuffle_hash"), ["_cell", "_part"])
     overlap = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b))
-    return pairs.where(overlap & (F.col("_cell") == F.floor(F.greatest(a, c) / width))).drop("_cell")
+    return pairs.where(overlap & (F.col("_cell") == F.floor(F.greatest(a, c) / width))).drop("_cell", "_part")
 
 
 def window_index(df: DataFrame, value: str, windows: list[tuple[float, float]], out: str = "window_idx") -> DataFrame:
