@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from peakloom.sources.shared import Scratch
 
 
+#: Peaks of a bucket, about; a task sorts the buckets that it writes and joins one by one.
+BUCKET = 500_000
+
+
 @dataclass
 class PeakIndex:
     """A table of peaks bucketed by m/z bin and block of cycles, and sorted by them."""
@@ -53,12 +57,13 @@ def build_index(peaks: DataFrame, *, ppm: float = 25.0, cycles: int = 512, bucke
 
     Bins are twice the tolerance wide. A bin that many peaks share (a contaminant seen in every
     spectrum) is spread over the blocks of ``cycles`` cycles, which also lets an extraction with
-    time limits skip what it need not read. The one shuffle of the peaks is here. Peaks without
-    a positive m/z, or without a cycle, are left out.
+    time limits skip what it need not read. The one shuffle of the peaks is here; unless told,
+    buckets are as many as keep each at about BUCKET peaks. Peaks without a positive m/z, or
+    without a cycle, are left out.
     """
     spark = peaks.sparkSession
     scratch = Scratch(spark, "peaks")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-peaks.count() // BUCKET))
     step = math.log1p(2 * ppm * 1e-6)
     placed = peaks.where("mz > 0 AND cycle IS NOT NULL").withColumns({"mz_bin": F.floor(F.log("mz") / step), "block": F.greatest(F.floor(F.col("cycle") / cycles), F.lit(0)).cast("int")})
     name = f"peaks_{uuid.uuid4().hex[:12]}"

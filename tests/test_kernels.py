@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from peakloom.operators import calibrate, candidates, grouping, library, quantify
+from peakloom.operators import calibrate, candidates, grouping, joins, library, peak_index, quantify
 
 
 def test_isotopes_against_all_isotopologues(spark):
@@ -195,3 +195,24 @@ def test_forms_of_many_sites(spark):
     out = library.modify(df, fixed={}, variable={"Phospho@S": 80.0}).agg({"mod_mass": "sum", "mods": "count"}).first()
     assert sorted(out) == sorted([1 + 600 + 600 * 599 // 2, 600 * 80.0 + 600 * 599 // 2 * 160.0])
     assert time.time() - began < 20
+
+
+def test_interval_cells_are_dealt_over_parts(spark):
+    rng = np.random.default_rng(8)
+    spans = lambda n: [(i, float(x), float(x + w)) for i, (x, w) in enumerate(zip(rng.uniform(-3, 3, n), rng.uniform(0, 3, n)))]
+    one, two = spans(60) + [(60, None, 1.0)], spans(40)
+    left, right = spark.createDataFrame(one, "i long, a double, b double"), spark.createDataFrame(two, "j long, c double, d double")
+    want = sorted((i, j) for i, a, b in one if a is not None for j, c, d in two if a <= d and c <= b)
+    for heavy in (7, 1000, 10**9):
+        got = joins.interval_overlap_join(left, right, ("a", "b"), ("c", "d"), 1.0, heavy=heavy)
+        assert sorted((r["i"], r["j"]) for r in got.select("i", "j").collect()) == want
+
+
+def test_index_has_buckets_for_its_peaks(spark, monkeypatch):
+    monkeypatch.setattr(peak_index, "BUCKET", 100)
+    peaks = spark.range(1000).selectExpr("id % 50 AS cycle", "100.0D + id AS mz", "1.0D AS intensity")
+    index = peak_index.build_index(peaks)
+    assert spark.sql(f"DESCRIBE FORMATTED {index.name}").where("col_name = 'Num Buckets'").first()["data_type"] == "10"
+    wanted = spark.range(0, 1000, 3).selectExpr("id", "100.0D + id AS mz_library")
+    assert index.near(wanted, "mz_library", ppm=20).count() == 334
+    index.drop()
