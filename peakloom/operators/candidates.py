@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,15 +139,44 @@ def limits(score: np.ndarray, centre: int, most: int, *, least: int = 1, fall: f
     return max(centre - width, 0), min(centre + width, n - 1)
 
 
-def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Matrix of intensities (fragments x cycles), fragment numbers, and the first cycle."""
-    first, last = int(pdf["cycle"].min()), int(pdf["cycle"].max())
-    names, row = np.unique(pdf["fragment"], return_inverse=True)
-    out = np.zeros((len(names), last - first + 1))
-    np.add.at(out, (row, pdf["cycle"].to_numpy(int) - first), pdf["intensity"])
+def dense(fragment: np.ndarray, cycle: np.ndarray, intensity: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Matrix of intensities (fragments x cycles), sorted fragments, and the first cycle."""
+    first = int(cycle.min())
+    names, row = np.unique(fragment, return_inverse=True)
+    out = np.zeros((len(names), int(cycle.max()) - first + 1))
+    np.add.at(out, (row, cycle - first), intensity)
     return out, names, first
 
 
+def per_group(rows: DataFrame, keys: list[str], solve: Callable[[dict[str, np.ndarray], np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Rows (keys, ...) that ``solve`` returns for each group of ``rows``.
+
+    A group is one row of lists, so that many groups share an Arrow batch: ``solve`` gets its
+    columns as arrays, with fragments as numbers in their order, and the batch's fragments.
+    Groups take time rather than bytes, so partitions are not merged by size.
+    """
+    spark = rows.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    values = [c for c in rows.columns if c not in keys]
+    lists = rows.repartition(count, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("_rows"))
+    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("_rows")).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            flat = dict(zip(values, batch.column("_rows").flatten().flatten()))
+            columns = {c: a.to_numpy(zero_copy_only=False) for c, a in flat.items() if c != "fragment"}
+            names, columns["fragment"] = np.unique(flat["fragment"].to_numpy(zero_copy_only=False), return_inverse=True)
+            found = []
+            for key, start, stop in zip(zip(*(batch.column(k).to_pylist() for k in keys)), (ends - lengths).tolist(), ends.tolist()):
+                found += [(*key, *row) for row in solve({c: a[start:stop] for c, a in columns.items()}, names)]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=fields), schema=kinds, preserve_index=False)
+
+    kinds = pa.schema([(f, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f_kind.strip().split(" ")[1]]) for f, f_kind in zip(fields, schema.split(","))])
+    return lists.mapInArrow(run, schema)
+
+
 def select(traces: DataFrame, settings: Selection = Selection(), isotopes: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Candidates per precursor: (precursor_idx, rank, score, cycle_start, cycle_center, cycle_stop).
 
@@ -156,19 +188,20 @@ def select(traces: DataFrame, settings: Selection = Selection(), isotopes: DataF
     if isotopes is not None:
         rows = rows.union(isotopes.select("precursor_idx", F.concat(F.lit("isotope "), "isotope"), "cycle", "intensity", F.lit(True)))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: dict[str, np.ndarray], names: np.ndarray) -> list[tuple]:
+        if len(np.unique(group["fragment"][~group["ms1"]])) < settings.least_fragments:
+            return []
+        table, _, first = dense(group["fragment"], group["cycle"], group["intensity"])
+        kernel = gaussian(settings.fwhm_cycles, settings.sigma_scale, 2 * settings.half_width + 1)
+        score = np.log1p(np.maximum(smooth(table, kernel), 0)).sum(0)
+        places = apart(peaks_of(score, 4 * settings.candidates), score, settings.close)[: settings.candidates]
         out = []
-        if pdf.loc[~pdf["ms1"], "fragment"].nunique() >= settings.least_fragments:
-            table, _, first = dense(pdf)
-            kernel = gaussian(settings.fwhm_cycles, settings.sigma_scale, 2 * settings.half_width + 1)
-            score = np.log1p(np.maximum(smooth(table, kernel), 0)).sum(0)
-            places = apart(peaks_of(score, 4 * settings.candidates), score, settings.close)[: settings.candidates]
-            for rank, p in enumerate(p for p in places if score[p] > settings.score_cutoff):
-                lo, hi = limits(score, p, settings.most_width, least=settings.least_width, fall=settings.fall, share=settings.share)
-                out.append((int(pdf["precursor_idx"].iloc[0]), rank, float(score[p]), first + lo, first + p, first + hi))
-        return pd.DataFrame(out, columns=["precursor_idx", "rank", "score", "cycle_start", "cycle_center", "cycle_stop"])
+        for rank, p in enumerate(p for p in places if score[p] > settings.score_cutoff):
+            lo, hi = limits(score, p, settings.most_width, least=settings.least_width, fall=settings.fall, share=settings.share)
+            out.append((rank, float(score[p]), first + lo, first + p, first + hi))
+        return out
 
-    return rows.groupBy("precursor_idx").applyInPandas(solve, "precursor_idx long, rank int, score double, cycle_start long, cycle_center long, cycle_stop long")
+    return per_group(rows, ["precursor_idx"], solve, "precursor_idx long, rank int, score double, cycle_start long, cycle_center long, cycle_stop long")
 
 
 FEATURES = (
@@ -195,6 +228,15 @@ def correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() > 0 and y.std() > 0 else 0.0
 
 
+def correlations(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation of each row with ``y``, 0 where either side does not vary."""
+    if rows.shape[1] < 2 or not y.std() > 0:
+        return np.zeros(len(rows))
+    x, z = rows - rows.mean(1, keepdims=True), y - y.mean()
+    scale = np.sqrt((x * x).sum(1)) * np.sqrt(z @ z)
+    return np.where(rows.std(1) > 0, np.clip(x @ z / np.where(scale > 0, scale, 1.0), -1.0, 1.0), 0.0)
+
+
 def score_candidates(traces: DataFrame, candidates: DataFrame, library: DataFrame) -> DataFrame:
     """FEATURES of each candidate (precursor_idx, rank) from its traces and library intensities.
 
@@ -203,27 +245,29 @@ def score_candidates(traces: DataFrame, candidates: DataFrame, library: DataFram
     rows = traces.join(candidates, "precursor_idx").where(F.col("cycle").between(F.col("cycle_start"), F.col("cycle_stop")))
     rows = rows.join(library.select("precursor_idx", "fragment", "intensity_library"), ["precursor_idx", "fragment"])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, names, first = dense(pdf)
-        by_name = pdf.groupby("fragment")
-        weight = by_name["intensity_library"].first().loc[names].to_numpy()
+    def solve(group: dict[str, np.ndarray], names: np.ndarray) -> list[tuple]:
+        table, own, first = dense(group["fragment"], group["cycle"], group["intensity"])
+        row = np.searchsorted(own, group["fragment"])
+        _, at = np.unique(row, return_index=True)
+        weight = group["intensity_library"][at]
         profile, total = table.sum(0), table.sum(1)
-        r = np.array([correlation(x, profile) for x in table])
+        r = correlations(table, profile)
         top = np.argsort(-weight, kind="stable")[:3]
-        kind = np.array([str(n)[:1] for n in names])
-        pdf = pdf.assign(error=((pdf["mz"] - pdf["mz_library"]) / pdf["mz_library"] * 1e6).abs())
-        error = by_name.ngroup()
-        weighted = lambda rows: float(np.average(rows["error"], weights=rows["intensity"])) if rows["intensity"].sum() > 0 else 0.0
-        centre = int(pdf["cycle_center"].iloc[0]) - first
+        label = names[own].astype(str)
+        kind = np.array([n[:1] for n in label])
+        intensity, error = group["intensity"], np.abs((group["mz"] - group["mz_library"]) / group["mz_library"] * 1e6)
+        near = np.isin(row, top)
+        weighted = lambda e, w: float(np.average(e, weights=w)) if w.sum() > 0 else 0.0
+        centre = int(group["cycle_center"][0]) - first
         of = lambda values, which: float(values[which].mean()) if which.any() else 0.0
         ends = (profile[0] + profile[-1]) / 2
         values = (
-            len(table), np.log1p(total.sum()), profile.max(), ((profile[1:] + profile[:-1]) / 2).sum(), pdf["cycle_stop"].iloc[0] - pdf["cycle_start"].iloc[0], (profile > profile.max() / 2).sum(),
-            r.mean(), r[top].mean(), np.median(r), weighted(pdf), weight @ total / (np.linalg.norm(weight) * np.linalg.norm(total) + 1e-4), int(profile.argmax()) - centre, (total > 0).mean(),
-            correlation(weight, total), weighted(pdf[error.isin(top)]), of(r, kind == "b"), of(r, kind == "y"), np.log1p(total[kind == "b"].sum()), np.log1p(total[kind == "y"].sum()),
-            overlap_by(names.astype(str), total > 0), (r > 0.5).sum(), correlation(weight, table.max(1)), np.log1p(profile.max()) - np.log1p(ends),
+            len(table), np.log1p(total.sum()), profile.max(), ((profile[1:] + profile[:-1]) / 2).sum(), group["cycle_stop"][0] - group["cycle_start"][0], (profile > profile.max() / 2).sum(),
+            r.mean(), r[top].mean(), np.median(r), weighted(error, intensity), weight @ total / (np.linalg.norm(weight) * np.linalg.norm(total) + 1e-4), int(profile.argmax()) - centre, (total > 0).mean(),
+            correlation(weight, total), weighted(error[near], intensity[near]), of(r, kind == "b"), of(r, kind == "y"), np.log1p(total[kind == "b"].sum()), np.log1p(total[kind == "y"].sum()),
+            overlap_by(label, total > 0), (r > 0.5).sum(), correlation(weight, table.max(1)), np.log1p(profile.max()) - np.log1p(ends),
         )
-        return pd.DataFrame([(int(pdf["precursor_idx"].iloc[0]), int(pdf["rank"].iloc[0]), *map(float, values))], columns=["precursor_idx", "rank", *FEATURES])
+        return [tuple(map(float, values))]
 
     schema = "precursor_idx long, rank int, " + ", ".join(f"{f} double" for f in FEATURES)
-    return rows.groupBy("precursor_idx", "rank").applyInPandas(solve, schema)
+    return per_group(rows, ["precursor_idx", "rank"], solve, schema)

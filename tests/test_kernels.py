@@ -216,3 +216,18 @@ def test_index_has_buckets_for_its_peaks(spark, monkeypatch):
     wanted = spark.range(0, 1000, 3).selectExpr("id", "100.0D + id AS mz_library")
     assert index.near(wanted, "mz_library", ppm=20).count() == 334
     index.drop()
+
+
+def test_candidate_groups_are_dealt(spark):
+    """Many small groups stay spread over tasks, and correlations equal numpy's."""
+    rng = np.random.default_rng(8)
+    table = rng.normal(size=(6, 9))
+    table[2] = 4.0
+    want = [candidates.correlation(x, table.sum(0)) for x in table]
+    assert np.allclose(candidates.correlations(table, table.sum(0)), want, atol=1e-12)
+    assert not candidates.correlations(table, np.ones(9)).any() and not candidates.correlations(table[:, :1], table[:, 0][:1]).any()
+    rows = [(p, f, c, float(np.exp(-((c - 16) ** 2) / 4) * (p + 1))) for p in range(40) for f in ("b1", "b2", "y1", "y2") for c in range(40)]
+    traces = spark.createDataFrame(rows, "precursor_idx long, fragment string, cycle long, intensity double")
+    found = candidates.select(traces)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {(r["precursor_idx"], r["cycle_center"]) for r in found.where("rank = 0").collect()} == {(p, 16) for p in range(40)}
