@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from peakloom.operators import calibrate, candidates, grouping, joins, library, peak_index, quantify
+from peakloom.operators import calibrate, candidates, competition, grouping, joins, library, peak_index, quantify
 
 
 def test_isotopes_against_all_isotopologues(spark):
@@ -231,3 +231,33 @@ def test_candidate_groups_are_dealt(spark):
     found = candidates.select(traces)
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert {(r["precursor_idx"], r["cycle_center"]) for r in found.where("rank = 0").collect()} == {(p, 16) for p in range(40)}
+
+
+def test_competition_in_batches(spark, monkeypatch):
+    """Batches, equal rows and ties give what the visit in order gives, without pairs of equal rows."""
+    rng = np.random.default_rng(12)
+    n = 150
+    base = pd.DataFrame({"window_idx": rng.integers(0, 2, n), "rt": rng.integers(0, 12, n).astype(float), "proba": rng.integers(0, 60, n) / 60})
+    mz = [np.sort(rng.choice(np.arange(400.0, 440.0), rng.integers(1, 5), replace=False)) for _ in range(n)]
+    psm = pd.concat([base.assign(id=np.arange(n) + k * 1000) for k in range(4)])
+    frag = [(int(i + k * 1000), float(m)) for k in range(4) for i in range(n) for m in mz[i]]
+    pairs, plain = [], competition._overlaps
+
+    def spy(*a, **settings):
+        out = plain(*a, **settings)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(competition, "FIRST", 10, raising=False)
+    monkeypatch.setattr(competition, "_overlaps", spy)
+    of = {i: mz[i % 1000] for i in psm["id"]}
+    for least in (1, 2):
+        pairs.clear()
+        got = {r["id"] for r in competition.compete(spark.createDataFrame(psm), spark.createDataFrame(frag, "id long, mz double"), least=least).collect()}
+        kept, every = [], 0
+        for r in psm.sort_values(["proba", "id"]).itertuples():
+            if not any(k.window_idx == r.window_idx and abs(k.rt - r.rt) < 3 and competition.shared_fragments(of[k.id], of[r.id], 15.0) >= least for k in kept):
+                kept.append(r)
+            every += 1
+        assert got == {k.id for k in kept}
+        assert len(pairs) > 2 and sum(pairs) < every * 8
