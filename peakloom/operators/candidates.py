@@ -18,6 +18,10 @@ from .joins import band_join
 from .peak_index import PeakIndex
 
 
+#: Isotope peaks of a task of precursor_scores, about.
+TRACES = 500_000
+
+
 @dataclass(frozen=True)
 class Selection:
     """Settings of candidate selection."""
@@ -72,12 +76,18 @@ def precursor_scores(isotopes: DataFrame, candidates: DataFrame, library: DataFr
     expected intensity. Intensities and heights are of the first, the strongest expected and all
     isotopes; errors in m/z are weighted by the expected intensities of the isotopes seen.
     """
-    inside = candidates.join(isotopes, "precursor_idx").where(F.col("cycle").between(F.col("cycle_start"), F.col("cycle_stop")))
-    seen = inside.groupBy("precursor_idx", "rank", "isotope").agg(
+    count = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-isotopes.count() // TRACES))
+    deal = lambda df: df.repartition(count, "precursor_idx")  # noqa: E731  the only shuffle of each table: all joins and sums are by precursor first
+    c, t = deal(candidates.select("precursor_idx", "rank", "cycle_start", "cycle_stop")).alias("c"), deal(isotopes).alias("t")
+    inside = c.join(t, F.expr("c.precursor_idx = t.precursor_idx AND t.cycle BETWEEN c.cycle_start AND c.cycle_stop"), "left")
+    seen = inside.groupBy("c.precursor_idx", "rank", "isotope").agg(
         F.sum("intensity").alias("total"), F.max("intensity").alias("height"), weighted_mean("mz", "intensity").alias("mz"), F.min("mz_library").alias("mz_library")
     )
-    wanted = candidates.select("precursor_idx", "rank").join(library.select("precursor_idx", "isotope", F.col("intensity").alias("expected")), "precursor_idx")
-    rows = wanted.join(seen, ["precursor_idx", "rank", "isotope"], "left").fillna(0.0, ["total", "height"])
+    values = ["total", "height", "mz", "mz_library"]
+    each = seen.groupBy("precursor_idx", "rank").agg(F.collect_list(F.struct("isotope", *values)).alias("_seen"))  # a row per isotope
+    wanted = each.join(deal(library.select("precursor_idx", "isotope", F.col("intensity").alias("expected"))), "precursor_idx")
+    own = wanted.withColumn("_own", F.get(F.filter("_seen", lambda s: s["isotope"] == F.col("isotope")), F.lit(0)))
+    rows = own.select("precursor_idx", "rank", "isotope", "expected", *(F.col("_own")[v].alias(v) for v in values)).fillna(0.0, ["total", "height"])
     strongest = F.struct("expected", -F.col("isotope"))
     error = F.sum((F.col("mz") - F.col("mz_library")) / F.col("mz_library") * 1e6 * F.col("expected"))
     first = lambda c: F.max(F.when(F.col("isotope") == 0, F.col(c)))

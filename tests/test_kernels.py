@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from peakloom.operators import calibrate, candidates, competition, grouping, joins, library, peak_index, quantify
+from peakloom.operators import calibrate, candidates, competition, fdr, grouping, joins, library, peak_index, quantify, ranking
 
 
 def test_isotopes_against_all_isotopologues(spark):
@@ -261,3 +261,16 @@ def test_competition_in_batches(spark, monkeypatch):
             every += 1
         assert got == {k.id for k in kept}
         assert len(pairs) > 2 and sum(pairs) < every * 8
+
+def test_precursor_scores_deal_by_rows(spark, monkeypatch):
+    """Partitions follow the number of traces, and isotopes that were not seen count as zero."""
+    monkeypatch.setattr(candidates, "TRACES", 20, raising=False)
+    iso = [(p, i, 500.0 + i, c, float(1 + p + i), 500.0 + i) for p in range(40) for i in range(2) for c in range(4)]
+    isotopes = spark.createDataFrame(iso, "precursor_idx long, isotope int, mz_library double, cycle long, intensity double, mz double")
+    picked = spark.createDataFrame([(p, r, 2 * r, 2 * r + 1) for p in range(41) for r in range(3)], "precursor_idx long, rank int, cycle_start long, cycle_stop long")
+    library_ = spark.createDataFrame([(p, i, 1.0 / (1 + i)) for p in range(41) for i in range(3)], "precursor_idx long, isotope int, intensity double")
+    out = candidates.precursor_scores(isotopes, picked, library_)
+    assert out.rdd.getNumPartitions() >= 16
+    got = {(r["precursor_idx"], r["rank"]): (r["mono_ms1_intensity"], r["sum_ms1_intensity"]) for r in out.collect()}
+    seen = {(p, r): (2.0 * (1 + p), 2.0 * (1 + p) + 2.0 * (2 + p)) for p in range(40) for r in range(2)}
+    assert got == {(p, r): seen.get((p, r), (0.0, 0.0)) for p in range(41) for r in range(3)}
