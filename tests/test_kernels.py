@@ -274,3 +274,13 @@ def test_precursor_scores_deal_by_rows(spark, monkeypatch):
     got = {(r["precursor_idx"], r["rank"]): (r["mono_ms1_intensity"], r["sum_ms1_intensity"]) for r in out.collect()}
     seen = {(p, r): (2.0 * (1 + p), 2.0 * (1 + p) + 2.0 * (2 + p)) for p in range(40) for r in range(2)}
     assert got == {(p, r): seen.get((p, r), (0.0, 0.0)) for p in range(41) for r in range(3)}
+
+
+def test_protein_control_sorts_no_rows(spark, monkeypatch):
+    """Evidence per group is aggregated by hash."""
+    plans, save = [], ranking.Scratch.save
+    monkeypatch.setattr(ranking.Scratch, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    rows = [(f"g{i % 9}", i % 2, i, i % 7, i % 3, i / 90, "g", "p") for i in range(90)]
+    psm = spark.createDataFrame(rows, "pg string, decoy int, precursor_idx long, sequence long, run int, proba double, genes string, proteins string")
+    assert fdr.protein_control(psm, least=100).count() == 90
+    assert plans and not any("SortAggregate" in p for p in plans)
