@@ -163,6 +163,27 @@ def test_cover_where_ids_share_sets_all_over(spark):
         assert {k: got[part, k] for k in want} == want and len(want) == 600
 
 
+def test_cover_takes_many_ids_a_round(spark, monkeypatch):
+    """Ids of nearly equal weight that sets share all over: few rounds, and the masters of the visit in order."""
+    rng = np.random.default_rng(3)
+    sets = [(part, k, [f"p{int(x)}" for x in rng.choice(60, int(rng.integers(1, 6)), replace=False)], int(rng.integers(1, 3))) for part in (0, 1) for k in range(2500 + 500 * part)]
+    df = spark.createDataFrame(sets, "part int, key long, list array<string>, n long")
+    rounds, save = [], grouping.Scratch.save
+    monkeypatch.setattr(grouping.Scratch, "save", lambda self, d: rounds.append(d.columns) or save(self, d))
+    got = {(r["part"], r["key"]): r["master"] for r in grouping.cover(df, most=4000).collect()}
+    for part in (0, 1):
+        want = grouping.greedy_cover([(k, ids, n) for p, k, ids, n in sets if p == part])
+        assert {k: got[part, k] for k in want} == want
+    assert len(got) == len(sets) and sum("place" in c and "lost" not in c for c in rounds) > 0
+    assert len(rounds) < 60
+
+
+def test_greedy_cover_of_many_ids_takes_little_time():
+    began = time.time()
+    sets = [(k, [2 * k, 2 * k + 1, 2 * k + 2], 1 + k % 3) for k in range(20_000)]
+    assert len(grouping.greedy_cover(sets)) == 20_000 and time.time() - began < 10
+
+
 def test_annotate_shuffles_no_runs(spark):
     """Peptides at every place of texts of several pieces, without an index of all runs."""
     text = "".join(chr(97 + i * i % 23) + chr(97 + i % 19) for i in range(900))
