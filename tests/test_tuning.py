@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
-from peakloom.operators import fdr
+from peakloom.operators import fdr, perceptron
 from peakloom.operators.candidates import extract_traces
 from peakloom.operators.joins import band_join
 from peakloom.operators.optimise import Lock, Targeted, doubling_batches
@@ -113,3 +116,29 @@ def test_classifiers_start_where_the_last_ended(spark):
     assert right(iterations=1, starts=starts) >= learned - 0.02 > cold - 0.02
     assert all(np.abs(np.array(starts[k]) - np.array(before[k])).max() < 1 for k in before)
     assert right(iterations=1, starts={"other": [0.0]}) == cold  # other features, other models
+
+
+def test_folds_learn_in_shared_scans_as_pyspark_does(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 3000
+    decoy = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, 3)) * [1.0, 50.0, 0.01] + decoy[:, None] * np.array([1.0, 40.0, 0.0]) + [0.0, 5000.0, 0.0]
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "decoy": decoy, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
+    scans, sums = [], perceptron._sums
+    monkeypatch.setattr(perceptron, "_sums", lambda *a: scans.append(sorted(a[1])) or sums(*a))
+    got = {r["i"]: r["proba"] for r in fdr.classify(df, ["a", "b", "c"], "decoy", by=["i"], seed=5).collect()}
+    assert len(got) == n and scans[0] == [0, 1, 2] and len(scans) < 30
+    rows = df.withColumn("fold", F.expr("pmod(xxhash64(i, 5), 3)")).withColumn("y", F.col("decoy").cast("double"))
+    net = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[3, 20, 5, 2], seed=5, maxIter=15, blockSize=4096)  # one block: pyspark.ml weighs blocks, not rows
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), net]).fit(rows.where("fold <> 1").coalesce(1))
+    for r in model.transform(rows.where("fold = 1")).select("i", "probability").collect():
+        assert abs(got[r["i"]] - r["probability"][1]) < 0.002
+
+
+def test_gradient_is_that_of_the_cross_entropy():
+    rng = np.random.default_rng(2)
+    sizes = [3, 4, 3, 2]
+    w, x, y = rng.normal(size=4 * 4 + 5 * 3 + 4 * 2), rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    rows, loss, *gradient = perceptron._gradient(x, y, perceptron._layers(w, sizes))
+    at = lambda v: perceptron._gradient(x, y, perceptron._layers(v, sizes))[1]
+    assert rows == 50 and np.allclose(gradient, [(at(w + d) - at(w - d)) / 2e-6 for d in np.eye(len(w)) * 1e-6], atol=1e-5)
