@@ -3,12 +3,16 @@
 import itertools
 import math
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from peakloom.operators import calibrate, candidates, competition, fdr, grouping, joins, library, peak_index, quantify, ranking
+from peakloom.plans import analogues
+
+from .conftest import DATA
 
 
 def test_isotopes_against_all_isotopologues(spark):
@@ -305,3 +309,30 @@ def test_protein_control_sorts_no_rows(spark, monkeypatch):
     psm = spark.createDataFrame(rows, "pg string, decoy int, precursor_idx long, sequence long, run int, proba double, genes string, proteins string")
     assert fdr.protein_control(psm, least=100).count() == 90
     assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_protein_fdr_covers_every_line(spark, tmp_path, monkeypatch):
+    """Every line has the plain q-value of its group, and twice the parts are twice the groups."""
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    lines.unionByName(lines.withColumn("l_partkey", F.col("l_partkey") + 200)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    learned, q_values = [], fdr.q_values
+    monkeypatch.setattr(fdr, "q_values", lambda df, *a, **k: learned.append(df) or q_values(df, *a, **k))
+    sizes = []
+    for folder in (DATA, str(tmp_path)):
+        rows = analogues.QUERIES["protein_fdr"](spark, folder).collect()
+        given = spark.read.parquet(f"{folder}/lineitem.parquet").collect()
+        names = ["l_orderkey", "precursor_idx", "sequence", "run", "proba", "genes", "proteins"]
+        want = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus"]
+        assert Counter(tuple(r[c] for c in names) for r in rows) == Counter(tuple(r[c] for c in want) for r in given)
+        groups = learned.pop().orderBy("proba", "decoy", "pg").collect()
+        assert {(r["pg"], r["decoy"]): r["n_rows"] for r in groups} == Counter((r["pg"], r["decoy"]) for r in rows)
+        assert len({r["proba"] for r in groups}) > len(groups) / 2
+        decoys, ratios = 0, []
+        for i, r in enumerate(groups):
+            decoys += r["decoy"]
+            ratios.append(decoys / (i + 1 - decoys) if i + 1 > decoys else ranking.NO_TARGET)
+        scale = (len(groups) - decoys) / decoys
+        plain = {(r["pg"], r["decoy"]): scale * min(ratios[i:]) for i, r in enumerate(groups)}
+        assert all(math.isclose(r["pg_qval"], plain[r["pg"], r["decoy"]], rel_tol=1e-9) for r in rows)
+        sizes.append(len(groups))
+    assert sizes == [120, 240]
